@@ -2,9 +2,10 @@
 
 ``F.round`` and ``F.bround`` decide ties on the shortest decimal text of a
 double, so 2.675 becomes 2.68 although the double lies below 2.675.  Here the
-value is split into two halves of at most 26 significant bits; their products
-with the small scale are exact, so the comparison with the midpoint is too.
-All of it is plain arithmetic and stays inside whole-stage codegen.
+value is split into its float part and the rest; the products of both with the
+small scale are exact, and so is the comparison with the midpoint.  All of it is
+plain arithmetic and stays inside whole-stage codegen.  The value appears several
+times in the result, so callers compute it as a column of its own first.
 """
 
 from pyspark.sql import Column
@@ -12,38 +13,38 @@ from pyspark.sql import functions as F
 
 from . import as_col
 
-_SPLITTER = 134217729.0  # 2**27 + 1
+# Below any non-zero distance from a midpoint, above zero.
+_TINY = 1e-300
 
 
-def _side_of_midpoint(x: Column, n: Column, scale: float) -> Column:
-    """Sign of ``x - (n + 0.5) / scale``, without rounding error."""
-    big = x * F.lit(_SPLITTER)
-    high = big - (big - x)
-    low = x - high
+def _distance(x: Column, n: Column, scale: float) -> Column:
+    """``2 * scale * x - (2 * n + 1)`` with the right sign, and zero only at the midpoint."""
+    high = x.cast("float").cast("double")
     twice = F.lit(2.0 * scale)
-    return (high * twice - (n * F.lit(2.0) + F.lit(1.0))) + low * twice
+    return (high * twice - (n * F.lit(2.0) + F.lit(1.0))) + (x - high) * twice
 
 
 def round_2(value: Column | str) -> Column:
     """Two decimals, exact ties to even; for values from 0 up to about 1e13."""
-    x = as_col(value).cast("double")
+    x = as_col(value)
     n = F.floor(x * F.lit(100.0)).cast("double")
-    side = _side_of_midpoint(x, n, 100.0)
-    up = (side > 0) | ((side == 0) & (n % F.lit(2.0) == 1.0))
-    return (n + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(100.0)
+    # An odd n goes up at the midpoint too.
+    up = _distance(x, n, 100.0) > (n % F.lit(2.0)) * F.lit(-_TINY)
+    return (n + up.cast("double")) / F.lit(100.0)
 
 
 def text_1(value: Column | str) -> Column:
     """One decimal as text, exact ties upward; for values from 0 up to about 1e14."""
-    x = as_col(value).cast("double")
+    x = as_col(value)
     n = F.floor(x * F.lit(10.0)).cast("double")
-    up = _side_of_midpoint(x, n, 10.0) >= 0
-    rounded = (n + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(10.0)
-    return rounded.cast("decimal(20,1)").cast("string")
+    up = _distance(x, n, 10.0) >= 0
+    return ((n + up.cast("double")) / F.lit(10.0)).cast("decimal(20,1)").cast("string")
 
 
-def number_text(value: Column | str) -> Column:
-    """A double rounded to two places as text: no exponent, at least one decimal."""
-    x = as_col(value)
-    plain = F.regexp_replace(x.cast("decimal(30,2)").cast("string"), "0$", "")
-    return F.when(F.abs(x) < F.lit(1.0e7), x.cast("string")).otherwise(plain)
+def hundredths(units: Column | str, shift: Column) -> Column:
+    """``100 * units / 2**shift`` for whole units, rounded with ties to even."""
+    scaled = as_col(units) * F.lit(100).cast("bigint")
+    one = F.lit(1).cast("bigint")
+    half = F.call_function("shiftleft", one, shift - F.lit(1))
+    odd = F.call_function("shiftright", scaled, shift).bitwiseAND(one)
+    return F.call_function("shiftright", scaled + (half - one) + odd, shift)

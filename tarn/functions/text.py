@@ -5,31 +5,26 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from . import as_col
-from .rounding import number_text, round_2, text_1
+from .rounding import hundredths, text_1
 
 
 def format_size(size_bytes: Column | str) -> Column:
+    """Bytes, or KB, MB or GB with two decimals; whole arithmetic up to 92 PB."""
     b = as_col(size_bytes)
-
-    def scaled(power: int, unit: str) -> Column:
-        return F.concat(number_text(round_2(b / F.lit(float(1024**power)))), F.lit(unit))
-
-    return (
-        F.when(b < 1024, F.concat(b.cast("string"), F.lit(" B")))
-        .when(b < 1024**2, scaled(1, " KB"))
-        .when(b < 1024**3, scaled(2, " MB"))
-        .otherwise(scaled(3, " GB"))
-    )
+    kb, mb = b < 1024**2, b < 1024**3
+    shift = F.when(kb, 10).when(mb, 20).otherwise(30)
+    unit = F.when(kb, " KB").when(mb, " MB").otherwise(" GB")
+    number = (hundredths(b, shift) / F.lit(100.0)).cast("string")
+    return F.when(b < 1024, F.concat(b.cast("string"), F.lit(" B"))).otherwise(F.concat(number, unit))
 
 
 def format_duration(ms: Column | str) -> Column:
     m = as_col(ms)
     seconds = m / F.lit(1000.0)
-    return (
-        F.when(m.isNull() | (m == 0), "0 s")
-        .when(seconds < 60, F.concat(text_1(seconds), F.lit(" s")))
-        .otherwise(F.concat(text_1(seconds / F.lit(60.0)), F.lit(" min")))
-    )
+    short = seconds < 60
+    number = text_1(F.when(short, seconds).otherwise(seconds / F.lit(60.0)))
+    unit = F.when(short, " s").otherwise(" min")
+    return F.when(m.isNull() | (m == 0), "0 s").otherwise(F.concat(number, unit))
 
 
 def format_ts(ts: Column | str) -> Column:

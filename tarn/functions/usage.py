@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from . import as_col
-from .rounding import round_2
+from .rounding import hundredths
+
+BYTES_PER_MB = float(1024**2)
 
 
 def or_zero(c: Column | str) -> Column:
@@ -34,15 +36,14 @@ def cpu_percent(cpu_delta: Column | str, system_delta: Column | str, nano_cpus:
 
 
 def clamp_100(x: Column | str) -> Column:
-    return F.least(as_col(x), F.lit(K.MAX_PERCENT))
-
-
-def to_mb(size_bytes: Column | str) -> Column:
-    return round_2(as_col(size_bytes) / F.lit(float(1024**2)))
+    # Not least(): that would turn a missing value into the limit.
+    c = as_col(x)
+    return F.when(c > K.MAX_PERCENT, K.MAX_PERCENT).otherwise(c)
 
 
 def to_gb(size_bytes: Column | str) -> Column:
-    return round_2(as_col(size_bytes) / F.lit(float(1024**3)))
+    """Gigabytes with two decimals, from whole bytes."""
+    return hundredths(size_bytes, F.lit(30)) / F.lit(100.0)
 
 
 def to_cores(nano_cpus: Column | str) -> Column:

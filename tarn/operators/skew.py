@@ -1,0 +1,26 @@
+"""Keys that hold very many rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key outside the largest MOST_HOT_KEYS holds less than one in as many of all rows.
+MOST_HOT_KEYS = 10_000
+
+
+def hot_keys(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame:
+    """The keys with more than ``max_rows`` rows, marked ``_hot``.
+
+    At most ``MOST_HOT_KEYS`` of them, the largest first, so that the result may
+    be broadcast.  Callers treat these keys in a different way and all other keys
+    in the usual one; no rows are left out.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    largest = counts.where(F.col("_rows") > max_rows).orderBy(F.desc("_rows")).limit(MOST_HOT_KEYS)
+    return largest.select(*keys, F.lit(True).alias("_hot"))
+
+
+def mark_hot(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame:
+    """``df`` with a column ``_hot`` that is true for the rows of hot keys, else NULL."""
+    return df.join(F.broadcast(hot_keys(df, keys, max_rows)), keys, "left")

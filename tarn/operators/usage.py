@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.rounding import round_2
-from ..functions.usage import clamp_100, cpu_percent, or_zero, real_memory, to_mb
+from ..functions.usage import BYTES_PER_MB, clamp_100, cpu_percent, or_zero, real_memory
 from .keyed import newest_n
+from .skew import mark_hot
 
 SAMPLE_FIELDS = ("mem_usage", "mem_cache", "mem_limit", "cpu_delta", "system_delta", "nano_cpus")
 
@@ -24,44 +25,64 @@ def latest_per_role(order: list[str]) -> list[Column]:
     """Aggregates that keep the newest sample of each role."""
     sample = F.struct(*SAMPLE_FIELDS)
     rank = F.struct(*order)
+    # Used where an aggregation is the only way, as in a stream.
     return [
         F.max_by(F.when(F.col("role") == role, sample), F.when(F.col("role") == role, rank)).alias(_slot(role))
         for role in K.ROLES
     ]
 
 
-def metrics_of_roles() -> list[Column]:
-    """Workspace metrics from the newest sample of each role; NULL while offline."""
+def metrics_of_roles(newest: DataFrame, keys: list[str]) -> DataFrame:
+    """Workspace metrics from the newest sample of each role; NULL while offline.
+
+    The sums become columns before they are rounded, so each is computed once.
+    """
     slots = [_slot(r) for r in K.ROLES]
 
     def total(of) -> Column:
         return reduce(lambda a, b: a + b, [of(s) for s in slots])
 
-    zero = F.lit(0).cast("bigint")
     used = total(lambda s: real_memory(f"{s}.mem_usage", f"{s}.mem_cache"))
     limit = total(lambda s: or_zero(f"{s}.mem_limit"))
-    limit = F.when(limit == zero, F.lit(1).cast("bigint")).otherwise(limit)
     cpu = total(lambda s: cpu_percent(f"{s}.cpu_delta", f"{s}.system_delta", f"{s}.nano_cpus"))
     online = reduce(lambda a, b: a | b, [F.col(s).isNotNull() for s in slots])
-    return [
-        F.when(online, "online").otherwise("offline").alias("status"),
-        F.when(online, clamp_100(round_2(cpu))).alias("cpu_percent"),
-        F.when(online, to_mb(used)).alias("memory_usage_mb"),
-        F.when(online, to_mb(limit)).alias("memory_limit_mb"),
-        F.when(online, round_2(used / limit * F.lit(100.0))).alias("memory_percent"),
-    ]
+    sums = newest.select(
+        *keys,
+        online.alias("online"),
+        F.when(online, used).alias("used"),
+        F.when(online, F.greatest(limit, F.lit(1).cast("bigint"))).alias("limit"),
+        F.when(online, cpu).alias("cpu"),
+    )
+    ratios = sums.select(
+        *keys, "online", "cpu",
+        (F.col("used") / F.lit(BYTES_PER_MB)).alias("used_mb"),
+        (F.col("limit") / F.lit(BYTES_PER_MB)).alias("limit_mb"),
+        (F.col("used") / F.col("limit") * F.lit(100.0)).alias("percent"),
+    )
+    return ratios.select(
+        *keys,
+        F.when(F.col("online"), "online").otherwise("offline").alias("status"),
+        clamp_100(round_2("cpu")).alias("cpu_percent"),
+        round_2("used_mb").alias("memory_usage_mb"),
+        round_2("limit_mb").alias("memory_limit_mb"),
+        round_2("percent").alias("memory_percent"),
+    )
 
 
 def workspace_metrics(samples: DataFrame, order: list[str], users: DataFrame | None = None) -> DataFrame:
     """Metrics of each user from the newest sample of the editor and the worker.
 
-    Both roles come out of one aggregation by user, merged within each task
-    first.  With ``users``, a user without samples is reported as offline.
+    Every task first cuts its samples to the newest of each user and role, so
+    little is shuffled.  With ``users``, a user without samples is offline.
     """
-    newest = samples.groupBy("usuario").agg(*latest_per_role(order))
+    newest = newest_n(samples.where(F.col("role").isin(*K.ROLES)), ["usuario", "role"], order, 1)
+    sample = F.struct(*SAMPLE_FIELDS)
+    by_role = newest.groupBy("usuario").agg(
+        *[F.any_value(F.when(F.col("role") == r, sample), ignoreNulls=True).alias(_slot(r)) for r in K.ROLES]
+    )
     if users is not None:
-        newest = users.select("usuario").join(newest, "usuario", "left")
-    return newest.select("usuario", *metrics_of_roles())
+        by_role = users.select("usuario").join(by_role, "usuario", "left")
+    return metrics_of_roles(by_role, ["usuario"])
 
 
 def online_status(samples: DataFrame, users: DataFrame) -> DataFrame:
@@ -78,28 +99,34 @@ def last_n(samples: DataFrame, series: list[str], order: list[str], n: int = K.H
 
 
 def counter_delta(
-    samples: DataFrame, series: list[str], ts: str, order: list[str], counters: list[str], cell: str = "hour"
+    samples: DataFrame, series: list[str], ts: str, order: list[str], counters: list[str],
+    cell: str = "hour", max_rows: int = 1_000_000,
 ) -> DataFrame:
     """Each cumulative counter minus its previous value; the first counts from zero.
 
-    The previous value is looked up inside one time cell of one series, so a
-    task holds a cell and never a whole series.  The first row of a cell takes
-    its previous value from the last row of the series' previous cell; there is
-    one such row per series and cell, found by an aggregation that is merged
-    within each task before the shuffle.
+    A series of up to ``max_rows`` samples is ordered in one task.  A longer one
+    is cut into time cells that are ordered separately.  The last row of each
+    cell is copied to the front of the series' next cell, where it serves the
+    first row as previous value and is then dropped, so the result is the same.
     """
-    rank = F.struct(*order)
-    values = F.struct(*[or_zero(c).alias(c) for c in counters])
-    celled = samples.withColumn("_cell", F.date_trunc(cell, ts))
-    keys = [*series, "_cell"]
-
-    ends = celled.groupBy(*keys).agg(F.max_by(values, rank).alias("_end"))
-    carried = ends.select(*keys, F.lag("_end").over(W.partitionBy(*series).orderBy("_cell")).alias("_carried"))
-    inside = celled.withColumn("_previous", F.lag(values).over(W.partitionBy(*keys).orderBy(*order)))
-
-    previous = F.coalesce("_previous", "_carried")
-    joined = inside.join(carried, keys, "left")
-    return joined.select(
-        *[F.col(c) for c in samples.columns],
-        *[(or_zero(c) - or_zero(previous[c])).alias(f"{c}_step") for c in counters],
+    marked = mark_hot(samples, series, max_rows)
+    place = F.date_trunc(cell, ts)
+    rows = marked.select(*samples.columns, F.when(F.col("_hot"), place).alias("_cell"), F.lit(False).alias("_copy"))
+    in_hot = marked.where("_hot").select(*samples.columns, place.alias("_cell"))
+    ends = newest_n(in_hot, [*series, "_cell"], order, 1)
+    following = F.lead("_cell").over(W.partitionBy(*series).orderBy("_cell"))
+    copies = (
+        ends.withColumn("_next", following)
+        .where(F.col("_next").isNotNull())
+        .withColumn("_cell", F.col("_next"))
+        .withColumn("_copy", F.lit(True))
+        .select(*rows.columns)
+    )
+    before = W.partitionBy(*series, "_cell").orderBy(*order)
+    steps = {f"{c}_step": or_zero(c) - F.coalesce(F.lag(or_zero(c)).over(before), or_zero(F.lit(None))) for c in counters}
+    return (
+        rows.unionByName(copies)
+        .withColumns(steps)
+        .where(~F.col("_copy"))
+        .select(*samples.columns, *steps)
     )

@@ -468,7 +468,10 @@ def stream_history(spark, sf):
         F.col("usuario").alias("series"), "ts", F.col("event_id").alias("point_id"), F.col("mem_usage").alias("value")
     )
     kept = history.rolling_history(points)
-    sinks.finish(sinks.land_latest(kept, f"{out}/rows", f"{out}/checkpoint", ["series"], ["version"]))
+    landing = sinks.land_latest(
+        kept, f"{out}/rows", f"{out}/checkpoint", ["series"], ["version"], rocksdb=True
+    )
+    sinks.finish(landing)
     rows = history.history_points(SL.read_latest(spark, f"{out}/rows", ["series"], ["version"]))
     return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -14,11 +16,17 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+}
+
+# Settings a stream takes over when it starts.
+STREAM_SETTINGS = {
     # Merge sessions of one task before they are shuffled, so that a user with
     # very many heartbeats sends sessions and not heartbeats.
-    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
-    # Keep stream state off the heap and recover it by change log.
+}
+
+# State kept off the heap and recovered by change log.
+ROCKSDB_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -32,6 +40,39 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    return spark.conf.get("spark.master", "").startswith("local")
+
+
+@contextmanager
+def stream_settings(
+    spark: SparkSession, state_partitions: int | None = None, rocksdb: bool = False
+) -> Iterator[None]:
+    """Settings for streams started inside; the session gets its own back.
+
+    The number of state partitions stays fixed for the life of a checkpoint and
+    is never adapted, so by default there is one for each core of the cluster.
+    On a cluster all state goes to RocksDB; a local session uses it only where
+    the operator cannot do without (``rocksdb``).
+    """
+    wanted = {
+        **STREAM_SETTINGS,
+        **(ROCKSDB_SETTINGS if rocksdb or not is_local(spark) else {}),
+        "spark.sql.shuffle.partitions": str(state_partitions or spark.sparkContext.defaultParallelism),
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def local_session(cores: int | str = "*", name: str = "tarn", memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the bench."""
     shuffle = "8" if cores == "*" else str(cores)
@@ -57,7 +98,7 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="tarn-")
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import constants as K
@@ -17,17 +17,14 @@ ROW = f"series STRING, {POINT}, gone BOOLEAN"
 OUTPUT = "series STRING, version TIMESTAMP, points ARRAY<STRUCT<ts: TIMESTAMP, point_id: BIGINT, value: DOUBLE>>"
 
 
-def _newest(rows: pd.DataFrame, n: int) -> pd.DataFrame:
-    """Per series: the newest ``n`` points after its last shutdown, and that shutdown."""
-    rows = rows.sort_values(["ts", "point_id"], kind="stable")
-    ends = rows[rows["gone"]].groupby("series", sort=False).tail(1)
-    ended = rows["series"].map(ends.set_index("series")["ts"])
-    alive = rows[~rows["gone"] & (ended.isna() | (rows["ts"] > ended))]
-    return pd.concat([ends, alive.groupby("series", sort=False).tail(n)])
+def cut_block(block: pd.DataFrame, n: int) -> pd.DataFrame:
+    """The newest ``n`` points and the last shutdown of each series in one block."""
+    ordered = block.sort_values(["ts", "point_id"], kind="stable")
+    return ordered[ordered.groupby(["series", "gone"], sort=False, dropna=False).cumcount(ascending=False) < n]
 
 
 class KeepNewest(StatefulProcessor):
-    """Holds at most ``n`` points per series; a shutdown clears the series."""
+    """Holds at most ``n`` points per series; a shutdown clears what came before it."""
 
     def __init__(self, n: int) -> None:
         self.n = n
@@ -35,23 +32,24 @@ class KeepNewest(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.points = handle.getListState("points", POINT)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.points.get()), columns=["ts", "point_id", "value"])
-        held = held.astype({"ts": "datetime64[ns]", "point_id": "int64", "value": "float64"})
-        held = held.assign(series=key[0], gone=False)
-        version = held["ts"].max()
-        # Each block is folded in as it arrives: memory holds one block and n points.
-        for block in rows:
-            version = block["ts"].max() if pd.isna(version) else max(version, block["ts"].max())
-            held = _newest(pd.concat([held, block]), self.n)
-        kept = held[~held["gone"]]
-        points = list(zip(kept["ts"].dt.to_pydatetime(), kept["point_id"], kept["value"]))
-        if points:
-            self.points.put([(ts, int(i), float(v)) for ts, i, v in points])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        newest = [tuple(p) for p in self.points.get()]
+        heapq.heapify(newest)
+        version, ended = max(newest, default=(None,))[0], None
+        for row in rows:
+            version = row.ts if version is None else max(version, row.ts)
+            if row.gone:
+                ended = row.ts if ended is None else max(ended, row.ts)
+            elif len(newest) < self.n:
+                heapq.heappush(newest, (row.ts, row.point_id, row.value))
+            else:
+                heapq.heappushpop(newest, (row.ts, row.point_id, row.value))
+        kept = sorted(p for p in newest if ended is None or p[0] > ended)
+        if kept:
+            self.points.put(kept)
         else:
             self.points.clear()
-        out = [{"ts": ts, "point_id": int(i), "value": float(v)} for ts, i, v in points]
-        yield pd.DataFrame({"series": [key[0]], "version": [version], "points": [out]})
+        yield Row(series=key[0], version=version, points=[Row(ts=t, point_id=i, value=v) for t, i, v in kept])
 
     def close(self) -> None:
         pass
@@ -72,16 +70,13 @@ def rolling_history(points: DataFrame, n: int = K.HISTORY_POINTS) -> DataFrame:
 
     def cut(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in blocks:
-            yield _newest(block, n)
+            yield cut_block(block, n)
 
     return (
         rows.mapInPandas(cut, ROW)
         .groupBy("series")
-        .transformWithStateInPandas(
-            statefulProcessor=KeepNewest(n),
-            outputStructType=T._parse_datatype_string(OUTPUT),
-            outputMode="Update",
-            timeMode="None",
+        .transformWithState(
+            statefulProcessor=KeepNewest(n), outputStructType=OUTPUT, outputMode="Update", timeMode="None"
         )
     )
 

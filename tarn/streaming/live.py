@@ -16,13 +16,14 @@ def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 def metrics_stream(samples: DataFrame, order: list[str], delay: str = "10 seconds") -> DataFrame:
     """Workspace metrics of each user for every three-second window."""
-    return (
+    newest = (
         event_time(samples)
         .withWatermark("ts", delay)
         .groupBy("usuario", F.window("ts", f"{K.METRICS_SECONDS} seconds").alias("w"))
         .agg(*latest_per_role(order))
-        .select("usuario", F.col("w.start").alias("window_start"), *metrics_of_roles())
+        .withColumn("window_start", F.col("w.start"))
     )
+    return metrics_of_roles(newest, ["usuario", "window_start"])
 
 
 def idle_sessions(heartbeats: DataFrame, delay: str = "0 seconds") -> DataFrame:

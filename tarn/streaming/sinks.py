@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.keyed import latest_by_key
+from ..session import stream_settings
 from ..sources.landing import land_batch
 
 
@@ -21,12 +22,13 @@ def read_files(spark: SparkSession, path: str, fmt: str = "parquet", schema=None
 def append_files(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append final rows to Parquet files; without ``every`` it stops when caught up."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-    return _triggered(writer, every).start(path)
+    with stream_settings(stream.sparkSession):
+        return _triggered(writer, every).start(path)
 
 
 def land_latest(
     stream: DataFrame, table: str, checkpoint: str, key: list[str], order: list[str],
-    mode: str = "update", every: str | None = None,
+    mode: str = "update", every: str | None = None, rocksdb: bool = False,
 ) -> StreamingQuery:
     """Land each micro-batch reduced to the last row of every key.
 
@@ -37,7 +39,8 @@ def land_latest(
         land_batch(latest_by_key(batch, key, order), table, batch_id)
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(land)
-    return _triggered(writer, every).start()
+    with stream_settings(stream.sparkSession, rocksdb=rocksdb):
+        return _triggered(writer, every).start()
 
 
 def _triggered(writer, every: str | None):
