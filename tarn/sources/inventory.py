@@ -45,10 +45,14 @@ def list_objects(spark: SparkSession, root: str, name_glob: str | None = None) -
 
 
 def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A landed listing in Parquet, CSV or JSON; the schema is never inferred."""
+    """A landed listing in Parquet, CSV or JSON; the schema is never inferred.
+
+    A CSV must have all columns in the order of the schema; one with another
+    header is refused rather than read by position.
+    """
     reader = spark.read.format(fmt).schema(INVENTORY_SCHEMA)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("enforceSchema", False)
     return reader.load(path)
 
 

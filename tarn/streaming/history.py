@@ -12,14 +12,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import constants as K
 
-POINT = "ts TIMESTAMP, point_id BIGINT, value DOUBLE"
+# Times are microseconds here: the state gives timestamps back without a zone.
+POINT = "at BIGINT, point_id BIGINT, value DOUBLE"
 ROW = f"series STRING, {POINT}, gone BOOLEAN"
-OUTPUT = "series STRING, version TIMESTAMP, points ARRAY<STRUCT<ts: TIMESTAMP, point_id: BIGINT, value: DOUBLE>>"
+OUTPUT = "series STRING, version BIGINT, points ARRAY<STRUCT<at: BIGINT, point_id: BIGINT, value: DOUBLE>>"
 
 
 def cut_block(block: pd.DataFrame, n: int) -> pd.DataFrame:
     """The newest ``n`` points and the last shutdown of each series in one block."""
-    ordered = block.sort_values(["ts", "point_id"], kind="stable")
+    ordered = block.sort_values(["at", "point_id"], kind="stable")
     return ordered[ordered.groupby(["series", "gone"], sort=False, dropna=False).cumcount(ascending=False) < n]
 
 
@@ -37,19 +38,19 @@ class KeepNewest(StatefulProcessor):
         heapq.heapify(newest)
         version, ended = max(newest, default=(None,))[0], None
         for row in rows:
-            version = row.ts if version is None else max(version, row.ts)
+            version = row.at if version is None else max(version, row.at)
             if row.gone:
-                ended = row.ts if ended is None else max(ended, row.ts)
+                ended = row.at if ended is None else max(ended, row.at)
             elif len(newest) < self.n:
-                heapq.heappush(newest, (row.ts, row.point_id, row.value))
+                heapq.heappush(newest, (row.at, row.point_id, row.value))
             else:
-                heapq.heappushpop(newest, (row.ts, row.point_id, row.value))
+                heapq.heappushpop(newest, (row.at, row.point_id, row.value))
         kept = sorted(p for p in newest if ended is None or p[0] > ended)
         if kept:
             self.points.put(kept)
         else:
             self.points.clear()
-        yield Row(series=key[0], version=version, points=[Row(ts=t, point_id=i, value=v) for t, i, v in kept])
+        yield Row(series=key[0], version=version, points=[Row(at=t, point_id=i, value=v) for t, i, v in kept])
 
     def close(self) -> None:
         pass
@@ -64,8 +65,8 @@ def rolling_history(points: DataFrame, n: int = K.HISTORY_POINTS) -> DataFrame:
     """
     gone = F.coalesce("gone", F.lit(False)) if "gone" in points.columns else F.lit(False)
     rows = points.select(
-        "series", F.col("ts").cast("timestamp").alias("ts"), "point_id", F.col("value").cast("double").alias("value"),
-        gone.alias("gone"),
+        "series", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "point_id",
+        F.col("value").cast("double").alias("value"), gone.alias("gone"),
     )
 
     def cut(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,4 +84,5 @@ def rolling_history(points: DataFrame, n: int = K.HISTORY_POINTS) -> DataFrame:
 
 def history_points(kept: DataFrame) -> DataFrame:
     """The kept points as rows."""
-    return kept.select("series", F.explode("points").alias("p")).select("series", "p.*")
+    points = kept.select("series", F.explode("points").alias("p"))
+    return points.select("series", F.timestamp_micros("p.at").alias("ts"), "p.point_id", "p.value")
