@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import keys as X
 from ..functions import text as T
+from .skew import TASK_ROWS, join_unique
 
 
 def visible_objects(inv: DataFrame) -> DataFrame:
@@ -161,13 +162,11 @@ def upload_filter(inv: DataFrame) -> DataFrame:
     return inv.withColumn("allowed", X.can_upload("key"))
 
 
-def attach_uploader(inv: DataFrame, meta: DataFrame) -> DataFrame:
+def attach_uploader(inv: DataFrame, meta: DataFrame, max_rows: int = TASK_ROWS) -> DataFrame:
     """Uploader of each object from a metadata table with one row per object."""
-    return (
-        inv.drop("uploader")
-        .join(meta.select("bucket", "key", "uploader"), ["bucket", "key"], "left")
-        .withColumn("uploader", T.default_uploader("uploader"))
-    )
+    object_meta = meta.select("bucket", "key", "uploader")
+    joined = join_unique(inv.drop("uploader"), object_meta, ["bucket", "key"], "left", max_rows)
+    return joined.withColumn("uploader", T.default_uploader("uploader"))
 
 
 def uploader_totals(inv: DataFrame) -> DataFrame:

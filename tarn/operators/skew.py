@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 # A key outside the largest MOST_HOT_KEYS holds less than one in as many of all rows.
 MOST_HOT_KEYS = 10_000
 
+# Rows of one key that a single task handles without trouble.
+TASK_ROWS = 1_000_000
 
-def hot_keys(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame:
+
+def hot_keys(df: DataFrame, keys: list[str], max_rows: int = TASK_ROWS) -> DataFrame:
     """The keys with more than ``max_rows`` rows, marked ``_hot``.
 
     At most ``MOST_HOT_KEYS`` of them, the largest first, so that the result may
@@ -21,6 +24,24 @@ def hot_keys(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame:
     return largest.select(*keys, F.lit(True).alias("_hot"))
 
 
-def mark_hot(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame:
+def mark_hot(df: DataFrame, keys: list[str], max_rows: int = TASK_ROWS) -> DataFrame:
     """``df`` with a column ``_hot`` that is true for the rows of hot keys, else NULL."""
     return df.join(F.broadcast(hot_keys(df, keys, max_rows)), keys, "left")
+
+
+def join_unique(
+    facts: DataFrame, details: DataFrame, keys: list[str], how: str = "inner", max_rows: int = TASK_ROWS
+) -> DataFrame:
+    """Inner or left join to ``details``, which holds each key at most once.
+
+    The facts of hot keys stay where they are: their details, one row for each
+    hot key, are broadcast.  All other facts are joined in the usual way.  Spark
+    splits skewed joins by itself too, but not when one side arrives already
+    grouped by the key, as the newest rows of a landed table do.
+    """
+    hot = F.broadcast(hot_keys(facts, keys, max_rows))
+    marked = facts.join(hot, keys, "left")
+    usual = marked.where(F.col("_hot").isNull()).drop("_hot").join(details, keys, how)
+    hot_details = details.join(hot, keys, "left_semi")
+    heavy = marked.where("_hot").drop("_hot").join(F.broadcast(hot_details), keys, how)
+    return usual.unionByName(heavy)

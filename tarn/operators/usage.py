@@ -12,7 +12,7 @@ from .. import constants as K
 from ..functions.rounding import round_2
 from ..functions.usage import BYTES_PER_MB, clamp_100, cpu_percent, or_zero, real_memory
 from .keyed import newest_n
-from .skew import mark_hot
+from .skew import TASK_ROWS, mark_hot
 
 SAMPLE_FIELDS = ("mem_usage", "mem_cache", "mem_limit", "cpu_delta", "system_delta", "nano_cpus")
 
@@ -100,7 +100,7 @@ def last_n(samples: DataFrame, series: list[str], order: list[str], n: int = K.H
 
 def counter_delta(
     samples: DataFrame, series: list[str], ts: str, order: list[str], counters: list[str],
-    cell: str = "hour", max_rows: int = 1_000_000,
+    cell: str = "hour", max_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Each cumulative counter minus its previous value; the first counts from zero.
 

@@ -312,6 +312,14 @@ ORACLE: dict[str, str] = {
     "silver_events": f"WITH {SILVER} SELECT event_id, ts, user_id, event_type, CAST(value AS DOUBLE) AS value, uploader FROM silver",
     "gold_daily": f"WITH {SILVER} SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS events, "
                   "CAST(sum(value) AS DOUBLE) AS total FROM silver GROUP BY 1, 2",
+    "listed_objects": _over(
+        "object_inventory",
+        sql="SELECT DISTINCT 'bronze' AS bucket, 'catalog' AS folder, 'bucket=' || bucket AS dataset, "
+            "'📁 bucket=' || bucket || ' (Dataset Spark)' AS display FROM object_inventory",
+    ),
+    "indexed_objects": _over(
+        "object_inventory", sql="SELECT DISTINCT 'bronze' AS bucket, 'bucket=' || bucket AS dataset FROM object_inventory"
+    ),
     "preview_csv": "SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer ORDER BY c_custkey LIMIT 10",
     "preview_parquet": "SELECT * FROM supplier ORDER BY s_suppkey LIMIT 10",
     "preview_text": "SELECT c_name AS value FROM customer ORDER BY c_custkey LIMIT 10",

@@ -417,14 +417,19 @@ def text_file_previews(spark, sf):
 
 
 def listed_objects(spark, sf):
-    """Files Spark wrote, listed by bucket without opening them."""
+    """Datasets of a lake Spark wrote, from a complete listing of its files."""
     root = work_dir(spark, "lake")
-    inv = view(spark, sf, "object_inventory")
-    M.write_layer(inv, f"{root}/bronze/catalog/objects.parquet", ["bucket"])
+    M.write_layer(view(spark, sf, "object_inventory"), f"{root}/bronze/catalog", ["bucket"])
+    found = I.datasets(I.visible_objects(SI.walk_objects(spark, root)))
+    return found.select("bucket", "folder", "dataset", "display")
+
+
+def indexed_objects(spark, sf):
+    """The same files by Spark's own file index."""
+    root = work_dir(spark, "lake")
+    M.write_layer(view(spark, sf, "object_inventory"), f"{root}/bronze/catalog", ["bucket"])
     listed = I.visible_objects(SI.list_objects(spark, root))
-    return listed.groupBy("bucket", X.top_folder("key").alias("folder")).agg(
-        F.count("*").alias("objects"), F.sum("size_bytes").alias("total_bytes")
-    )
+    return listed.select("bucket", X.dataset_name(X.below_folder()).alias("dataset")).distinct()
 
 
 # --- streams ---------------------------------------------------------------
@@ -508,7 +513,7 @@ QUERIES: dict[str, Query] = {
         driver_links, schedule_list, driver_apps, cluster_snapshot, app_job_payloads,
         user_names, event_props,
         registry_upsert, registry_merge, registry_delete, registry_cancel, silver_events, gold_daily,
-        preview_csv, preview_parquet, preview_text, text_file_previews, listed_objects,
+        preview_csv, preview_parquet, preview_text, text_file_previews, listed_objects, indexed_objects,
         stream_idle, stream_metrics, stream_last_seen, stream_history, stream_landing, stream_app_status,
     )
 }

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import below_folder
+from ..session import work_dir
 
 INVENTORY_SCHEMA = T.StructType(
     [
@@ -21,29 +25,97 @@ INVENTORY_SCHEMA = T.StructType(
 )
 
 
+LISTING = "path string, folder boolean, size_bytes bigint, modified_ns bigint"
+
+
+def _as_inventory(files: DataFrame, base: str) -> DataFrame:
+    """Bucket and key from the path; a file outside any bucket is no object."""
+    path = F.col("path")
+    # A listed path may carry a scheme in front of the root, so cut behind it.
+    below = F.substring(path, F.locate(base, path) + len(base), F.length(path))
+    return files.select(
+        F.substring_index(below, "/", 1).alias("bucket"),
+        below_folder(below).alias("key"),
+        "size_bytes",
+        "last_modified",
+        F.lit(None).cast("string").alias("uploader"),
+    ).where(F.col("key").isNotNull())
+
+
+def _plain_root(root: str) -> str:
+    return re.sub(r"^file:/+", "/", root).rstrip("/")
+
+
 def list_objects(spark: SparkSession, root: str, name_glob: str | None = None) -> DataFrame:
     """Inventory of the files below ``root``, one bucket per first-level folder.
 
     Only file metadata is selected, so no content is read.  The file index of
-    Spark leaves out empty files and names that begin with ``_`` or ``.``; use
-    ``read_inventory`` on a landed listing where those matter.
+    Spark leaves out empty files and names that begin with ``_`` or ``.``, and it
+    holds all file names on the driver; ``walk_objects`` does neither.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
-    # A listed path may carry a scheme in front of the root, so cut behind it.
-    base = re.sub(r"^file:/+", "/", root).rstrip("/") + "/"
-    path = F.col("path")
-    below = F.substring(path, F.locate(base, path) + len(base), F.length(path))
-    return reader.load(base).select(
-        F.substring_index(below, "/", 1).alias("bucket"),
-        below_folder(below).alias("key"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("last_modified"),
-        F.lit(None).cast("string").alias("uploader"),
+    base = _plain_root(root) + "/"
+    files = reader.load(base)
+    return _as_inventory(
+        files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_modified")), base
     )
 
 
+def _list_level(spark: SparkSession, folders: DataFrame, root: str) -> DataFrame:
+    """The direct contents of each folder; every folder is listed by some task."""
+
+    def contents(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(root)
+        for block in blocks:
+            for path in block.column("path").to_pylist():
+                found = store.get_file_info(fs.FileSelector(path))
+                yield pa.record_batch(
+                    {
+                        "path": pa.array([f.path for f in found], pa.string()),
+                        "folder": pa.array([f.type == fs.FileType.Directory for f in found], pa.bool_()),
+                        "size_bytes": pa.array([f.size for f in found], pa.int64()),
+                        "modified_ns": pa.array([f.mtime_ns for f in found], pa.int64()),
+                    }
+                )
+
+    tasks = spark.sparkContext.defaultParallelism
+    return folders.repartition(tasks, "path").mapInArrow(contents, LISTING)
+
+
+def _store_root(spark: SparkSession, root: str) -> tuple[str, DataFrame]:
+    uri = re.sub(r"^s3[an]://", "s3://", _plain_root(root))
+    inside = re.sub(r"^[a-z0-9+]+://", "", uri)
+    return uri, spark.range(1).select(F.lit(inside).alias("path"))
+
+
+def list_buckets(spark: SparkSession, root: str) -> DataFrame:
+    """All first-level folders of ``root``, empty ones too."""
+    uri, top = _store_root(spark, root)
+    return _list_level(spark, top, uri).where("folder").select(F.substring_index("path", "/", -1).alias("bucket"))
+
+
+def walk_objects(spark: SparkSession, root: str) -> DataFrame:
+    """Complete inventory below ``root``, with empty files and every name.
+
+    Goes down one folder level at a time: each level is a Spark job whose tasks
+    list the folders the level above has found.  The levels are written to the
+    work folder, so a lost executor costs one listing and no names pass through
+    the driver.
+    """
+    uri, level = _store_root(spark, root)
+    base = re.sub(r"^[a-z0-9+]+://", "", uri) + "/"
+    out, depth = work_dir(spark, "listing"), 0
+    while depth == 0 or not level.isEmpty():
+        _list_level(spark, level, uri).write.parquet(f"{out}/depth={depth}")
+        level = spark.read.parquet(f"{out}/depth={depth}").where("folder").select("path")
+        depth += 1
+    files = spark.read.parquet(out).where(~F.col("folder"))
+    modified = F.timestamp_micros((F.col("modified_ns") / F.lit(1000)).cast("bigint")).alias("last_modified")
+    return _as_inventory(files.select("path", "size_bytes", modified), base)
+
+
 def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A landed listing in Parquet, CSV or JSON; the schema is never inferred.
 

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import heapq
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import constants as K
 
+# What runs in the tasks travels with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Times are microseconds here: the state gives timestamps back without a zone.
 POINT = "at BIGINT, point_id BIGINT, value DOUBLE"
 ROW = f"series STRING, {POINT}, gone BOOLEAN"

@@ -50,6 +50,26 @@ def test_list_objects(spark, lake):
     assert rows(SI.list_objects(spark, "file://" + lake), "key") == rows(listed, "key")
 
 
+def test_walk_objects_finds_every_file(spark, lake):
+    os.makedirs(f"{lake}/void")
+    write(f"{lake}/silver/t/_SUCCESS", "")
+    write(f"{lake}/silver/t/.hidden", "x")
+    write(f"{lake}/outside.txt", "x")
+    want = []
+    for folder, _, names in os.walk(lake):
+        for name in names:
+            path = os.path.join(folder, name)
+            below = os.path.relpath(path, lake).split("/", 1)
+            if len(below) == 2:
+                want.append((below[0], below[1], os.path.getsize(path)))
+    walked = SI.walk_objects(spark, lake)
+    assert rows(walked, "bucket", "key", "size_bytes") == sorted(want)
+    assert walked.where("last_modified > timestamp'2024-01-01'").count() == len(want)
+    buckets = SI.list_buckets(spark, lake)
+    assert rows(buckets) == [("bronze",), ("silver",), ("void",)]
+    assert ("void", None) in rows(I.catalog(buckets, walked))
+
+
 def test_list_objects_reads_no_content(spark, lake):
     plan = SI.list_objects(spark, lake)._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[1]

@@ -5,9 +5,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tarn.operators import apps as A
 from tarn.operators import inventory as I
 from tarn.operators import keyed as U
 from tarn.operators import sessions as S
+from tarn.operators import skew
 from tarn.operators import usage as R
 from tarn.plans.queries import QUERIES
 from tarn.sources import inventory as SI
@@ -91,3 +93,63 @@ def test_sessions_of_a_hot_user_are_bounded_by_time(spark):
     )
     got = S.idle_gaps(beats)
     assert got.count() == 1 and got.first()["beats"] == 1_000_000
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Join sizes as on a cluster, where nothing here fits a broadcast."""
+    settings = {
+        "spark.sql.shuffle.partitions": "40",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_application_is_split_over_tasks(no_broadcast):
+    spark = no_broadcast
+    ids = spark.range(0, 200_000, 1, 8)
+    hot = F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 5000)
+    jobs = ids.select(
+        hot.cast("bigint").alias("app_id"), F.col("id").alias("job_id"), F.lit(4).cast("bigint").alias("num_tasks"),
+        F.lit(1).cast("bigint").alias("completed_raw"), F.sha2(F.col("id").cast("string"), 256).alias("status"),
+    )
+    apps = spark.range(6000).select(F.col("id").alias("app_id"), F.lit("RUNNING").alias("state"))
+    out = A.app_progress(apps, jobs)
+    assert out.count() == 200_000 + 1000
+    out.collect()
+    assert "skew=true" in plan(out)  # hot, but below the rows of a hot key: Spark splits it
+    split = A.app_progress(apps, jobs, max_rows=1000)
+    assert split.exceptAll(out).count() == 0 and split.count() == out.count()
+
+
+def test_hot_object_never_meets_in_one_task(no_broadcast):
+    spark = no_broadcast
+    ids = spark.range(0, 200_000, 1, 8)
+    hot = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.sha2((F.col("id") % 5000).cast("string"), 256))
+    inv = ids.select(F.lit("b").alias("bucket"), hot.alias("key"), F.col("id").alias("size_bytes"))
+    # Grouped by the join key already, so that Spark would not split the join.
+    meta = inv.where("size_bytes % 2 = 0").groupBy("bucket", "key").agg(F.lit("ana").alias("uploader"))
+    out = I.attach_uploader(inv, meta, max_rows=1000)
+    task_rows = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert task_rows < 200_000 / 4
+    plain = inv.join(meta, ["bucket", "key"], "left").withColumn("uploader", F.coalesce("uploader", F.lit("Desconhecido")))
+    assert out.exceptAll(plain.select(*out.columns)).count() == 0 and out.count() == 200_000
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("max_rows", [0, 3, 1000])
+def test_join_unique_equals_a_plain_join(spark, how, max_rows):
+    facts = spark.range(200).select(F.when(F.col("id") < 90, 0).otherwise(F.col("id") % 50).alias("k"), "id")
+    details = spark.range(0, 40, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("d"))
+    got = skew.join_unique(facts, details, ["k"], how, max_rows)
+    want = facts.join(details, "k", how)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

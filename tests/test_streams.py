@@ -1,9 +1,12 @@
+import subprocess
+import sys
 from datetime import datetime, timedelta
 from random import Random
 
 import pandas as pd
 import pytest
 from conftest import rows
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tarn.operators import sessions as S
@@ -92,6 +95,13 @@ def test_cut_block_keeps_newest_and_shutdowns():
     assert sorted(cut["point_id"]) == [0, 1, 4, 6]
 
 
+def test_processor_needs_no_package_on_the_executors():
+    data = cloudpickle.dumps((history.KeepNewest(3), history.cut_block))
+    code = f"import pickle; p, f = pickle.loads({data!r}); print(p.n, f.__name__)"
+    done = subprocess.run([sys.executable, "-I", "-c", code], cwd="/", capture_output=True, text=True)
+    assert done.stdout.split() == ["3", "cut_block"], done.stderr
+
+
 def test_replayed_batch_adds_nothing(spark, tmp_path):
     batches = [[("a", 1)], [("a", 2)], [("b", 1)]]
     folder, table = str(tmp_path / "in"), str(tmp_path / "table")
