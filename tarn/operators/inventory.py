@@ -122,12 +122,23 @@ def visible_by_bucket(inv: DataFrame) -> DataFrame:
 
 
 def object_details(inv: DataFrame) -> DataFrame:
-    """Details of each object as texts; the marker objects have fixed details."""
+    """Details of each object as texts; the marker objects have fixed details.
+
+    The preview is NULL where rows or lines of the object have to be sampled.
+    """
     info = X.is_info("key")
+    link = F.concat(F.lit(K.INTERNAL_STORE_URL + "/"), F.col("bucket"), F.lit("/"), F.col("key"))
+    kind = X.preview_type("key")
+    preview = (
+        F.when(kind == "info", K.INFO_TEXT)
+        .when(kind == "image", T.rewrite_host(link))
+        .when(kind == "unknown", K.NO_PREVIEW_TEXT)
+    )
     out = {
         "size": F.when(info, K.INFO_SIZE).otherwise(T.format_size("size_bytes")),
         "uploader": F.when(info, K.INFO_UPLOADER).otherwise(T.default_uploader("uploader")),
-        "type": X.preview_type("key"),
+        "type": kind,
+        "preview_content": preview,
     }
     if "last_modified" in inv.columns:
         out["last_modified"] = F.when(info, K.INFO_MODIFIED).otherwise(T.format_ts("last_modified"))

@@ -158,7 +158,9 @@ ORACLE: dict[str, str] = {
         sql=f"SELECT obj_id, bucket, key AS filename, "
             f"CASE WHEN ends_with(key, '_SUCCESS') THEN '0 B' ELSE {_size('size_bytes')} END AS size, "
             f"CASE WHEN ends_with(key, '_SUCCESS') THEN 'Apache Spark' ELSE coalesce(uploader, 'Desconhecido') END AS uploader, "
-            f"{TYPE} AS type FROM object_inventory",
+            f"{TYPE} AS type, CASE {TYPE} WHEN 'info' THEN 'Metadado do Apache Spark.' "
+            f"WHEN 'image' THEN 'http://localhost:9000/' || bucket || '/' || key "
+            f"WHEN 'unknown' THEN 'Pré-visualização não disponível.' END AS preview_content FROM object_inventory",
     ),
     "image_objects": _over(
         "object_inventory",
@@ -345,9 +347,11 @@ ORACLE: dict[str, str] = {
         "object_inventory", extra=LATEST,
         sql="SELECT obj_id, bucket, key, size_bytes, 'portal' AS uploader FROM latest",
     ),
+    "stream_present": """WITH last AS (SELECT 'user-' || CAST(user_id AS VARCHAR) AS usuario, ts AS last_seen, event_type FROM events
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type = 'error' DESC) = 1)
+        SELECT usuario, last_seen FROM last WHERE event_type <> 'error'""",
     "stream_app_status": _over(
         "apps",
-        sql="SELECT user_id, start_ts, app_id, state, duration_ms FROM apps "
-            "QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY start_ts DESC, app_id DESC) = 1",
+        sql="SELECT 'app-' || CAST(app_id AS VARCHAR) AS id, state = 'RUNNING' AS active, state, duration_ms AS duration FROM apps",
     ),
 }

@@ -261,23 +261,30 @@ def driver_apps(spark, sf):
     return SP.first_driver_app(payloads)
 
 
-def cluster_snapshot(spark, sf):
-    """Applications written as poll payloads and read back, active and completed."""
-    path = work_dir(spark, "snapshots")
-    app = F.struct(
+def _app(state):
+    return F.struct(
         F.concat(F.lit("app-"), F.col("app_id").cast("string")).alias("id"),
         "name",
         F.col("user_id").cast("string").alias("user"),
         F.col("duration_ms").alias("duration"),
-        "state",
+        state.alias("state"),
     )
-    active = F.col("state") == "RUNNING"
-    # One application to a payload; the arrays that do not apply are absent.
-    view(spark, sf, "apps").select(
-        F.col("app_id").alias("snapshot_id"),
-        F.when(active, F.array(app)).alias("activeapps"),
-        F.when(~active, F.array(app)).alias("completedapps"),
-    ).write.json(path)
+
+
+def _poll(snapshot, state):
+    """One application as a poll payload; the array that does not apply is absent."""
+    active = state == "RUNNING"
+    return F.struct(
+        snapshot.cast("bigint").alias("snapshot_id"),
+        F.when(active, F.array(_app(state))).alias("activeapps"),
+        F.when(~active, F.array(_app(state))).alias("completedapps"),
+    )
+
+
+def cluster_snapshot(spark, sf):
+    """Applications written as poll payloads and read back, active and completed."""
+    path = work_dir(spark, "snapshots")
+    view(spark, sf, "apps").select(_poll(F.col("app_id"), F.col("state")).alias("p")).select("p.*").write.json(path)
     _, active_rows, completed = SP.read_cluster_snapshots(spark, path)
     columns = ["snapshot_id", "id", "name", "user", "duration"]
     return active_rows.select(*columns, F.lit("RUNNING").alias("state")).unionByName(
@@ -491,13 +498,29 @@ def stream_landing(spark, sf):
     return SL.read_latest(spark, f"{out}/table", OBJECT, ["obj_id"])
 
 
+def stream_present(spark, sf):
+    """Users not shut down since their last heartbeat; an error event stands for a shutdown."""
+    prepare(spark)
+    out = work_dir(spark, "present")
+    events = sinks.read_files(spark, f"{sf.rstrip('/')}/events.parque[t]")
+    beats = events.select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("usuario"), "ts",
+        (F.col("event_type") == "error").alias("gone"),
+    )
+    sinks.finish(sinks.land_latest(live.last_seen(beats), f"{out}/rows", f"{out}/checkpoint", ["usuario"], ["last_seen"]))
+    users = live.present(SL.read_latest(spark, f"{out}/rows", ["usuario"], ["last_seen"]))
+    return users.withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+
+
 def stream_app_status(spark, sf):
-    """Latest poll of each user's applications, by a stream of poll rows."""
+    """Two polls of every application by a stream: first running, then as it is."""
     out = work_dir(spark, "apps")
-    polls = _stream(spark, sf, "apps", "orders").select("user_id", "start_ts", "app_id", "state", "duration_ms")
-    key, order = ["user_id"], ["start_ts", "app_id"]
-    sinks.finish(sinks.land_latest(polls, f"{out}/table", f"{out}/checkpoint", key, order, mode="append"))
-    return SL.read_latest(spark, f"{out}/table", key, order)
+    polls = F.array(_poll(F.lit(0), F.lit("RUNNING")), _poll(F.lit(1), F.col("state")))
+    view(spark, sf, "apps").select(F.explode(polls).alias("p")).select("p.*").write.json(f"{out}/drop")
+    seen = live.app_status(sinks.read_files(spark, f"{out}/drop", "json", SP.SNAPSHOT_SCHEMA))
+    key, order = ["id"], ["snapshot_id"]
+    sinks.finish(sinks.land_latest(seen, f"{out}/table", f"{out}/checkpoint", key, order, mode="append"))
+    return SL.read_latest(spark, f"{out}/table", key, order).select("id", "active", "state", "duration")
 
 
 QUERIES: dict[str, Query] = {
@@ -514,6 +537,6 @@ QUERIES: dict[str, Query] = {
         user_names, event_props,
         registry_upsert, registry_merge, registry_delete, registry_cancel, silver_events, gold_daily,
         preview_csv, preview_parquet, preview_text, text_file_previews, listed_objects, indexed_objects,
-        stream_idle, stream_metrics, stream_last_seen, stream_history, stream_landing, stream_app_status,
+        stream_idle, stream_metrics, stream_last_seen, stream_present, stream_history, stream_landing, stream_app_status,
     )
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators.usage import latest_per_role, metrics_of_roles
+from ..sources.payloads import snapshot_apps
 
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -56,5 +57,10 @@ def last_seen(heartbeats: DataFrame) -> DataFrame:
     )
 
 
+def app_status(snapshots: DataFrame) -> DataFrame:
+    """Applications of every poll; landed by ``id``, each poll replaces the one before."""
+    return snapshot_apps(snapshots)
+
+
 def present(users: DataFrame) -> DataFrame:
     return users.where(~F.col("gone")).drop("gone")
