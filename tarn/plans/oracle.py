@@ -314,6 +314,12 @@ ORACLE: dict[str, str] = {
     "silver_events": f"WITH {SILVER} SELECT event_id, ts, user_id, event_type, CAST(value AS DOUBLE) AS value, uploader FROM silver",
     "gold_daily": f"WITH {SILVER} SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS events, "
                   "CAST(sum(value) AS DOUBLE) AS total FROM silver GROUP BY 1, 2",
+    "text_file_previews": "SELECT 'text' AS type, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS total_bytes, "
+                          "CAST(10 AS BIGINT) AS most_lines FROM documents",
+    "landed_table": _over(
+        "object_inventory", extra=LATEST,
+        sql="SELECT obj_id, bucket, key, size_bytes, CASE WHEN uploader IS NULL THEN 'ana' ELSE 'bo' END AS uploader FROM latest",
+    ),
     "listed_objects": _over(
         "object_inventory",
         sql="SELECT DISTINCT 'bronze' AS bucket, 'catalog' AS folder, 'bucket=' || bucket AS dataset, "

@@ -354,6 +354,17 @@ def registry_delete(spark, sf):
     return U.delete_keys(registry, doomed, OBJECT)
 
 
+def landed_table(spark, sf):
+    """Two uploads landed one after the other, the second one twice, then compacted."""
+    table, compacted = work_dir(spark, "table"), work_dir(spark, "compacted")
+    older, newer = (part.drop("uploader") for part in _old_and_new(spark, sf))
+    SL.land_objects(older, table, "ana", OBJECT, ["obj_id"], 0)
+    for _ in range(2):
+        SL.land_objects(newer, table, "bo", OBJECT, ["obj_id"], 1)
+    SL.compact(spark, table, compacted, OBJECT, ["obj_id"])
+    return SL.read_latest(spark, compacted, OBJECT, ["obj_id"])
+
+
 def registry_cancel(spark, sf):
     """How many keys remained, were removed, or were not found."""
     _, registry = _old_and_new(spark, sf)
@@ -416,11 +427,17 @@ def preview_text(spark, sf):
 
 
 def text_file_previews(spark, sf):
-    """Every document text written as lines, one folder per language, and previewed."""
+    """Every document text written as lines, one folder per language, and previewed.
+
+    How many files Spark writes is open, so the previews are summed up.
+    """
     root = work_dir(spark, "lake")
     load(spark, sf, "documents").select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(root)
     previews = SS.text_previews(spark, root)
-    return previews.select("type", "size_bytes", F.length("preview_content").alias("preview_chars"))
+    lines = F.size(F.split("preview_content", "\n"))
+    return previews.groupBy("type").agg(
+        F.sum("size_bytes").alias("total_bytes"), F.max(lines).cast("bigint").alias("most_lines")
+    )
 
 
 def listed_objects(spark, sf):
@@ -441,11 +458,13 @@ def indexed_objects(spark, sf):
 
 # --- streams ---------------------------------------------------------------
 
-def _stream(spark, sf, name, table):
-    prepare(spark)
+def _table_stream(spark, sf, table):
     # A file stream takes a folder or a pattern; the pattern fits a table that is one file too.
-    source = sinks.read_files(spark, f"{sf.rstrip('/')}/{table}.parque[t]")
-    return reshape(spark, source, name)
+    return sinks.read_files(prepare(spark), f"{sf.rstrip('/')}/{table}.parque[t]")
+
+
+def _stream(spark, sf, name, table):
+    return reshape(spark, _table_stream(spark, sf, table), name)
 
 
 def stream_idle(spark, sf):
@@ -500,10 +519,8 @@ def stream_landing(spark, sf):
 
 def stream_present(spark, sf):
     """Users not shut down since their last heartbeat; an error event stands for a shutdown."""
-    prepare(spark)
     out = work_dir(spark, "present")
-    events = sinks.read_files(spark, f"{sf.rstrip('/')}/events.parque[t]")
-    beats = events.select(
+    beats = _table_stream(spark, sf, "events").select(
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("usuario"), "ts",
         (F.col("event_type") == "error").alias("gone"),
     )
@@ -535,7 +552,7 @@ QUERIES: dict[str, Query] = {
         app_states, recent_completed, app_durations, job_progress, app_progress, app_totals,
         driver_links, schedule_list, driver_apps, cluster_snapshot, app_job_payloads,
         user_names, event_props,
-        registry_upsert, registry_merge, registry_delete, registry_cancel, silver_events, gold_daily,
+        registry_upsert, registry_merge, registry_delete, registry_cancel, landed_table, silver_events, gold_daily,
         preview_csv, preview_parquet, preview_text, text_file_previews, listed_objects, indexed_objects,
         stream_idle, stream_metrics, stream_last_seen, stream_present, stream_history, stream_landing, stream_app_status,
     )

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import prepare
+
 # view name -> (given table, SQL with {t} for that table)
 VIEWS: dict[str, tuple[str, str]] = {
     "object_inventory": (
@@ -80,7 +82,7 @@ VIEWS: dict[str, tuple[str, str]] = {
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
