@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import fnmatch
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,6 +146,22 @@ def object_details(inv: DataFrame) -> DataFrame:
     return inv.select(*base, "bucket", F.col("key").alias("filename"), *[c.alias(n) for n, c in out.items()])
 
 
+def glob_regex(pattern: str) -> str:
+    """Regular expression for a shell pattern with ``*``, ``?`` and ``[...]``."""
+    parts = []
+    for star, mark, negated, members, other in re.findall(r"(\*+)|(\?)|\[([!^]?)(\]?[^]]+)\]|(.)", pattern, re.S):
+        if star:
+            parts.append("[^/]*")
+        elif mark:
+            parts.append("[^/]")
+        elif members:
+            escaped = re.sub(r"([\\\[\]&^])", r"\\\1", members)
+            parts.append(f"[{'^' if negated else ''}{escaped}]")
+        else:
+            parts.append(re.escape(other))
+    return "".join(parts)
+
+
 def match_objects(inv: DataFrame, pattern: str, prefix: str = "") -> DataFrame:
     """Objects directly below ``prefix`` whose file name matches a shell pattern.
 
@@ -160,9 +176,7 @@ def match_objects(inv: DataFrame, pattern: str, prefix: str = "") -> DataFrame:
     if pattern[:1] == "*" and not any(c in ending for c in "*?["):
         found = found.where(key.endswith(ending))
     else:
-        # Java needs no end anchor of its own kind; translate() gives (?s:...)\Z
-        body = fnmatch.translate(pattern).removeprefix("(?s:").removesuffix(r")\Z").removesuffix(r")\z")
-        found = found.where(name.rlike(f"(?s)^{body}$"))
+        found = found.where(name.rlike(f"^{glob_regex(pattern)}$"))
     found = found.where(~name.contains("/"))
     if not pattern.startswith("."):
         found = found.where(~name.startswith("."))

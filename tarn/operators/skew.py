@@ -20,7 +20,8 @@ def hot_keys(df: DataFrame, keys: list[str], max_rows: int = TASK_ROWS) -> DataF
     in the usual one; no rows are left out.
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    largest = counts.where(F.col("_rows") > max_rows).orderBy(F.desc("_rows")).limit(MOST_HOT_KEYS)
+    # The keys settle ties, so that each use of the result holds the same keys.
+    largest = counts.where(F.col("_rows") > max_rows).orderBy(F.desc("_rows"), *keys).limit(MOST_HOT_KEYS)
     return largest.select(*keys, F.lit(True).alias("_hot"))
 
 

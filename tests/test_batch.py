@@ -1,3 +1,4 @@
+import fnmatch
 from datetime import datetime, timedelta
 from random import Random
 
@@ -70,6 +71,16 @@ def test_match_objects(inv, pattern, prefix, names):
     assert [n for (n,) in rows(I.match_objects(inv, pattern, prefix), "name")] == names
 
 
+def test_glob_regex_agrees_with_the_shell(spark):
+    patterns = ["*.py", "a?c", "[a-c]*", "[!a]x", "a.b", "*a*b", "[]x]", "(a|b)", "a+", "[&^]", "**"]
+    names = ["a.py", "abc", "axb", "bx", "a.b", "aXb", "]", "x", "(a|b)", "a+", "aa", "&", "^", "cab", ""]
+    data = spark.createDataFrame([(n,) for n in names], "n string")
+    got = data.select("n", *[F.col("n").rlike(f"^{I.glob_regex(p)}$").alias(str(i)) for i, p in enumerate(patterns)])
+    for row in got.collect():
+        for i, p in enumerate(patterns):
+            assert row[str(i)] == fnmatch.fnmatchcase(row["n"], p), (row["n"], p)
+
+
 def test_object_details(inv):
     got = {r["filename"]: r for r in I.object_details(inv).collect()}
     info = got["only/_SUCCESS"]
@@ -187,6 +198,7 @@ def test_counter_delta_is_the_same_with_and_without_cells(spark, max_rows):
 def test_hot_keys(spark):
     data = spark.createDataFrame([("a",)] * 9 + [("b",)] * 2, "k string")
     assert rows(skew.hot_keys(data, ["k"], 5)) == [("a", True)]
+    assert rows(skew.hot_keys(data, ["k"], 9)) == []
     assert skew.mark_hot(data, ["k"], 5).count() == 11
 
 
