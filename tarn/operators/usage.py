@@ -108,6 +108,7 @@ def counter_delta(
     is cut into time cells that are ordered separately.  The last row of each
     cell is copied to the front of the series' next cell, where it serves the
     first row as previous value and is then dropped, so the result is the same.
+    ``order`` has to begin with ``ts``.
     """
     marked = mark_hot(samples, series, max_rows)
     place = F.date_trunc(cell, ts)
