@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -77,3 +78,16 @@ def text_sizes(column: pa.Array) -> np.ndarray:
 def texts_of(column: pa.Array) -> list[bytes]:
     """The texts as UTF-8 bytes; a null becomes an empty text."""
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
+
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_runs(text: bytes, size: int = 4 << 20) -> Iterator[list[bytes]]:
+    """The words between ASCII blanks, in runs of about ``size`` bytes that end at a blank."""
+    at = 0
+    while at < len(text):
+        cut = _BLANK.search(text, at + size) if at + size < len(text) else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end].split()
+        at = end

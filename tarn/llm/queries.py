@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality, tokens
+from . import chat, decontaminate, lines, mixing, pii, quality, simhash, substrings, tokens, urls
 from .common import table
 
 
@@ -16,19 +16,52 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.find_phrases(docs, table(spark, sf_dir, "benchmark")))
 
 
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the text of the document whose number ends its path; that document's labels are the page's."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    _, path = urls.split_url(F.col("url"))
+    number = F.regexp_extract(path, r"([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
+    shown = pages.select("page_id", F.when(number != "", number).cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(
+        F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
+    return urls.judged(pages, shown.join(labels.hint("rebalance"), "doc_id"), URL_RULES)
+
+
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mixture(table(spark, sf_dir, "documents")))
 
 
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 CONTROL_CASE = "\\### Assistant: </turn> ok"
 
 
@@ -46,7 +79,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_decontaminate, op5_compression_bands, op7_mix_sources, op9_chat_format, op10_token_counts)
+    for f in (
+        op1_repeated_strings, op2_personal_data, op3_decontaminate, op4_url_templates, op5_compression_bands, op6_simhash, op7_mix_sources, op8_line_runs,
+        op9_chat_format, op10_token_counts)
 }
 
 ORACLE: dict[str, str] = {}
