@@ -18,8 +18,8 @@ from .common import sliced
 # depend on the length: a short text has little to refer back to, a long one always finds some.
 # Real prose in any language and script lies well inside; repeated text falls below, and encoded,
 # encrypted or random text rises above.
-WHOLE_BANDS = ((0, 0.0, 4.0), (256, 0.15, 0.95), (1024, 0.20, 0.85), (4096, 0.18, 0.75), (65536, 0.10, 0.72))
-CHUNK_BANDS = ((0, 0.0, 4.0), (512, 0.15, 0.90), (2048, 0.18, 0.78))
+WHOLE_BANDS = ((0, 0.0, 4.0), (256, 0.15, 0.90), (1024, 0.20, 0.78), (4096, 0.18, 0.66), (65536, 0.10, 0.64))
+CHUNK_BANDS = ((0, 0.0, 4.0), (512, 0.15, 0.85), (2048, 0.18, 0.68))
 CHUNK_BYTES = 4096
 BAD_CHUNK_SHARE = 0.5
 LEVEL = 3
