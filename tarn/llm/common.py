@@ -91,3 +91,14 @@ def word_runs(text: bytes, size: int = 4 << 20) -> Iterator[list[bytes]]:
         end = cut.start() if cut else len(text)
         yield text[at:end].split()
         at = end
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that ``df`` does not have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

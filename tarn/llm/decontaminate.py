@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import landed, sliced, texts_of
+from .common import free_names, landed, sliced, texts_of
 
 WINDOW = 10
 SLOP = 5
@@ -164,6 +164,7 @@ def find_phrases(
     result = StructType.fromDDL(FOUND)
     kept = [f for f in docs.schema.fields if f.name != text and f.name not in result.names]
     names = [f.name for f in kept]
+    body = free_names(docs, "_text")[0]
     spark = docs.sparkSession.sparkContext
     wanted = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text"))
     size = wanted.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
@@ -171,20 +172,20 @@ def find_phrases(
     cut = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts))
     parts = [wanted if n_parts == 1 else wanted.where(cut == p) for p in range(n_parts)]
 
-    current = docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").alias("__text"))
+    current = docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").alias(body))
     for number, part in enumerate(parts):
         items = [(r[0], (r[1] or "").encode()) for r in part.collect()]  # one part: about part_bytes
         asked = queries_of(items, window)
         queries = spark.broadcast((asked.terms, asked.windows, asked.items))  # plain values: executors lack this package
         last = number == n_parts - 1
-        out = StructType(kept + result.fields + ([] if last and not keep_text else [StructType.fromDDL("__text string").fields[0]]))
+        out = StructType(kept + result.fields + ([] if last and not keep_text else [StructField(body, StringType())]))
 
         def run(batches: Iterator[pa.RecordBatch], queries=queries, out=out, number=number) -> Iterator[pa.RecordBatch]:
             spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             asked = Queries(*queries.value)
-            for batch in sliced(batches, "__text", BLOCK_BYTES):
+            for batch in sliced(batches, body, BLOCK_BYTES):
                 column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-                texts = texts_of(column["__text"])
+                texts = texts_of(column[body])
                 n_words, spans, items, close = block_rows(texts, asked, window, slop)
                 if number:
                     old = zip(column["hit_spans"].to_pylist(), column["item_ids"].to_pylist(), column["near_item_ids"].to_pylist())
@@ -203,7 +204,7 @@ def find_phrases(
         current = current.mapInArrow(run, out)
         if not last:
             current = landed(current, "phrases")
-    return current.withColumnRenamed("__text", text) if keep_text else current
+    return current.withColumnRenamed(body, text) if keep_text else current
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import landed
+from .common import free_names, landed
 
 MIN_WORDS = 20
 WORD = r"[^\x20\x09-\x0D]"
@@ -158,27 +158,27 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     worded lines outside and lines without words stay.  Rows equal in id and text are one document and lose the
     same lines.  A null text stays null, without lines; an empty table gives no rows.
     """
-    hidden = docs.withColumnRenamed(text, "__text")
-    plain = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    runs = repeated_runs(plain, min_words).groupBy(*DOC).agg(F.collect_set(F.struct("seq", "n")).alias("__runs"))
-    known = hidden.withColumn("__h1", F.xxhash64("__text")).withColumn("__h2", F.hash("__text", F.length("__text")))
-    gone = runs.select(F.col("doc").alias("__doc"), F.col("h1").alias("__g1"), F.col("h2").alias("__g2"), "__runs").hint("rebalance")
-    joined = known.join(
-        gone, known[doc_id].eqNullSafe(gone["__doc"]) & (known["__h1"] == gone["__g1"]) & (known["__h2"] == gone["__g2"]), "left")
+    plain = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
+    its, g1, g2, h1, h2, d = free_names(docs, "_runs", "_g1", "_g2", "_h1", "_h2", "_doc")
+    runs = repeated_runs(plain, min_words).groupBy(*DOC).agg(F.collect_set(F.struct("seq", "n")).alias(its))
+    body = F.col(f"`{text}`")
+    known = docs.withColumn(h1, F.xxhash64(body)).withColumn(h2, F.hash(body, F.length(body)))
+    gone = runs.select(F.col("doc").alias(d), F.col("h1").alias(g1), F.col("h2").alias(g2), its).hint("rebalance")
+    same = known[f"`{doc_id}`"].eqNullSafe(gone[d]) & (known[h1] == gone[g1]) & (known[h2] == gone[g2])
     kept = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_removed")]
     out = StructType(kept + StructType.fromDDL("n_lines long, n_removed long").fields)
+    joined = known.join(gone, same, "left").select(*[known[f"`{f.name}`"] for f in kept], its)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
-            cut = [cleaned(t, r) for t, r in zip(texts, batch.column(batch.schema.get_field_index("__runs")).to_pylist())]
-            made = {text: pa.array([c[0] for c in cut], pa.string()), "n_lines": pa.array([c[1] for c in cut], pa.int64()),
-                    "n_removed": pa.array([c[2] for c in cut], pa.int64())}
-            yield pa.RecordBatch.from_arrays(
-                [made[n] if n in made else batch.column(batch.schema.get_field_index(n)) for n in out.names], out.names)
-
-    sent = joined.select("__text", "__runs", *[f"`{f.name}`" for f in kept if f.name != text])
-    return sent.mapInArrow(run, out)
+            column = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            cut = [cleaned(t, r) for t, r in zip(column[text].to_pylist(), column[its].to_pylist())]
+            column[text] = pa.array([c[0] for c in cut], pa.string())
+            column["n_lines"] = pa.array([c[1] for c in cut], pa.int64())
+            column["n_removed"] = pa.array([c[2] for c in cut], pa.int64())
+            yield pa.RecordBatch.from_arrays([column[n] for n in out.names], out.names)
+
+    return joined.mapInArrow(run, out)
 
 
 def cleaned(text: str | None, runs: list[dict] | None) -> tuple[str | None, int, int]:

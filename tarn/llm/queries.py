@@ -27,7 +27,7 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.digest(decontaminate.find_phrases(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.digest(decontaminate.find_phrases(docs, table(spark, sf_dir, "benchmark"))).drop("n_near_items")
 
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -70,7 +70,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     case = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_CASE).alias("text"))
-    return chat.digests(chat.format_turns(turns.unionByName(case), vocabulary()), vocabulary())
+    pieces = chat.format_turns(turns.unionByName(case), vocabulary())
+    return chat.digests(pieces, vocabulary()).drop("n_tokens", "n_loss_tokens")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +85,45 @@ QUERIES = {
         op9_chat_format, op10_token_counts)
 }
 
-ORACLE: dict[str, str] = {}
+PHRASES_SQL = r"""
+WITH words AS (
+    SELECT doc_id, text, row_number() OVER () AS row,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+asked AS (
+    SELECT item_id::VARCHAR AS item_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark),
+windows AS (
+    SELECT DISTINCT item_id, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS win, least(len(w), 10) AS n
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM asked WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+hits AS (
+    SELECT d.row, d.k, d.n, x.item_id
+    FROM (SELECT row, n, k, array_to_string(w[k:k + n - 1], ' ') AS win
+          FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM words, sizes WHERE len(w) >= n)) d
+    JOIN windows x ON x.win = d.win AND x.n = d.n),
+covered AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(k, k + n)) AS p FROM hits) GROUP BY row),
+found AS (SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT row, item_id FROM hits) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered USING (row) LEFT JOIN found USING (row)
+"""
+
+CHAT_SQL = rf"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '{CONTROL_CASE}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_CASE}')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum({len(chat.TURN + chat.SAYS + chat.END)} + length(role) + length(text) + len(regexp_extract_all(role, '{chat.CONTROL}'))
+           + len(regexp_extract_all(text, '{chat.CONTROL}')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+ORACLE: dict[str, str] = {"op3_decontaminate": PHRASES_SQL, "op9_chat_format": CHAT_SQL}

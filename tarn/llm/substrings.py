@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import landed, sliced
+from .common import free_names, landed, sliced
 
 LENGTH = 200
 # Strings that may be equal share the k-gram of least hash in them.
@@ -361,22 +361,24 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     schema = StructType([docs.schema[n] for n in names] + result.fields)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.xxhash64(body).alias("h"), body.alias("text"))
+    of_doc, of_hash, of_text, own_hash, its = free_names(docs, "_doc", "_h", "_text", "_hash", "_ranges")
     ranges = repeated_ranges(plain, length, screen).groupBy("doc", "h").agg(
-        F.collect_list(F.struct("first", "n")).alias("__ranges")).select(
-        F.col("doc").alias("__doc"), F.col("h").alias("__h"), "__ranges").hint("rebalance")
-    whole = docs.select(*[F.col(f"`{n}`") for n in names], body.alias("__text"), F.xxhash64(body).alias("__hash"))
-    joined = whole.join(ranges, whole[doc_id].eqNullSafe(ranges["__doc"]) & (whole["__hash"] == ranges["__h"]), "left")
+        F.collect_list(F.struct("first", "n")).alias(its)).select(
+        F.col("doc").alias(of_doc), F.col("h").alias(of_hash), its).hint("rebalance")
+    whole = docs.select(*[F.col(f"`{n}`") for n in names], body.alias(of_text), F.xxhash64(body).alias(own_hash))
+    same = whole[f"`{doc_id}`"].eqNullSafe(ranges[of_doc]) & (whole[own_hash] == ranges[of_hash])
+    joined = whole.join(ranges, same, "left").select(*[whole[f"`{n}`"] for n in names], of_text, its)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "__text"):
+        for batch in sliced(batches, of_text):
             column = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            texts = column["__text"].cast(pa.large_binary()).to_pylist()
-            rows = [kept(t, r, length) for t, r in zip(texts, column["__ranges"].to_pylist())]
+            texts = column[of_text].cast(pa.large_binary()).to_pylist()
+            rows = [kept(t, r, length) for t, r in zip(texts, column[its].to_pylist())]
             columns = list(zip(*rows))
             made = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([column[n] for n in names] + made, schema.names)
 
-    return joined.select(*[F.col(f"`{n}`") for n in names], "__text", "__ranges").mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)
 
 
 def kept(text: bytes, ranges: list[dict] | None, length: int) -> tuple[bytes, int, int, int]:

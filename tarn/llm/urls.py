@@ -6,7 +6,7 @@ import string
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import landed
@@ -18,9 +18,9 @@ ANY = "*"
 class Tree:
     """Parameters of the template tree.
 
-    A segment stays a branch of its own while it holds ``min_share`` of its parent's pages and at least
-    ``min_pages`` of them, and while the bad share of its labelled pages differs from that of its siblings by more
-    than ``z`` standard errors, on at least ``min_labels`` labelled pages.  All other segments become one wildcard.
+    A segment is a branch if it holds ``min_share`` of its parent's pages, at least ``min_pages`` of them, and
+    ``min_labels`` labelled ones; all other segments become a wildcard.  Branches whose bad shares are within ``z``
+    standard errors of each other are merged.
     Segments from ``depth`` on are one segment.  ``prior`` is how many pages the parent's rate counts for.
     A template is blocked where its smoothed purity, the share of good pages, is below ``min_purity``.
     """
@@ -68,12 +68,30 @@ def rate(bad: Column, labelled: Column, before: Column, prior: float) -> Column:
     return (bad + before * prior) / (labelled + prior)
 
 
+def merged(children: DataFrame, z: float) -> DataFrame:
+    """``branch`` of each child: its own segment, or all those it is merged with.
+
+    The children of a parent, a bounded number, stand in order of their bad share; neighbours that do not
+    differ by more than ``z`` standard errors are one branch.
+    """
+    siblings = Window.partitionBy("host", "template").orderBy(F.col("bad") / F.col("labelled"), "segment")
+    last_bad, last_labelled = F.lag("bad").over(siblings), F.lag("labelled").over(siblings)
+    pooled = (F.col("bad") + last_bad) / (F.col("labelled") + last_labelled)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / last_labelled))
+    apart = last_bad.isNull() | (F.col("bad") / F.col("labelled") - last_bad / last_labelled > z * error)
+    numbered = children.withColumn("apart", apart.cast("int")).withColumn(
+        "group", F.sum("apart").over(siblings.rowsBetween(Window.unboundedPreceding, 0)))
+    names = F.sort_array(F.collect_list("segment").over(Window.partitionBy("host", "template", "group")))
+    branch = F.when(F.size("names") == 1, F.col("segment")).otherwise(F.concat(F.lit("("), F.array_join("names", "|"), F.lit(")")))
+    return numbered.withColumn("names", names).select("host", "template", "segment", branch.alias("branch"))
+
+
 def with_templates(pages: DataFrame, tree: Tree) -> DataFrame:
     """``pages`` (page_id, host, path, bad ...) with ``template``, grown one level at a time.
 
     Each level counts the children of every template so far, which pre-aggregates the pages of a
-    hot host in every task, and keeps as literals only the few that the parameters allow.  Pages are joined to
-    literals alone; every other page takes the wildcard with its segment's form.
+    hot host in every task, and keeps as branches only the few that the parameters allow.  Pages are joined to
+    branches alone; every other page takes the wildcard with its segment's form.
     """
     whole = F.filter(F.split("path", "/"), lambda s: s != "")
     cut = F.when(F.size(whole) <= tree.depth, whole).otherwise(F.concat(
@@ -86,21 +104,15 @@ def with_templates(pages: DataFrame, tree: Tree) -> DataFrame:
         children = here.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(
             F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
         children = landed(children, "children")
-        parents = children.groupBy("host", "template").agg(
-            F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+        parents = children.groupBy("host", "template").agg(F.sum("n").alias("all_n"))
         both = children.join(parents.hint("rebalance"), ["host", "template"])
-        others, others_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
-        pooled = F.col("all_bad") / F.col("all_labelled")
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / others))
-        apart = F.abs(F.col("bad") / F.col("labelled") - others_bad / others) > tree.z * error
-        enough = (F.col("labelled") >= tree.min_labels) & (others >= tree.min_labels)
-        frequent = (F.col("n") >= tree.min_pages) & (F.col("n") >= tree.min_share * F.col("all_n"))
-        literals = both.where(frequent & enough & apart).select("host", "template", "segment", F.lit(True).alias("literal"))
-        joined = here.join(literals.hint("rebalance"), ["host", "template", "segment"], "left")
-        wild = F.when(shape(F.col("segment")) == F.col("segment"), ANY).otherwise(shape(F.col("segment")))
-        step = F.when(F.col("literal"), F.col("segment")).otherwise(wild)
+        share = F.col("n") >= tree.min_share * F.col("all_n")
+        branches = merged(both.where(share & (F.col("n") >= tree.min_pages) & (F.col("labelled") >= tree.min_labels)), tree.z)
+        joined = here.join(branches.hint("rebalance"), ["host", "template", "segment"], "left")
+        form = shape(F.col("segment"))
+        step = F.coalesce("branch", F.when(form == F.col("segment"), ANY).otherwise(form))
         grown = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", step))
-        now = landed(joined.withColumn("template", grown).drop("segment", "literal"), "pages")
+        now = landed(joined.withColumn("template", grown).drop("segment", "branch"), "pages")
     return now.drop("segments")
 
 
