@@ -116,17 +116,18 @@ def measure(text: bytes, rules: Bands, packer: zstandard.ZstdCompressor) -> tupl
             base_failed, verdict, kept)
 
 
-def with_quality(docs: DataFrame, text: str = "text", rules: Bands = Bands()) -> DataFrame:
-    """``docs`` without ``text``, plus what was measured and the verdict for every whole text.
+def with_quality(docs: DataFrame, text: str = "text", rules: Bands = Bands(), keep_text: bool = False) -> DataFrame:
+    """``docs``, without ``text`` unless it is kept, plus what was measured and the verdict for every whole text.
 
     Columns of ``docs`` that clash with a result column are replaced.  A null or empty text has no
     words and fails the base rule.  Rows keep their number, repeated rows included; the step is
     one pass without a shuffle, so ties and hot keys do not matter.
     """
     result = StructType.fromDDL(RESULT)
-    kept_fields = [f for f in docs.schema.fields if f.name != text and f.name not in result.names]
+    kept_fields = [f for f in docs.schema.fields if (keep_text or f.name != text) and f.name not in result.names]
     schema = StructType(kept_fields + result.fields)
     names, new = [f.name for f in kept_fields], result.names
+    read = names if keep_text else [*names, text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=rules.level)
@@ -139,4 +140,4 @@ def with_quality(docs: DataFrame, text: str = "text", rules: Bands = Bands()) ->
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(n)) for n in names] + made, names + new)
 
-    return docs.select(*[f"`{n}`" for n in names], f"`{text}`").mapInArrow(run, schema)
+    return docs.select(*[f"`{n}`" for n in read]).mapInArrow(run, schema)

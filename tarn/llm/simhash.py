@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import landed, sliced, texts_of, word_runs
+from .common import free_names, landed, sliced, texts_of, word_runs
 from .components import roots
 
 SHINGLE = 4
@@ -214,21 +214,39 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``fp`` and ``component_id``, the least id it is linked with.
+    """One row per row of ``docs``: ``doc_id``, ``h`` (XXH64 of the text), ``fp``, ``component_id``, the least id it is
+    linked with, and ``root``, which names its component also where ids repeat.
 
     Equal fingerprints are one class, so copies cost one row of the index, however many there are; a text
     that is null, empty or without words has fingerprint zero and is linked like any other.  A null id is
     never the least, unless there is no other.  Repeated rows stay; an empty table gives no rows; other columns are left out.
     """
-    marked = landed(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle), "fingerprints")
+    body = F.col(f"`{text}`")
+    read = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("h"), body.alias("text"))
+    marked = landed(fingerprints(read, "text", shingle), "fingerprints")
     classes = landed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     tree = roots(links(classes.select("fp"), max_bits))
     in_tree = classes.join(tree.withColumnRenamed("u", "fp").withColumnRenamed("v", "root"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
     in_tree = landed(in_tree, "classes")
     least = in_tree.groupBy("root").agg(F.min("least").alias("component_id")).hint("rebalance")
-    named = in_tree.select("fp", "root").join(least, "root").select("fp", "component_id").hint("rebalance")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = in_tree.select("fp", "root").join(least, "root").hint("rebalance")
+    return marked.join(named, "fp").select("doc_id", "h", "fp", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component does: that of the least id, then hash.
+
+    Rows equal in id and text are one document, and one of them stays.
+    """
+    found = near_duplicates(docs, doc_id, text, shingle, max_bits)
+    first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")
+    stay, stay_h, own_h = free_names(docs, "_doc", "_h", "_own")
+    kept = found.groupBy("root").agg(F.min(first).alias("one")).select(
+        F.col("one.doc_id").alias(stay), F.col("one.h").alias(stay_h)).hint("rebalance")
+    hashed = docs.withColumn(own_h, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    same = hashed[f"`{doc_id}`"].eqNullSafe(kept[stay]) & (hashed[own_h] == kept[stay_h])
+    return hashed.join(kept, same, "left_semi").dropDuplicates([doc_id, own_h]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:
