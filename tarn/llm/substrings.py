@@ -260,43 +260,69 @@ def window_hashes(content: bytes, length: int) -> np.ndarray:
     return out
 
 
+def stretches(content: bytes, length: int, flank: int = 64, gram: int = 16) -> np.ndarray:
+    """Where the least k-gram near the front or near the end of the window changes; equal windows agree in both."""
+    near = sliding_least(gram_hashes(np.frombuffer(content, np.uint8), gram), flank - gram + 1)
+    n = len(content) - length + 1
+    front, end = near[:n], near[length - flank:length - flank + n]
+    return np.flatnonzero(np.r_[True, (front[1:] != front[:-1]) | (end[1:] != end[:-1])])
+
+
 def screened(contents: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Pieces of segments without the windows that occur once.
 
     Where very many different segments share a k-gram, nearly all of them differ around a common passage.
-    Windows are counted by hash, pre-aggregated in every task; what is left of each segment is mostly the same few
-    pieces.  Returns the pieces (m, c, first, p) and their contents (m, c = p, copied, content).
+    Segments are cut into stretches of about a dozen windows, at places that depend on the content; those that
+    occur as a whole several times stay.  Of the others the windows are counted one by one, by hash.  What is left of
+    each segment is mostly the same few pieces.  Returns the pieces (m, c, first, p) and their contents (m, c = p, copied,
+    content).
     """
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for m, c, copied, content in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 w = window_hashes(content, length).view(np.int64)
-                for at in range(0, len(w), 100_000):
-                    part = w[at:at + 100_000]
-                    n = len(part)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, m)), pa.array(np.full(n, c)), pa.array(np.arange(at, at + n)), pa.array(part),
-                         pa.array(np.full(n, 1 + copied))], ["m", "c", "at", "w", "times"])
-
-    seen = contents.select("m", "c", "copied", "content").mapInArrow(windows, "m long, c long, at long, w long, times long")
+                # A stretch of a loop may be long; cut anywhere, its windows are still compared one by one.
+                first = np.unique(np.r_[stretches(content, length), np.arange(0, len(w), 4096)])
+                n = np.diff(np.r_[first, len(w)])
+                r = [signed(xxhash.xxh3_64_intdigest(content[a:a + k + length - 1])) for a, k in zip(first.tolist(), n.tolist())]
+                at = pa.array(np.r_[first, len(w)].astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(r), m)), pa.array(np.full(len(r), c)), pa.array(np.full(len(r), 1 + copied)),
+                     pa.array(first), pa.array(r, pa.int64()), pa.ListArray.from_arrays(at, pa.array(w))],
+                    ["m", "c", "times", "first", "r", "w"])
+
+    cut = landed(contents.select("m", "c", "copied", "content").mapInArrow(
+        cut_stretches, "m long, c long, times long, first long, r long, w array<long>"), "stretches")
+    counts = landed(cut.groupBy("m", "r").agg(F.sum("times").alias("all"), F.min("w").alias("w")), "stretches")
+    marked = cut.join(counts.select("m", "r", "all").hint("rebalance"), ["m", "r"])
+    whole = marked.where("all > 1").select("m", "c", "first", F.size("w").cast("long").alias("n"))
+    single = marked.where("all = 1").select("m", "c", "first", F.posexplode("w").alias("at", "w"))
+    single = single.select("m", "c", (F.col("first") + F.col("at")).alias("first"), "w")
+    seen = single.select("m", "w", F.lit(1).alias("times")).union(
+        counts.where("all > 1").select("m", F.explode("w").alias("w"), F.lit(2).alias("times")))
     again = seen.groupBy("m", "w").agg(F.sum("times").alias("times")).where("times > 1").select("m", "w")
-    left = seen.join(again.hint("rebalance"), ["m", "w"]).groupBy("m", "c").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    cut = contents.join(left, ["m", "c"]).select("m", "c", "copied", "content", "at")
+    left = whole.union(single.join(again.hint("rebalance"), ["m", "w"]).select("m", "c", "first", F.lit(1).cast("long").alias("n")))
+    ranges = left.groupBy("m", "c").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("ranges"))
+    asked = contents.join(ranges, ["m", "c"]).select("m", "c", "copied", "content", "ranges")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for m, c, copied, content, at in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                at = np.array(at)
-                for run in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1):
-                    piece = content[int(run[0]):int(run[-1]) + length]
-                    rows.append({"m": m, "c": c, "first": int(run[0]), "p": signed(xxhash.xxh3_64_intdigest(piece)),
-                                 "copied": copied, "content": piece})
+            for m, c, copied, content, found in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                runs: list[list[int]] = []
+                for r in found:
+                    if runs and r["first"] <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], r["first"] + r["n"])
+                    else:
+                        runs.append([r["first"], r["first"] + r["n"]])
+                for a, b in runs:
+                    piece = content[a:b + length - 1]
+                    rows.append({"m": m, "c": c, "first": a, "p": signed(xxhash.xxh3_64_intdigest(piece)), "copied": copied, "content": piece})
             yield pa.RecordBatch.from_pylist(rows, pa.schema(
                 [("m", pa.int64()), ("c", pa.int64()), ("first", pa.int64()), ("p", pa.int64()), ("copied", pa.bool_()), ("content", pa.binary())]))
 
-    all_of_them = landed(cut.mapInArrow(pieces, "m long, c long, first long, p long, copied boolean, content binary"), "pieces")
+    all_of_them = landed(asked.mapInArrow(pieces, "m long, c long, first long, p long, copied boolean, content binary"), "pieces")
     distinct = all_of_them.groupBy("m", F.col("p").alias("c")).agg(
         ((F.count("*") > 1) | F.max("copied")).alias("copied"), F.min("content").alias("content"))
     return all_of_them.select("m", "c", "first", "p"), distinct
