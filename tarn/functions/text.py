@@ -9,12 +9,13 @@ from .rounding import hundredths, text_1
 
 
 def format_size(size_bytes: Column | str) -> Column:
-    """Bytes, or KB, MB or GB with two decimals; whole arithmetic up to 92 PB."""
+    """Bytes, or KB, MB or GB with up to two decimals; whole arithmetic up to 92 PB, never an exponent."""
     b = as_col(size_bytes)
     kb, mb = b < 1024**2, b < 1024**3
     shift = F.when(kb, 10).when(mb, 20).otherwise(30)
     unit = F.when(kb, " KB").when(mb, " MB").otherwise(" GB")
-    number = (hundredths(b, shift) / F.lit(100.0)).cast("string")
+    text = (hundredths(b, shift).cast("decimal(20,0)") / F.lit(100)).cast("decimal(22,2)").cast("string")
+    number = F.regexp_replace(text, r"(\.[0-9])0$", "$1")
     return F.when(b < 1024, F.concat(b.cast("string"), F.lit(" B"))).otherwise(F.concat(number, unit))
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.text import driver_link, format_duration
 from ..functions.usage import app_state_class, job_state_class, or_zero, task_percent, task_total
-from .skew import TASK_ROWS, join_unique
 
 
 def rows_for_state(apps: DataFrame, *states: str) -> DataFrame:
@@ -51,16 +50,17 @@ def jobs_newest_first(jobs: DataFrame, ties: list[str] | None = None) -> DataFra
     return jobs.orderBy("app_id", F.desc("job_id"), *(ties or []))
 
 
-def app_progress(apps: DataFrame, jobs: DataFrame, max_rows: int = TASK_ROWS) -> DataFrame:
+def app_progress(apps: DataFrame, jobs: DataFrame) -> DataFrame:
     """Jobs of every application; one without jobs keeps one row of NULLs.
 
     Written as the jobs joined to their application plus the applications
-    without jobs, so that the jobs of a hot application need not meet in one
-    task, as an outer join of the applications would have them do.
+    without jobs, so that Spark can split the jobs of a hot application, which an
+    outer join of the applications would not allow.  The applications are dealt
+    out evenly first: Spark splits no join whose other side comes grouped by the key.
     """
     progress = with_progress(jobs)
     columns = [c for c in progress.columns if c != "app_id"]
-    matched = join_unique(progress, apps, ["app_id"], "inner", max_rows).select(*apps.columns, *columns)
+    matched = progress.join(apps.hint("rebalance"), "app_id").select(*apps.columns, *columns)
     waiting = apps.join(jobs.select("app_id").distinct(), "app_id", "left_anti")
     types = dict(progress.dtypes)
     nulls = [F.lit(None).cast(types[c]).alias(c) for c in columns]

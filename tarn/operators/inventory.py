@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import keys as X
 from ..functions import text as T
-from .skew import TASK_ROWS, join_unique
 
 
 def visible_objects(inv: DataFrame) -> DataFrame:
@@ -121,17 +120,17 @@ def visible_by_bucket(inv: DataFrame) -> DataFrame:
     )
 
 
-def object_details(inv: DataFrame) -> DataFrame:
+def object_details(inv: DataFrame, public_url: str = K.PUBLIC_STORE_URL) -> DataFrame:
     """Details of each object as texts; the marker objects have fixed details.
 
-    The preview is NULL where rows or lines of the object have to be sampled.
+    The preview is NULL where rows or lines of the object have to be sampled, and
+    a link below ``public_url`` for an image.
     """
     info = X.is_info("key")
-    link = F.concat(F.lit(K.INTERNAL_STORE_URL + "/"), F.col("bucket"), F.lit("/"), F.col("key"))
     kind = X.preview_type("key")
     preview = (
         F.when(kind == "info", K.INFO_TEXT)
-        .when(kind == "image", T.rewrite_host(link))
+        .when(kind == "image", F.concat(F.lit(public_url + "/"), F.col("bucket"), F.lit("/"), F.col("key")))
         .when(kind == "unknown", K.NO_PREVIEW_TEXT)
     )
     out = {
@@ -187,10 +186,14 @@ def upload_filter(inv: DataFrame) -> DataFrame:
     return inv.withColumn("allowed", X.can_upload("key"))
 
 
-def attach_uploader(inv: DataFrame, meta: DataFrame, max_rows: int = TASK_ROWS) -> DataFrame:
-    """Uploader of each object from a metadata table with one row per object."""
-    object_meta = meta.select("bucket", "key", "uploader")
-    joined = join_unique(inv.drop("uploader"), object_meta, ["bucket", "key"], "left", max_rows)
+def attach_uploader(inv: DataFrame, meta: DataFrame) -> DataFrame:
+    """Uploader of each object from a metadata table with one row per object.
+
+    The metadata are dealt out evenly first, so that Spark can split a hot object
+    also where they come grouped by the key, as the newest rows of a table do.
+    """
+    object_meta = meta.select("bucket", "key", "uploader").hint("rebalance")
+    joined = inv.drop("uploader").join(object_meta, ["bucket", "key"], "left")
     return joined.withColumn("uploader", T.default_uploader("uploader"))
 
 

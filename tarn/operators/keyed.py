@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,33 +32,41 @@ def upsert_latest(base: DataFrame, updates: DataFrame, key: list[str], order: li
     return latest_by_key(base.unionByName(updates), key, order)
 
 
+def _same_key(left: DataFrame, right: DataFrame, key: list[str]) -> Column:
+    """Whether two rows have one key; NULLs are equal, as they are in a grouping."""
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_of_{k}"]) for k in key])
+
+
 def merge_updates(base: DataFrame, updates: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Same as ``upsert_latest`` for a base that holds each key once.
+    """Same as ``upsert_latest`` for a base that holds each key once, NULL keys included.
 
     The base is joined and never re-sorted as a whole: with few updates Spark
     sees their size and broadcasts them, and the base is not shuffled.  A tie in
     ``order`` goes to the update.
     """
+    def named(df: DataFrame, *more: Column) -> DataFrame:
+        return df.select(*[F.col(k).alias(f"_of_{k}") for k in key], *more)
+
     newest = latest_by_key(updates, key, order)
     rank = F.struct(*order)
-    marks = newest.select(*key, rank.alias("_update_rank"))
+    marks = named(newest, rank.alias("_update_rank"))
     kept = (
-        base.join(marks, key, "left")
+        base.join(marks, _same_key(base, marks, key), "left")
         .where(F.col("_update_rank").isNull() | (rank > F.col("_update_rank")))
-        .drop("_update_rank")
+        .select(*[base[c] for c in base.columns])
     )
-    beaten = (
-        base.select(*key, rank.alias("_base_rank"))
-        .join(marks, key)
-        .where(F.col("_base_rank") > F.col("_update_rank"))
-        .select(*key)
-    )
-    return kept.unionByName(newest.join(beaten, key, "left_anti").select(*base.columns))
+    ranked = base.select(*key, rank.alias("_base_rank"))
+    beaten = named(ranked.join(marks, _same_key(ranked, marks, key)).where(F.col("_base_rank") > F.col("_update_rank")).select(*key))
+    won = newest.join(beaten, _same_key(newest, beaten, key), "left_anti")
+    return kept.unionByName(won.select(*base.columns))
 
 
 def delete_keys(base: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``base`` whose key is not listed; unknown keys change nothing."""
-    return base.join(keys.select(*key), key, "left_anti")
+    """Rows of ``base`` whose key is not listed; unknown keys change nothing.
+
+    The right side of an anti join cannot be split, so it holds each key once.
+    """
+    return base.join(keys.select(*key).distinct(), key, "left_anti")
 
 
 def cancel(registry: DataFrame, keys: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -65,5 +75,5 @@ def cancel(registry: DataFrame, keys: DataFrame, key: list[str]) -> tuple[DataFr
     return (
         delete_keys(registry, asked, key),
         registry.join(asked, key, "left_semi"),
-        asked.join(registry.select(*key), key, "left_anti"),
+        asked.join(registry.select(*key).distinct(), key, "left_anti"),
     )

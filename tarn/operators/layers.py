@@ -9,17 +9,30 @@ from ..functions.text import default_uploader
 from .keyed import latest_by_key
 
 
+def typed_rows(bronze: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose texts all fit their types, typed; and the others as they came, with the names in ``failed``.
+
+    ``columns`` names the columns to keep and their types.
+    """
+    cast = {c: F.col(c).try_cast(t) for c, t in columns.items()}
+    bad = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & v.isNull(), c) for c, v in cast.items()]))
+    marked = bronze.withColumn("failed", bad)
+    good = marked.where(F.size("failed") == 0).select(*[v.alias(c) for c, v in cast.items()])
+    return good, marked.where(F.size("failed") > 0)
+
+
 def to_silver(
     bronze: DataFrame, columns: dict[str, str], keys: list[str], order: list[str]
-) -> DataFrame:
-    """Typed columns, a default uploader and the last write of each key.
+) -> tuple[DataFrame, DataFrame]:
+    """Typed columns, a default uploader and the last write of each key; and the rows that do not fit.
 
-    ``columns`` names the columns to keep and their types.
+    A row with a value that does not fit its type has no sure key, so it is kept
+    apart before the keyed cut and replaces nothing.
     """
-    typed = bronze.select(*[F.col(c).try_cast(t).alias(c) for c, t in columns.items()])
+    typed, failed = typed_rows(bronze, columns)
     if "uploader" in columns:
         typed = typed.withColumn("uploader", default_uploader("uploader"))
-    return latest_by_key(typed, keys, order)
+    return latest_by_key(typed, keys, order), failed
 
 
 def to_gold(silver: DataFrame, keys: list[str | Column], measures: list[Column]) -> DataFrame:

@@ -12,7 +12,6 @@ from .. import constants as K
 from ..functions.rounding import round_2
 from ..functions.usage import BYTES_PER_MB, clamp_100, cpu_percent, or_zero, real_memory
 from .keyed import newest_n
-from .skew import TASK_ROWS, mark_hot
 
 SAMPLE_FIELDS = ("mem_usage", "mem_cache", "mem_limit", "cpu_delta", "system_delta", "nano_cpus")
 
@@ -99,35 +98,25 @@ def last_n(samples: DataFrame, series: list[str], order: list[str], n: int = K.H
 
 
 def counter_delta(
-    samples: DataFrame, series: list[str], ts: str, order: list[str], counters: list[str],
-    cell: str = "hour", max_rows: int = TASK_ROWS,
+    samples: DataFrame, series: list[str], ts: str, order: list[str], counters: list[str], cell: str = "hour",
 ) -> DataFrame:
     """Each cumulative counter minus its previous value; the first counts from zero.
 
-    A series of up to ``max_rows`` samples is ordered in one task.  A longer one
-    is cut into time cells that are ordered separately.  The last row of each
-    cell is copied to the front of the series' next cell, where it serves the
-    first row as previous value and is then dropped, so the result is the same.
-    ``order`` has to begin with ``ts``.
+    Every series is cut into time cells, so a task orders one cell of a series and
+    never a whole one.  The last values of each cell are found by an aggregate that
+    combines in every task; over this small table each cell takes those of the cell
+    before, and its first row counts from them.  ``order`` has to begin with ``ts``.
     """
-    marked = mark_hot(samples, series, max_rows)
-    place = F.date_trunc(cell, ts)
-    rows = marked.select(*samples.columns, F.when(F.col("_hot"), place).alias("_cell"), F.lit(False).alias("_copy"))
-    in_hot = marked.where("_hot").select(*samples.columns, place.alias("_cell"))
-    ends = newest_n(in_hot, [*series, "_cell"], order, 1)
-    following = F.lead("_cell").over(W.partitionBy(*series).orderBy("_cell"))
-    copies = (
-        ends.withColumn("_next", following)
-        .where(F.col("_next").isNotNull())
-        .withColumn("_cell", F.col("_next"))
-        .withColumn("_copy", F.lit(True))
-        .select(*rows.columns)
-    )
-    before = W.partitionBy(*series, "_cell").orderBy(*order)
-    steps = {f"{c}_step": or_zero(c) - F.coalesce(F.lag(or_zero(c)).over(before), or_zero(F.lit(None))) for c in counters}
-    return (
-        rows.unionByName(copies)
-        .withColumns(steps)
-        .where(~F.col("_copy"))
-        .select(*samples.columns, *steps)
-    )
+    key = [*series, "_cell"]
+    rows = samples.withColumn("_cell", F.date_trunc(cell, ts))
+    ends = rows.groupBy(*key).agg(F.max_by(F.struct(*[or_zero(c).alias(c) for c in counters]), F.struct(*order)).alias("_end"))
+    before = ends.withColumn("_before", F.lag("_end").over(W.partitionBy(*series).orderBy("_cell"))).drop("_end")
+    renamed = before.select(*[F.col(k).alias(f"_of_{k}") for k in key], "_before")
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(renamed[f"_of_{k}"]) for k in key])
+    inside = W.partitionBy(*key).orderBy(*order)
+
+    def step(c: str) -> Column:
+        last = F.coalesce(F.lag(or_zero(c)).over(inside), F.col(f"_before.{c}"), or_zero(F.lit(None)))
+        return (or_zero(c) - last).alias(f"{c}_step")
+
+    return rows.join(renamed, same).select(*samples.columns, *[step(c) for c in counters])

@@ -109,13 +109,22 @@ LATEST = "latest AS (SELECT * FROM object_inventory QUALIFY row_number() OVER (P
 
 PROGRESS = """progress AS (
   SELECT *, CASE WHEN coalesce(num_tasks, 0) = 0 THEN 1 ELSE num_tasks END AS total,
-    coalesce(completed_raw, 0) AS completed, CAST(0 AS BIGINT) AS active,
+    coalesce(completed_raw, 0) AS completed, coalesce(active_raw, 0) AS active,
     CASE status WHEN 'SUCCEEDED' THEN 'succeeded' WHEN 'RUNNING' THEN 'running' ELSE 'other' END AS status_class
   FROM app_jobs)"""
 
 SILVER = """silver AS (
-  SELECT event_id, ts, user_id, event_type, CAST(value AS DECIMAL(18,2)) AS value, 'Desconhecido' AS uploader FROM events
-  QUALIFY row_number() OVER (PARTITION BY user_id, ts, event_type ORDER BY event_id DESC) = 1)"""
+  SELECT event_id, ts, date_trunc('day', ts)::TIMESTAMP AS day, user_id, event_type, CAST(value AS DECIMAL(18,2)) AS value,
+    CASE WHEN event_id % 3 > 0 THEN 'u' || CAST(event_id % 3 AS VARCHAR) ELSE 'Desconhecido' END AS uploader FROM events
+  WHERE event_id % 53 <> 0 AND event_id % 59 <> 0
+  QUALIFY row_number() OVER (PARTITION BY user_id, day, event_type ORDER BY ts DESC, event_id DESC) = 1)"""
+
+LAKE = """lake AS (
+  SELECT CAST(floor(doc_id / 100) AS BIGINT) AS part, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS content
+  FROM documents GROUP BY 1)"""
+
+ODD = """odd AS (SELECT * FROM (VALUES ('empty.txt', 0), ('_hidden.png', 1), ('.dot.JPG', 2), ('photo.jpeg', 3), ('_x', 4), ('.x', 5))
+  AS t(name, size_bytes))"""
 
 ORACLE: dict[str, str] = {
     "visible_by_bucket": _over(
@@ -158,6 +167,8 @@ ORACLE: dict[str, str] = {
         sql=f"SELECT obj_id, bucket, key AS filename, "
             f"CASE WHEN ends_with(key, '_SUCCESS') THEN '0 B' ELSE {_size('size_bytes')} END AS size, "
             f"CASE WHEN ends_with(key, '_SUCCESS') THEN 'Apache Spark' ELSE coalesce(uploader, 'Desconhecido') END AS uploader, "
+            "CASE WHEN ends_with(key, '_SUCCESS') THEN '-' ELSE "
+            "strftime(make_timestamp((1704067200 + obj_id * 3601) * 1000000), '%d/%m/%Y %H:%M:%S') END AS last_modified, "
             f"{TYPE} AS type, CASE {TYPE} WHEN 'info' THEN 'Metadado do Apache Spark.' "
             f"WHEN 'image' THEN 'http://localhost:9000/' || bucket || '/' || key "
             f"WHEN 'unknown' THEN 'Pré-visualização não disponível.' END AS preview_content FROM object_inventory",
@@ -190,7 +201,7 @@ ORACLE: dict[str, str] = {
     "inventory_table": _over(
         "object_inventory", extra=VISIBLE,
         sql="SELECT bucket, count(*) AS objects, min(key) AS first_key, max(key) AS last_key FROM visible "
-            "WHERE bucket <> 'gold' GROUP BY bucket",
+            "GROUP BY bucket",
     ),
     "document_heads": "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 1, 10), chr(10)) AS head FROM documents",
     "host_capacity": _over("hosts", "containers", extra=CAPACITY, sql="SELECT * FROM capacity"),
@@ -255,7 +266,7 @@ ORACLE: dict[str, str] = {
         "app_jobs", extra=PROGRESS,
         sql="SELECT app_id, job_id, tie1, tie2, total, completed, active, "
             "CAST(completed AS DOUBLE) / CAST(total AS DOUBLE) * 100.0::DOUBLE AS completed_percent, "
-            "0.0::DOUBLE AS active_percent, status_class FROM progress",
+            "CAST(active AS DOUBLE) / CAST(total AS DOUBLE) * 100.0::DOUBLE AS active_percent, status_class FROM progress",
     ),
     "app_progress": _over(
         "apps", "app_jobs", extra=PROGRESS,
@@ -284,13 +295,33 @@ ORACLE: dict[str, str] = {
     ),
     "cluster_snapshot": _over(
         "apps",
-        sql="SELECT app_id AS snapshot_id, 'app-' || CAST(app_id AS VARCHAR) AS id, name, CAST(user_id AS VARCHAR) AS user, "
-            "duration_ms AS duration, state FROM apps",
+        sql="""SELECT 'worker' AS kind, CAST(floor(c_custkey / 200) AS BIGINT) AS snapshot_id, 'worker-' || CAST(c_custkey AS VARCHAR) AS worker_id,
+            c_name AS host, 7000 + c_custkey % 1000 AS port, 1 + c_custkey % 8 AS cores, c_custkey % 4 AS coresused,
+            1024 * (1 + c_custkey % 16) AS memory, 512 * (c_custkey % 8) AS memoryused, NULL AS app_id, NULL AS name, NULL AS user_id,
+            NULL AS memoryperslave, NULL AS duration_ms, NULL AS state, NULL AS start_ts FROM customer
+            UNION ALL SELECT CASE state WHEN 'RUNNING' THEN 'active' ELSE 'completed' END, CAST(floor(app_id / 2000) AS BIGINT), NULL, NULL, NULL,
+            CASE state WHEN 'RUNNING' THEN 1 + app_id % 8 END, NULL, NULL, NULL, 'app-' || CAST(app_id AS VARCHAR), name, CAST(user_id AS VARCHAR),
+            CASE state WHEN 'RUNNING' THEN 1024 * (app_id % 4) END, duration_ms, CASE WHEN state <> 'RUNNING' THEN state END,
+            CASE WHEN state <> 'RUNNING' THEN CAST(start_ts AS TIMESTAMP) END FROM apps
+            UNION ALL SELECT 'broken', -1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL""",
+    ),
+    "polled_recent": _over(
+        "apps",
+        sql=f"SELECT 'app-' || CAST(app_id AS VARCHAR) AS app_id, name, CAST(user_id AS VARCHAR) AS user_id, state, "
+            f"{_duration('duration_ms')} AS duration FROM apps "
+            "WHERE state IN ('FINISHED', 'FAILED', 'KILLED') ORDER BY start_ts DESC, 'app-' || CAST(app_id AS VARCHAR) LIMIT 10",
+    ),
+    "polled_states": _over(
+        "apps",
+        sql="SELECT state, CASE WHEN state = 'FINISHED' THEN 'good' ELSE 'bad' END AS class, count(*) AS apps FROM apps "
+            "WHERE state <> 'RUNNING' GROUP BY 1, 2",
     ),
     "app_job_payloads": _over(
         "app_jobs", extra=PROGRESS,
-        sql="SELECT status_class, count(*) AS jobs, CAST(sum(total) AS BIGINT) AS tasks, "
-            "CAST(sum(completed) AS BIGINT) AS completed, CAST(sum(active) AS BIGINT) AS active FROM progress GROUP BY 1",
+        sql="SELECT 'app-' || CAST(CAST(floor(app_id / 2000) AS BIGINT) AS VARCHAR) AS app_id, app_id * 10 + job_id AS job_id, "
+            "'job ' || CAST(tie1 AS VARCHAR) AS job_name, total, completed, active, "
+            "CAST(active AS DOUBLE) / CAST(total AS DOUBLE) * 100.0::DOUBLE AS active_percent, status_class FROM progress "
+            "UNION ALL SELECT 'app-cut', NULL, NULL, NULL, NULL, NULL, NULL, NULL",
     ),
     "user_names": """SELECT c_custkey, u AS usuario, 'vscode-' || u AS editor, 'spark-worker-' || u AS worker
         FROM (SELECT c_custkey, lower(replace(replace(c_name, '#', ' '), ' ', '-')) AS u FROM customer)""",
@@ -311,44 +342,50 @@ ORACLE: dict[str, str] = {
             "coalesce(k.bucket, d.bucket) AS bucket, count(*) AS keys "
             "FROM k FULL JOIN d ON k.bucket = d.bucket AND k.key = d.key GROUP BY 1, 2",
     ),
-    "silver_events": f"WITH {SILVER} SELECT event_id, ts, user_id, event_type, CAST(value AS DOUBLE) AS value, uploader FROM silver",
-    "gold_daily": f"WITH {SILVER} SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS events, "
+    "silver_events": f"WITH {SILVER} SELECT event_id, ts, day, user_id, event_type, CAST(value AS DOUBLE) AS value, uploader FROM silver",
+    "silver_failed": "SELECT event_id, CASE WHEN event_id % 59 = 0 THEN 'u?' ELSE CAST(user_id AS VARCHAR) END AS user_id, "
+                     "CASE WHEN event_id % 53 = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS value, "
+                     "concat_ws(',', CASE WHEN event_id % 59 = 0 THEN 'user_id' END, CASE WHEN event_id % 53 = 0 THEN 'value' END) AS failed "
+                     "FROM events WHERE event_id % 59 = 0 OR event_id % 53 = 0",
+    "gold_daily": f"WITH {SILVER} SELECT day, event_type, count(*) AS events, "
                   "CAST(sum(value) AS DOUBLE) AS total FROM silver GROUP BY 1, 2",
-    "text_file_previews": "SELECT 'text' AS type, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS total_bytes, "
-                          "CAST(10 AS BIGINT) AS most_lines FROM documents",
+    "text_file_previews": f"WITH {LAKE} SELECT part, CAST(octet_length(encode(content)) AS BIGINT) AS size_bytes, 'text' AS type, "
+                          "array_to_string(list_slice(string_split(content, chr(10)), 1, 10), chr(10)) AS preview_content FROM lake",
     "landed_table": _over(
         "object_inventory", extra=LATEST,
         sql="SELECT obj_id, bucket, key, size_bytes, CASE WHEN uploader IS NULL THEN 'ana' ELSE 'bo' END AS uploader FROM latest",
     ),
-    "listed_objects": _over(
-        "object_inventory",
-        sql="SELECT DISTINCT 'bronze' AS bucket, 'catalog' AS folder, 'bucket=' || bucket AS dataset, "
-            "'📁 bucket=' || bucket || ' (Dataset Spark)' AS display FROM object_inventory",
-    ),
-    "indexed_objects": _over(
-        "object_inventory", sql="SELECT DISTINCT 'bronze' AS bucket, 'bucket=' || bucket AS dataset FROM object_inventory"
-    ),
-    "preview_csv": "SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer ORDER BY c_custkey LIMIT 10",
+    "listed_objects": f"WITH {LAKE}, {ODD} SELECT 'bronze' AS bucket, 'texts/part=' || CAST(part AS VARCHAR) || '/' AS key, "
+                      "CAST(octet_length(encode(content)) AS BIGINT) AS size_bytes FROM lake "
+                      "UNION ALL SELECT 'silver', 'odd/' || name, CAST(size_bytes AS BIGINT) FROM odd",
+    "indexed_objects": f"WITH {LAKE}, {ODD} SELECT 'bronze' AS bucket, 'texts/part=' || CAST(part AS VARCHAR) || '/' AS key, "
+                       "CAST(octet_length(encode(content)) AS BIGINT) AS size_bytes FROM lake "
+                       "UNION ALL SELECT 'silver', 'odd/' || name, CAST(size_bytes AS BIGINT) FROM odd WHERE name = 'photo.jpeg'",
+    "scanned_images": f"WITH {ODD}, d AS (SELECT count(*) FROM documents) SELECT 'silver' AS bucket, 'odd/' || name AS key, "
+                      "CAST(size_bytes AS BIGINT) AS size_bytes FROM odd WHERE regexp_matches(name, '(?i)\\.(png|jpg|jpeg)$')",
+    "landed_drops": f"WITH {ODD} SELECT 'ana' AS uploader, 'part' AS name, "
+                    "CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS total_bytes FROM documents "
+                    "UNION ALL SELECT 'bo', name, CAST(size_bytes AS BIGINT) FROM odd",
+    "preview_csv": "SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey), "
+                   "'first' || chr(10) || 'second, \"' || c_name || '\"' AS note FROM customer ORDER BY c_custkey LIMIT 10",
     "preview_parquet": "SELECT * FROM supplier ORDER BY s_suppkey LIMIT 10",
     "preview_text": "SELECT c_name AS value FROM customer ORDER BY c_custkey LIMIT 10",
     "stream_idle": _over(
         "heartbeats", extra=SESSIONS,
-        sql="SELECT * FROM sessions WHERE last_seen + INTERVAL 15 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM heartbeats)",
+        sql="SELECT * FROM sessions WHERE last_seen + INTERVAL 15 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM heartbeats) - INTERVAL 10 MINUTE",
     ),
     "stream_metrics": _over(
         "container_stats",
         extra="windowed AS (SELECT *, make_timestamp(epoch_us(ts) - epoch_us(ts) % 3000000) AS window_start FROM container_stats), "
               "newest AS (SELECT * FROM windowed QUALIFY row_number() OVER "
               f"(PARTITION BY usuario, window_start, role ORDER BY ts DESC, event_id DESC) = 1), {_metrics('usuario, window_start')}",
-        sql="SELECT usuario, window_start, status, cpu_percent, memory_usage_mb, memory_limit_mb, memory_percent FROM metrics "
-            "WHERE window_start + INTERVAL 3 SECOND <= (SELECT date_trunc('millisecond', max(ts)) FROM container_stats) - INTERVAL 10 SECOND",
+        sql="SELECT usuario, window_start, status, cpu_percent, memory_usage_mb, memory_limit_mb, memory_percent FROM metrics",
     ),
     "stream_last_seen": _over("heartbeats", sql="SELECT usuario, max(ts) AS last_seen FROM heartbeats GROUP BY usuario"),
-    "stream_history": _over(
-        "container_stats",
-        sql="SELECT usuario AS series, ts, event_id AS point_id, CAST(mem_usage AS DOUBLE) AS value FROM container_stats "
-            "QUALIFY row_number() OVER (PARTITION BY usuario ORDER BY ts DESC, event_id DESC) <= 20",
-    ),
+    "stream_history": """WITH ends AS (SELECT user_id, max(ts) AS ended FROM events WHERE event_type = 'error' GROUP BY user_id)
+        SELECT 'user-' || CAST(user_id AS VARCHAR) AS series, ts, event_id AS point_id, value FROM events LEFT JOIN ends USING (user_id)
+        WHERE event_type <> 'error' AND (ended IS NULL OR ts > ended)
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20""",
     "stream_landing": _over(
         "object_inventory", extra=LATEST,
         sql="SELECT obj_id, bucket, key, size_bytes, 'portal' AS uploader FROM latest",
@@ -358,6 +395,6 @@ ORACLE: dict[str, str] = {
         SELECT usuario, last_seen FROM last WHERE event_type <> 'error'""",
     "stream_app_status": _over(
         "apps",
-        sql="SELECT 'app-' || CAST(app_id AS VARCHAR) AS id, state = 'RUNNING' AS active, state, duration_ms AS duration FROM apps",
+        sql="SELECT 'app-' || CAST(app_id AS VARCHAR) AS app_id, state = 'RUNNING' AS active, state, duration_ms FROM apps",
     ),
 }

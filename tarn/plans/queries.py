@@ -77,7 +77,8 @@ def folder_view(spark, sf):
 
 
 def object_details(spark, sf):
-    return I.object_details(view(spark, sf, "object_inventory"))
+    changed = F.timestamp_seconds(F.lit(1704067200) + F.col("obj_id") * 3601)
+    return I.object_details(view(spark, sf, "object_inventory").withColumn("last_modified", changed))
 
 
 def image_objects(spark, sf):
@@ -113,8 +114,7 @@ def inventory_table(spark, sf):
     """A landed inventory read back with the reader's own schema, then browsed."""
     path = work_dir(spark, "inventory")
     M.write_layer(view(spark, sf, "object_inventory").drop("obj_id"), path, ["bucket"])
-    landed = SI.read_inventory(spark, path)
-    return I.visible_by_bucket(landed.where(F.col("bucket") != "gold"))
+    return I.visible_by_bucket(SI.read_inventory(spark, path))
 
 
 def document_heads(spark, sf):
@@ -195,7 +195,7 @@ def container_payloads(spark, sf):
         ).alias("stats"),
     )
     nested.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
-    return SP.read_container_stats(spark, path)
+    return SP.read_container_stats(spark, path, lines=True)[0]
 
 
 # --- sessions --------------------------------------------------------------
@@ -261,55 +261,88 @@ def driver_apps(spark, sf):
     return SP.first_driver_app(payloads)
 
 
-def _app(state):
-    return F.struct(
-        F.concat(F.lit("app-"), F.col("app_id").cast("string")).alias("id"),
-        "name",
-        F.col("user_id").cast("string").alias("user"),
-        F.col("duration_ms").alias("duration"),
-        state.alias("state"),
-    )
+def _polls(spark, sf):
+    """Poll payloads: the workers, active and completed applications of each; every other one is indented."""
+    workers = load(spark, sf, "customer").select(
+        F.floor(F.col("c_custkey") / 200).alias("poll"),
+        F.struct(
+            F.concat(F.lit("worker-"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("host"),
+            (7000 + F.col("c_custkey") % 1000).alias("port"), (1 + F.col("c_custkey") % 8).alias("cores"),
+            (F.col("c_custkey") % 4).alias("coresused"), (1024 * (1 + F.col("c_custkey") % 16)).alias("memory"),
+            (512 * (F.col("c_custkey") % 8)).alias("memoryused"),
+        ).alias("w"),
+    ).groupBy("poll").agg(F.collect_list("w").alias("workers"))
+    apps = view(spark, sf, "apps").select(
+        F.floor(F.col("app_id") / 2000).alias("poll"),
+        F.struct(
+            F.concat(F.lit("app-"), F.col("app_id").cast("string")).alias("id"), "name",
+            F.col("user_id").cast("string").alias("user"), (1 + F.col("app_id") % 8).alias("cores"),
+            (1024 * (F.col("app_id") % 4)).alias("memoryperslave"), F.col("duration_ms").alias("duration"), "state",
+            F.unix_millis(F.col("start_ts").cast("timestamp")).alias("starttime"),
+        ).alias("a"),
+    ).groupBy("poll").agg(
+        F.collect_list(F.when(F.col("a.state") == "RUNNING", F.col("a"))).alias("activeapps"),
+        F.collect_list(F.when(F.col("a.state") != "RUNNING", F.col("a"))).alias("completedapps"))
+    body = F.struct(F.col("poll").alias("snapshot_id"), "workers", "activeapps", "completedapps")
+    indented = F.to_json(body, {"pretty": "true"})
+    return workers.join(apps, "poll", "full").select(
+        "poll", F.when(F.col("poll") % 2 == 0, indented).otherwise(F.to_json(body)).alias("value"))
+
+
+def _poll_files(spark, sf):
+    """The payloads as one file each, and one more that was cut off."""
+    path, polls = work_dir(spark, "polls"), _polls(spark, sf)
+    cut_off = polls.where("poll = 0").select(F.lit(-1).cast("bigint").alias("poll"), F.substring("value", 1, 90).alias("value"))
+    polls.unionByName(cut_off).repartition("poll").write.partitionBy("poll").text(path)
+    return path
 
 
-def _poll(snapshot, state):
-    """One application as a poll payload; the array that does not apply is absent."""
-    active = state == "RUNNING"
-    return F.struct(
-        snapshot.cast("bigint").alias("snapshot_id"),
-        F.when(active, F.array(_app(state))).alias("activeapps"),
-        F.when(~active, F.array(_app(state))).alias("completedapps"),
-    )
+def cluster_snapshot(spark, sf):
+    """Polls written as whole documents and read back: workers, active and completed applications, broken payloads."""
+    workers, active, completed, broken = SP.read_cluster_snapshots(spark, _poll_files(spark, sf))
+    kinds = {
+        "worker": workers.withColumnRenamed("id", "worker_id"), "active": active,
+        "completed": completed.withColumn("start_ts", F.col("start_ts").cast("timestamp_ntz")),
+        "broken": broken.select(F.regexp_extract("file", r"poll=(-?\d+)", 1).cast("bigint").alias("snapshot_id")),
+    }
+    parts = [df.withColumn("kind", F.lit(kind)) for kind, df in kinds.items()]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part, allowMissingColumns=True)
+    return union
 
 
-def cluster_snapshot(spark, sf):
-    """Applications written as poll payloads and read back, active and completed."""
-    path = work_dir(spark, "snapshots")
-    view(spark, sf, "apps").select(_poll(F.col("app_id"), F.col("state")).alias("p")).select("p.*").write.json(path)
-    _, active_rows, completed = SP.read_cluster_snapshots(spark, path)
-    columns = ["snapshot_id", "id", "name", "user", "duration"]
-    return active_rows.select(*columns, F.lit("RUNNING").alias("state")).unionByName(
-        completed.select(*columns, "state")
-    )
+def polled_recent(spark, sf):
+    """The newest completed applications, straight from the polls."""
+    _, _, completed, _ = SP.read_cluster_snapshots(spark, _poll_files(spark, sf))
+    return A.recent_completed(completed).select("app_id", "name", "user_id", "state", "duration")
+
+
+def polled_states(spark, sf):
+    """Applications by state, straight from the polls."""
+    _, _, completed, _ = SP.read_cluster_snapshots(spark, _poll_files(spark, sf))
+    return A.app_state_counts(completed)
 
 
 def app_job_payloads(spark, sf):
-    """Driver job payloads written as JSON and read back."""
+    """Job arrays written as one file per application and read back; one of them is cut off."""
     path = work_dir(spark, "jobs")
-    jobs = view(spark, sf, "app_jobs")
     job = F.struct(
-        F.col("job_id").cast("bigint").alias("jobId"),
+        (F.col("app_id") * 10 + F.col("job_id")).alias("jobId"),
         F.concat(F.lit("job "), F.col("tie1").cast("string")).alias("name"),
         "status",
         F.col("num_tasks").alias("numTasks"),
         F.col("completed_raw").alias("numCompletedTasks"),
+        F.col("active_raw").alias("numActiveTasks"),
     )
-    jobs.select(F.col("app_id").cast("string").alias("app_id"), F.array(job).alias("jobs")).write.json(path)
-    return A.with_progress(SP.read_app_jobs(spark, path)).groupBy("status_class").agg(
-        F.count("*").alias("jobs"),
-        F.sum("total").alias("tasks"),
-        F.sum("completed").alias("completed"),
-        F.sum("active").alias("active"),
-    )
+    apps = view(spark, sf, "app_jobs").groupBy(F.concat(F.lit("app-"), F.floor(F.col("app_id") / 2000).cast("string")).alias("app")).agg(
+        F.to_json(F.collect_list(job), {"pretty": "true"}).alias("value"))
+    cut_off = apps.where("app = 'app-0'").select(F.lit("app-cut").alias("app"), F.substring("value", 1, 200).alias("value"))
+    apps.unionByName(cut_off).repartition("app").write.partitionBy("app").text(path)
+    jobs, broken = SP.read_app_jobs(spark, path, app_in_path=r"/app=([^/]+)/")
+    columns = ["app_id", "job_id", "job_name", "total", "completed", "active", "active_percent", "status_class"]
+    return A.with_progress(jobs).select(*columns).unionByName(
+        broken.select(F.regexp_extract("file", r"/app=([^/]+)/", 1).alias("app_id")), allowMissingColumns=True)
 
 
 # --- text ------------------------------------------------------------------
@@ -355,14 +388,15 @@ def registry_delete(spark, sf):
 
 
 def landed_table(spark, sf):
-    """Two uploads landed one after the other, the second one twice, then compacted."""
-    table, compacted = work_dir(spark, "table"), work_dir(spark, "compacted")
+    """Uploads landed one after the other, with a snapshot in between and one of them sent twice."""
+    table = work_dir(spark, "table")
     older, newer = (part.drop("uploader") for part in _old_and_new(spark, sf))
     SL.land_objects(older, table, "ana", OBJECT, ["obj_id"], 0)
+    SL.land_objects(newer.where("obj_id % 2 = 0"), table, "bo", OBJECT, ["obj_id"], 1)
+    SL.compact(spark, table, OBJECT, ["obj_id"])
     for _ in range(2):
-        SL.land_objects(newer, table, "bo", OBJECT, ["obj_id"], 1)
-    SL.compact(spark, table, compacted, OBJECT, ["obj_id"])
-    return SL.read_latest(spark, compacted, OBJECT, ["obj_id"])
+        SL.land_objects(newer.where("obj_id % 2 = 1"), table, "bo", OBJECT, ["obj_id"], 2)
+    return SL.read_latest(spark, table, OBJECT, ["obj_id"])
 
 
 def registry_cancel(spark, sf):
@@ -376,24 +410,34 @@ def registry_cancel(spark, sf):
 
 
 SILVER = {
-    "event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string",
+    "event_id": "bigint", "ts": "timestamp_ntz", "day": "timestamp_ntz", "user_id": "bigint", "event_type": "string",
     "value": "decimal(18,2)", "uploader": "string",
 }
 
 
 def _silver(spark, sf):
-    bronze = load(spark, sf, "events").withColumn("uploader", F.lit(None).cast("string"))
-    return M.to_silver(bronze, SILVER, ["user_id", "ts", "event_type"], ["event_id"])
+    """Events as raw texts: repeated keys, values and ids that do not fit, and some uploaders."""
+    bronze = load(spark, sf, "events").select(
+        "event_id", "ts", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"),
+        F.when(F.col("event_id") % 59 == 0, "u?").otherwise(F.col("user_id").cast("string")).alias("user_id"), "event_type",
+        F.when(F.col("event_id") % 53 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("value"),
+        F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("u"), (F.col("event_id") % 3).cast("string"))).alias("uploader"),
+    )
+    return M.to_silver(bronze, SILVER, ["user_id", "day", "event_type"], ["ts", "event_id"])
 
 
 def silver_events(spark, sf):
-    return _silver(spark, sf).withColumn("value", F.col("value").cast("double"))
+    return _silver(spark, sf)[0].withColumn("value", F.col("value").cast("double"))
+
+
+def silver_failed(spark, sf):
+    return _silver(spark, sf)[1].select("event_id", "user_id", "value", F.array_join("failed", ",").alias("failed"))
 
 
 def gold_daily(spark, sf):
     daily = M.to_gold(
-        _silver(spark, sf),
-        [F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type"],
+        _silver(spark, sf)[0],
+        ["day", "event_type"],
         [F.count("*").alias("events"), F.sum("value").alias("total")],
     )
     return daily.withColumn("total", F.col("total").cast("double"))
@@ -402,74 +446,121 @@ def gold_daily(spark, sf):
 # --- files -----------------------------------------------------------------
 
 def _first_file(spark, root):
-    """Path of the first object of the first dataset below ``root``, in listing order."""
-    listed = I.datasets(I.visible_objects(SI.list_objects(spark, root)))
+    """Key of the first object of the first dataset below ``root``, in listing order, after its bucket."""
+    listed = I.datasets(I.visible_objects(SI.walk_objects(spark, root)))
     first = listed.orderBy("bucket", "folder", "dataset").select("bucket", "first_key").first()
-    return f"{root}/{first['bucket']}/{first['first_key']}"
+    return f"{first['bucket']}/{first['first_key']}"
 
 
 def preview_csv(spark, sf):
     root = work_dir(spark, "lake")
-    load(spark, sf, "customer").orderBy("c_custkey").write.option("header", True).csv(f"{root}/bronze/crm/customers")
-    return SS.sample_object(spark, _first_file(spark, root))
+    note = F.concat(F.lit("first\nsecond, \""), F.col("c_name"), F.lit("\""))
+    load(spark, sf, "customer").withColumn("note", note).orderBy("c_custkey").write.option("header", True).option(
+        "escape", '"').csv(f"{root}/bronze/crm/customers")
+    return SS.sample_object(spark, root, _first_file(spark, root))
 
 
 def preview_parquet(spark, sf):
     root = work_dir(spark, "lake")
     load(spark, sf, "supplier").orderBy("s_suppkey").write.parquet(f"{root}/silver/crm/suppliers.parquet")
-    return SS.sample_object(spark, _first_file(spark, root))
+    return SS.sample_object(spark, root, _first_file(spark, root))
 
 
 def preview_text(spark, sf):
     root = work_dir(spark, "lake")
     load(spark, sf, "customer").orderBy("c_custkey").select("c_name").write.text(f"{root}/bronze/crm/names")
-    return SS.sample_text(spark, _first_file(spark, root))
+    return SS.sample_text(spark, f"{root}/{_first_file(spark, root)}")
+
+
+def _text_lake(spark, sf):
+    """The documents as one text file for a hundred ids each, in the order of their ids."""
+    root = work_dir(spark, "lake")
+    load(spark, sf, "documents").select(F.floor(F.col("doc_id") / 100).alias("part"), "doc_id", "text").repartition(
+        "part").sortWithinPartitions("part", "doc_id").select("part", F.col("text").alias("value")).write.partitionBy(
+        "part").text(f"{root}/bronze/texts")
+    return root
 
 
 def text_file_previews(spark, sf):
-    """Every document text written as lines, one folder per language, and previewed.
+    """Every text file previewed."""
+    previews = SS.text_previews(spark, _text_lake(spark, sf))
+    part = F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint").alias("part")
+    return previews.select(part, "size_bytes", "type", "preview_content")
 
-    How many files Spark writes is open, so the previews are summed up.
-    """
-    root = work_dir(spark, "lake")
-    load(spark, sf, "documents").select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(root)
-    previews = SS.text_previews(spark, root)
-    lines = F.size(F.split("preview_content", "\n"))
-    return previews.groupBy("type").agg(
-        F.sum("size_bytes").alias("total_bytes"), F.max(lines).cast("bigint").alias("most_lines")
-    )
+
+def _put(spark, path, content=b""):
+    """One small file, whatever its name."""
+    store, at = SL._files(spark, path)
+    out = store.create(at)
+    out.write(bytearray(content))
+    out.close()
+
+
+ODD_NAMES = ("empty.txt", "_hidden.png", ".dot.JPG", "photo.jpeg", "_x", ".x")
+
+
+def _mixed_lake(spark, sf):
+    """The text lake and some objects of odd names, the first one empty."""
+    root = _text_lake(spark, sf)
+    for size, name in enumerate(ODD_NAMES):
+        _put(spark, f"{root}/silver/odd/{name}", b"x" * size)
+    return root
 
 
 def listed_objects(spark, sf):
-    """Datasets of a lake Spark wrote, from a complete listing of its files."""
-    root = work_dir(spark, "lake")
-    M.write_layer(view(spark, sf, "object_inventory"), f"{root}/bronze/catalog", ["bucket"])
-    found = I.datasets(I.visible_objects(SI.walk_objects(spark, root)))
-    return found.select("bucket", "folder", "dataset", "display")
+    """Every object with its size, from a complete listing; the names Spark makes up are left out."""
+    found = I.visible_objects(SI.walk_objects(spark, _mixed_lake(spark, sf)))
+    return found.select("bucket", F.regexp_replace("key", "part-[^/=]*$", "").alias("key"), "size_bytes")
 
 
 def indexed_objects(spark, sf):
-    """The same files by Spark's own file index."""
-    root = work_dir(spark, "lake")
-    M.write_layer(view(spark, sf, "object_inventory"), f"{root}/bronze/catalog", ["bucket"])
-    listed = I.visible_objects(SI.list_objects(spark, root))
-    return listed.select("bucket", X.dataset_name(X.below_folder()).alias("dataset")).distinct()
+    """The same files by Spark's own file index, which leaves out empty and hidden ones."""
+    found = I.visible_objects(SI.list_objects(spark, _mixed_lake(spark, sf)))
+    return found.select("bucket", F.regexp_replace("key", "part-[^/=]*$", "").alias("key"), "size_bytes")
+
+
+def scanned_images(spark, sf):
+    return SI.scan_images(spark, _mixed_lake(spark, sf)).select("bucket", "key", "size_bytes")
+
+
+def landed_drops(spark, sf):
+    """Files of a drop folder landed by two polls; the second one finds what was added after the first."""
+    drop, table = work_dir(spark, "lake") + "/drop", work_dir(spark, "drops")
+    load(spark, sf, "documents").select("text").repartition(PARTS).write.text(drop)
+    SL.land_drops(spark, drop, table, "bronze", "ana", 0)
+    for size, name in enumerate(ODD_NAMES):
+        _put(spark, f"{drop}/later/{name}", b"x" * size)
+    SL.land_drops(spark, drop, table, "bronze", "bo", 1)
+    landed = I.visible_objects(SL.read_latest(spark, table, OBJECT, ["last_modified"]))
+    key = F.regexp_replace("key", "^part-.*", "part")
+    return landed.groupBy("uploader", key.alias("name")).agg(F.sum("size_bytes").alias("total_bytes"))
 
 
 # --- streams ---------------------------------------------------------------
 
-def _table_stream(spark, sf, table):
-    # A file stream takes a folder or a pattern; the pattern fits a table that is one file too.
-    return sinks.read_files(prepare(spark), f"{sf.rstrip('/')}/{table}.parque[t]")
+PARTS = 4
+LATE = "10 minutes"
+
+
+def _arrivals(spark, sf):
+    """The events as a stream of several micro-batches, in the order they arrive: up to four minutes late."""
+    path = work_dir(spark, "arrivals")
+    late = F.unix_micros(F.col("ts").cast("timestamp")) + (F.col("event_id") % 5) * 60_000_000
+    events = load(spark, sf, "events").withColumn("_at", late)
+    low, high = events.agg(F.min("_at"), F.max("_at")).first()
+    part = F.floor((F.col("_at") - low) * PARTS / F.lit(high - low + 1))
+    for k in range(PARTS):
+        events.where(part == k).drop("_at").coalesce(1).write.mode("append").parquet(path)
+    return sinks.read_files(prepare(spark), path, max_files=1)
 
 
-def _stream(spark, sf, name, table):
-    return reshape(spark, _table_stream(spark, sf, table), name)
+def _stream(spark, sf, name):
+    return reshape(spark, _arrivals(spark, sf), name)
 
 
 def stream_idle(spark, sf):
     out = work_dir(spark, "idle")
-    rows = live.idle_sessions(_stream(spark, sf, "heartbeats", "events"))
+    rows = live.idle_sessions(_stream(spark, sf, "heartbeats"), LATE)
     sinks.finish(sinks.append_files(rows, f"{out}/rows", f"{out}/checkpoint"))
     return spark.read.schema(rows.schema).parquet(f"{out}/rows").select(
         "usuario", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
@@ -478,66 +569,82 @@ def stream_idle(spark, sf):
 
 
 def stream_metrics(spark, sf):
-    out = work_dir(spark, "metrics")
-    rows = live.metrics_stream(_stream(spark, sf, "container_stats", "events"), NEWEST)
-    sinks.finish(sinks.append_files(rows, f"{out}/rows", f"{out}/checkpoint"))
-    landed = spark.read.schema(rows.schema).parquet(f"{out}/rows")
+    """Every window as of now, the last ones too."""
+    out, key, order = work_dir(spark, "metrics"), ["usuario", "window_start"], ["version"]
+    rows = live.metrics_stream(_stream(spark, sf, "container_stats"), NEWEST, LATE)
+    sinks.finish(sinks.land_latest(rows, f"{out}/rows", f"{out}/checkpoint", key, order, keyed=True))
+    landed = SL.read_latest(spark, f"{out}/rows", key, order).drop("version")
     return landed.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def stream_last_seen(spark, sf):
-    out = work_dir(spark, "last-seen")
-    beats = _stream(spark, sf, "heartbeats", "events")
-    sinks.finish(sinks.land_latest(live.last_seen(beats), f"{out}/rows", f"{out}/checkpoint", ["usuario"], ["last_seen"]))
-    users = live.present(SL.read_latest(spark, f"{out}/rows", ["usuario"], ["last_seen"]))
+    out, key, order = work_dir(spark, "last-seen"), ["usuario"], ["last_seen"]
+    beats = _stream(spark, sf, "heartbeats")
+    sinks.finish(sinks.land_latest(live.last_seen(beats), f"{out}/rows", f"{out}/checkpoint", key, order, keyed=True))
+    users = live.present(SL.read_latest(spark, f"{out}/rows", key, order))
     return users.withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
 
 
 def stream_history(spark, sf):
-    out = work_dir(spark, "history")
-    points = _stream(spark, sf, "container_stats", "events").select(
-        F.col("usuario").alias("series"), "ts", F.col("event_id").alias("point_id"), F.col("mem_usage").alias("value")
+    """The newest points of each user since the last shutdown; an error event stands for a shutdown."""
+    out, key, order = work_dir(spark, "history"), ["series"], ["version"]
+    points = _arrivals(spark, sf).select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("series"), "ts", F.col("event_id").alias("point_id"),
+        "value", (F.col("event_type") == "error").alias("gone"),
     )
     kept = history.rolling_history(points)
-    landing = sinks.land_latest(
-        kept, f"{out}/rows", f"{out}/checkpoint", ["series"], ["version"], rocksdb=True
-    )
-    sinks.finish(landing)
-    rows = history.history_points(SL.read_latest(spark, f"{out}/rows", ["series"], ["version"]))
+    sinks.finish(sinks.land_latest(kept, f"{out}/rows", f"{out}/checkpoint", key, order, keyed=True))
+    rows = history.history_points(SL.read_latest(spark, f"{out}/rows", key, order))
     return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def stream_landing(spark, sf):
-    """Inventory rows dropped as files, landed by a stream, read as the last write."""
+    """Inventory rows dropped as files, landed by a stream in several batches with snapshots, read as the last write."""
     out = work_dir(spark, "landing")
-    view(spark, sf, "object_inventory").drop("uploader").write.parquet(f"{out}/drop")
-    arrivals = sinks.read_files(spark, f"{out}/drop")
-    stamped = arrivals.withColumn("uploader", F.lit("portal"))
-    sinks.finish(sinks.land_latest(stamped, f"{out}/table", f"{out}/checkpoint", OBJECT, ["obj_id"], mode="append"))
+    inv = view(spark, sf, "object_inventory").drop("uploader")
+    for k in range(PARTS):
+        inv.where(F.col("obj_id") % PARTS == (k * 3) % PARTS).coalesce(1).write.mode("append").parquet(f"{out}/drop")
+    stamped = sinks.read_files(spark, f"{out}/drop", max_files=1).withColumn("uploader", F.lit("portal"))
+    sinks.finish(sinks.land_latest(
+        stamped, f"{out}/table", f"{out}/checkpoint", OBJECT, ["obj_id"], mode="append", compact_every=3))
     return SL.read_latest(spark, f"{out}/table", OBJECT, ["obj_id"])
 
 
 def stream_present(spark, sf):
     """Users not shut down since their last heartbeat; an error event stands for a shutdown."""
-    out = work_dir(spark, "present")
-    beats = _table_stream(spark, sf, "events").select(
+    out, key, order = work_dir(spark, "present"), ["usuario"], ["last_seen"]
+    beats = _arrivals(spark, sf).select(
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("usuario"), "ts",
         (F.col("event_type") == "error").alias("gone"),
     )
-    sinks.finish(sinks.land_latest(live.last_seen(beats), f"{out}/rows", f"{out}/checkpoint", ["usuario"], ["last_seen"]))
-    users = live.present(SL.read_latest(spark, f"{out}/rows", ["usuario"], ["last_seen"]))
+    sinks.finish(sinks.land_latest(live.last_seen(beats), f"{out}/rows", f"{out}/checkpoint", key, order, keyed=True))
+    users = live.present(SL.read_latest(spark, f"{out}/rows", key, order))
     return users.withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
 
 
 def stream_app_status(spark, sf):
-    """Two polls of every application by a stream: first running, then as it is."""
+    """Polls as whole documents by a stream: first every application as running, then as it is, then a broken one."""
     out = work_dir(spark, "apps")
-    polls = F.array(_poll(F.lit(0), F.lit("RUNNING")), _poll(F.lit(1), F.col("state")))
-    view(spark, sf, "apps").select(F.explode(polls).alias("p")).select("p.*").write.json(f"{out}/drop")
-    seen = live.app_status(sinks.read_files(spark, f"{out}/drop", "json", SP.SNAPSHOT_SCHEMA))
-    key, order = ["id"], ["snapshot_id"]
+    apps = view(spark, sf, "apps")
+
+    def poll(number, state):
+        app = F.struct(
+            F.concat(F.lit("app-"), F.col("app_id").cast("string")).alias("id"), F.col("duration_ms").alias("duration"), state.alias("state"))
+        many = apps.groupBy((F.col("app_id") % 8).alias("master")).agg(
+            F.collect_list(F.when(state == "RUNNING", app)).alias("activeapps"),
+            F.collect_list(F.when(state != "RUNNING", app)).alias("completedapps"))
+        body = F.struct(F.lit(number).cast("bigint").alias("snapshot_id"), "activeapps", "completedapps")
+        return many.select("master", F.to_json(body, {"pretty": "true"}).alias("value"))
+
+    polls = [poll(0, F.lit("RUNNING")), poll(1, F.col("state"))]
+    polls.append(polls[0].withColumn("value", F.substring("value", 1, 50)))
+    for texts in polls:
+        texts.repartition("master").write.mode("append").partitionBy("master").text(f"{out}/drop")
+    payloads = sinks.read_files(spark, f"{out}/drop", "text", "value string, master int", max_files=4, wholetext=True)
+    key, order = ["app_id"], ["snapshot_id"]
+    seen = live.app_status(payloads)
     sinks.finish(sinks.land_latest(seen, f"{out}/table", f"{out}/checkpoint", key, order, mode="append"))
-    return SL.read_latest(spark, f"{out}/table", key, order).select("id", "active", "state", "duration")
+    return SL.read_latest(spark, f"{out}/table", key, order).select("app_id", "active", "state", "duration_ms")
 
 
 QUERIES: dict[str, Query] = {
@@ -550,10 +657,11 @@ QUERIES: dict[str, Query] = {
         workspace_metrics, online_status, cpu_delta, metric_history, container_payloads,
         idle_now, idle_sessions,
         app_states, recent_completed, app_durations, job_progress, app_progress, app_totals,
-        driver_links, schedule_list, driver_apps, cluster_snapshot, app_job_payloads,
+        driver_links, schedule_list, driver_apps, cluster_snapshot, polled_recent, polled_states, app_job_payloads,
         user_names, event_props,
-        registry_upsert, registry_merge, registry_delete, registry_cancel, landed_table, silver_events, gold_daily,
+        registry_upsert, registry_merge, registry_delete, registry_cancel, landed_table, silver_events, silver_failed, gold_daily,
         preview_csv, preview_parquet, preview_text, text_file_previews, listed_objects, indexed_objects,
+        scanned_images, landed_drops,
         stream_idle, stream_metrics, stream_last_seen, stream_present, stream_history, stream_landing, stream_app_status,
     )
 }

@@ -66,6 +66,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         """SELECT l_orderkey AS app_id, l_linenumber AS job_id, l_partkey AS tie1, l_suppkey AS tie2,
  CASE WHEN l_suppkey % 50 = 0 THEN NULL ELSE CAST(l_quantity AS BIGINT) END AS num_tasks,
  CAST(floor(CAST(l_quantity AS BIGINT) * (l_partkey % 11) / 10) AS BIGINT) AS completed_raw,
+ CAST(l_linenumber % 4 AS BIGINT) AS active_raw,
  CASE l_returnflag WHEN 'A' THEN 'SUCCEEDED' WHEN 'N' THEN 'RUNNING' ELSE 'FAILED' END AS status FROM {t}""",
     ),
     "link_page": (

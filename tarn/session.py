@@ -40,24 +40,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def is_local(spark: SparkSession) -> bool:
-    return spark.conf.get("spark.master", "").startswith("local")
-
-
 @contextmanager
-def stream_settings(
-    spark: SparkSession, state_partitions: int | None = None, rocksdb: bool = False
-) -> Iterator[None]:
+def stream_settings(spark: SparkSession, state_partitions: int | None = None) -> Iterator[None]:
     """Settings for streams started inside; the session gets its own back.
 
     The number of state partitions stays fixed for the life of a checkpoint and
     is never adapted, so by default there is one for each core of the cluster.
-    On a cluster all state goes to RocksDB; a local session uses it only where
-    the operator cannot do without (``rocksdb``).
+    All state goes to RocksDB, so that what is tested is what runs on a cluster.
     """
     wanted = {
         **STREAM_SETTINGS,
-        **(ROCKSDB_SETTINGS if rocksdb or not is_local(spark) else {}),
+        **ROCKSDB_SETTINGS,
         "spark.sql.shuffle.partitions": str(state_partitions or spark.sparkContext.defaultParallelism),
     }
     before = {name: spark.conf.get(name, None) for name in wanted}
@@ -73,8 +66,10 @@ def stream_settings(
                 spark.conf.set(name, value)
 
 
-def local_session(cores: int | str = "*", name: str = "tarn", memory: str = "8g") -> SparkSession:
-    """A single-machine session for tests and the bench."""
+def local_session(
+    cores: int | str = "*", name: str = "tarn", memory: str = "8g", shared: str | None = None
+) -> SparkSession:
+    """A single-machine session for tests and the bench; ``shared`` is its folder for what is written in between."""
     shuffle = "8" if cores == "*" else str(cores)
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -84,6 +79,7 @@ def local_session(cores: int | str = "*", name: str = "tarn", memory: str = "8g"
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", shuffle)
+        .config("spark.checkpoint.dir", shared or tempfile.mkdtemp(prefix="tarn-"))
     )
     spark = prepare(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
@@ -91,14 +87,16 @@ def local_session(cores: int | str = "*", name: str = "tarn", memory: str = "8g"
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder path that every executor can reach.
+    """A new folder path that every executor can reach, below ``spark.checkpoint.dir``.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``.  Only a
-    local session without that setting gets a folder of this machine.
+    A session made elsewhere without that setting gets one only where driver and
+    executors are one process.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not is_local(spark):
+        if not spark.conf.get("spark.master", "").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="tarn-")
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tarn-"))
+        shared = spark.sparkContext.getCheckpointDir()
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import constants as K
 from ..functions.keys import below_folder
 from ..session import work_dir
 
@@ -63,27 +66,41 @@ def list_objects(spark: SparkSession, root: str, name_glob: str | None = None) -
     )
 
 
+# Entries of one record batch of a listing.
+LISTED = 10_000
+
+
 def _list_level(spark: SparkSession, folders: DataFrame, root: str) -> DataFrame:
-    """The direct contents of each folder; every folder is listed by some task."""
+    """The direct contents of each folder; every folder is listed by some task, in batches of ``LISTED``."""
 
     def contents(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(root)
+        local = isinstance(store, fs.LocalFileSystem)
         for block in blocks:
             for path in block.column("path").to_pylist():
-                found = store.get_file_info(fs.FileSelector(path))
-                yield pa.record_batch(
-                    {
-                        "path": pa.array([f.path for f in found], pa.string()),
-                        "folder": pa.array([f.type == fs.FileType.Directory for f in found], pa.bool_()),
-                        "size_bytes": pa.array([f.size for f in found], pa.int64()),
-                        "modified_ns": pa.array([f.mtime_ns for f in found], pa.int64()),
-                    }
-                )
+                found = _local_entries(path) if local else _store_entries(store, path)
+                while part := list(islice(found, LISTED)):
+                    yield pa.RecordBatch.from_pylist(
+                        [dict(zip(("path", "folder", "size_bytes", "modified_ns"), e)) for e in part],
+                        pa.schema([("path", pa.string()), ("folder", pa.bool_()), ("size_bytes", pa.int64()), ("modified_ns", pa.int64())]))
 
     tasks = spark.sparkContext.defaultParallelism
     return folders.repartition(tasks, "path").mapInArrow(contents, LISTING)
 
 
+def _local_entries(path: str) -> Iterator[tuple]:
+    """Entries one by one, so a folder of any length needs no memory."""
+    with os.scandir(path) as entries:
+        for e in entries:
+            stat = e.stat()
+            yield e.path, e.is_dir(), None if e.is_dir() else stat.st_size, stat.st_mtime_ns
+
+
+def _store_entries(store, path: str) -> Iterator[tuple]:
+    for f in store.get_file_info(fs.FileSelector(path)):
+        yield f.path, f.type == fs.FileType.Directory, f.size, f.mtime_ns
+
+
 def _store_root(spark: SparkSession, root: str) -> tuple[str, DataFrame]:
     uri = re.sub(r"^s3[an]://", "s3://", _plain_root(root))
     inside = re.sub(r"^[a-z0-9+]+://", "", uri)
@@ -96,8 +113,8 @@ def list_buckets(spark: SparkSession, root: str) -> DataFrame:
     return _list_level(spark, top, uri).where("folder").select(F.substring_index("path", "/", -1).alias("bucket"))
 
 
-def walk_objects(spark: SparkSession, root: str) -> DataFrame:
-    """Complete inventory below ``root``, with empty files and every name.
+def walk_objects(spark: SparkSession, root: str, bucket: str | None = None) -> DataFrame:
+    """Complete inventory below ``root``, with empty files and every name; of one bucket if it is named.
 
     Goes down one folder level at a time: each level is a Spark job whose tasks
     list the folders the level above has found.  The levels are written to the
@@ -106,6 +123,8 @@ def walk_objects(spark: SparkSession, root: str) -> DataFrame:
     """
     uri, level = _store_root(spark, root)
     base = re.sub(r"^[a-z0-9+]+://", "", uri) + "/"
+    if bucket:
+        level = level.select(F.concat("path", F.lit(f"/{bucket}")).alias("path"))
     out, depth = work_dir(spark, "listing"), 0
     while depth == 0 or not level.isEmpty():
         _list_level(spark, level, uri).write.parquet(f"{out}/depth={depth}")
@@ -129,5 +148,5 @@ def read_inventory(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 
 def scan_images(spark: SparkSession, root: str) -> DataFrame:
-    """Inventory of the image files below ``root``; no pixels are read."""
-    return list_objects(spark, root, "*.{[pP][nN][gG],[jJ][pP][gG],[jJ][pP][eE][gG]}")
+    """Inventory of all image files below ``root``, whatever their names begin with; no pixels are read."""
+    return walk_objects(spark, root).where(F.lower("key").rlike(rf"\.({'|'.join(K.IMAGE_EXTENSIONS)})$"))

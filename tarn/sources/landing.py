@@ -1,59 +1,157 @@
-"""Landed tables: one folder per batch, read back as the last write of each key.
+"""Landed tables: a snapshot and the batches after it, read back as the last write of each key.
 
-A batch is written as a whole folder, so writing it again after a failure
-replaces it and adds nothing.  Older batches are never rewritten; ``compact``
-turns many batches into one when reading them all becomes slow.
+    <table>/batches/landing_batch=<n>     rows of one batch
+    <table>/snapshots/landing_batch=<n>   the table as it was after batch n
+    <table>/_owner                        who numbers the batches
+
+The folder names are the manifest: a folder counts once Spark has marked it as
+complete.  Readers take the newest snapshot and the batches after it and nothing
+else; ``compact`` makes a new snapshot in place and removes what no reader needs.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.keyed import latest_by_key
+from .inventory import walk_objects
 
 BATCH = "landing_batch"
+BATCHES, SNAPSHOTS = "batches", "snapshots"
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def _complete(spark: SparkSession, table: str, part: str) -> list[int]:
+    """Numbers of the complete folders: two listings of a few names each, however many rows they hold."""
+    store, top = _files(spark, f"{table.rstrip('/')}/{part}")
+    if not store.exists(top):
+        return []
+    found = []
+    for entry in store.listStatus(top):
+        name = re.fullmatch(rf"{BATCH}=(-?\d+)", entry.getPath().getName())
+        if name and store.exists(_files(spark, f"{entry.getPath().toString()}/_SUCCESS")[1]):
+            found.append(int(name[1]))
+    return sorted(found)
+
+
+def current_folders(spark: SparkSession, table: str) -> tuple[list[int], list[int]]:
+    """The newest snapshot, if any, and the batches after it."""
+    snapshots, batches = (_complete(spark, table, part) for part in (SNAPSHOTS, BATCHES))
+    newest = snapshots[-1:]
+    return newest, [b for b in batches if not newest or b > newest[0]]
+
+
+def claim(spark: SparkSession, table: str, owner: str) -> None:
+    """Bind a table to the one that numbers its batches; another one is refused."""
+    store, mark = _files(spark, f"{table.rstrip('/')}/_owner")
+    if not store.exists(mark):
+        out = store.create(mark, False)
+        out.write(bytearray(owner.encode()))
+        out.close()
+    stream = store.open(mark)
+    known = bytes(stream.readAllBytes()).decode()
+    stream.close()
+    if known != owner:
+        raise ValueError(f"{table} belongs to {known}; {owner} would number its batches anew")
 
 
 def land_batch(df: DataFrame, table: str, batch_id: int) -> None:
-    """Write one batch; the same ``batch_id`` again replaces it."""
-    df.write.mode("overwrite").parquet(f"{table.rstrip('/')}/{BATCH}={batch_id}")
+    """Write one batch; the same ``batch_id`` again replaces it.  A batch that a snapshot holds is done."""
+    newest, _ = current_folders(df.sparkSession, table)
+    if not newest or batch_id > newest[0]:
+        df.write.mode("overwrite").parquet(f"{table.rstrip('/')}/{BATCHES}/{BATCH}={batch_id}")
 
 
 def land_objects(
-    df: DataFrame, table: str, uploader: str, key: list[str], order: list[str], batch_id: int = 0
+    df: DataFrame, table: str, uploader: str, key: list[str], order: list[str], batch_id: int
 ) -> None:
-    """Write arrivals with their uploader, one row per key."""
-    stamped = df.withColumn("uploader", F.lit(uploader))
-    land_batch(latest_by_key(stamped, key, order), table, batch_id)
+    """Write arrivals with their uploader, one row per key, as the batch of that number.
+
+    Landing the same rows again under their number changes nothing; other rows
+    under a number that is taken are refused, as they would erase the first ones.
+    """
+    spark = df.sparkSession
+    arrivals = latest_by_key(df.withColumn("uploader", F.lit(uploader)), key, order)
+    newest, batches = current_folders(spark, table)
+    if newest and batch_id <= newest[0]:
+        raise ValueError(f"batch {batch_id} of {table} is part of a snapshot already")
+    if batch_id in batches:
+        there = spark.read.parquet(f"{table.rstrip('/')}/{BATCHES}/{BATCH}={batch_id}").select(*arrivals.columns)
+        if not there.exceptAll(arrivals).isEmpty() or not arrivals.exceptAll(there).isEmpty():
+            raise ValueError(f"batch {batch_id} of {table} holds other rows")
+        return
+    land_batch(arrivals, table, batch_id)
 
 
 def read_latest(spark: SparkSession, table: str, key: list[str], order: list[str]) -> DataFrame:
     """Last write of every key; a later batch wins a tie."""
-    landed = spark.read.option("basePath", table).parquet(table)
-    return latest_by_key(landed, key, [*order, BATCH]).drop(BATCH)
+    root = table.rstrip("/")
+    parts = [
+        spark.read.option("basePath", f"{root}/{part}").parquet(*[f"{root}/{part}/{BATCH}={n}" for n in numbers])
+        for part, numbers in zip((SNAPSHOTS, BATCHES), current_folders(spark, table)) if numbers
+    ]
+    if not parts:
+        raise ValueError(f"nothing has landed in {table}")
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return latest_by_key(rows, key, [*order, BATCH]).drop(BATCH)
 
 
-def compact(
-    spark: SparkSession, table: str, target: str, key: list[str], order: list[str],
-    partition_by: list[str] | None = None,
-) -> None:
-    """Write the current rows of ``table`` as the first batch of a new table."""
-    writer = read_latest(spark, table, key, order).write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{target.rstrip('/')}/{BATCH}=-1")
+def compact(spark: SparkSession, table: str, key: list[str], order: list[str]) -> None:
+    """Make the current rows a snapshot and remove the folders before the last snapshot.
+
+    The folders of the last snapshot and its batches stay until the next
+    call, for readers that are at work.  A call that is cut off changes nothing
+    for readers, and the next one starts over.
+    """
+    newest, batches = current_folders(spark, table)
+    if not batches:
+        return
+    root, until = table.rstrip("/"), batches[-1]
+    read_latest(spark, table, key, order).write.mode("overwrite").parquet(f"{root}/{SNAPSHOTS}/{BATCH}={until}")
+    for last in newest:
+        old = [(SNAPSHOTS, n) for n in _complete(spark, table, SNAPSHOTS) if n < last]
+        old += [(BATCHES, n) for n in _complete(spark, table, BATCHES) if n <= last]
+        for part, number in old:
+            store, folder = _files(spark, f"{root}/{part}/{BATCH}={number}")
+            store.delete(folder, True)
 
 
 def dropped_files(spark: SparkSession, drop_path: str, bucket: str, uploader: str) -> DataFrame:
-    """Inventory rows for the files in a drop folder, under their bare names."""
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(drop_path)
-        .select(
-            F.lit(bucket).alias("bucket"),
-            F.substring_index("path", "/", -1).alias("key"),
-            F.col("length").alias("size_bytes"),
-            F.col("modificationTime").alias("last_modified"),
-            F.lit(uploader).alias("uploader"),
-        )
+    """Inventory rows for all files in and below a drop folder, under their bare names.
+
+    Empty files and every name are listed.
+    """
+    folder = drop_path.rstrip("/")
+    above, _, name = folder.rpartition("/")
+    found = walk_objects(spark, above, name)
+    return found.select(
+        F.lit(bucket).alias("bucket"),
+        F.substring_index("key", "/", -1).alias("key"),
+        "size_bytes", "last_modified",
+        F.lit(uploader).alias("uploader"),
     )
+
+
+def land_drops(
+    spark: SparkSession, drop_path: str, table: str, bucket: str, uploader: str, batch_id: int
+) -> None:
+    """Land the files of a drop folder that the table does not have yet, as a job run at every poll.
+
+    A file counts as new if its key is, or if it was changed after the landed one.
+    """
+    key, order = ["bucket", "key"], ["last_modified"]
+    arrivals = dropped_files(spark, drop_path, bucket, uploader)
+    newest, batches = current_folders(spark, table)
+    if newest or batches:
+        known = read_latest(spark, table, key, order).select(*key, F.col("last_modified").alias("_landed")).hint("rebalance")
+        arrivals = arrivals.join(known, key, "left").where(
+            F.col("_landed").isNull() | (F.col("last_modified") > F.col("_landed"))).drop("_landed")
+    land_objects(arrivals, table, uploader, key, order, batch_id)

@@ -29,14 +29,48 @@ SNAPSHOT_SCHEMA = (
 )
 
 JOBS_SCHEMA = (
-    "app_id STRING, jobs ARRAY<STRUCT<jobId: BIGINT, name: STRING, status: STRING, numTasks: BIGINT, "
+    "jobs ARRAY<STRUCT<jobId: BIGINT, name: STRING, status: STRING, numTasks: BIGINT, "
     "numCompletedTasks: BIGINT, numActiveTasks: BIGINT>>"
 )
 
+# Where the driver's interface keeps an application's id in the path of its jobs.
+APP_IN_PATH = r"/applications/([^/]+)/"
 
-def read_container_stats(spark: SparkSession, path: str) -> DataFrame:
-    """One row per container sample; every missing level counts as zero."""
-    return flatten_container_stats(spark.read.schema(STATS_SCHEMA).json(path))
+_BROKEN = "_broken"
+
+
+def read_texts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Payload texts with their file: each file is one payload, as services send it, or with ``lines`` each line."""
+    return with_files(spark.read.option("recursiveFileLookup", True).text(path, wholetext=not lines))
+
+
+def with_files(texts: DataFrame) -> DataFrame:
+    return texts.select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.unix_millis(F.col("_metadata.file_modification_time")).alias("arrived"),
+    ).where(F.trim("value") != "")
+
+
+def parsed(texts: DataFrame, schema: str, value: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Payloads that fit ``schema``, as its columns after ``file`` and ``arrived``; and the others as they came.
+
+    A text that is cut off, or has a value of another type anywhere, is broken as a whole:
+    its missing parts would read as zeros.
+    """
+    shape = f"{schema}, {_BROKEN} STRING"
+    body = F.col("value") if value is None else value
+    read = texts.withColumn("_p", F.from_json(body, shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}))
+    good = F.col("_p").isNotNull() & F.col(f"_p.{_BROKEN}").isNull()
+    return (
+        read.where(good).select("file", "arrived", "_p.*").drop(_BROKEN),
+        read.where(~good).select("file", "value"),
+    )
+
+
+def read_container_stats(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One row per container sample, every missing level as zero; and the broken payloads."""
+    raw, broken = parsed(read_texts(spark, path, lines), STATS_SCHEMA)
+    return flatten_container_stats(raw), broken
 
 
 def flatten_container_stats(raw: DataFrame) -> DataFrame:
@@ -54,6 +88,12 @@ def flatten_container_stats(raw: DataFrame) -> DataFrame:
     )
 
 
+def snapshots_of(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Polls from payload texts, streams included; a poll without a number takes the time its file arrived."""
+    raw, broken = parsed(texts, SNAPSHOT_SCHEMA)
+    return raw.withColumn("snapshot_id", F.coalesce("snapshot_id", "arrived")).drop("file", "arrived"), broken
+
+
 def snapshot_workers(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("snapshot_id", F.explode("workers").alias("w")).select(
         "snapshot_id", "w.id", "w.host", "w.port", "w.cores", "w.coresused", "w.memory", "w.memoryused"
@@ -61,7 +101,7 @@ def snapshot_workers(snapshots: DataFrame) -> DataFrame:
 
 
 def snapshot_apps(snapshots: DataFrame) -> DataFrame:
-    """All applications of all polls, active and completed, in one pass."""
+    """All applications of all polls, active and completed, in one pass, under the names the operators take."""
     empty = F.array().cast(f"ARRAY<{_APP}>")
 
     def marked(column: str, active: bool) -> Column:
@@ -70,29 +110,40 @@ def snapshot_apps(snapshots: DataFrame) -> DataFrame:
 
     both = F.concat(marked("activeapps", True), marked("completedapps", False))
     return snapshots.select("snapshot_id", F.explode(both).alias("e")).select(
-        "snapshot_id", "e.active", "e.app.*"
+        "snapshot_id", "e.active", F.col("e.app.id").alias("app_id"), "e.app.name", F.col("e.app.user").alias("user_id"),
+        "e.app.cores", "e.app.memoryperslave", "e.app.state", F.col("e.app.duration").alias("duration_ms"),
+        F.timestamp_millis("e.app.starttime").alias("start_ts"),
     )
 
 
 def active_apps(apps: DataFrame) -> DataFrame:
-    return apps.where("active").select("snapshot_id", "id", "name", "user", "cores", "memoryperslave", "duration")
+    return apps.where("active").select("snapshot_id", "app_id", "name", "user_id", "cores", "memoryperslave", "duration_ms")
 
 
 def completed_apps(apps: DataFrame) -> DataFrame:
-    return apps.where(~F.col("active")).select("snapshot_id", "id", "name", "user", "state", "duration", "starttime")
+    return apps.where(~F.col("active")).select("snapshot_id", "app_id", "name", "user_id", "state", "duration_ms", "start_ts")
 
 
-def read_cluster_snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Workers, active and completed applications; a missing array is empty."""
-    raw = spark.read.schema(SNAPSHOT_SCHEMA).json(path)
+def read_cluster_snapshots(
+    spark: SparkSession, path: str, lines: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Workers, active and completed applications, a missing array as empty; and the broken payloads."""
+    raw, broken = snapshots_of(read_texts(spark, path, lines))
     apps = snapshot_apps(raw)
-    return snapshot_workers(raw), active_apps(apps), completed_apps(apps)
+    return snapshot_workers(raw), active_apps(apps), completed_apps(apps), broken
+
 
+def read_app_jobs(
+    spark: SparkSession, path: str, app_in_path: str = APP_IN_PATH, lines: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """One row per job of every application; and the broken payloads.
 
-def read_app_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per job of every application payload."""
-    raw = spark.read.schema(JOBS_SCHEMA).json(path)
-    return raw.select("app_id", F.explode("jobs").alias("j")).select(
+    A payload is the array of an application's jobs; the application is named in the path of the file.
+    """
+    texts = read_texts(spark, path, lines)
+    raw, broken = parsed(texts, JOBS_SCHEMA, F.concat(F.lit('{"jobs": '), F.col("value"), F.lit("}")))
+    app = F.url_decode(F.regexp_extract("file", app_in_path, 1))
+    return raw.select(app.alias("app_id"), F.explode("jobs").alias("j")).select(
         "app_id",
         F.col("j.jobId").alias("job_id"),
         F.col("j.name").alias("job_name"),
@@ -100,7 +151,7 @@ def read_app_jobs(spark: SparkSession, path: str) -> DataFrame:
         F.col("j.numTasks").alias("num_tasks"),
         F.col("j.numCompletedTasks").alias("completed_raw"),
         F.col("j.numActiveTasks").alias("active_raw"),
-    )
+    ), broken
 
 
 def first_driver_app(payloads: DataFrame, apps: str = "apps") -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.keys import preview_type
 
 # Cell texts that count as missing.
 MISSING_TEXTS = (
@@ -25,8 +24,12 @@ def _head(df: DataFrame, n: int) -> DataFrame:
 
 
 def sample_text(spark: SparkSession, path: str, n: int = K.PREVIEW_ROWS) -> DataFrame:
-    """First ``n`` lines, split at ``\\n`` alone; stops reading after them."""
-    return _head(spark.read.option("lineSep", "\n").text(path), n)
+    """First ``n`` lines, split at ``\\n`` alone; stops reading after them.
+
+    Lines that are no valid UTF-8 fail the sample when it is read.
+    """
+    lines = _head(spark.read.option("lineSep", "\n").text(path), n)
+    return lines.select(F.validate_utf8("value").alias("value"))
 
 
 def sample_parquet(spark: SparkSession, path: str, n: int = K.PREVIEW_ROWS) -> DataFrame:
@@ -34,9 +37,9 @@ def sample_parquet(spark: SparkSession, path: str, n: int = K.PREVIEW_ROWS) -> D
 
 
 def sample_csv(spark: SparkSession, path: str, n: int = K.PREVIEW_ROWS) -> DataFrame:
-    """Header and first ``n`` rows, with types taken from these rows alone."""
+    """Header and first ``n`` rows, with types taken from these rows alone; a quoted cell may hold line breaks."""
     rows = _head(
-        spark.read.option("header", True).option("multiLine", False)
+        spark.read.option("header", True).option("multiLine", True)
         .option("escape", '"').option("nullValue", "").csv(path),
         n,
     )
@@ -81,31 +84,41 @@ def _with_types_of_rows(rows: DataFrame) -> DataFrame:
     return cleaned.select(*[typed(i, c) for i, c in enumerate(cleaned.columns)])
 
 
-def sample_object(spark: SparkSession, path: str, n: int = K.PREVIEW_ROWS) -> DataFrame:
-    """Sample of one object by the type its name gives.
+def type_of(key: str) -> str:
+    """What ``preview_type`` says of one key, without a job."""
+    ending = key.rsplit(".", 1)[-1].lower()
+    if key.endswith(K.HIDDEN_MARKER):
+        return "info"
+    if ending in K.IMAGE_EXTENSIONS:
+        return "image"
+    if ending in ("csv", "parquet") or K.PART_MARKER in key:
+        return "table"
+    return "text" if ending == "txt" else "unknown"
+
+
+def sample_object(spark: SparkSession, root: str, key: str, n: int = K.PREVIEW_ROWS) -> DataFrame:
+    """Sample of the object ``key`` below ``root``, by the type its key gives.
 
     An object that cannot be read gives one row with the error text, as does a
-    type without preview.
+    type without preview.  The sample, ``n`` rows at most, is read here, so that a
+    fault in the content is met as well.
     """
     def message(kind: str, text: str) -> DataFrame:
         return spark.range(1).select(F.lit(kind).alias("type"), F.lit(text).alias("preview_content"))
 
-    # The type follows from the name alone; one row decides which reader to use.
-    kind = spark.range(1).select(preview_type(F.lit(path))).first()[0]
+    path, kind = f"{root.rstrip('/')}/{key}", type_of(key)
     if kind == "info":
         return message(kind, K.INFO_TEXT)
+    if kind == "image":
+        return scan_one_image(spark, path)
+    if kind == "unknown":
+        return message(kind, K.NO_PREVIEW_TEXT)
+    read = sample_text if kind == "text" else sample_csv if key.lower().endswith(".csv") else sample_parquet
     try:
-        if kind == "table" and path.lower().endswith(".csv"):
-            return sample_csv(spark, path, n)
-        if kind == "table":
-            return sample_parquet(spark, path, n)
-        if kind == "text":
-            return sample_text(spark, path, n)
+        sample = read(spark, path, n)
+        return spark.createDataFrame(sample.collect(), sample.schema)
     except Exception as error:  # any reader fault becomes the preview text
         return message("unknown", K.PREVIEW_ERROR_PREFIX + str(error).split("\n")[0])
-    if kind == "image":
-        return scan_one_image(spark, path)
-    return message("unknown", K.NO_PREVIEW_TEXT)
 
 
 def scan_one_image(spark: SparkSession, path: str) -> DataFrame:

@@ -30,18 +30,24 @@ def cut_block(block: pd.DataFrame, n: int) -> pd.DataFrame:
 
 
 class KeepNewest(StatefulProcessor):
-    """Holds at most ``n`` points per series; a shutdown clears what came before it."""
+    """Holds at most ``n`` points per series, and when it was shut down last.
+
+    A shutdown hides the points up to its time, whenever they arrive.
+    """
 
     def __init__(self, n: int) -> None:
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.points = handle.getListState("points", POINT)
+        self.ended = handle.getValueState("ended", "at BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         newest = [tuple(p) for p in self.points.get()]
         heapq.heapify(newest)
-        version, ended = max(newest, default=(None,))[0], None
+        known = self.ended.get()
+        ended = known[0] if known else None
+        version = max([p[0] for p in newest] + ([ended] if ended is not None else []), default=None)
         for row in rows:
             version = row.at if version is None else max(version, row.at)
             if row.gone:
@@ -55,6 +61,8 @@ class KeepNewest(StatefulProcessor):
             self.points.put(kept)
         else:
             self.points.clear()
+        if ended is not None:
+            self.ended.update((ended,))
         yield Row(series=key[0], version=version, points=[Row(at=t, point_id=i, value=v) for t, i, v in kept])
 
     def close(self) -> None:
@@ -64,6 +72,8 @@ class KeepNewest(StatefulProcessor):
 def rolling_history(points: DataFrame, n: int = K.HISTORY_POINTS) -> DataFrame:
     """The newest ``n`` points of each series after every micro-batch, for update mode.
 
+    The state is ``n`` points and one time for each series, for good.
+
     ``points`` has ``series, ts, point_id, value`` and may have ``gone``.  Before
     the shuffle every Arrow block is cut to ``n`` points per series, so a series
     with very many points does not send them all to the task that keeps it.

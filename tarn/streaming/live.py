@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators.usage import latest_per_role, metrics_of_roles
-from ..sources.payloads import snapshot_apps
+from ..sources.payloads import snapshot_apps, snapshots_of, with_files
 
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -15,23 +15,30 @@ def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def metrics_stream(samples: DataFrame, order: list[str], delay: str = "10 seconds") -> DataFrame:
-    """Workspace metrics of each user for every three-second window."""
+def metrics_stream(samples: DataFrame, order: list[str], delay: str) -> DataFrame:
+    """Workspace metrics of each user for every three-second window, for update mode.
+
+    A window comes out with every micro-batch that adds to it, so the last one is
+    seen at once; landed by user and window with ``version``, its newest sample, the
+    table holds each window as it is by now.  Samples that are later than ``delay`` are dropped.
+    """
     newest = (
         event_time(samples)
         .withWatermark("ts", delay)
         .groupBy("usuario", F.window("ts", f"{K.METRICS_SECONDS} seconds").alias("w"))
-        .agg(*latest_per_role(order))
+        .agg(*latest_per_role(order), F.max(F.struct(*order)).alias("version"))
         .withColumn("window_start", F.col("w.start"))
     )
-    return metrics_of_roles(newest, ["usuario", "window_start"])
+    return metrics_of_roles(newest, ["usuario", "window_start", "version"])
 
 
-def idle_sessions(heartbeats: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def idle_sessions(heartbeats: DataFrame, delay: str) -> DataFrame:
     """A row for each session once its user has been silent for the timeout.
 
     In append mode the row comes out when the watermark passes the last
-    heartbeat plus the timeout: that is the moment the user counts as idle.
+    heartbeat plus the timeout: that is the moment the user counts as idle.  The
+    watermark is that of all users, so ``delay`` has to cover how late a heartbeat may
+    arrive behind those of others; later ones are dropped.
     """
     return (
         event_time(heartbeats)
@@ -57,9 +64,16 @@ def last_seen(heartbeats: DataFrame) -> DataFrame:
     )
 
 
-def app_status(snapshots: DataFrame) -> DataFrame:
-    """Applications of every poll; landed by ``id``, each poll replaces the one before."""
-    return snapshot_apps(snapshots)
+def app_status(payloads: DataFrame) -> DataFrame:
+    """Applications of every poll; landed by ``app_id``, each poll replaces the one before.
+
+    ``payloads`` is a stream of whole texts; ``broken_polls`` gives those left out here.
+    """
+    return snapshot_apps(snapshots_of(with_files(payloads))[0])
+
+
+def broken_polls(payloads: DataFrame) -> DataFrame:
+    return snapshots_of(with_files(payloads))[1]
 
 
 def present(users: DataFrame) -> DataFrame:

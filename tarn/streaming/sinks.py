@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.keyed import latest_by_key
 from ..session import stream_settings
-from ..sources.landing import land_batch
+from ..sources.landing import _files, claim, compact, land_batch
 
 
-def read_files(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, max_files: int | None = None) -> DataFrame:
+def read_files(
+    spark: SparkSession, path: str, fmt: str = "parquet", schema=None, max_files: int | None = None, **options
+) -> DataFrame:
     """A stream of the files at ``path``; Parquet takes its schema from a footer."""
     shape = schema if schema is not None else spark.read.format(fmt).load(path).schema
-    reader = spark.readStream.format(fmt).schema(shape)
+    reader = spark.readStream.format(fmt).schema(shape).options(**options)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(path)
@@ -26,20 +30,41 @@ def append_files(stream: DataFrame, path: str, checkpoint: str, every: str | Non
         return _triggered(writer, every).start(path)
 
 
+def owner_of(spark: SparkSession, checkpoint: str) -> str:
+    """An id that lives and dies with a checkpoint, as the batch numbers do."""
+    store, mark = _files(spark, f"{checkpoint.rstrip('/')}/_landing_owner")
+    if not store.exists(mark):
+        out = store.create(mark, False)
+        out.write(bytearray(uuid.uuid4().hex.encode()))
+        out.close()
+    stream = store.open(mark)
+    owner = bytes(stream.readAllBytes()).decode()
+    stream.close()
+    return owner
+
+
 def land_latest(
     stream: DataFrame, table: str, checkpoint: str, key: list[str], order: list[str],
-    mode: str = "update", every: str | None = None, rocksdb: bool = False,
+    mode: str = "update", every: str | None = None, keyed: bool = False, compact_every: int = 100,
 ) -> StreamingQuery:
     """Land each micro-batch reduced to the last row of every key.
 
-    A micro-batch that runs again replaces its own folder.  One table belongs to
-    one checkpoint, as the batch numbers come from it.
+    A micro-batch that runs again replaces its own folder.  The table belongs to
+    the checkpoint, as the batch numbers come from it; a stream with another one is
+    refused.  Every ``compact_every`` batches the table becomes a snapshot, so that
+    neither folders nor reads grow with the age of the stream.  With ``keyed`` the
+    stream gives each key once per batch already.
     """
+    spark = stream.sparkSession
+    claim(spark, table, owner_of(spark, checkpoint))
+
     def land(batch: DataFrame, batch_id: int) -> None:
-        land_batch(latest_by_key(batch, key, order), table, batch_id)
+        land_batch(batch if keyed else latest_by_key(batch, key, order), table, batch_id)
+        if batch_id % compact_every == compact_every - 1:
+            compact(batch.sparkSession, table, key, order)
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(land)
-    with stream_settings(stream.sparkSession, rocksdb=rocksdb):
+    with stream_settings(spark):
         return _triggered(writer, every).start()
 
 

@@ -12,7 +12,6 @@ from tarn.operators import inventory as I
 from tarn.operators import keyed as U
 from tarn.operators import layers as M
 from tarn.operators import sessions as S
-from tarn.operators import skew
 from tarn.operators import usage as R
 
 GB = 1024**3
@@ -178,8 +177,8 @@ def test_last_n_keeps_all_of_short_series(spark):
     assert got == sorted([("a", i) for _, i in newest] + [("b", i) for i in range(3)], key=lambda r: tuple((True, str(x)) for x in r))
 
 
-@pytest.mark.parametrize("max_rows", [1_000_000, 10])
-def test_counter_delta_is_the_same_with_and_without_cells(spark, max_rows):
+@pytest.mark.parametrize("cell", ["minute", "hour", "year"])
+def test_counter_delta_is_the_same_for_any_cell(spark, cell):
     rng = Random(4)
     data = []
     for i in range(400):  # "hot" holds most rows, with quiet hours between
@@ -187,7 +186,7 @@ def test_counter_delta_is_the_same_with_and_without_cells(spark, max_rows):
         data.append((i, T0 + timedelta(minutes=rng.choice([0, 1, 61, 600, 5000]) + rng.randrange(90)), series, rng.randrange(10**6)))
     samples = spark.createDataFrame(data, "event_id bigint, ts timestamp_ntz, usuario string, total bigint")
     got = {r["event_id"]: r["total_step"] for r in
-           R.counter_delta(samples, ["usuario"], "ts", ["ts", "event_id"], ["total"], max_rows=max_rows).collect()}
+           R.counter_delta(samples, ["usuario"], "ts", ["ts", "event_id"], ["total"], cell=cell).collect()}
     want, last = {}, {}
     for i, t, series, total in sorted(data, key=lambda r: (r[1], r[0])):
         want[i] = total - last.get(series, 0)
@@ -195,13 +194,6 @@ def test_counter_delta_is_the_same_with_and_without_cells(spark, max_rows):
     assert got == want
 
 
-def test_hot_keys(spark):
-    data = spark.createDataFrame([("a",)] * 9 + [("b",)] * 2, "k string")
-    assert rows(skew.hot_keys(data, ["k"], 5)) == [("a", True)]
-    assert rows(skew.hot_keys(data, ["k"], 9)) == []
-    assert skew.mark_hot(data, ["k"], 5).count() == 11
-
-
 # --- sessions --------------------------------------------------------------
 
 def beats(spark, data):
@@ -298,7 +290,22 @@ def test_silver_and_gold(spark):
         [("1", "2.50", None, "x"), ("1", "3.25", "ana", "x"), ("2", "bad", "bo", "y")], "id string, v string, uploader string, extra string"
     )
     numbered = bronze.withColumn("n", F.when(F.col("v") == "2.50", 1).otherwise(2))
-    silver = M.to_silver(numbered, {"id": "bigint", "v": "decimal(9,2)", "uploader": "string", "n": "int"}, ["id"], ["n"])
-    assert [(i, u) for i, u in rows(silver, "id", "uploader")] == [(1, "ana"), (2, "bo")]
+    silver, failed = M.to_silver(numbered, {"id": "bigint", "v": "decimal(9,2)", "uploader": "string", "n": "int"}, ["id"], ["n"])
+    assert [(i, u) for i, u in rows(silver, "id", "uploader")] == [(1, "ana")]
+    assert rows(failed, "id", "v", "extra", "failed") == [("2", "bad", "y", ["v"])]
     gold = M.to_gold(silver, ["uploader"], [F.sum("v").alias("total")])
-    assert [(u, None if t is None else float(t)) for u, t in rows(gold)] == [("ana", 3.25), ("bo", None)]
+    assert [(u, None if t is None else float(t)) for u, t in rows(gold)] == [("ana", 3.25)]
+
+
+def test_rows_that_do_not_fit_replace_nothing(spark):
+    bronze = spark.createDataFrame([("x", 1), ("y", 2), ("z", 3), ("7", 4), (None, 5), (None, 6)], "k string, at int")
+    silver, failed = M.to_silver(bronze, {"k": "bigint", "at": "int"}, ["k"], ["at"])
+    assert rows(silver) == [(None, 6), (7, 4)]
+    assert rows(failed, "k") == [("x",), ("y",), ("z",)]
+
+
+def test_merge_and_upsert_agree_on_null_keys(spark):
+    base = spark.createDataFrame([(None, 1, "old"), ("a", 1, "old"), ("b", 5, "old")], "k string, at int, v string")
+    updates = spark.createDataFrame([(None, 2, "new"), (None, 1, "late"), ("b", 2, "late"), ("c", 1, "new")], "k string, at int, v string")
+    merged = U.merge_updates(base, updates, ["k"], ["at"])
+    assert rows(merged) == rows(U.upsert_latest(base, updates, ["k"], ["at"])) and merged.count() == 4

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tarn.operators import apps as A
 from tarn.operators import inventory as I
+from tarn.functions.keys import preview_type
 from tarn.operators import layers as M
 from tarn.sources import inventory as SI
 from tarn.sources import landing as SL
@@ -76,7 +77,17 @@ def test_list_objects_reads_no_content(spark, lake):
 
 
 def test_scan_images(spark, lake):
-    assert rows(SI.scan_images(spark, lake), "bucket", "key") == [("silver", "logo.PNG"), ("silver", "pic.jpeg")]
+    for name in ("_x.png", ".y.jpg", "z.JPEG", "png"):
+        write(f"{lake}/silver/{name}", "")
+    assert rows(SI.scan_images(spark, lake), "bucket", "key") == [
+        ("silver", k) for k in (".y.jpg", "_x.png", "logo.PNG", "pic.jpeg", "z.JPEG")]
+
+
+def test_long_folders_come_in_many_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SI, "LISTED", 7)
+    for k in range(30):
+        write(str(tmp_path / "lake" / "b" / f"f{k}"), "x" * k)
+    assert rows(SI.walk_objects(spark, str(tmp_path / "lake")), "key", "size_bytes") == sorted((f"f{k}", k) for k in range(30))
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
@@ -129,15 +140,32 @@ def test_sample_of_a_split_file_starts_at_its_head(spark, tmp_path):
 
 
 def test_sample_object(spark, lake, tmp_path):
-    assert SS.sample_object(spark, f"{lake}/bronze/raw/UPPER.CSV").first()[0] == 1
-    broken = SS.sample_object(spark, f"{lake}/bronze/part-0.json").first()
+    assert SS.sample_object(spark, lake, "bronze/raw/UPPER.CSV").first()[0] == 1
+    broken = SS.sample_object(spark, lake, "bronze/part-0.json").first()
     assert broken["type"] == "unknown" and broken["preview_content"].startswith("Erro ao gerar sample: ")
-    assert SS.sample_object(spark, f"{lake}/bronze/noext").first()["preview_content"] == "Pré-visualização não disponível."
-    assert SS.sample_object(spark, f"{lake}/x/_SUCCESS").first()["type"] == "info"
-    assert SS.sample_object(spark, f"{lake}/silver/logo.PNG").first()["length"] == 8
+    assert SS.sample_object(spark, lake, "bronze/noext").first()["preview_content"] == "Pré-visualização não disponível."
+    assert SS.sample_object(spark, lake, "x/_SUCCESS").first()["type"] == "info"
+    assert SS.sample_object(spark, lake, "silver/logo.PNG").first()["length"] == 8
     spark.range(30).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
     part = next(f for f in os.listdir(tmp_path / "t.parquet") if f.startswith("part-"))
-    assert [r[0] for r in SS.sample_object(spark, str(tmp_path / "t.parquet" / part)).collect()] == list(range(10))
+    assert [r[0] for r in SS.sample_object(spark, str(tmp_path), f"t.parquet/{part}").collect()] == list(range(10))
+    bad = SS.sample_object(spark, lake, "bronze/bad.txt").first()
+    assert bad["type"] == "unknown" and bad["preview_content"].startswith("Erro ao gerar sample: ")
+    write(str(tmp_path / "part-9" / "notes.txt"), "hello\n")
+    assert SS.sample_object(spark, str(tmp_path / "part-9"), "notes.txt").first()[0] == "hello"
+
+
+def test_type_of_a_key_is_that_of_the_expression(spark):
+    keys = ["a.csv", "a.CSV", "x/part-0", "x/part-1.txt", "t.parquet", "T.PARQUET", "n.txt", "i.PNG", "i.jpeg", "part-9/a.jpg", "_SUCCESS", "a_SUCCESS", "noext", "", ".", "csv"]
+    frame = spark.createDataFrame([(k,) for k in keys], "key string").select("key", preview_type("key").alias("t"))
+    assert {k: t for k, t in rows(frame)} == {k: SS.type_of(k) for k in keys}
+
+
+def test_sample_csv_like_pandas(spark, tmp_path):
+    text = 'id,note\n1,"x\ny"\n2,z\n\n3,"say ""hi"",\n\nbye"\nid,note\n'
+    path = write(str(tmp_path / "t.csv"), text)
+    frame = pd.read_csv(path, nrows=10)
+    assert [tuple(r) for r in SS.sample_csv(spark, path).collect()] == [tuple(r) for r in frame.itertuples(index=False)]
 
 
 def test_text_previews(spark, tmp_path):
@@ -168,33 +196,54 @@ def test_container_stats_defaults(spark, tmp_path):
         {"event_id": 4, "stats": {"memory_stats": {"usage": 1}, "cpu_stats": {"cpu_usage": {}}}},
     ]
     path = write(str(tmp_path / "s.json"), "\n".join(json.dumps(x) for x in lines))
-    got = rows(SP.read_container_stats(spark, path), "event_id", "mem_usage", "mem_cache", "mem_limit", "cpu_delta", "system_delta", "nano_cpus")
+    got = rows(SP.read_container_stats(spark, path, lines=True)[0], "event_id", "mem_usage", "mem_cache", "mem_limit", "cpu_delta", "system_delta", "nano_cpus")
     assert got == [(1, 10, 3, 20, 5, 40, 5), (2, 0, 0, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0, 0), (4, 1, 0, 0, 0, 0, 0)]
 
 
-def test_cluster_snapshots(spark, tmp_path):
-    app = {"id": "a1", "name": "n", "user": "u", "cores": 2, "memoryperslave": 1024, "duration": 5, "state": "RUNNING"}
-    polls = [
-        {"snapshot_id": 1, "workers": [{"id": "w", "host": "h", "port": 1, "cores": 4}], "activeapps": [app, {**app, "id": "a2"}]},
-        {"snapshot_id": 2, "completedapps": [{**app, "state": "KILLED"}], "activeapps": []},
-        {"snapshot_id": 3},
-    ]
-    path = write(str(tmp_path / "p.json"), "\n".join(json.dumps(x) for x in polls))
-    workers, active, completed = SP.read_cluster_snapshots(spark, path)
-    assert rows(workers, "snapshot_id", "id", "cores", "coresused") == [(1, "w", 4, None)]
+APP = {"id": "a1", "name": "n", "user": "u", "cores": 2, "memoryperslave": 1024, "duration": 5, "state": "RUNNING", "starttime": 1704067200000}
+POLLS = [
+    {"snapshot_id": 1, "workers": [{"id": "w", "host": "h", "port": 1, "cores": 4}, {"id": "v"}], "activeapps": [APP, {**APP, "id": "a2"}]},
+    {"snapshot_id": 2, "completedapps": [{**APP, "state": "KILLED"}], "activeapps": []},
+    {"snapshot_id": 3},
+]
+
+
+@pytest.mark.parametrize("how", ["lines", "files", "indented"])
+def test_cluster_snapshots(spark, tmp_path, how):
+    if how == "lines":
+        write(str(tmp_path / "p" / "all.json"), "\n".join(json.dumps(x) for x in POLLS) + "\n\n{\"snapshot_id\": 4, \"workers\": [{\n")
+    else:
+        for k, poll in enumerate(POLLS):
+            write(str(tmp_path / "p" / f"{k}.json"), json.dumps(poll, indent=2 if how == "indented" else None))
+        write(str(tmp_path / "p" / "cut.json"), "{\n \"snapshot_id\": 4, \"workers\": [{")
+    workers, active, completed, broken = SP.read_cluster_snapshots(spark, str(tmp_path / "p"), lines=how == "lines")
+    assert rows(workers, "snapshot_id", "id", "cores", "coresused") == [(1, "v", None, None), (1, "w", 4, None)]
     assert len(workers.columns) == 8
-    assert rows(active, "snapshot_id", "id") == [(1, "a1"), (1, "a2")]
-    assert rows(completed, "snapshot_id", "id", "state") == [(2, "a1", "KILLED")]
+    assert rows(active, "snapshot_id", "app_id") == [(1, "a1"), (1, "a2")]
+    assert rows(completed, "snapshot_id", "app_id", "state") == [(2, "a1", "KILLED")]
+    assert broken.count() == 1
+    assert A.recent_completed(completed).first()["duration"] == "0.0 s"
+    assert rows(A.app_state_counts(completed)) == [("KILLED", "bad", 1)]
+
+
+def test_poll_without_a_number_takes_its_time(spark, tmp_path):
+    write(str(tmp_path / "p.json"), json.dumps({"workers": [{"id": "w"}]}))
+    workers = SP.read_cluster_snapshots(spark, str(tmp_path / "p.json"))[0]
+    assert workers.first()["snapshot_id"] == int(os.path.getmtime(tmp_path / "p.json") * 1000)
 
 
 def test_app_jobs(spark, tmp_path):
-    payload = {"app_id": "a", "jobs": [{"jobId": 0, "name": "x", "status": "RUNNING", "numTasks": 8, "numCompletedTasks": 2, "numActiveTasks": 4},
-                                       {"jobId": 1, "name": "y", "status": "FAILED"}]}
-    path = write(str(tmp_path / "j.json"), json.dumps(payload) + "\n" + json.dumps({"app_id": "b", "jobs": []}))
-    got = A.with_progress(SP.read_app_jobs(spark, path))
-    assert rows(got, "app_id", "job_id", "total", "completed_percent", "active_percent") == [
+    jobs = [{"jobId": 0, "name": "x", "status": "RUNNING", "numTasks": 8, "numCompletedTasks": 2, "numActiveTasks": 4},
+            {"jobId": 1, "name": "y", "status": "FAILED"}]
+    write(str(tmp_path / "applications" / "a" / "jobs.json"), json.dumps(jobs, indent=1))
+    write(str(tmp_path / "applications" / "b" / "jobs.json"), "[]")
+    write(str(tmp_path / "applications" / "c" / "jobs.json"), json.dumps([{**jobs[0], "numTasks": "many"}]))
+    write(str(tmp_path / "applications" / "d" / "jobs.json"), json.dumps(jobs)[:40])
+    got, broken = SP.read_app_jobs(spark, str(tmp_path))
+    assert rows(A.with_progress(got), "app_id", "job_id", "total", "completed_percent", "active_percent") == [
         ("a", 0, 8, 25.0, 50.0), ("a", 1, 1, 0.0, 0.0)
     ]
+    assert [f.split("/")[-2] for f, in rows(broken, "file")] == ["c", "d"]
 
 
 def test_first_driver_app(spark):
@@ -204,28 +253,79 @@ def test_first_driver_app(spark):
 
 # --- landing ---------------------------------------------------------------
 
+SHAPE = "k string, at bigint, v string"
+
+
+def put(spark, table, data, number, who="ana"):
+    SL.land_objects(spark.createDataFrame(data, SHAPE), table, who, ["k"], ["at"], number)
+
+
 def test_landing_is_idempotent_and_last_write_wins(spark, tmp_path):
     table = str(tmp_path / "table")
-    shape = "k string, at bigint, v string"
-    first = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x"), ("a", 2, "y")], shape)
-    second = spark.createDataFrame([("a", 2, "tie"), ("c", 1, "z")], shape)
-    SL.land_objects(first, table, "ana", ["k"], ["at"], 0)
-    for _ in range(2):  # the second write replaces the first
-        SL.land_objects(second, table, "bo", ["k"], ["at"], 1)
+    put(spark, table, [("a", 1, "x"), ("b", 1, "x"), ("a", 2, "y")], 0)
+    for _ in range(2):  # the second one changes nothing
+        put(spark, table, [("a", 2, "tie"), ("c", 1, "z")], 1, "bo")
     want = [("a", 2, "tie", "bo"), ("b", 1, "x", "ana"), ("c", 1, "z", "bo")]
     columns = ["k", "at", "v", "uploader"]
     assert rows(SL.read_latest(spark, table, ["k"], ["at"]), *columns) == want
-    compacted = str(tmp_path / "compacted")
-    SL.compact(spark, table, compacted, ["k"], ["at"])
-    assert spark.read.parquet(compacted).count() == 3
-    SL.land_objects(spark.createDataFrame([("a", 2, "after")], shape), compacted, "cy", ["k"], ["at"], 0)
-    assert ("a", 2, "after", "cy") in rows(SL.read_latest(spark, compacted, ["k"], ["at"]), *columns)
+    with pytest.raises(ValueError):  # other rows under a taken number would erase the first ones
+        put(spark, table, [("z", 1, "x")], 1, "bo")
+    assert rows(SL.read_latest(spark, table, ["k"], ["at"]), *columns) == want
+
+
+def test_two_uploads_keep_both(spark, tmp_path):
+    table = str(tmp_path / "table")
+    with pytest.raises(TypeError):
+        SL.land_objects(spark.createDataFrame([("a", 1, "x")], SHAPE), table, "ana", ["k"], ["at"])
+    put(spark, table, [("a", 1, "x")], 0)
+    put(spark, table, [("b", 1, "x")], 1)
+    assert rows(SL.read_latest(spark, table, ["k"], ["at"]), "k") == [("a",), ("b",)]
+
+
+def test_reads_take_the_snapshot_and_later_batches_only(spark, tmp_path):
+    table = str(tmp_path / "table")
+    for n in range(6):
+        put(spark, table, [("a", n, "x"), (f"k{n}", 0, "x")], n)
+        if n in (2, 4):
+            SL.compact(spark, table, ["k"], ["at"])
+    assert SL.current_folders(spark, table) == ([4], [5])
+    latest = SL.read_latest(spark, table, ["k"], ["at"])
+    assert {f.split("/landing_batch=")[1].split("/")[0] for f in latest.inputFiles()} == {"4", "5"}
+    assert rows(latest, "k", "at") == [("a", 5)] + [(f"k{n}", 0) for n in range(6)]
+    assert sorted(os.listdir(f"{table}/batches")) == ["landing_batch=3", "landing_batch=4", "landing_batch=5"]
+    with pytest.raises(ValueError):
+        put(spark, table, [("z", 1, "x")], 3)
+    SL.land_batch(spark.createDataFrame([("z", 1, "x")], SHAPE), table, 3)  # a replayed batch the snapshot holds
+    assert rows(SL.read_latest(spark, table, ["k"], ["at"]), "k")[-1] != ("z",)
+
+
+def test_unfinished_folders_do_not_count(spark, tmp_path):
+    table = str(tmp_path / "table")
+    put(spark, table, [("a", 1, "x")], 0)
+    os.makedirs(f"{table}/batches/landing_batch=1")
+    os.makedirs(f"{table}/snapshots/landing_batch=0")
+    assert rows(SL.read_latest(spark, table, ["k"], ["at"]), "k") == [("a",)]
+    with pytest.raises(ValueError):
+        SL.read_latest(spark, str(tmp_path / "none"), ["k"], ["at"])
 
 
 def test_dropped_files(spark, tmp_path):
-    write(str(tmp_path / "drop" / "sub" / "f.csv"), "a\n")
+    for name, text in (("sub/f.csv", "a\n"), ("empty.csv", ""), (".x", "1"), ("_x", "22")):
+        write(str(tmp_path / "drop" / name), text)
     got = rows(SL.dropped_files(spark, str(tmp_path / "drop"), "bronze", "ana"), "bucket", "key", "size_bytes", "uploader")
-    assert got == [("bronze", "f.csv", 2, "ana")]
+    assert got == [("bronze", ".x", 1, "ana"), ("bronze", "_x", 2, "ana"), ("bronze", "empty.csv", 0, "ana"), ("bronze", "f.csv", 2, "ana")]
+
+
+def test_polls_of_a_drop_folder_land_what_is_new(spark, tmp_path):
+    drop, table = str(tmp_path / "drop"), str(tmp_path / "table")
+    write(f"{drop}/a", "1")
+    SL.land_drops(spark, drop, table, "b", "ana", 0)
+    write(f"{drop}/c", "")
+    os.utime(write(f"{drop}/a", "22"), (2e9, 2e9))
+    SL.land_drops(spark, drop, table, "b", "bo", 1)
+    SL.land_drops(spark, drop, table, "b", "cy", 2)
+    latest = SL.read_latest(spark, table, ["bucket", "key"], ["last_modified"])
+    assert rows(latest, "key", "size_bytes", "uploader") == [("a", 2, "bo"), ("c", 0, "bo")]
 
 
 def test_write_layer_splits_by_partition(spark, inv, tmp_path):

@@ -45,7 +45,7 @@ def test_text_1_is_exact(spark):
     "size, text",
     [
         (0, "0 B"), (1023, "1023 B"), (1024, "1.0 KB"), (1536, "1.5 KB"), (1048575, "1024.0 KB"),
-        (1048576, "1.0 MB"), (1073741823, "1024.0 MB"), (1073741824, "1.0 GB"), (5 * 1024**4, "5120.0 GB"),
+        (1048576, "1.0 MB"), (1073741823, "1024.0 MB"), (1073741824, "1.0 GB"), (5 * 1024**4, "5120.0 GB"), (10**7 * 1024**3, "10000000.0 GB"), (10**7 * 1024**3 + 2**28, "10000000.25 GB"),
     ],
 )
 def test_format_size_edges(spark, size, text):

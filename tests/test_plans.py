@@ -9,7 +9,6 @@ from tarn.operators import apps as A
 from tarn.operators import inventory as I
 from tarn.operators import keyed as U
 from tarn.operators import sessions as S
-from tarn.operators import skew
 from tarn.operators import usage as R
 from tarn.plans.queries import QUERIES
 from tarn.sources import inventory as SI
@@ -126,8 +125,11 @@ def test_hot_application_is_split_over_tasks(no_broadcast):
     out = A.app_progress(apps, jobs)
     assert out.count() == 200_000 + 1000
     out.collect()
-    assert "skew=true" in plan(out)  # hot, but below the rows of a hot key: Spark splits it
-    split = A.app_progress(apps, jobs, max_rows=1000)
+    assert "skew=true" in plan(out)
+    grouped = apps.groupBy("app_id").agg(F.first("state").alias("state"))  # Spark alone would not split this one
+    split = A.app_progress(grouped, jobs)
+    split.collect()
+    assert "skew=true" in plan(split)
     assert split.exceptAll(out).count() == 0 and split.count() == out.count()
 
 
@@ -135,21 +137,33 @@ def test_hot_object_never_meets_in_one_task(no_broadcast):
     spark = no_broadcast
     ids = spark.range(0, 200_000, 1, 8)
     hot = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.sha2((F.col("id") % 5000).cast("string"), 256))
-    inv = ids.select(F.lit("b").alias("bucket"), hot.alias("key"), F.col("id").alias("size_bytes"))
+    etag = F.sha2(F.col("id").cast("string"), 256).alias("etag")  # rows that do not shrink below Spark's threshold
+    inv = ids.select(F.lit("b").alias("bucket"), hot.alias("key"), F.col("id").alias("size_bytes"), etag)
     # Grouped by the join key already, so that Spark would not split the join.
     meta = inv.where("size_bytes % 2 = 0").groupBy("bucket", "key").agg(F.lit("ana").alias("uploader"))
-    out = I.attach_uploader(inv, meta, max_rows=1000)
-    task_rows = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    out = I.attach_uploader(inv, meta)
+    task_rows = out.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("etag").alias("n")).agg(F.max("n")).first()[0]
     assert task_rows < 200_000 / 4
     plain = inv.join(meta, ["bucket", "key"], "left").withColumn("uploader", F.coalesce("uploader", F.lit("Desconhecido")))
     assert out.exceptAll(plain.select(*out.columns)).count() == 0 and out.count() == 200_000
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("max_rows", [0, 3, 1000])
-def test_join_unique_equals_a_plain_join(spark, how, max_rows):
-    facts = spark.range(200).select(F.when(F.col("id") < 90, 0).otherwise(F.col("id") % 50).alias("k"), "id")
-    details = spark.range(0, 40, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("d"))
-    got = skew.join_unique(facts, details, ["k"], how, max_rows)
-    want = facts.join(details, "k", how)
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+@pytest.mark.parametrize("side", ["left", "right"])
+def test_anti_joins_with_a_hot_key_on_either_side(no_broadcast, side):
+    spark = no_broadcast
+    ids = spark.range(0, 200_000, 1, 8)
+    hot = ids.select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.sha2((F.col("id") % 5000).cast("string"), 256)).alias("k"))
+    few = spark.createDataFrame([("hot",), ("none",)], "k string")
+    base, keys = (hot, few) if side == "left" else (few, hot)
+    left = U.delete_keys(base, keys, ["k"])
+    assert left.count() == (hot.where("k <> 'hot'").count() if side == "left" else 1)
+    text = plan(left)
+    if side == "right":  # the hot key arrives at the join as one row of each task
+        assert text.index("SortMergeJoin") < text.rindex("HashAggregate") and "partial" not in text.split("SortMergeJoin")[0]
+    _, gone, unknown = U.cancel(base, keys, ["k"])
+    assert gone.count() == base.where("k = 'hot'").count() and unknown.count() == keys.where("k <> 'hot'").distinct().count()
+
+
+def test_counter_steps_order_one_cell_at_a_time(spark, sf):
+    text = plan(QUERIES["cpu_delta"](spark, sf))
+    assert "_cell" in text and "partial_max_by" in text

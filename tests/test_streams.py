@@ -31,12 +31,12 @@ def test_idle_sessions_match_batch(spark, tmp_path):
         [(f"u{rng.randrange(3)}", T0 + timedelta(hours=3 * b, seconds=rng.randrange(10000))) for _ in range(60)] for b in range(3)
     ]
     stream = drop(spark, str(tmp_path / "in"), batches, "usuario string, ts timestamp")
-    out = live.idle_sessions(stream, "0 seconds")
+    out = live.idle_sessions(stream, "3 hours")
     sinks.finish(sinks.append_files(out, str(tmp_path / "out"), str(tmp_path / "cp")))
     got = rows(spark.read.parquet(str(tmp_path / "out")), "usuario", "session_start", "last_seen", "beats")
     beats = spark.read.parquet(str(tmp_path / "in"))
     end = beats.agg(F.max("ts")).first()[0]
-    closed = S.idle_gaps(beats).where(F.col("last_seen") + F.expr("interval 15 minutes") <= F.lit(end))
+    closed = S.idle_gaps(beats).where(F.col("last_seen") + F.expr("interval 195 minutes") <= F.lit(end))
     assert got == rows(closed, "usuario", "session_start", "last_seen", "beats") and got
 
 
@@ -49,10 +49,11 @@ def test_metrics_take_latest_sample_of_window(spark, tmp_path):
         return (i, T0 + timedelta(seconds=second), "a", role, 1024**2, 0, 2 * 1024**2, cpu, 100, 1_000_000_000)
     batches = [[sample(1, 0, "vscode", 10), sample(2, 2, "vscode", 20), sample(3, 1, "spark-worker", 5)], [sample(4, 60, "vscode", 1)]]
     stream = drop(spark, str(tmp_path / "in"), batches, schema)
-    out = live.metrics_stream(stream, ["ts", "event_id"])
-    sinks.finish(sinks.append_files(out, str(tmp_path / "out"), str(tmp_path / "cp")))
-    got = rows(spark.read.parquet(str(tmp_path / "out")), "usuario", "window_start", "status", "cpu_percent", "memory_usage_mb", "memory_percent")
-    assert got == [("a", T0, "online", 25.0, 2.0, 50.0)]
+    out, key, order = live.metrics_stream(stream, ["ts", "event_id"], "1 minute"), ["usuario", "window_start"], ["version"]
+    sinks.finish(sinks.land_latest(out, str(tmp_path / "out"), str(tmp_path / "cp"), key, order, keyed=True))
+    got = rows(SL.read_latest(spark, str(tmp_path / "out"), key, order), "usuario", "window_start", "status", "cpu_percent", "memory_usage_mb", "memory_percent")
+    # The last window is there at once.
+    assert got == [("a", T0, "online", 25.0, 2.0, 50.0), ("a", T0 + timedelta(seconds=60), "online", 1.0, 1.0, 50.0)]
 
 
 def test_last_seen_forgets_after_shutdown(spark, tmp_path):
@@ -79,7 +80,7 @@ def test_rolling_history_matches_batch(spark, tmp_path):
     batches.append([("s0", end, next(numbers), 0.0, True), ("s0", end + timedelta(seconds=1), 2000, 7.0, False), ("s9", end, 3000, 0.0, True)])
     stream = drop(spark, str(tmp_path / "in"), batches, "series string, ts timestamp, point_id bigint, value double, gone boolean")
     kept = history.rolling_history(stream, 5)
-    sinks.finish(sinks.land_latest(kept, str(tmp_path / "out"), str(tmp_path / "cp"), ["series"], ["version"], rocksdb=True))
+    sinks.finish(sinks.land_latest(kept, str(tmp_path / "out"), str(tmp_path / "cp"), ["series"], ["version"], keyed=True))
     got = rows(history.history_points(SL.read_latest(spark, str(tmp_path / "out"), ["series"], ["version"])))
     points = spark.read.parquet(str(tmp_path / "in")).where(~F.col("gone")).drop("gone")
     want = R.last_n(points.where("series <> 's0' or point_id = 2000"), ["series"], ["ts", "point_id"], 5)
@@ -102,14 +103,46 @@ def test_processor_needs_no_package_on_the_executors():
     assert done.stdout.split() == ["3", "cut_block"], done.stderr
 
 
-def test_replayed_batch_adds_nothing(spark, tmp_path):
+def test_late_points_stay_hidden_after_a_shutdown(spark, tmp_path):
+    """The result is the same however the rows fall into batches."""
+    minute = lambda m: T0 + timedelta(minutes=m)
+    data = [("s", minute(0), 0, 0.0, False), ("s", minute(5), 9, 0.0, True), ("s", minute(1), 1, 1.0, False), ("s", minute(6), 6, 6.0, False),
+            ("t", minute(3), 3, 3.0, False), ("t", minute(2), 8, 0.0, True)]
+    schema = "series string, ts timestamp, point_id bigint, value double, gone boolean"
+    for name, batches in (("one", [data]), ("each", [[r] for r in data]), ("two", [data[:2], data[2:]])):
+        stream = drop(spark, str(tmp_path / name / "in"), batches, schema)
+        out, cp = str(tmp_path / name / "out"), str(tmp_path / name / "cp")
+        sinks.finish(sinks.land_latest(history.rolling_history(stream), out, cp, ["series"], ["version"], keyed=True))
+        got = history.history_points(SL.read_latest(spark, out, ["series"], ["version"]))
+        assert rows(got, "series", "point_id") == [("s", 6), ("t", 3)], name
+
+
+def test_heartbeat_behind_those_of_others_is_kept(spark, tmp_path):
+    batches = [[("a", T0 + timedelta(hours=1))], [("b", T0 + timedelta(minutes=40))], [("a", T0 + timedelta(hours=9))]]
+    stream = drop(spark, str(tmp_path / "in"), batches, "usuario string, ts timestamp")
+    sinks.finish(sinks.append_files(live.idle_sessions(stream, "1 hour"), str(tmp_path / "out"), str(tmp_path / "cp")))
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "usuario", "beats") == [("a", 1), ("b", 1)]
+    with pytest.raises(TypeError):
+        live.idle_sessions(stream)
+
+
+def test_a_table_belongs_to_one_checkpoint(spark, tmp_path):
     batches = [[("a", 1)], [("a", 2)], [("b", 1)]]
     folder, table = str(tmp_path / "in"), str(tmp_path / "table")
     stream = drop(spark, folder, batches, "k string, at bigint")
-    for checkpoint in ("one", "two"):  # a fresh checkpoint starts over with the same batch numbers
-        sinks.finish(sinks.land_latest(stream, table, str(tmp_path / checkpoint), ["k"], ["at"], mode="append"))
+    for _ in range(2):
+        sinks.finish(sinks.land_latest(stream, table, str(tmp_path / "one"), ["k"], ["at"], mode="append"))
+    with pytest.raises(ValueError):  # it would start over with the same batch numbers
+        sinks.land_latest(stream, table, str(tmp_path / "two"), ["k"], ["at"], mode="append")
     assert rows(SL.read_latest(spark, table, ["k"], ["at"])) == [("a", 2), ("b", 1)]
-    assert spark.read.parquet(table).count() == 3
+
+
+def test_snapshots_bound_the_folders_of_a_stream(spark, tmp_path):
+    stream = drop(spark, str(tmp_path / "in"), [[("a", n), (f"k{n}", n)] for n in range(9)], "k string, at bigint")
+    table = str(tmp_path / "table")
+    sinks.finish(sinks.land_latest(stream, table, str(tmp_path / "cp"), ["k"], ["at"], mode="append", compact_every=2))
+    assert SL.current_folders(spark, table) == ([7], [8])
+    assert rows(SL.read_latest(spark, table, ["k"], ["at"])) == [("a", 8)] + [(f"k{n}", n) for n in range(9)]
 
 
 def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
@@ -122,7 +155,7 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
 
 def test_stream_settings_are_given_back(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    with stream_settings(spark, 3, rocksdb=True):
+    with stream_settings(spark, 3):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
         assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     assert spark.conf.get("spark.sql.shuffle.partitions") == before

@@ -64,7 +64,7 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
 def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(QUERIES)
-    spark, con, failed = local_session(8), connect(sf_dir), []
+    spark, con, failed = local_session(4), connect(sf_dir), []
     for name in names:
         start = time.time()
         try:
