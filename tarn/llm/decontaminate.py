@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import free_names, landed, sliced, texts_of
+from .common import free_names, landed, sliced, texts_of, word_runs
 
 WINDOW = 10
 SLOP = 5
 # The benchmark goes to the executors in parts of about this many bytes, one pass over the documents each.
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 # A block of documents whose postings are held at once.
 BLOCK_BYTES = 4 << 20
 
@@ -32,11 +32,10 @@ def words_of(text: bytes) -> list[bytes]:
 
 @dataclass
 class Queries:
-    """The windows of a part of the benchmark: term ids of each, and the items it belongs to."""
+    """The windows of a part of the benchmark, by length: term ids, a row each, and the items each belongs to."""
 
     terms: dict[bytes, int]
-    windows: list[tuple[int, ...]]
-    items: list[list[str]]
+    windows: list[tuple[np.ndarray, list[list[str]]]]
 
 
 def queries_of(items: list[tuple[object, bytes]], window: int) -> Queries:
@@ -47,7 +46,10 @@ def queries_of(items: list[tuple[object, bytes]], window: int) -> Queries:
         ids = [terms.setdefault(w, len(terms)) for w in words_of(text)]
         for at in range(max(len(ids) - window, 0) + 1 if ids else 0):
             found.setdefault(tuple(ids[at:at + window]), {})[str(item_id)] = None
-    return Queries(terms, list(found), [list(v) for v in found.values()])
+    by_length: dict[int, list[tuple[int, ...]]] = {}
+    for w in found:
+        by_length.setdefault(len(w), []).append(w)
+    return Queries(terms, [(np.array(ws, np.int32), [list(found[w]) for w in ws]) for ws in by_length.values()])
 
 
 class BlockIndex:
@@ -59,13 +61,15 @@ class BlockIndex:
         self.first = np.zeros(len(texts), np.int64)
         at, ids, places = 0, [], []
         for k, text in enumerate(texts):
-            words = words_of(text)
-            self.n_words[k], self.first[k] = len(words), at
-            coded = np.fromiter((look(w, -1) for w in words), np.int64, len(words))
-            there = np.flatnonzero(coded >= 0)
-            ids.append(coded[there])
-            places.append(there + at)
-            at += len(words) + gap  # no match reaches into the next text
+            self.first[k] = at
+            for words in word_runs(text.translate(_FOLD)):
+                coded = np.fromiter((look(w, -1) for w in words), np.int64, len(words))
+                there = np.flatnonzero(coded >= 0)
+                ids.append(coded[there])
+                places.append(there + at)
+                at += len(words)
+            self.n_words[k] = at - self.first[k]
+            at += gap  # no match reaches into the next text
         self.end = at
         ids_all = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         order = np.argsort(ids_all, kind="stable")
@@ -85,7 +89,7 @@ def within(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return sorted_values[at] == wanted
 
 
-def matches(index: BlockIndex, window: tuple[int, ...], slop: int) -> tuple[np.ndarray, np.ndarray]:
+def matches(index: BlockIndex, window: list[int], slop: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the exact phrase, and places of its rarest term with all its terms near by.
 
     Lists are intersected from the rarest term on: for the phrase after taking each term's
@@ -118,9 +122,8 @@ def block_rows(texts: list[bytes], queries: Queries, window: int, slop: int) ->
     items: list[set[str]] = [set() for _ in texts]
     close: list[set[str]] = [set() for _ in texts]
     present = np.diff(index.starts) > 0
-    for terms, owners in zip(queries.windows, queries.items):
-        if not present[list(terms)].all():
-            continue
+    asked = [(rows[k].tolist(), owners[k]) for rows, owners in queries.windows for k in np.flatnonzero(present[rows].all(axis=1))]
+    for terms, owners in asked:
         exact, near = matches(index, terms, slop)
         for start, doc in zip(exact.tolist(), (np.searchsorted(index.first, exact, "right") - 1).tolist()):
             at = start - int(index.first[doc])
@@ -176,7 +179,7 @@ def find_phrases(
     for number, part in enumerate(parts):
         items = [(r[0], (r[1] or "").encode()) for r in part.collect()]  # one part: about part_bytes
         asked = queries_of(items, window)
-        queries = spark.broadcast((asked.terms, asked.windows, asked.items))  # plain values: executors lack this package
+        queries = spark.broadcast((asked.terms, asked.windows))  # plain values: executors lack this package
         last = number == n_parts - 1
         out = StructType(kept + result.fields + ([] if last and not keep_text else [StructField(body, StringType())]))
 

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .common import sliced
+from .common import sliced, word_runs
 
 # Share of the raw size that is left after compression, as (bytes from, least, most).  The limits
 # depend on the length: a short text has little to refer back to, a long one always finds some.
@@ -33,6 +33,7 @@ RESULT = (
 )
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 @dataclass(frozen=True)
@@ -87,17 +88,17 @@ def repeated_words(ids: np.ndarray, width: int = 3) -> int:
 
 
 def measure(text: bytes, rules: Bands, packer: zstandard.ZstdCompressor) -> tuple:
-    words = text.split()  # of bytes: exactly \x20 and \x09-\x0D separate
     seen: dict[bytes, int] = {}
-    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
+    parts = [np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words)) for words in word_runs(text)]
+    ids = np.concatenate([np.zeros(0, np.int64), *parts])
     raw = np.frombuffer(text, np.uint8)
     continued = int(((raw & 0xC0) == 0x80).sum())  # of multi-byte characters; all of them lie in words
-    word_chars = sum(map(len, words)) - continued
+    word_chars = int((~_BLANK[raw]).sum()) - continued
     n_symbols = int(_SYMBOL[raw].sum())
     lines = [line for line in text.split(b"\n") if line and not line.isspace()]
     n_dup_lines = len(lines) - len(set(lines))
     n_repeat = repeated_words(ids)
-    base_failed = len(words) < rules.min_words or 100 * n_repeat > rules.max_repeat_percent * len(words)
+    base_failed = len(ids) < rules.min_words or 100 * n_repeat > rules.max_repeat_percent * len(ids)
 
     ratio = len(packer.compress(text)) / len(text) if text else 0.0
     n_chunks = low = high = bad_bytes = 0
@@ -112,7 +113,7 @@ def measure(text: bytes, rules: Bands, packer: zstandard.ZstdCompressor) -> tupl
     if verdict is None and bad_bytes > rules.bad_chunk_share * len(text):
         verdict = "repetitive" if low >= high else "incompressible"
     kept = not base_failed and verdict is None
-    return (len(words), word_chars, n_symbols, n_dup_lines, n_repeat, len(text), ratio, n_chunks, low, high,
+    return (len(ids), word_chars, n_symbols, n_dup_lines, n_repeat, len(text), ratio, n_chunks, low, high,
             base_failed, verdict, kept)
 
 
