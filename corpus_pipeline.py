@@ -39,8 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    found = decontaminate.find_phrases(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), keep_text=True)
-    return found.where(F.size("hit_spans") == 0).select(*COLUMNS)
+    return decontaminate.without_hits(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Benchmark phrases in documents, found through a positional inverted index of every block of documents."""
+"""Benchmark phrases in documents, found through a stored positional inverted index."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .common import free_names, landed, sliced, texts_of, word_runs
 
@@ -52,35 +52,69 @@ def queries_of(items: list[tuple[object, bytes]], window: int) -> Queries:
     return Queries(terms, [(np.array(ws, np.int32), [list(found[w]) for w in ws]) for ws in by_length.values()])
 
 
+# One row per block: its documents with their first position and words, its terms in order, where each
+# term's places begin (and, last, end), and the places.
+INDEX = "terms array<binary>, starts array<int>, places array<int>"
+
+
+def block_postings(texts: list[bytes], gap: int) -> tuple[list[int], list[int], list[bytes], np.ndarray, np.ndarray]:
+    """First position and number of words of each text; the terms of the block, and their places, term by term."""
+    known: dict[bytes, int] = {}
+    first, n_words, ids, at = [], [], [np.zeros(0, np.int64)], 0
+    places = [np.zeros(0, np.int64)]
+    for text in texts:
+        first.append(at)
+        for words in word_runs(text.translate(_FOLD)):
+            ids.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+            places.append(np.arange(at, at + len(words)))
+            at += len(words)
+        n_words.append(at - first[-1])
+        at += gap  # no match reaches into the next text
+    every = np.concatenate(ids)
+    order = np.argsort(every, kind="stable")
+    starts = np.searchsorted(every[order], np.arange(len(known) + 1))
+    return first, n_words, list(known), starts, np.concatenate(places)[order]
+
+
+def index_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """The positional inverted index of all words of every whole text, stored in the shared folder.
+
+    It is cut by documents: a row holds the postings of a block of about ``BLOCK_BYTES``, so nothing is shuffled and a hot
+    term is only a longer list in each block.  Texts are ``gap`` = ``window + slop`` positions apart.
+    """
+    body = F.col(f"`{text}`")
+    picked = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("h"), body.alias("text"))
+    of_doc = StructType([StructField("doc", picked.schema["doc"].dataType)] + StructType.fromDDL("h long, first long, n_words long").fields)
+    schema = StructType([StructField("docs", ArrayType(of_doc))] + StructType.fromDDL(INDEX).fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", BLOCK_BYTES):
+            first, n_words, terms, starts, places = block_postings(texts_of(batch.column(2)), window + slop)
+            rows = pa.StructArray.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(first, pa.int64()), pa.array(n_words, pa.int64())], of_doc.names)
+            whole = [rows, pa.array(terms, pa.binary()), pa.array(starts.astype(np.int32)), pa.array(places.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in whole], schema.names)
+
+    indexed = picked.mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id())
+    return landed(indexed, "postings")  # the numbers of the blocks are fixed with it
+
+
 class BlockIndex:
-    """Postings of a block of documents: for each term of the benchmark, its positions in order."""
-
-    def __init__(self, texts: list[bytes], queries: Queries, gap: int):
-        look = queries.terms.get
-        self.n_words = np.zeros(len(texts), np.int64)
-        self.first = np.zeros(len(texts), np.int64)
-        at, ids, places = 0, [], []
-        for k, text in enumerate(texts):
-            self.first[k] = at
-            for words in word_runs(text.translate(_FOLD)):
-                coded = np.fromiter((look(w, -1) for w in words), np.int64, len(words))
-                there = np.flatnonzero(coded >= 0)
-                ids.append(coded[there])
-                places.append(there + at)
-                at += len(words)
-            self.n_words[k] = at - self.first[k]
-            at += gap  # no match reaches into the next text
-        self.end = at
-        ids_all = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        order = np.argsort(ids_all, kind="stable")
-        self.places = (np.concatenate(places) if places else np.zeros(0, np.int64))[order]
-        self.starts = np.searchsorted(ids_all[order], np.arange(len(queries.terms) + 1))
+    """A stored block as the queries see it: the places of each of their terms, in order."""
+
+    def __init__(self, first: np.ndarray, terms: list[bytes], starts: np.ndarray, places: np.ndarray, queries: Queries):
+        self.first, self.places = first, places.astype(np.int64)
+        there = {t: k for k, t in enumerate(terms)}
+        at = np.fromiter((there.get(t, -1) for t in queries.terms), np.int64, len(queries.terms))
+        self.begin = np.where(at >= 0, starts[at], 0)
+        self.end = np.where(at >= 0, starts[np.minimum(at + 1, len(starts) - 1)], 0)
+        self.sizes = self.end - self.begin
 
     def postings(self, term: int) -> np.ndarray:
-        return self.places[self.starts[term]:self.starts[term + 1]]
+        return self.places[self.begin[term]:self.end[term]]
 
     def size(self, term: int) -> int:
-        return int(self.starts[term + 1] - self.starts[term])
+        return int(self.sizes[term])
 
 
 def within(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -115,13 +149,13 @@ def matches(index: BlockIndex, window: list[int], slop: int) -> tuple[np.ndarray
     return exact, near
 
 
-def block_rows(texts: list[bytes], queries: Queries, window: int, slop: int) -> tuple[np.ndarray, list, list, list]:
-    """Word counts, and per text the covered word ranges, items matched exactly and items matched near by."""
-    index = BlockIndex(texts, queries, window + slop)
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[set[str]] = [set() for _ in texts]
-    close: list[set[str]] = [set() for _ in texts]
-    present = np.diff(index.starts) > 0
+def block_rows(index: BlockIndex, queries: Queries, slop: int) -> tuple[list, list, list]:
+    """Per text the covered word ranges, items matched exactly and items matched near by."""
+    n = len(index.first)
+    spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    items: list[set[str]] = [set() for _ in range(n)]
+    close: list[set[str]] = [set() for _ in range(n)]
+    present = index.sizes > 0
     asked = [(rows[k].tolist(), owners[k]) for rows, owners in queries.windows for k in np.flatnonzero(present[rows].all(axis=1))]
     for terms, owners in asked:
         exact, near = matches(index, terms, slop)
@@ -131,7 +165,7 @@ def block_rows(texts: list[bytes], queries: Queries, window: int, slop: int) ->
             items[doc].update(owners)
         for doc in set((np.searchsorted(index.first, near, "right") - 1).tolist()):
             close[doc].update(owners)
-    return index.n_words, [merged(s) for s in spans], [sorted(i) for i in items], [sorted(c - i) for c, i in zip(close, items)]
+    return [merged(s) for s in spans], [sorted(i) for i in items], [sorted(c - i) for c, i in zip(close, items)]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -145,75 +179,97 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-FOUND = "n_words long, hit_spans array<struct<start: long, end: long>>, item_ids array<string>, near_item_ids array<string>"
+FOUND = "hit_spans array<struct<start: long, end: long>>, item_ids array<string>, near_item_ids array<string>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def found_arrays(spans: list, items: list, close: list) -> list[pa.Array]:
+    return [pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS),
+            pa.array(items, pa.list_(pa.string())), pa.array(close, pa.list_(pa.string()))]
 
 
-def find_phrases(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, slop: int = SLOP, part_bytes: int = PART_BYTES, keep_text: bool = False,
-) -> DataFrame:
-    """``docs`` with what of the benchmark each whole text holds.
+def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text",
+           window: int = WINDOW, slop: int = SLOP, part_bytes: int = PART_BYTES) -> DataFrame:
+    """One row per indexed row: ``doc``, ``h`` (XXH64 of the text), ``n_words`` and what of the benchmark the text holds.
 
     ``hit_spans`` are the word ranges (from 0, end exclusive) inside exact occurrences of a window of
     ``window`` words, ``item_ids`` the items with such windows, ``near_item_ids`` further items with all words of a
-    window within ``slop`` words of its length.  Columns that clash with these are replaced.
+    window within ``slop`` words of its length.  ``window`` and ``slop`` are at most those of the index together.
 
-    The index is cut by documents: a task stores the postings of a block of about ``BLOCK_BYTES`` and
-    answers all windows from it, so documents are never shuffled and a hot term is only a longer list in its block.
     The benchmark is the query set.  Its size is summed up first; each part of about ``part_bytes`` is sent
-    to the executors, one pass each.  A null text has no words, an item without words no window; a null item
-    id counts as ``None``; repeated rows and ties stay; empty tables give no rows or no hits.
+    to the executors and answered from the stored postings, one pass each.  An item without words has no
+    window; a null item id counts as ``None``; repeated rows and ties stay; empty tables give no rows or no hits.
     """
-    result = StructType.fromDDL(FOUND)
-    kept = [f for f in docs.schema.fields if f.name != text and f.name not in result.names]
-    names = [f.name for f in kept]
-    body = free_names(docs, "_text")[0]
-    spark = docs.sparkSession.sparkContext
+    spark = index.sparkSession.sparkContext
     wanted = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text"))
     size = wanted.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     n_parts = max(1, -(-size // part_bytes))
     cut = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts))
-    parts = [wanted if n_parts == 1 else wanted.where(cut == p) for p in range(n_parts)]
-
-    current = docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text}`").alias(body))
-    for number, part in enumerate(parts):
-        items = [(r[0], (r[1] or "").encode()) for r in part.collect()]  # one part: about part_bytes
-        asked = queries_of(items, window)
-        queries = spark.broadcast((asked.terms, asked.windows))  # plain values: executors lack this package
-        last = number == n_parts - 1
-        out = StructType(kept + result.fields + ([] if last and not keep_text else [StructField(body, StringType())]))
-
-        def run(batches: Iterator[pa.RecordBatch], queries=queries, out=out, number=number) -> Iterator[pa.RecordBatch]:
-            spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            asked = Queries(*queries.value)
-            for batch in sliced(batches, body, BLOCK_BYTES):
-                column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-                texts = texts_of(column[body])
-                n_words, spans, items, close = block_rows(texts, asked, window, slop)
-                if number:
-                    old = zip(column["hit_spans"].to_pylist(), column["item_ids"].to_pylist(), column["near_item_ids"].to_pylist())
-                    for k, (was, had, beside) in enumerate(old):
-                        spans[k] = merged(spans[k] + [(s["start"], s["end"]) for s in was])
-                        items[k] = sorted({*items[k], *had})
-                        close[k] = sorted({*close[k], *beside} - set(items[k]))
-                made = {
-                    "n_words": pa.array(n_words),
-                    "hit_spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], spans_type),
-                    "item_ids": pa.array(items, pa.list_(pa.string())),
-                    "near_item_ids": pa.array(close, pa.list_(pa.string())),
-                }
-                yield pa.RecordBatch.from_arrays([made.get(n, column.get(n)) for n in out.names], out.names)
-
-        current = current.mapInArrow(run, out)
-        if not last:
-            current = landed(current, "phrases")
-    return current.withColumnRenamed(body, text) if keep_text else current
-
-
-def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    kind = index.schema["docs"].dataType.elementType
+    out = StructType([StructField("block", LongType()), StructField("place", IntegerType()), kind["doc"], kind["h"], kind["n_words"]]
+                     + StructType.fromDDL(FOUND).fields)
+    passes = []
+    for p in range(n_parts):
+        part = wanted if n_parts == 1 else wanted.where(cut == p)
+        asked = queries_of([(r[0], (r[1] or "").encode()) for r in part.collect()], window)  # about part_bytes
+        sent = spark.broadcast((asked.terms, asked.windows))  # plain values: executors lack this package
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            queries = Queries(*sent.value)
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    block, docs, terms, starts, places = (batch.column(c)[k] for c in range(5))
+                    docs = docs.values
+                    held = BlockIndex(docs.field("first").to_numpy(), terms.values.to_pylist(), starts.values.to_numpy(), places.values.to_numpy(), queries)
+                    n = len(docs)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), docs.field("doc"), docs.field("h"),
+                         docs.field("n_words"), *found_arrays(*block_rows(held, queries, slop))], out.names)
+
+        passes.append(index.select("block", "docs", "terms", "starts", "places").mapInArrow(run, out))
+    if n_parts == 1:
+        return passes[0].drop("block", "place")
+    return together(passes, out).drop("block", "place")
+
+
+def together(passes: list[DataFrame], out: StructType) -> DataFrame:
+    """The answers of all parts of the benchmark, one row per document."""
+    lists = out.names[5:]
+    rows = landed(passes[0], "phrases")
+    for more in passes[1:]:
+        rows = rows.unionByName(landed(more, "phrases"))
+    sums = rows.groupBy("block", "place").agg(
+        *[F.any_value(c).alias(c) for c in out.names[2:5]], *[F.flatten(F.collect_list(c)).alias(c) for c in lists])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, items, close = (batch.column(k).to_pylist() for k in range(5, 8))
+            items = [sorted(set(i)) for i in items]
+            close = [sorted(set(c) - set(i)) for c, i in zip(close, items)]
+            spans = [merged([(s["start"], s["end"]) for s in of]) for of in spans]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(5)] + found_arrays(spans, items, close), out.names)
+
+    return sums.select(*out.names).mapInArrow(run, out)
+
+
+def find_phrases(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """Index ``docs`` and search them for ``benchmark``; a null text has no words; other columns are left out."""
+    return search(index_documents(docs, doc_id, text), benchmark, part_bytes=part_bytes).withColumnRenamed("doc", "doc_id")
+
+
+def without_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no window of the benchmark, with all their columns."""
+    stay, own = free_names(docs, "_doc", "_h")
+    hit = find_phrases(docs, benchmark, doc_id, text).where(F.size("hit_spans") > 0).select(
+        F.col("doc_id").alias(stay), F.col("h").alias(own)).distinct().hint("rebalance")
+    body = F.xxhash64(F.coalesce(docs[f"`{text}`"], F.lit("")))
+    return docs.join(hit, docs[f"`{doc_id}`"].eqNullSafe(hit[stay]) & (body == hit[own]), "left_anti")
+
+
+def digest(found: DataFrame) -> DataFrame:
     """The counts and the hash of the item ids, one row per document."""
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select(
-        doc_id, "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
         F.size("near_item_ids").cast("long").alias("n_near_items"))

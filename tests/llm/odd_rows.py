@@ -1,12 +1,9 @@
-import os
+"""Rows and fixtures that the tests of this folder share."""
+
 import random
-import sys
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-sys.path.insert(0, ROOT)
-
 # Names that the operators use for results or inside; a table may have them already.
 CLASHING = ["n_bytes", "kept", "spans", "fp", "n_words", "n_tokens", "n_removed", "h", "m", "c", "first", "__text"]
 

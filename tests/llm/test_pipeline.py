@@ -2,7 +2,7 @@
 
 import re
 
-from conftest import ordered
+from odd_rows import odd, ordered  # noqa: F401
 from pyspark.sql import functions as F
 from test_tables import brute_components, brute_fingerprint, brute_lines, brute_phrases, brute_targets, hashes
 from test_texts import brute_quality

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 import xxhash
-from conftest import ordered, pairs
+from odd_rows import docs, odd, ordered, pairs  # noqa: F401
 from pyspark.sql import functions as F
 
 from tarn.llm import decontaminate, lines, mixing, simhash, urls
@@ -63,10 +63,11 @@ def test_phrase_proximity(spark):
     assert out == {1: (["q"], [], [(0, 10)]), 2: ([], ["q"], []), 3: ([], ["q"], []), 4: ([], [], []), 5: ([], [], [])}
 
 
-def test_phrases_keep_text_and_empty_benchmark(odd, items):
-    got = decontaminate.find_phrases(odd, items.limit(0), keep_text=True)
-    assert ordered(pairs(got)) == ordered(pairs(odd))
-    assert got.where("size(hit_spans) > 0").isEmpty()
+def test_documents_without_hits(odd, items):
+    assert ordered(decontaminate.without_hits(odd, items.limit(0)).collect()) == ordered(odd.collect())
+    want = [r for r, found in zip(odd.collect(), brute_phrases(pairs(odd), [(r["item_id"], r["text"]) for r in items.collect()])) if not found[-1]]
+    assert ordered(decontaminate.without_hits(odd, items).collect()) == ordered(want)
+    assert decontaminate.find_phrases(odd.limit(0), items).collect() == []
 
 
 def brute_fingerprint(text):

@@ -6,7 +6,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
-from conftest import ordered, pairs
+from odd_rows import docs, odd, ordered, pairs  # noqa: F401
 from pyspark.sql import functions as F
 
 from tarn.llm import chat, pii, quality, substrings, tokens
