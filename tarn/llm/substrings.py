@@ -18,8 +18,8 @@ LENGTH = 200
 GRAM = 32
 # Windows of one long text that are looked at together.
 CHUNK = 1 << 20
-# Bytes of one index; a group of segments that share a k-gram is never cut.
-INDEX_BYTES = 2 << 20
+# Bytes of one index, small enough for a core's cache; a group of segments that share a k-gram is never cut.
+INDEX_BYTES = 128 << 10
 PACK = 7
 
 # Odd multipliers of the k-gram hash.
