@@ -228,7 +228,8 @@ def taken(mixed: Mixture) -> DataFrame:
     """``documents`` with ``taken``: the words the shards take of each, repeats counted."""
     used = mixed.slots.groupBy("source", "block", "words").agg(F.count("*").alias("times"))
     # Of a block, full slots and at most one cut one: two rows at most.
-    left, right = mixed.pieces.alias("p"), used.withColumnRenamed("source", "_source").withColumnRenamed("block", "_block")
+    # Both sides grow with the documents; the estimated size of a small file is no reason to broadcast one.
+    left, right = mixed.pieces.hint("merge"), used.withColumnRenamed("source", "_source").withColumnRenamed("block", "_block")
     hit = left.join(right, left["source"].eqNullSafe(right["_source"]) & (left["block"] == right["_block"]))
     words = F.greatest(F.lit(0), F.least("to_word", "words") - F.col("from_word")) * F.col("times")
     key = ["doc_id", "size", "offset", "source"]
