@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
@@ -60,20 +61,18 @@ INDEX = "terms array<binary>, starts array<int>, places array<int>"
 def block_postings(texts: list[bytes], gap: int) -> tuple[list[int], list[int], list[bytes], np.ndarray, np.ndarray]:
     """First position and number of words of each text; the terms of the block, and their places, term by term."""
     known: dict[bytes, int] = {}
-    first, n_words, ids, at = [], [], [np.zeros(0, np.int64)], 0
-    places = [np.zeros(0, np.int64)]
+    first, n_words, posts, at = [], [], [np.zeros(0, np.int64)], 0
     for text in texts:
         first.append(at)
         for words in word_runs(text.translate(_FOLD)):
-            ids.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
-            places.append(np.arange(at, at + len(words)))
+            ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+            posts.append(ids << 32 | np.arange(at, at + len(words)))  # term in front, so one sort orders terms and places
             at += len(words)
         n_words.append(at - first[-1])
         at += gap  # no match reaches into the next text
-    every = np.concatenate(ids)
-    order = np.argsort(every, kind="stable")
-    starts = np.searchsorted(every[order], np.arange(len(known) + 1))
-    return first, n_words, list(known), starts, np.concatenate(places)[order]
+    every = np.sort(np.concatenate(posts))
+    starts = np.r_[0, np.cumsum(np.bincount(every >> 32, minlength=len(known)))]
+    return first, n_words, list(known), starts, every & 0xFFFFFFFF
 
 
 def index_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, slop: int = SLOP) -> DataFrame:
@@ -102,10 +101,9 @@ def index_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 class BlockIndex:
     """A stored block as the queries see it: the places of each of their terms, in order."""
 
-    def __init__(self, first: np.ndarray, terms: list[bytes], starts: np.ndarray, places: np.ndarray, queries: Queries):
+    def __init__(self, first: np.ndarray, terms: pa.Array, starts: np.ndarray, places: np.ndarray, asked: pa.Array):
         self.first, self.places = first, places.astype(np.int64)
-        there = {t: k for k, t in enumerate(terms)}
-        at = np.fromiter((there.get(t, -1) for t in queries.terms), np.int64, len(queries.terms))
+        at = np.asarray(pc.index_in(asked, value_set=terms).fill_null(-1), np.int64)
         self.begin = np.where(at >= 0, starts[at], 0)
         self.end = np.where(at >= 0, starts[np.minimum(at + 1, len(starts) - 1)], 0)
         self.sizes = self.end - self.begin
@@ -216,11 +214,12 @@ def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", ite
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             queries = Queries(*sent.value)
+            terms_asked = pa.array(list(queries.terms), pa.binary())
             for batch in batches:
                 for k in range(batch.num_rows):
                     block, docs, terms, starts, places = (batch.column(c)[k] for c in range(5))
                     docs = docs.values
-                    held = BlockIndex(docs.field("first").to_numpy(), terms.values.to_pylist(), starts.values.to_numpy(), places.values.to_numpy(), queries)
+                    held = BlockIndex(docs.field("first").to_numpy(), terms.values, starts.values.to_numpy(), places.values.to_numpy(), terms_asked)
                     n = len(docs)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([block.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), docs.field("doc"), docs.field("h"),
