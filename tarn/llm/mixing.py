@@ -124,14 +124,18 @@ def slots(sources: DataFrame, mix: Mix) -> DataFrame:
     rest = wanted - rounds * F.col("source_size")
     # Of the last round as many slots as may be needed when its short block comes early.
     upper = rounds * blocks + F.least(blocks, F.ceil(rest / mix.block) + F.when(rest > 0, 1).otherwise(0))
-    spread = 1 << 14
+    spread = 1 << 13
     plan = sources.where("source_size > 0").select(
         "source", "source_size", shards.cast("long").alias("shards"), blocks.cast("long").alias("blocks"),
         rounds.alias("rounds"), rest.alias("rest"), upper.cast("long").alias("upper"))
     parts = plan.where("upper > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("upper") - 1) / spread).cast("long"))))
     # A part is a run of slots of one source; a large source has many, dealt to all tasks.
     parts = parts.withColumn("key", F.xxhash64(F.lit(mix.seed), F.coalesce("source", F.lit("")), F.col("source").isNull()))
-    dealt = parts.repartition(F.col("key"), F.col("part"))
+    # A part is a short row that makes many, so the number of tasks follows the parts and not their bytes.
+    spark = sources.sparkSession
+    total = sources.agg(F.sum("target")).first()[0] or 0
+    tasks = int(total // (mix.block * spread)) + 1
+    dealt = parts.repartition(min(tasks, 32 * spark.sparkContext.defaultParallelism), F.col("key"), F.col("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
