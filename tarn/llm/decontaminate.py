@@ -19,7 +19,7 @@ SLOP = 5
 # The benchmark goes to the executors in parts of about this many bytes, one pass over the documents each.
 PART_BYTES = 4 << 20
 # A block of documents whose postings are held at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 # A-Z to lower case, everything in ASCII that is neither digit nor letter to a blank; other bytes stay.
 _FOLD = bytes(
