@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import string
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import landed
 
 ANY = "*"
+# A branch of up to so many segments is named by all of them.
+SPELLED = 50
 
 
 @dataclass(frozen=True)
@@ -20,7 +25,7 @@ class Tree:
 
     A segment is a branch if it holds ``min_share`` of its parent's pages, at least ``min_pages`` of them, and
     ``min_labels`` labelled ones; all other segments become a wildcard.  Branches whose bad shares are within ``z``
-    standard errors of each other are merged.
+    standard errors of those of their group, taken together and of its least, are merged.
     Segments from ``depth`` on are one segment.  ``prior`` is how many pages the parent's rate counts for.
     A template is blocked where its smoothed purity, the share of good pages, is below ``min_purity``.
     """
@@ -68,22 +73,59 @@ def rate(bad: Column, labelled: Column, before: Column, prior: float) -> Column:
     return (bad + before * prior) / (labelled + prior)
 
 
+def alike(bad: int, labelled: int, other_bad: int, other_labelled: int, z: float) -> bool:
+    """Whether two bad shares are within ``z`` standard errors of each other."""
+    pooled = (bad + other_bad) / (labelled + other_labelled)
+    error = math.sqrt(pooled * (1 - pooled) * (1 / labelled + 1 / other_labelled))
+    return abs(bad / labelled - other_bad / other_labelled) <= z * error
+
+
+def grouped(cells: DataFrame, z: float) -> DataFrame:
+    """``group`` of each cell (host, template, bad, labelled, k children), numbered per parent in order of bad share.
+
+    A cell joins the group before it if a child of it is like the group's least child and like all its children
+    together; so a group cannot drift along a chain of neighbours.  The scan keeps four counts, whatever the group holds.
+    """
+    key = StructType([cells.schema[n] for n in ("host", "template")])
+    schema = StructType(key.fields + StructType.fromDDL("bad long, labelled long, group long").fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent, group = None, 0
+        least = pooled = (0, 1)
+        for batch in batches:
+            numbers = []
+            for host, template, bad, labelled, k in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if parent != (host, template):
+                    parent, group, least, pooled = (host, template), 0, (bad, labelled), (0, 0)
+                elif not (alike(bad, labelled, *least, z) and alike(bad, labelled, *pooled, z)):
+                    group, least, pooled = group + 1, (bad, labelled), (0, 0)
+                pooled = (pooled[0] + bad * k, pooled[1] + labelled * k)
+                numbers.append(group)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(numbers, pa.int64())], schema.names)
+
+    # Of equal shares the one with most labels first: it is the strictest least child.
+    parents = cells.select("host", "template", "bad", "labelled", "k").repartition("host", "template")
+    return parents.sortWithinPartitions("host", "template", F.col("bad") / F.col("labelled"), F.desc("labelled")).mapInArrow(run, schema)
+
+
 def merged(children: DataFrame, z: float) -> DataFrame:
     """``branch`` of each child: its own segment, or all those it is merged with.
 
-    The children of a parent, a bounded number, stand in order of their bad share; neighbours that do not
-    differ by more than ``z`` standard errors are one branch.
+    Children with the same counts are one cell, so what is ordered per parent are distinct pairs of counts: of a
+    parent with L labels at most about L to the power 2/3, however many children it has.  A branch
+    of more than ``SPELLED`` children is named by the least of them and the number of others.
     """
-    siblings = Window.partitionBy("host", "template").orderBy(F.col("bad") / F.col("labelled"), "segment")
-    last_bad, last_labelled = F.lag("bad").over(siblings), F.lag("labelled").over(siblings)
-    pooled = (F.col("bad") + last_bad) / (F.col("labelled") + last_labelled)
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / last_labelled))
-    apart = last_bad.isNull() | (F.col("bad") / F.col("labelled") - last_bad / last_labelled > z * error)
-    numbered = children.withColumn("apart", apart.cast("int")).withColumn(
-        "group", F.sum("apart").over(siblings.rowsBetween(Window.unboundedPreceding, 0)))
-    names = F.sort_array(F.collect_list("segment").over(Window.partitionBy("host", "template", "group")))
-    branch = F.when(F.size("names") == 1, F.col("segment")).otherwise(F.concat(F.lit("("), F.array_join("names", "|"), F.lit(")")))
-    return numbered.withColumn("names", names).select("host", "template", "segment", branch.alias("branch"))
+    counts = ["host", "template", "bad", "labelled"]
+    groups = grouped(children.groupBy(*counts).agg(F.count("*").alias("k")), z)
+    numbered = landed(children.join(groups.hint("rebalance"), counts).select("host", "template", "segment", "group"), "groups")
+    key = ["host", "template", "group"]
+    sizes = numbered.groupBy(*key).agg(F.count("*").alias("k"), F.min("segment").alias("least"))
+    sized = numbered.join(sizes.hint("rebalance"), key)
+    names = sized.where(F.col("k").between(2, SPELLED)).groupBy(*key).agg(F.sort_array(F.collect_list("segment")).alias("names"))
+    spelled = F.concat(F.lit("("), F.array_join("names", "|"), F.lit(")"))
+    short = F.concat(F.lit("("), F.col("least"), F.lit("|+"), F.col("k") - 1, F.lit(")"))
+    branch = F.when(F.col("k") == 1, F.col("segment")).when(F.col("names").isNotNull(), spelled).otherwise(short)
+    return sized.join(names.hint("rebalance"), key, "left").select("host", "template", "segment", branch.alias("branch"))
 
 
 def with_templates(pages: DataFrame, tree: Tree) -> DataFrame:

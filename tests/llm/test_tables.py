@@ -331,6 +331,20 @@ def test_templates_follow_the_labels(spark):
     assert all(r["verdict"] == "allow" for k, r in got.items() if k >= 1000)
 
 
+def test_rates_in_small_steps_stay_apart(spark):
+    """Every child is like its neighbours, but the first is not like the last."""
+    for n, steps in ((30, [round(30 * k / 20) for k in range(21)]), (100, range(20, 81, 6))):
+        rows = [(f"http://h.com/s{k:02}/a.html", int(j < bad)) for k, bad in enumerate(steps) for j in range(n)]
+        table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id int, url string, bad int")
+        spread = {}
+        for r, (_, bad) in zip(sorted(urls.judged(table, table, []).collect(), key=lambda r: r["page_id"]), rows):
+            spread.setdefault(r["template"], {}).setdefault(r["path"], []).append(bad)
+        for paths in spread.values():
+            rates = [sum(b) / n for b in paths.values()]
+            assert max(rates) - min(rates) <= 1.96 * (0.5 / n) ** 0.5
+        assert len(spread) > 3
+
+
 @pytest.mark.parametrize("call", [
     lambda d: simhash.near_duplicates(d), lambda d: lines.without_repeats(d),
     lambda d: mixing.taken(mixing.mixture(d.withColumn("source", F.lit("a"))))])
