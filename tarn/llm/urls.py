@@ -6,6 +6,7 @@ import math
 import string
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,18 +24,16 @@ SPELLED = 50
 class Tree:
     """Parameters of the template tree.
 
-    A segment is a branch if it holds ``min_share`` of its parent's pages, at least ``min_pages`` of them, and
-    ``min_labels`` labelled ones; all other segments become a wildcard.  Branches whose bad shares are within ``z``
+    A segment is a branch if it holds at least ``min_pages`` of its parent's pages and ``min_labels`` labelled ones,
+    however large the parent; all other segments become a wildcard.  Branches whose bad shares are within ``z``
     standard errors of those of their group, taken together and of its least, are merged.
-    Segments from ``depth`` on are one segment.  ``prior`` is how many pages the parent's rate counts for.
+    ``prior`` is how many pages the parent's rate counts for.
     A template is blocked where its smoothed purity, the share of good pages, is below ``min_purity``.
     """
 
-    min_share: float = 0.02
     min_pages: int = 5
     min_labels: int = 5
     z: float = 1.96
-    depth: int = 6
     prior: float = 4.0
     min_purity: float = 0.5
 
@@ -69,6 +68,11 @@ def shape(segment: Column) -> Column:
     return F.regexp_replace(ids, r"[0-9]+", "{n}")
 
 
+def wildcard(segment: Column) -> Column:
+    form = shape(segment)
+    return F.when(form == segment, ANY).otherwise(form)
+
+
 def rate(bad: Column, labelled: Column, before: Column, prior: float) -> Column:
     return (bad + before * prior) / (labelled + prior)
 
@@ -132,30 +136,33 @@ def with_templates(pages: DataFrame, tree: Tree) -> DataFrame:
     """``pages`` (page_id, host, path, bad ...) with ``template``, grown one level at a time.
 
     Each level counts the children of every template so far, which pre-aggregates the pages of a
-    hot host in every task, and keeps as branches only the few that the parameters allow.  Pages are joined to
-    branches alone; every other page takes the wildcard with its segment's form.
+    hot host in every task, and keeps as branches those with enough pages and labels.  Pages are joined to
+    branches alone; every other page takes the wildcard with its segment's form.  Pages whose path has ended
+    leave.  Longer paths only split what a template holds, so once none has enough pages and labels left for a branch,
+    none ever splits again, and the rest of every path goes by its form at once.
     """
-    whole = F.filter(F.split("path", "/"), lambda s: s != "")
-    cut = F.when(F.size(whole) <= tree.depth, whole).otherwise(F.concat(
-        F.slice(whole, 1, tree.depth - 1), F.array(F.concat_ws("/", F.slice(whole, tree.depth, 1_000_000_000)))))
-    now = landed(pages.withColumn("segments", cut).withColumn("template", F.lit("")), "pages")
-    levels = now.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(levels):
-        segment = F.get("segments", F.lit(level))
-        here = now.withColumn("segment", segment)
-        children = here.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(
+    segments = F.filter(F.split("path", "/"), lambda s: s != "")
+    now = landed(pages.withColumn("segments", segments).withColumn("template", F.lit("")), "pages")
+    done = []
+    level = 0
+    while True:
+        done.append(now.where(F.size("segments") <= level))
+        here = now.where(F.size("segments") > level).withColumn("segment", F.get("segments", F.lit(level)))
+        children = here.groupBy("host", "template", "segment").agg(
             F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
         children = landed(children, "children")
-        parents = children.groupBy("host", "template").agg(F.sum("n").alias("all_n"))
-        both = children.join(parents.hint("rebalance"), ["host", "template"])
-        share = F.col("n") >= tree.min_share * F.col("all_n")
-        branches = merged(both.where(share & (F.col("n") >= tree.min_pages) & (F.col("labelled") >= tree.min_labels)), tree.z)
+        parents = children.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"))
+        enough = (F.col("n") >= tree.min_pages) & (F.col("labelled") >= max(tree.min_labels, 1))
+        if parents.where(enough).isEmpty():
+            break
+        branches = merged(children.where(enough), tree.z)
         joined = here.join(branches.hint("rebalance"), ["host", "template", "segment"], "left")
-        form = shape(F.col("segment"))
-        step = F.coalesce("branch", F.when(form == F.col("segment"), ANY).otherwise(form))
-        grown = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", step))
-        now = landed(joined.withColumn("template", grown).drop("segment", "branch"), "pages")
-    return now.drop("segments")
+        grown = F.concat_ws("/", "template", F.coalesce("branch", wildcard(F.col("segment"))))
+        now = landed(joined.withColumn("template", grown).select(now.columns), "pages")
+        level += 1
+    rest = F.transform(F.slice("segments", level + 1, 1_000_000_000), wildcard)
+    done.append(now.where(F.size("segments") > level).withColumn("template", F.concat_ws("/", "template", F.array_join(rest, "/"))))
+    return reduce(DataFrame.unionByName, done).drop("segments")
 
 
 def judged(

@@ -345,6 +345,16 @@ def test_rates_in_small_steps_stay_apart(spark):
         assert len(spread) > 3
 
 
+def test_small_sections_and_deep_paths_are_branches(spark):
+    rows = [(f"http://big.com/s{k % 100:02}/x{chr(97 + k // 100)}", int(k % 100 == 7)) for k in range(1200)]
+    rows += [(f"http://deep.com/a/b/c/d/e/{'spam' if k % 2 else 'news'}/f/{k}/{'%x' % (k + 2**40)}", k % 2) for k in range(40)]
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id int, url string, bad int")
+    got = {r["page_id"]: r for r in urls.judged(table, table, []).collect()}
+    assert all((got[k]["verdict"] == "block") == bool(bad) for k, (_, bad) in enumerate(rows))
+    assert {r["template"] for r in got.values()} == {
+        "/s07/*", "/(s00|+98)/(xa|xb|xc|xd|xe|xf|xg|xh|xi|xj|xk|xl)", "/a/b/c/d/e/spam/f/{n}/{id}", "/a/b/c/d/e/news/f/{n}/{id}"}
+
+
 @pytest.mark.parametrize("call", [
     lambda d: simhash.near_duplicates(d), lambda d: lines.without_repeats(d),
     lambda d: mixing.taken(mixing.mixture(d.withColumn("source", F.lit("a"))))])
