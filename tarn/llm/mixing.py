@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,10 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import landed
+from .common import landed, shared_dir, sliced
 
 WORD = r"[^\x20\x09-\x0D]+"
+# Two hashes of a text.
+TEXT = ["h1", "h2"]
 
 
 @dataclass(frozen=True)
@@ -60,7 +64,7 @@ def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
 
 
 def placed(docs: DataFrame, mix: Mix) -> DataFrame:
-    """``docs`` (doc_id, source, size ...) with ``offset``: the words of the source in front of the document.
+    """``docs`` (doc_id, source, size, h1, h2) with ``offset``: the words of the source in front of the document.
 
     The documents of a source come in an order that only depends on their ids and the seed.  The running sum is
     over buckets of that order first and then inside each bucket, so no source is gathered in one task.
@@ -73,7 +77,7 @@ def placed(docs: DataFrame, mix: Mix) -> DataFrame:
         F.col("source").alias("_source"), F.col("bucket").alias("_bucket"),
         F.coalesce(F.sum("in_bucket").over(in_front), F.lit(0)).alias("bucket_start"))
     # Two rows that agree in all of these are the same for the mix, whichever comes first.
-    inside = Window.partitionBy("source", "bucket").orderBy("spread", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("spread", "doc_id", "size", *TEXT).rowsBetween(Window.unboundedPreceding, -1)
     running = cut.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = running.join(starts, running["source"].eqNullSafe(starts["_source"]) & (running["bucket"] == starts["_bucket"]))
     return joined.withColumn("offset", F.col("bucket_start") + F.col("before")).drop(
@@ -183,27 +187,40 @@ def place_of(block: int, n: int, key: np.ndarray) -> int:
             return int(x[0])
 
 
+_BLANK = np.isin(np.arange(256), (0x20, 9, 10, 11, 12, 13))
+
+
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words between the six ASCII blanks start and end."""
+    edges = np.diff(np.r_[True, _BLANK[np.frombuffer(text, np.uint8)], True].astype(np.int8))
+    return np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+
+
 def pieces(docs: DataFrame, mix: Mix) -> DataFrame:
     """The blocks' content: one row per document and block that it reaches into, with the word range of the block."""
     end = F.col("offset") + F.col("size") - 1
     first = F.floor(F.col("offset") / mix.block).cast("long")
     last = F.floor(end / mix.block).cast("long")
     each = docs.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    block_start = F.col("block") * mix.block
+    each = each.withColumn("block_start", F.col("block") * mix.block)
+    block_start = F.col("block_start")
     return each.withColumn("from_word", F.greatest(F.col("offset"), block_start) - block_start).withColumn(
         "to_word", F.least(F.col("offset") + F.col("size"), block_start + mix.block) - block_start)
 
 
 @dataclass(frozen=True)
 class Mixture:
-    """``documents`` with size, offset and target; ``slots`` of the output shards; ``pieces`` of the blocks.
+    """``documents`` with size, offset and target; ``slots`` of the output shards; ``pieces`` of the blocks; ``texts``
+    once each, by two hashes that documents and pieces have too.
 
-    A shard's text is its slots, each joined to the pieces of its block (source, block), cut to ``words``.
+    A shard's text is its slots, each joined to the pieces of its block (source, block), cut to ``words``;
+    ``write_shards`` writes it.
     """
 
     documents: DataFrame
     slots: DataFrame
     pieces: DataFrame
+    texts: DataFrame
 
 
 def word_count(text: Column) -> Column:
@@ -212,12 +229,14 @@ def word_count(text: Column) -> Column:
 
 
 def mixture(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", source: str = "source", text: str = "text") -> Mixture:
-    """Plan the mix of all documents.
+    """Plan the mix of all documents; their texts are found again by hash.
 
     Sizes are words; a null source is a source of its own and comes last; documents without words take no part;
     repeated rows count as documents of their own; an empty table gives an empty mix; other columns are left out.
     """
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    hashed = docs.withColumn("h1", F.xxhash64(body)).withColumn("h2", F.hash(body, F.length(body)))
+    sized = hashed.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *TEXT)
     sized = landed(sized, "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(sums, mix)
@@ -225,19 +244,69 @@ def mixture(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", source: s
     right = goals.select(F.col("source").alias("_source"), "source_size", "target")
     documents = numbered.join(right, numbered["source"].eqNullSafe(right["_source"])).drop("_source")
     documents = landed(documents, "placed")
-    return Mixture(documents, slots(goals, mix), pieces(documents, mix))
+    texts = hashed.select(*TEXT, body.alias("text")).dropDuplicates(TEXT)
+    return Mixture(documents, slots(goals, mix), pieces(documents, mix), texts)
+
+
+_BLANK = np.isin(np.arange(256), (0x20, 9, 10, 11, 12, 13))
+
 
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words between the six ASCII blanks start and end."""
+    edges = np.diff(np.r_[True, _BLANK[np.frombuffer(text, np.uint8)], True].astype(np.int8))
+    return np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
 
-def taken(mixed: Mixture) -> DataFrame:
-    """``documents`` with ``taken``: the words the shards take of each, repeats counted."""
-    used = mixed.slots.groupBy("source", "block", "words").agg(F.count("*").alias("times"))
-    # Of a block, full slots and at most one cut one: two rows at most.
+
+def write_shards(mixed: Mixture, path: str) -> DataFrame:
+    """The mix as Parquet below ``path``, a folder per shard, and read back.
+
+    A row is what a slot takes of one document: source, slot, block, the document by doc_id, size and
+    offset, and its words in ``text`` with the blanks between them as they were.  The slots of a shard stand in a
+    seeded order, so its sources are mixed.  Slots and pieces are joined as numbers; a text moves
+    once to its cuts and once to its shards.
+    """
     # Both sides grow with the documents; the estimated size of a small file is no reason to broadcast one.
-    left, right = mixed.pieces.hint("merge"), used.withColumnRenamed("source", "_source").withColumnRenamed("block", "_block")
-    hit = left.join(right, left["source"].eqNullSafe(right["_source"]) & (left["block"] == right["_block"]))
-    words = F.greatest(F.lit(0), F.least("to_word", "words") - F.col("from_word")) * F.col("times")
+    left, right = mixed.pieces.hint("merge"), mixed.slots.withColumnRenamed("source", "_source").withColumnRenamed("block", "_block")
+    hit = left.join(right, left["source"].eqNullSafe(right["_source"]) & (left["block"] == right["_block"])).where("words > from_word")
+    start = F.col("block_start") + F.col("from_word") - F.col("offset")
+    cut = F.struct("shard", "slot", "block", "from_word", start.alias("start"), (F.least("to_word", "words") - F.col("from_word")).alias("n"))
+    key = ["doc_id", "source", "size", "offset"]
+    cuts = hit.groupBy(*TEXT, *key).agg(F.collect_list(cut).alias("cuts"))
+    found = cuts.join(mixed.texts.hint("merge"), TEXT).select(*key, "cuts", "text")
+    ints = ["shard", "slot", "block", "from_word"]
+    schema = StructType([found.schema[k] for k in key] + StructType.fromDDL("slot long, block long, from_word long, text string, shard long").fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            column = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            owner: list[int] = []
+            made: dict[str, list] = {n: [] for n in [*ints, "text"]}
+            for k, (text, wanted) in enumerate(zip(column["text"].cast(pa.large_binary()).to_pylist(), column["cuts"].to_pylist())):
+                first, last = word_bounds(text)
+                for c in wanted:
+                    owner.append(k)
+                    made["text"].append(text[first[c["start"]]:last[c["start"] + c["n"] - 1]].decode())
+                    for n in ints:
+                        made[n].append(c[n])
+            out = {n: column[n].take(pa.array(owner, pa.int64())) for n in key}
+            out |= {n: pa.array(v, pa.string() if n == "text" else pa.int64()) for n, v in made.items()}
+            yield pa.RecordBatch.from_arrays([out[n] for n in schema.names], schema.names)
+
+    rows = found.mapInArrow(run, schema).repartition("shard")
+    ordered = rows.sortWithinPartitions("shard", F.xxhash64("source", "slot"), "source", "slot", "from_word")
+    ordered.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return mixed.documents.sparkSession.read.schema(schema).parquet(path)
+
+
+def taken(mixed: Mixture, path: str | None = None) -> DataFrame:
+    """``documents`` with ``taken``: the words of each in the shards, repeats counted.
+
+    The shards are written below ``path``, or in a new folder of the shared one, and their texts are counted.
+    """
+    spark = mixed.documents.sparkSession
+    rows = write_shards(mixed, path or f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}")
     key = ["doc_id", "size", "offset", "source"]
-    sums = hit.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.sum(words).alias("taken"))
+    sums = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.sum(word_count(F.col("text"))).alias("taken"))
     docs = mixed.documents
     same = [docs[k].eqNullSafe(sums[f"_{k}"]) for k in key]
     joined = docs.join(sums, same, "left")

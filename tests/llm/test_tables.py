@@ -269,6 +269,27 @@ def test_mixture_joins_to_the_taken_words(spark, sf):
     assert len(shards) > 5 and all(abs(n - mean) < 6 * mean**0.5 for n in shards.values())
 
 
+def test_shards_hold_the_words(spark, tmp_path):
+    """Rows with null and repeated ids, each written out word by word."""
+    rows = [(k % 3 if k % 4 else None, "ab"[k % 2], "".join(f"w{k}.{j}{' ' * (j % 3)}\n" for j in range(5 + k % 7 * 20))) for k in range(40)]
+    table = spark.createDataFrame(rows, "doc_id int, source string, text string")
+    mixed = mixing.mixture(table, mixing.Mix(block=32, shard_blocks=4, buckets=2))
+    got = mixing.taken(mixed, f"{tmp_path}/shards").collect()
+    written = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert len({r["shard"] for r in written}) > 5
+    of = {w: (i, s) for i, s, t in rows for w in t.split()}
+    assert all({of[w] for w in r["text"].split()} == {(r["doc_id"], r["source"])} for r in written)
+    assert all(r["text"] in t for r in written for _, _, t in rows if r["text"].split()[0] in t.split())
+    slots = Counter()
+    for r in written:
+        slots[r["shard"], r["source"], r["slot"]] += len(r["text"].split())
+    assert slots == {(s["shard"], s["source"], s["slot"]): s["words"] for s in mixed.slots.collect()}
+    times = Counter(w for r in written for w in r["text"].split())
+    assert max(times.values()) <= 3 and sum(times.values()) == sum(r["taken"] for r in got)
+    small = next(r for r in got if r["size"])
+    assert small["taken"] <= 3 * small["size"]
+
+
 def test_permutations():
     import numpy as np
 
