@@ -195,6 +195,15 @@ def test_line_runs(spark, table, min_words):
     assert ordered(got.collect()) == ordered(brute_lines(pairs(table), min_words))
 
 
+def test_boilerplate_lines_go(spark):
+    """A repeated license line alone between lines of its own."""
+    license = "This work is licensed under the GNU General Public License, version 3."
+    rows = [(k, f"own first {k}\n{license}\nown last {k}") for k in range(4)]
+    got = lines.without_repeats(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {0: 0, 1: 1, 2: 1, 3: 1}
+    assert all((license in r["text"]) == (r["doc_id"] == 0) for r in got)
+
+
 def test_suffix_ranks_sort_the_prefixes(spark):
     text = "\n".join("a b a b c a b a b c d".split())
     rows = spark.createDataFrame([(1, text), (2, text)], "doc int, text string")
