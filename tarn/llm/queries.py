@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lines, mixing, pii, quality, simhash, substrings, tokens, urls
+from . import chat, collocations, decontaminate, jaccard, lines, mixing, periods, pii, quality, simhash, substrings, tokens, urls
 from .common import table
 
 
@@ -78,11 +78,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(periods.with_runs(periods.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_repeated_strings, op2_personal_data, op3_decontaminate, op4_url_templates, op5_compression_bands, op6_simhash, op7_mix_sources, op8_line_runs,
-        op9_chat_format, op10_token_counts)
+        op9_chat_format, op10_token_counts, op11_jaccard_join, op12_collocations, op13_periodic_runs)
 }
 
 PHRASES_SQL = r"""
@@ -126,4 +138,46 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op3_decontaminate": PHRASES_SQL, "op9_chat_format": CHAT_SQL}
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, row_number() OVER () AS row,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT row, array_to_string(w[k:k + least(len(w), 4) - 1], ' ') AS s
+    FROM (SELECT row, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k FROM words WHERE len(w) > 0)),
+sizes AS (SELECT row, count(*) AS n FROM shingles GROUP BY row),
+pairs AS (SELECT a.row AS u, b.row AS v, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.row <> b.row GROUP BY ALL),
+links AS (SELECT u, v FROM pairs JOIN sizes x ON x.row = u JOIN sizes y ON y.row = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT row AS u, row AS v FROM words UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v)
+SELECT w.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM words w LEFT JOIN sizes s ON s.row = w.row JOIN reach r ON r.u = w.row JOIN words o ON o.row = r.v
+GROUP BY w.row, w.doc_id
+"""
+
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece,
+           regexp_extract_all(p, '[^\x20\x09]+') AS w
+    FROM (SELECT lang, unnest(regexp_split_to_array(
+              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+          FROM documents)),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM starts, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL),
+words AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
+cuts AS (SELECT c.*, t.cut, array_to_string(w[1:t.cut], ' ') AS x, array_to_string(w[t.cut + 1:], ' ') AS y
+         FROM cand c, (SELECT unnest([1, 2, 3]) AS cut) t WHERE t.cut < k),
+scored AS (SELECT c.lang, c.k, c.phrase, c.a, c.cut, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a + r.a) AS score
+           FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.x AND l.k = c.cut
+                       JOIN f r ON r.lang = c.lang AND r.phrase = c.y AND r.k = c.k - c.cut),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most
+           FROM cand, (SELECT unnest([2, 3]) AS m) s, (SELECT unnest([1, 2, 3]) AS i) p WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside s USING (lang, phrase) WHERE s.most IS NULL OR 100::HUGEINT * s.most < 80::HUGEINT * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN words USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {"op11_jaccard_join": JACCARD_SQL, "op12_collocations": COLLOCATIONS_SQL, "op3_decontaminate": PHRASES_SQL, "op9_chat_format": CHAT_SQL}
