@@ -36,6 +36,8 @@ MAX_PERCENT = 100.0
 IDLE_SECONDS = 900
 HISTORY_POINTS = 20
 METRICS_SECONDS = 3
+# A container that has sent no sample in ten refreshes is taken as gone.
+PRESENT_SECONDS = 10 * METRICS_SECONDS
 
 # Profiles: name, cores, editor GB, worker GB, free cores needed, free GB needed
 PROFILES = (

@@ -61,6 +61,20 @@ def merge_updates(base: DataFrame, updates: DataFrame, key: list[str], order: li
     return kept.unionByName(won.select(*base.columns))
 
 
+def key_changes(base: DataFrame, updates: DataFrame, key: list[str], order: list[str], ties: bool = True) -> DataFrame:
+    """``before`` and ``after`` of every key that the updates change, as structs; a new key has no ``before``.
+
+    ``base`` holds each key once.  A tie in ``order`` goes to the update, or with ``ties`` off changes nothing.
+    """
+    newest = latest_by_key(updates.select(*base.columns), key, order)
+    after = newest.select(*[F.col(k).alias(f"_of_{k}") for k in key], F.struct(*newest.columns).alias("after"))
+    before = base.select(*key, F.struct(*base.columns).alias("before"))
+    both = after.join(before, _same_key(before, after, key), "left").select("before", "after")
+    rank = lambda side: F.struct(*[F.col(f"{side}.{c}") for c in order])
+    newer = rank("after") >= rank("before") if ties else rank("after") > rank("before")
+    return both.where(F.col("before").isNull() | newer)
+
+
 def delete_keys(base: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``base`` whose key is not listed; unknown keys change nothing.
 

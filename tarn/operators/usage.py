@@ -68,11 +68,27 @@ def metrics_of_roles(newest: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def as_of(samples: DataFrame, at: Column, within: int | dict[str, int] = K.PRESENT_SECONDS, ts: str = "ts") -> DataFrame:
+    """The samples that tell what was there at the instant ``at``: none later, and none older than ``within`` seconds.
+
+    A container that is gone sends no samples, so a role whose newest one is older does not exist any more.
+    ``within`` may differ by role; a role that it does not name counts with the bound of all, if there is one under ``""``.
+    """
+    bounds = within if isinstance(within, dict) else {"": within}
+    seconds = F.lit(bounds.get("")).cast("int")
+    for role, bound in bounds.items():
+        if role:
+            seconds = F.when(F.col("role") == role, F.lit(bound)).otherwise(seconds)
+    oldest = at - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    return samples.where((F.col(ts) <= at) & (F.col(ts) >= oldest))
+
+
 def workspace_metrics(samples: DataFrame, order: list[str], users: DataFrame | None = None) -> DataFrame:
     """Metrics of each user from the newest sample of the editor and the worker.
 
     Every task first cuts its samples to the newest of each user and role, so
-    little is shuffled.  With ``users``, a user without samples is offline.
+    little is shuffled.  With ``users``, a user without samples is offline.  A sample counts however old it is; cut to
+    an instant by ``as_of``, the samples give the metrics of the containers that exist then.
     """
     newest = newest_n(samples.where(F.col("role").isin(*K.ROLES)), ["usuario", "role"], order, 1)
     sample = F.struct(*SAMPLE_FIELDS)
@@ -85,7 +101,7 @@ def workspace_metrics(samples: DataFrame, order: list[str], users: DataFrame | N
 
 
 def online_status(samples: DataFrame, users: DataFrame) -> DataFrame:
-    """Whether any container of each user was found."""
+    """Whether any container of each user was found: in all samples, or at an instant if they are cut by ``as_of``."""
     seen = samples.select("usuario").distinct().withColumn("found", F.lit(True))
     return users.select("usuario").join(seen, "usuario", "left").select(
         "usuario", F.when(F.col("found"), "online").otherwise("offline").alias("status")

@@ -105,6 +105,9 @@ numbered AS (
 sessions AS (
   SELECT usuario, min(ts) AS session_start, max(ts) AS last_seen, count(*) AS beats FROM numbered GROUP BY usuario, session)"""
 
+THEN = """seen AS (SELECT * FROM container_stats WHERE ts <= TIMESTAMP '2024-01-15 12:00:00'
+  AND ts >= TIMESTAMP '2024-01-15 12:00:00' - CASE role WHEN 'vscode' THEN INTERVAL 1 HOUR ELSE INTERVAL 6 HOUR END)"""
+
 LATEST = "latest AS (SELECT * FROM object_inventory QUALIFY row_number() OVER (PARTITION BY bucket, key ORDER BY obj_id DESC) = 1)"
 
 PROGRESS = """progress AS (
@@ -229,6 +232,17 @@ ORACLE: dict[str, str] = {
         "container_stats", "users",
         sql="SELECT usuario, CASE WHEN usuario IN (SELECT usuario FROM container_stats) THEN 'online' ELSE 'offline' END AS status FROM users",
     ),
+    "workspace_metrics_at": _over(
+        "container_stats", "users",
+        extra=f"{THEN}, newest AS (SELECT * FROM seen QUALIFY row_number() OVER "
+              f"(PARTITION BY usuario, role ORDER BY ts DESC, event_id DESC) = 1), {_metrics('usuario')}",
+        sql="SELECT usuario, coalesce(status, 'offline') AS status, cpu_percent, memory_usage_mb, memory_limit_mb, memory_percent "
+            "FROM users LEFT JOIN metrics USING (usuario)",
+    ),
+    "online_at": _over(
+        "container_stats", "users", extra=THEN,
+        sql="SELECT usuario, CASE WHEN usuario IN (SELECT usuario FROM seen) THEN 'online' ELSE 'offline' END AS status FROM users",
+    ),
     "cpu_delta": _over(
         "container_stats",
         sql="SELECT event_id, cpu_delta - coalesce(lag(cpu_delta) OVER w, 0) AS cpu_delta_step, "
@@ -349,6 +363,8 @@ ORACLE: dict[str, str] = {
                      "FROM events WHERE event_id % 59 = 0 OR event_id % 53 = 0",
     "gold_daily": f"WITH {SILVER} SELECT day, event_type, count(*) AS events, "
                   "CAST(sum(value) AS DOUBLE) AS total FROM silver GROUP BY 1, 2",
+    "gold_by_batches": f"WITH {SILVER} SELECT day, event_type, count(*) AS events, "
+                       "CAST(sum(value) AS DOUBLE) AS total FROM silver GROUP BY 1, 2",
     "text_file_previews": f"WITH {LAKE} SELECT part, CAST(octet_length(encode(content)) AS BIGINT) AS size_bytes, 'text' AS type, "
                           "array_to_string(list_slice(string_split(content, chr(10)), 1, 10), chr(10)) AS preview_content FROM lake",
     "landed_table": _over(
@@ -395,6 +411,18 @@ ORACLE: dict[str, str] = {
         SELECT usuario, last_seen FROM last WHERE event_type <> 'error'""",
     "stream_app_status": _over(
         "apps",
-        sql="SELECT 'app-' || CAST(app_id AS VARCHAR) AS app_id, state = 'RUNNING' AS active, state, duration_ms FROM apps",
-    ),
+        sql="SELECT 'app-' || CAST(app_id AS VARCHAR) AS app_id, app_id % 2 = 1 OR state = 'RUNNING' AS active, "
+            "CASE WHEN app_id % 2 = 1 THEN 'RUNNING' ELSE state END AS state, duration_ms FROM apps WHERE app_id % 2 = 1 OR app_id % 3 > 0",
+    ),
+    "stream_user_sessions": """WITH e AS (SELECT 'user-' || CAST(user_id AS VARCHAR) AS usuario, ts, event_type = 'error' AS gone,
+          lag(ts) OVER w AS before, lag(event_type = 'error') OVER w AS was_gone, lead(ts) OVER w AS after, lead(event_type = 'error') OVER w AS goes
+          FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type = 'error')),
+        beats AS (SELECT *, sum(CASE WHEN before IS NULL OR was_gone OR epoch_us(ts) - epoch_us(before) > 900000000 THEN 1 ELSE 0 END)
+          OVER (PARTITION BY usuario ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e WHERE NOT gone)
+        SELECT usuario, min(ts) AS session_start, max(ts) AS last_seen, count(*) AS beats,
+          CASE WHEN arg_max(goes AND epoch_us(after) - epoch_us(ts) <= 900000000, ts) THEN 'shutdown' ELSE 'idle' END AS event
+        FROM beats GROUP BY usuario, session""",
+    "stream_drops": "SELECT 'bronze' AS bucket, 'portal' AS uploader, CAST(8 AS BIGINT) AS files, "
+                    "CAST((SELECT sum(octet_length(encode(text)) + 1) FROM documents) + (SELECT sum(octet_length(encode(text)) + 1) FROM benchmark) AS BIGINT) "
+                    "AS total_bytes",
 }

@@ -15,6 +15,7 @@ from ..operators import capacity as C
 from ..operators import inventory as I
 from ..operators import keyed as U
 from ..operators import layers as M
+from ..operators import refresh as N
 from ..operators import sessions as S
 from ..operators import usage as R
 from ..sources import inventory as SI
@@ -22,7 +23,7 @@ from ..sources import landing as SL
 from ..sources import payloads as SP
 from ..sources import samples as SS
 from ..session import prepare, work_dir
-from ..streaming import history, live, sinks
+from ..streaming import history, live, presence, sinks
 from .views import load, reshape, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Four buckets, one of which holds nothing.
 BUCKETS = ("bronze", "silver", "gold", "sandbox")
 AS_OF = "2024-01-31 00:00:00"
+INSTANT = "2024-01-15 12:00:00"
 FOLDER = ("bronze", "src9")
 SERIES = ["usuario", "role"]
 NEWEST = ["ts", "event_id"]
@@ -156,6 +158,20 @@ def online_status(spark, sf):
     return R.online_status(view(spark, sf, "container_stats"), view(spark, sf, "users"))
 
 
+def _samples_at(spark, sf):
+    """Samples as they tell what is there at one instant; a worker is asked less often than an editor."""
+    at = F.lit(INSTANT).cast("timestamp_ntz")
+    return R.as_of(view(spark, sf, "container_stats"), at, {"vscode": 3600, "spark-worker": 6 * 3600})
+
+
+def workspace_metrics_at(spark, sf):
+    return R.workspace_metrics(_samples_at(spark, sf), NEWEST, view(spark, sf, "users"))
+
+
+def online_at(spark, sf):
+    return R.online_status(_samples_at(spark, sf), view(spark, sf, "users"))
+
+
 def cpu_delta(spark, sf):
     steps = R.counter_delta(view(spark, sf, "container_stats"), SERIES, "ts", NEWEST, ["cpu_delta", "system_delta"])
     return steps.select("event_id", "cpu_delta_step", "system_delta_step")
@@ -388,12 +404,11 @@ def registry_delete(spark, sf):
 
 
 def landed_table(spark, sf):
-    """Uploads landed one after the other, with a snapshot in between and one of them sent twice."""
+    """Uploads landed one after the other, one of them sent twice."""
     table = work_dir(spark, "table")
     older, newer = (part.drop("uploader") for part in _old_and_new(spark, sf))
     SL.land_objects(older, table, "ana", OBJECT, ["obj_id"], 0)
     SL.land_objects(newer.where("obj_id % 2 = 0"), table, "bo", OBJECT, ["obj_id"], 1)
-    SL.compact(spark, table, OBJECT, ["obj_id"])
     for _ in range(2):
         SL.land_objects(newer.where("obj_id % 2 = 1"), table, "bo", OBJECT, ["obj_id"], 2)
     return SL.read_latest(spark, table, OBJECT, ["obj_id"])
@@ -415,15 +430,21 @@ SILVER = {
 }
 
 
-def _silver(spark, sf):
+SILVER_KEY = ["user_id", "day", "event_type"]
+
+
+def _bronze(spark, sf):
     """Events as raw texts: repeated keys, values and ids that do not fit, and some uploaders."""
-    bronze = load(spark, sf, "events").select(
+    return load(spark, sf, "events").select(
         "event_id", "ts", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"),
         F.when(F.col("event_id") % 59 == 0, "u?").otherwise(F.col("user_id").cast("string")).alias("user_id"), "event_type",
         F.when(F.col("event_id") % 53 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("value"),
         F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("u"), (F.col("event_id") % 3).cast("string"))).alias("uploader"),
     )
-    return M.to_silver(bronze, SILVER, ["user_id", "day", "event_type"], ["ts", "event_id"])
+
+
+def _silver(spark, sf):
+    return M.to_silver(_bronze(spark, sf), SILVER, SILVER_KEY, ["ts", "event_id"])
 
 
 def silver_events(spark, sf):
@@ -443,6 +464,18 @@ def gold_daily(spark, sf):
     return daily.withColumn("total", F.col("total").cast("double"))
 
 
+def gold_by_batches(spark, sf):
+    """The daily totals after three batches of raw events; later ones correct keys of earlier ones."""
+    out = work_dir(spark, "layers")
+    bronze = _bronze(spark, sf)
+    for k in range(3):
+        N.refresh(
+            bronze.where(F.col("event_id") % 3 == k), f"{out}/silver", f"{out}/gold", SILVER, SILVER_KEY, ["ts", "event_id"],
+            ["day", "event_type"], {"total": "value"}, k, buckets=PARTS)
+    daily = N.read_gold(SL.read_landed(spark, f"{out}/gold"))
+    return daily.select("day", "event_type", F.col("rows").alias("events"), F.col("total").cast("double").alias("total"))
+
+
 # --- files -----------------------------------------------------------------
 
 def _first_file(spark, root):
@@ -490,8 +523,8 @@ def text_file_previews(spark, sf):
 
 def _put(spark, path, content=b""):
     """One small file, whatever its name."""
-    store, at = SL._files(spark, path)
-    out = store.create(at)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at)
     out.write(bytearray(content))
     out.close()
 
@@ -599,14 +632,13 @@ def stream_history(spark, sf):
 
 
 def stream_landing(spark, sf):
-    """Inventory rows dropped as files, landed by a stream in several batches with snapshots, read as the last write."""
+    """Inventory rows dropped as files, landed by a stream in several batches, read as the last write."""
     out = work_dir(spark, "landing")
     inv = view(spark, sf, "object_inventory").drop("uploader")
     for k in range(PARTS):
         inv.where(F.col("obj_id") % PARTS == (k * 3) % PARTS).coalesce(1).write.mode("append").parquet(f"{out}/drop")
     stamped = sinks.read_files(spark, f"{out}/drop", max_files=1).withColumn("uploader", F.lit("portal"))
-    sinks.finish(sinks.land_latest(
-        stamped, f"{out}/table", f"{out}/checkpoint", OBJECT, ["obj_id"], mode="append", compact_every=3))
+    sinks.finish(sinks.land_latest(stamped, f"{out}/table", f"{out}/checkpoint", OBJECT, ["obj_id"], mode="append", buckets=PARTS))
     return SL.read_latest(spark, f"{out}/table", OBJECT, ["obj_id"])
 
 
@@ -623,28 +655,62 @@ def stream_present(spark, sf):
 
 
 def stream_app_status(spark, sf):
-    """Polls as whole documents by a stream: first every application as running, then as it is, then a broken one."""
+    """Applications as the last complete poll of each of eight masters gives them.
+
+    The first polls name every application as running.  Of the next ones half are cut off, and the even masters' third
+    ones leave out every third application; after that an older poll of theirs arrives.  The odd masters fall behind.
+    """
     out = work_dir(spark, "apps")
     apps = view(spark, sf, "apps")
 
-    def poll(number, state):
+    def poll(number, state, which="true"):
         app = F.struct(
             F.concat(F.lit("app-"), F.col("app_id").cast("string")).alias("id"), F.col("duration_ms").alias("duration"), state.alias("state"))
-        many = apps.groupBy((F.col("app_id") % 8).alias("master")).agg(
+        many = apps.where(which).groupBy((F.col("app_id") % 8).alias("master")).agg(
             F.collect_list(F.when(state == "RUNNING", app)).alias("activeapps"),
             F.collect_list(F.when(state != "RUNNING", app)).alias("completedapps"))
         body = F.struct(F.lit(number).cast("bigint").alias("snapshot_id"), "activeapps", "completedapps")
         return many.select("master", F.to_json(body, {"pretty": "true"}).alias("value"))
 
-    polls = [poll(0, F.lit("RUNNING")), poll(1, F.col("state"))]
-    polls.append(polls[0].withColumn("value", F.substring("value", 1, 50)))
+    polls = [poll(0, F.lit("RUNNING")), poll(1, F.col("state")).withColumn("value", F.substring("value", 1, 50)),
+             poll(2, F.col("state"), "app_id % 2 = 0 AND app_id % 3 > 0"), poll(1, F.lit("LATE"), "app_id % 2 = 0")]
     for texts in polls:
         texts.repartition("master").write.mode("append").partitionBy("master").text(f"{out}/drop")
-    payloads = sinks.read_files(spark, f"{out}/drop", "text", "value string, master int", max_files=4, wholetext=True)
-    key, order = ["app_id"], ["snapshot_id"]
+    payloads = sinks.read_files(spark, f"{out}/drop", "text", "value string, master int", max_files=7, wholetext=True)
+    key, order = ["master"], ["snapshot_id"]
     seen = live.app_status(payloads)
-    sinks.finish(sinks.land_latest(seen, f"{out}/table", f"{out}/checkpoint", key, order, mode="append"))
-    return SL.read_latest(spark, f"{out}/table", key, order).select("app_id", "active", "state", "duration_ms")
+    sinks.finish(sinks.land_latest(seen, f"{out}/table", f"{out}/checkpoint", key, order, mode="append", buckets=PARTS))
+    return SP.pictured_apps(SL.read_landed(spark, f"{out}/table")).select("app_id", "active", "state", "duration_ms")
+
+
+def stream_user_sessions(spark, sf):
+    """Sessions that a silence or a shutdown has ended, by the clock; an error event stands for a shutdown."""
+    out = work_dir(spark, "presence")
+    beats = _arrivals(spark, sf).select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("usuario"), "ts", (F.col("event_type") == "error").alias("gone"))
+    # The whole history comes at once here: a user is waited for while it does, and a straggler's mark is short.
+    events = presence.presence(beats, patience=10, mark=5, mode="Append")
+    sinks.until_quiet(sinks.append_files(presence.ended_sessions(events), f"{out}/rows", f"{out}/checkpoint", every="1 second"))
+    return spark.read.parquet(f"{out}/rows").select(
+        "usuario", "event", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
+        F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "beats")
+
+
+def stream_drops(spark, sf):
+    """Files of a drop folder landed as they arrive, in several micro-batches; started again, the stream lands nothing twice."""
+    out = work_dir(spark, "dropped")
+    load(spark, sf, "documents").select("text").repartition(PARTS).write.text(f"{out}/drop/first")
+
+    def polled():
+        files = sinks.drop_stream(spark, f"{out}/drop", "bronze", "portal", max_files=PARTS // 2)
+        sinks.finish(sinks.land_latest(files, f"{out}/table", f"{out}/checkpoint", OBJECT, ["last_modified"], mode="append", buckets=PARTS))
+
+    polled()
+    load(spark, sf, "benchmark").select("text").repartition(PARTS).write.text(f"{out}/drop/second")
+    for _ in range(2):
+        polled()
+    landed = SL.read_landed(spark, f"{out}/table")
+    return landed.groupBy("bucket", "uploader").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("total_bytes"))
 
 
 QUERIES: dict[str, Query] = {
@@ -654,14 +720,15 @@ QUERIES: dict[str, Query] = {
         folder_view, object_details, image_objects, script_names, folder_scripts, upload_allowed,
         uploader_totals, inventory_table, document_heads,
         host_capacity, profile_fit, eligible_hosts, master_lookup, profile_specs,
-        workspace_metrics, online_status, cpu_delta, metric_history, container_payloads,
+        workspace_metrics, workspace_metrics_at, online_status, online_at, cpu_delta, metric_history, container_payloads,
         idle_now, idle_sessions,
         app_states, recent_completed, app_durations, job_progress, app_progress, app_totals,
         driver_links, schedule_list, driver_apps, cluster_snapshot, polled_recent, polled_states, app_job_payloads,
         user_names, event_props,
-        registry_upsert, registry_merge, registry_delete, registry_cancel, landed_table, silver_events, silver_failed, gold_daily,
+        registry_upsert, registry_merge, registry_delete, registry_cancel, landed_table, silver_events, silver_failed, gold_daily, gold_by_batches,
         preview_csv, preview_parquet, preview_text, text_file_previews, listed_objects, indexed_objects,
         scanned_images, landed_drops,
         stream_idle, stream_metrics, stream_last_seen, stream_present, stream_history, stream_landing, stream_app_status,
+        stream_user_sessions, stream_drops,
     )
 }

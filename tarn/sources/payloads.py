@@ -25,7 +25,7 @@ _APP = (
 )
 
 SNAPSHOT_SCHEMA = (
-    f"snapshot_id BIGINT, workers ARRAY<{_WORKER}>, activeapps ARRAY<{_APP}>, completedapps ARRAY<{_APP}>"
+    f"snapshot_id BIGINT, url STRING, workers ARRAY<{_WORKER}>, activeapps ARRAY<{_APP}>, completedapps ARRAY<{_APP}>"
 )
 
 JOBS_SCHEMA = (
@@ -89,9 +89,13 @@ def flatten_container_stats(raw: DataFrame) -> DataFrame:
 
 
 def snapshots_of(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Polls from payload texts, streams included; a poll without a number takes the time its file arrived."""
+    """Polls from payload texts, streams included; and the broken ones.
+
+    A poll without a number takes the time its file arrived, and one without a master's address the folder of its file.
+    """
     raw, broken = parsed(texts, SNAPSHOT_SCHEMA)
-    return raw.withColumn("snapshot_id", F.coalesce("snapshot_id", "arrived")).drop("file", "arrived"), broken
+    master = F.coalesce("url", F.try_element_at(F.split("file", "/"), F.lit(-2)))
+    return raw.withColumns({"snapshot_id": F.coalesce("snapshot_id", "arrived"), "master": master}).drop("file", "arrived", "url"), broken
 
 
 def snapshot_workers(snapshots: DataFrame) -> DataFrame:
@@ -100,20 +104,27 @@ def snapshot_workers(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_apps(snapshots: DataFrame) -> DataFrame:
-    """All applications of all polls, active and completed, in one pass, under the names the operators take."""
+def app_pictures(snapshots: DataFrame) -> DataFrame:
+    """One row for each poll of a master, with all its applications, active and completed, under the names the operators take."""
     empty = F.array().cast(f"ARRAY<{_APP}>")
 
     def marked(column: str, active: bool) -> Column:
-        apps = F.coalesce(F.col(column), empty)
-        return F.transform(apps, lambda a: F.struct(F.lit(active).alias("active"), a.alias("app")))
-
-    both = F.concat(marked("activeapps", True), marked("completedapps", False))
-    return snapshots.select("snapshot_id", F.explode(both).alias("e")).select(
-        "snapshot_id", "e.active", F.col("e.app.id").alias("app_id"), "e.app.name", F.col("e.app.user").alias("user_id"),
-        "e.app.cores", "e.app.memoryperslave", "e.app.state", F.col("e.app.duration").alias("duration_ms"),
-        F.timestamp_millis("e.app.starttime").alias("start_ts"),
-    )
+        return F.transform(F.coalesce(F.col(column), empty), lambda a: F.struct(
+            F.lit(active).alias("active"), a["id"].alias("app_id"), a["name"].alias("name"), a["user"].alias("user_id"),
+            a["cores"].alias("cores"), a["memoryperslave"].alias("memoryperslave"), a["state"].alias("state"),
+            a["duration"].alias("duration_ms"), F.timestamp_millis(a["starttime"]).alias("start_ts")))
+
+    return snapshots.select("master", "snapshot_id", F.concat(marked("activeapps", True), marked("completedapps", False)).alias("apps"))
+
+
+def pictured_apps(pictures: DataFrame) -> DataFrame:
+    """The applications of each picture; an empty picture has none."""
+    return pictures.select("master", "snapshot_id", F.inline("apps"))
+
+
+def snapshot_apps(snapshots: DataFrame) -> DataFrame:
+    """All applications of all polls."""
+    return pictured_apps(app_pictures(snapshots)).drop("master")
 
 
 def active_apps(apps: DataFrame) -> DataFrame:

@@ -32,21 +32,23 @@ def cut_block(block: pd.DataFrame, n: int) -> pd.DataFrame:
 class KeepNewest(StatefulProcessor):
     """Holds at most ``n`` points per series, and when it was shut down last.
 
-    A shutdown hides the points up to its time, whenever they arrive.
+    A shutdown hides the points up to its time, whenever they arrive.  With ``keep``, a series that gets no
+    point for that many seconds is forgotten, and so is a shutdown that old.
     """
 
-    def __init__(self, n: int) -> None:
-        self.n = n
+    def __init__(self, n: int, keep: int | None = None) -> None:
+        self.n, self.keep = n, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.points = handle.getListState("points", POINT)
-        self.ended = handle.getValueState("ended", "at BIGINT")
+        ttl = None if self.keep is None else self.keep * 1000
+        self.points = handle.getListState("points", POINT, ttlDurationMs=ttl)
+        self.ended = handle.getValueState("ended", "at BIGINT", ttlDurationMs=ttl)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         newest = [tuple(p) for p in self.points.get()]
         heapq.heapify(newest)
         known = self.ended.get()
-        ended = known[0] if known else None
+        was = ended = known[0] if known else None
         version = max([p[0] for p in newest] + ([ended] if ended is not None else []), default=None)
         for row in rows:
             version = row.at if version is None else max(version, row.at)
@@ -61,7 +63,7 @@ class KeepNewest(StatefulProcessor):
             self.points.put(kept)
         else:
             self.points.clear()
-        if ended is not None:
+        if ended != was:
             self.ended.update((ended,))
         yield Row(series=key[0], version=version, points=[Row(at=t, point_id=i, value=v) for t, i, v in kept])
 
@@ -69,10 +71,11 @@ class KeepNewest(StatefulProcessor):
         pass
 
 
-def rolling_history(points: DataFrame, n: int = K.HISTORY_POINTS) -> DataFrame:
+def rolling_history(points: DataFrame, n: int = K.HISTORY_POINTS, keep: int | None = None) -> DataFrame:
     """The newest ``n`` points of each series after every micro-batch, for update mode.
 
-    The state is ``n`` points and one time for each series, for good.
+    The state is ``n`` points and one time for each series: of every series ever seen without ``keep``, and with
+    it of those that had a point within as many seconds by the clock.  A later point of a forgotten series starts it anew.
 
     ``points`` has ``series, ts, point_id, value`` and may have ``gone``.  Before
     the shuffle every Arrow block is cut to ``n`` points per series, so a series
@@ -92,7 +95,8 @@ def rolling_history(points: DataFrame, n: int = K.HISTORY_POINTS) -> DataFrame:
         rows.mapInPandas(cut, ROW)
         .groupBy("series")
         .transformWithState(
-            statefulProcessor=KeepNewest(n), outputStructType=OUTPUT, outputMode="Update", timeMode="None"
+            statefulProcessor=KeepNewest(n, keep), outputStructType=OUTPUT, outputMode="Update",
+            timeMode="None" if keep is None else "ProcessingTime",
         )
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators.usage import latest_per_role, metrics_of_roles
-from ..sources.payloads import snapshot_apps, snapshots_of, with_files
+from ..sources.payloads import app_pictures, snapshots_of, with_files
 
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -65,11 +65,13 @@ def last_seen(heartbeats: DataFrame) -> DataFrame:
 
 
 def app_status(payloads: DataFrame) -> DataFrame:
-    """Applications of every poll; landed by ``app_id``, each poll replaces the one before.
+    """The picture that every poll gives of its master's applications.
 
+    Landed by ``master`` in the order of ``snapshot_id``, the table holds the last complete poll of each master and
+    nothing else: an application that it does not name is gone.  ``pictured_apps`` gives the applications.
     ``payloads`` is a stream of whole texts; ``broken_polls`` gives those left out here.
     """
-    return snapshot_apps(snapshots_of(with_files(payloads))[0])
+    return app_pictures(snapshots_of(with_files(payloads))[0])
 
 
 def broken_polls(payloads: DataFrame) -> DataFrame:

@@ -1,15 +1,17 @@
-"""Starting streams.  Results go to shared files, never to the driver."""
+"""Starting and ending streams.  Results go to shared files, never to the driver."""
 
 from __future__ import annotations
 
-import uuid
+import json
+import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.keyed import latest_by_key
 from ..session import stream_settings
-from ..sources.landing import _files, claim, compact, land_batch
+from ..sources.landing import BUCKETS, committed, land
 
 
 def read_files(
@@ -23,47 +25,64 @@ def read_files(
     return reader.load(path)
 
 
-def append_files(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def drop_stream(
+    spark: SparkSession, drop_path: str, bucket: str, uploader: str, max_files: int | None = None
+) -> DataFrame:
+    """Inventory rows of the files that arrive in and below a drop folder, under their bare names; contents are not read.
+
+    The checkpoint knows which files were seen, so a poll asks neither the table nor again for old files.
+    As with any Spark reader, empty files and names that begin with a dot or an underscore are not there.
+    """
+    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).schema(
+        "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.load(drop_path).select(
+        F.lit(bucket).alias("bucket"), F.substring_index("path", "/", -1).alias("key"), F.col("length").alias("size_bytes"),
+        F.col("modificationTime").alias("last_modified"), F.lit(uploader).alias("uploader"))
+
+
+def append_files(
+    stream: DataFrame, path: str, checkpoint: str, every: str | None = None, mode: str = "append"
+) -> StreamingQuery:
     """Append final rows to Parquet files; without ``every`` it stops when caught up."""
-    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
     with stream_settings(stream.sparkSession):
         return _triggered(writer, every).start(path)
 
 
-def owner_of(spark: SparkSession, checkpoint: str) -> str:
-    """An id that lives and dies with a checkpoint, as the batch numbers do."""
-    store, mark = _files(spark, f"{checkpoint.rstrip('/')}/_landing_owner")
-    if not store.exists(mark):
-        out = store.create(mark, False)
-        out.write(bytearray(uuid.uuid4().hex.encode()))
-        out.close()
-    stream = store.open(mark)
-    owner = bytes(stream.readAllBytes()).decode()
-    stream.close()
-    return owner
+def checkpoint_id(spark: SparkSession, checkpoint: str) -> str | None:
+    """The id of the query that the checkpoint belongs to, as Spark keeps it there; it lives as long as the batch numbers do."""
+    try:
+        text = spark.read.text(f"{checkpoint.rstrip('/')}/metadata", wholetext=True).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return json.loads(text[0])["id"]
 
 
 def land_latest(
     stream: DataFrame, table: str, checkpoint: str, key: list[str], order: list[str],
-    mode: str = "update", every: str | None = None, keyed: bool = False, compact_every: int = 100,
+    mode: str = "update", every: str | None = None, keyed: bool = False, buckets: int = BUCKETS, forget: str | None = None,
+    on_changes=None,
 ) -> StreamingQuery:
-    """Land each micro-batch reduced to the last row of every key.
+    """Merge each micro-batch into a landed table under its number.
 
-    A micro-batch that runs again replaces its own folder.  The table belongs to
-    the checkpoint, as the batch numbers come from it; a stream with another one is
-    refused.  Every ``compact_every`` batches the table becomes a snapshot, so that
-    neither folders nor reads grow with the age of the stream.  With ``keyed`` the
-    stream gives each key once per batch already.
+    A micro-batch that runs again writes the same buckets again, or nothing if it was done.  The table
+    belongs to the checkpoint, as the batch numbers come from it; a stream with another one is refused.  With
+    ``keyed`` the stream gives each key once per batch already; ``forget`` and ``on_changes`` are those of ``land``.
     """
     spark = stream.sparkSession
-    claim(spark, table, owner_of(spark, checkpoint))
+    last = committed(spark, table)
+    if last is not None and last["owner"] != checkpoint_id(spark, checkpoint):
+        raise ValueError(f"{table} belongs to another checkpoint; this one would number its batches anew")
 
-    def land(batch: DataFrame, batch_id: int) -> None:
-        land_batch(batch if keyed else latest_by_key(batch, key, order), table, batch_id)
-        if batch_id % compact_every == compact_every - 1:
-            compact(batch.sparkSession, table, key, order)
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        owner = checkpoint_id(batch.sparkSession, checkpoint)
+        land(batch, table, key, order, batch_id, owner, buckets, keyed, forget, on_changes)
 
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(land)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(merge)
     with stream_settings(spark):
         return _triggered(writer, every).start()
 
@@ -75,3 +94,20 @@ def _triggered(writer, every: str | None):
 def finish(query: StreamingQuery) -> None:
     """Wait for a stream that stops when caught up, and raise its error if any."""
     query.awaitTermination()
+
+
+def until_quiet(query: StreamingQuery, seconds: float = 600, rows_left: int = 0) -> None:
+    """Stop a stream once it has read something and its state holds no more than ``rows_left`` rows; raise when that takes too long."""
+    end, rows = time.monotonic() + seconds, 0
+    while time.monotonic() < end:
+        if query.exception() is not None:
+            raise query.exception()
+        for progress in query.recentProgress:
+            rows = max(rows, progress["numInputRows"])
+        last = query.lastProgress
+        if rows and last and not last["numInputRows"] and all(s["numRowsTotal"] <= rows_left for s in last["stateOperators"]):
+            query.stop()
+            return
+        time.sleep(0.3)
+    query.stop()
+    raise TimeoutError(f"state is still held after {seconds} s: {query.lastProgress}")

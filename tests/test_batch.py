@@ -309,3 +309,25 @@ def test_merge_and_upsert_agree_on_null_keys(spark):
     updates = spark.createDataFrame([(None, 2, "new"), (None, 1, "late"), ("b", 2, "late"), ("c", 1, "new")], "k string, at int, v string")
     merged = U.merge_updates(base, updates, ["k"], ["at"])
     assert rows(merged) == rows(U.upsert_latest(base, updates, ["k"], ["at"])) and merged.count() == 4
+
+
+def test_metrics_and_status_at_an_instant(spark):
+    """Roles that stopped earlier do not count, each by its own bound; samples after the instant do not exist yet."""
+    at = lambda s: datetime(2024, 1, 1, 12) + timedelta(seconds=s)
+
+    def sample(i, second, user, role, used):
+        return (i, at(second), user, role, used * 1024**2, 0, 1024**2, 0, 0, 0)
+
+    data = [sample(1, -5, "a", "vscode", 1), sample(2, -31, "a", "spark-worker", 2), sample(3, -30, "b", "spark-worker", 4), sample(4, 1, "b", "vscode", 8),
+            sample(5, -100, "c", "vscode", 16), sample(6, 0, "d", "other", 32), sample(7, -60, "e", "spark-worker", 64)]
+    shape = STATS.replace("ts timestamp_ntz", "ts timestamp_ntz")
+    samples = spark.createDataFrame(data, shape)
+    users = spark.createDataFrame([(u,) for u in "abcdef"], "usuario string")
+    now = F.lit(at(0)).cast("timestamp_ntz")
+    seen = R.as_of(samples, now)
+    assert rows(R.online_status(seen, users)) == [("a", "online"), ("b", "online"), ("c", "offline"), ("d", "online"), ("e", "offline"), ("f", "offline")]
+    got = rows(R.workspace_metrics(seen, ["ts", "event_id"], users), "usuario", "status", "memory_usage_mb")
+    assert got == [("a", "online", 1.0), ("b", "online", 4.0), ("c", "offline", None), ("d", "offline", None), ("e", "offline", None), ("f", "offline", None)]
+    longer = R.as_of(samples, now, {"spark-worker": 60, "vscode": 5})
+    assert rows(R.workspace_metrics(longer, ["ts", "event_id"]), "usuario", "memory_usage_mb") == [("a", 3.0), ("b", 4.0), ("e", 64.0)]
+    assert rows(R.as_of(samples, now, {"": 0}), "event_id") == [(6,)]

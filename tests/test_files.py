@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pandas as pd
 import pytest
@@ -11,6 +12,8 @@ from tarn.operators import inventory as I
 from tarn.functions.keys import preview_type
 from tarn.operators import layers as M
 from tarn.sources import inventory as SI
+from tarn.operators import keyed as U
+from tarn.operators import refresh as R
 from tarn.sources import landing as SL
 from tarn.sources import payloads as SP
 from tarn.sources import samples as SS
@@ -282,32 +285,106 @@ def test_two_uploads_keep_both(spark, tmp_path):
     assert rows(SL.read_latest(spark, table, ["k"], ["at"]), "k") == [("a",), ("b",)]
 
 
-def test_reads_take_the_snapshot_and_later_batches_only(spark, tmp_path):
+def stamps(table):
+    """When each file of the table's rows was written."""
+    return {f"{d}/{f}": os.stat(f"{d}/{f}").st_mtime_ns for d, _, files in os.walk(f"{table}/rows") for f in files if f.startswith("part-")}
+
+
+def test_a_batch_rewrites_the_buckets_of_its_keys_only(spark, tmp_path):
     table = str(tmp_path / "table")
-    for n in range(6):
-        put(spark, table, [("a", n, "x"), (f"k{n}", 0, "x")], n)
-        if n in (2, 4):
-            SL.compact(spark, table, ["k"], ["at"])
-    assert SL.current_folders(spark, table) == ([4], [5])
-    latest = SL.read_latest(spark, table, ["k"], ["at"])
-    assert {f.split("/landing_batch=")[1].split("/")[0] for f in latest.inputFiles()} == {"4", "5"}
-    assert rows(latest, "k", "at") == [("a", 5)] + [(f"k{n}", 0) for n in range(6)]
-    assert sorted(os.listdir(f"{table}/batches")) == ["landing_batch=3", "landing_batch=4", "landing_batch=5"]
-    with pytest.raises(ValueError):
-        put(spark, table, [("z", 1, "x")], 3)
-    SL.land_batch(spark.createDataFrame([("z", 1, "x")], SHAPE), table, 3)  # a replayed batch the snapshot holds
-    assert rows(SL.read_latest(spark, table, ["k"], ["at"]), "k")[-1] != ("z",)
+    put(spark, table, [(f"k{n}", 0, "x") for n in range(300)], 0)
+    before = stamps(table)
+    put(spark, table, [("k7", 1, "y")], 1)
+    after = stamps(table)
+    assert {f: t for f, t in after.items() if f in before} == before  # the old slot stays for readers at work
+    new = set(after) - set(before)
+    assert len({os.path.dirname(f) for f in new}) == 1
+    put(spark, table, [("k7", 2, "z")], 2)
+    assert len({os.path.dirname(f) for f in set(stamps(table)) - set(after)}) == 1
+    latest = SL.read_landed(spark, table)
+    assert latest.count() == 300 and rows(latest.where("k = 'k7'"), "at", "v") == [(2, "z")]
+    # At most two slots of each bucket, however many batches.
+    for n in range(3, 7):
+        put(spark, table, [("k7", n, "z")], n)
+    assert len({os.path.dirname(f) for f in stamps(table)}) <= len({os.path.dirname(f) for f in before}) + 1
+
+
+def test_a_batch_reads_the_buckets_of_its_keys_only(spark, tmp_path):
+    table = str(tmp_path / "table")
+    put(spark, table, [(f"k{n}", 0, "x") for n in range(300)], 0)
+    near = SL.read_buckets(spark, table, spark.createDataFrame([("k7",)], "k string"), ["k"])
+    text = near._jdf.queryExecution().executedPlan().toString()
+    assert "landing_bucket" in text.split("PartitionFilters:")[1].split("]")[0]
+    assert 0 < near.count() < 30
 
 
-def test_unfinished_folders_do_not_count(spark, tmp_path):
+def test_a_batch_that_was_cut_off_does_not_count(spark, tmp_path, monkeypatch):
     table = str(tmp_path / "table")
-    put(spark, table, [("a", 1, "x")], 0)
-    os.makedirs(f"{table}/batches/landing_batch=1")
-    os.makedirs(f"{table}/snapshots/landing_batch=0")
-    assert rows(SL.read_latest(spark, table, ["k"], ["at"]), "k") == [("a",)]
+    put(spark, table, [(f"k{n}", 0, "x") for n in range(50)], 0)
+    batch = [(f"k{n}", 1, "y") for n in range(0, 80, 2)]
+    with monkeypatch.context() as broken:
+        broken.setattr(SL, "_commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            put(spark, table, batch, 1)
+    assert rows(SL.read_landed(spark, table), "v").count(("x",)) == 50
+    put(spark, table, batch, 1)
+    got = rows(SL.read_landed(spark, table), "k", "v")
+    assert got == sorted([(f"k{n}", "y") for n in range(0, 80, 2)] + [(f"k{n}", "x") for n in range(1, 50, 2)])
     with pytest.raises(ValueError):
-        SL.read_latest(spark, str(tmp_path / "none"), ["k"], ["at"])
+        put(spark, table, [("z", 1, "x")], 1)
+    assert not SL.land(spark.createDataFrame([("z", 1, "x", "ana")], SHAPE + ", uploader string"), table, ["k"], ["at"], 1)
+    with pytest.raises(ValueError):
+        SL.read_landed(spark, str(tmp_path / "none"))
+
+
+def test_landing_of_null_keys_empty_batches_and_forgotten_rows(spark, tmp_path):
+    table, shape = str(tmp_path / "table"), "k string, at bigint, gone boolean"
 
+    def land(data, number):
+        return SL.land(spark.createDataFrame(data, shape), table, ["k"], ["at"], number, buckets=3, forget="gone")
+
+    assert land([], 0)
+    with pytest.raises(ValueError):
+        SL.read_landed(spark, table)
+    land([(None, 1, False), ("a", 1, False)], 1)
+    land([(None, 2, True), ("a", 0, True)], 2)
+    assert rows(SL.read_landed(spark, table)) == [("a", 1, False), (None, 2, True)] or rows(SL.read_landed(spark, table)) == [(None, 2, True), ("a", 1, False)]
+    land([], 3)
+    land([(None, 1, False)], 4)  # the bucket is written again, and what was forgotten leaves it
+    assert (None, 2, True) not in rows(SL.read_landed(spark, table))
+    assert SL.committed(spark, table)["batch"] == 4
+
+
+# --- layers by batches -----------------------------------------------------
+
+def test_gold_follows_corrections(spark, tmp_path):
+    """Groups grow, shrink, move and vanish; every batch equals the full run over all rows so far."""
+    rng, silver, gold = random.Random(6), str(tmp_path / "silver"), str(tmp_path / "gold")
+    shape, every = "id string, at string, grp string, v string", []
+    columns = {"id": "bigint", "at": "bigint", "grp": "string", "v": "decimal(18,2)"}
+    for n in range(5):
+        batch = [(str(rng.randrange(20)), str(rng.randrange(9)), rng.choice(["a", "b", None, f"g{n}"]), rng.choice(["1.25", "-3", None, "bad"]))
+                 for _ in range(30)]
+        batch = [(i, f"{a}{k:02}", g, v) for k, (i, a, g, v) in enumerate(batch)]
+        every += batch
+        for _ in range(2):  # the second run is a replay
+            failed = R.refresh(spark.createDataFrame(batch, shape), silver, gold, columns, ["id"], ["at", "v"], ["grp"], {"total": "v"}, n, buckets=4)
+        assert failed.count() == sum(v == "bad" for *_, v in batch)
+        full, _ = M.to_silver(spark.createDataFrame(every, shape), columns, ["id"], ["at", "v"])
+        want = full.groupBy("grp").agg(F.count("*"), F.coalesce(F.sum("v"), F.lit(0).cast("decimal(28,2)")))
+        assert rows(R.read_gold(SL.read_landed(spark, gold)), "grp", "rows", "total") == rows(want), n
+
+
+def test_gold_steps_are_differences(spark):
+    shape = "k bigint, at bigint, grp string, v bigint"
+    base = spark.createDataFrame([(1, 1, "a", 5), (2, 1, "a", 7), (3, 9, "b", 1)], shape)
+    news = spark.createDataFrame([(1, 2, "b", 6), (2, 2, "a", 7), (3, 1, "c", 0), (4, 1, "c", 2)], shape)
+    changes = U.key_changes(base, news, ["k"], ["at"])
+    assert changes.count() == 3  # the older write of 3 changes nothing
+    assert rows(R.gold_steps(changes, ["grp"], {"total": "v"})) == [("a", -1, -5), ("b", 1, 6), ("c", 1, 2)]
+
+
+# --- dropped files ---------------------------------------------------------
 
 def test_dropped_files(spark, tmp_path):
     for name, text in (("sub/f.csv", "a\n"), ("empty.csv", ""), (".x", "1"), ("_x", "22")):

@@ -1,6 +1,9 @@
+import glob
+import json
+import os
 import subprocess
 import sys
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from random import Random
 
 import pandas as pd
@@ -13,7 +16,8 @@ from tarn.operators import sessions as S
 from tarn.operators import usage as R
 from tarn.session import stream_settings, work_dir
 from tarn.sources import landing as SL
-from tarn.streaming import history, live, sinks
+from tarn.sources import payloads as SP
+from tarn.streaming import history, live, presence, sinks
 
 T0 = datetime(2024, 1, 1)
 
@@ -137,11 +141,13 @@ def test_a_table_belongs_to_one_checkpoint(spark, tmp_path):
     assert rows(SL.read_latest(spark, table, ["k"], ["at"])) == [("a", 2), ("b", 1)]
 
 
-def test_snapshots_bound_the_folders_of_a_stream(spark, tmp_path):
+def test_batches_bound_the_folders_of_a_stream(spark, tmp_path):
     stream = drop(spark, str(tmp_path / "in"), [[("a", n), (f"k{n}", n)] for n in range(9)], "k string, at bigint")
     table = str(tmp_path / "table")
-    sinks.finish(sinks.land_latest(stream, table, str(tmp_path / "cp"), ["k"], ["at"], mode="append", compact_every=2))
-    assert SL.current_folders(spark, table) == ([7], [8])
+    sinks.finish(sinks.land_latest(stream, table, str(tmp_path / "cp"), ["k"], ["at"], mode="append", buckets=2))
+    assert SL.committed(spark, table)["batch"] == 8
+    folders = {os.path.dirname(f) for f in glob.glob(f"{table}/**/part-*", recursive=True)}
+    assert len(folders) == 2 * 2 + 2  # two slots of two buckets, and of the numbers
     assert rows(SL.read_latest(spark, table, ["k"], ["at"])) == [("a", 8)] + [(f"k{n}", n) for n in range(9)]
 
 
@@ -176,3 +182,142 @@ def test_work_dir_takes_the_shared_folder():
     assert work_dir(shared, "x").startswith("s3a://lake/cp/x-")
     with pytest.raises(ValueError):
         work_dir(_Session(spark_master="spark://h:7077"), "x")
+
+
+# --- pictures of applications ----------------------------------------------
+
+def test_a_poll_replaces_the_picture_of_its_master(spark, tmp_path):
+    def poll(number, master, active, completed=()):
+        body = {"snapshot_id": number, "url": master, "activeapps": [{"id": i, "state": "RUNNING"} for i in active],
+                "completedapps": [{"id": i, "state": "FINISHED"} for i in completed]}
+        return json.dumps(body)
+
+    folder, table, cp = (str(tmp_path / x) for x in ("in", "table", "cp"))
+    os.makedirs(folder)
+
+    def show(number, text):
+        with open(f"{folder}/{number}.json", "w") as f:
+            f.write(text)
+        stream = sinks.read_files(spark, folder, "text", "value string", wholetext=True)
+        sinks.finish(sinks.land_latest(live.app_status(stream), table, cp, ["master"], ["snapshot_id"], mode="append", buckets=2))
+        return rows(SP.pictured_apps(SL.read_landed(spark, table)), "master", "app_id", "state")
+
+    assert show(1, poll(5, "m1", ["a", "b"])) == [("m1", "a", "RUNNING"), ("m1", "b", "RUNNING")]
+    assert len(show(2, poll(1, "m2", ["c"]))) == 3  # masters number their polls by themselves
+    assert len(show(3, poll(6, "m1", ["x"])[:40])) == 3  # cut off: the picture stays
+    assert show(4, poll(7, "m1", ["b"], ["d"])) == [("m1", "b", "RUNNING"), ("m1", "d", "FINISHED"), ("m2", "c", "RUNNING")]
+    assert len(show(5, poll(6, "m1", ["late"]))) == 3  # older than the picture
+    assert show(6, poll(8, "m1", [])) == [("m2", "c", "RUNNING")]
+
+
+# --- users that end by the clock -------------------------------------------
+
+BEATS = "usuario string, ts timestamp, gone boolean"
+
+
+def watched(spark, tmp_path, batches, **bounds):
+    """Events of users after all state is gone, and the state rows on the way."""
+    stream = drop(spark, str(tmp_path / "in"), batches, BEATS)
+    events = presence.presence(stream, mode="Append", **bounds)
+    query = sinks.append_files(events, str(tmp_path / "out"), str(tmp_path / "cp"), every="1 second")
+    sinks.until_quiet(query, 120)
+    held = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
+    return spark.read.parquet(str(tmp_path / "out")), held
+
+
+def test_one_heartbeat_and_nothing_more_becomes_idle(spark, tmp_path):
+    now = datetime.now(timezone.utc)
+    events, held = watched(spark, tmp_path, [[("a", now, False)]], silence=4, delay=1, patience=1, mark=2)
+    ended = presence.ended_sessions(events)
+    assert rows(ended, "usuario", "event", "beats") == [("a", "idle", 1)]
+    assert rows(presence.users_now(events), "usuario", "gone") == [("a", False), ("a", True)]
+    assert max(held) > 0 and held[-1] == 0
+
+
+def test_sessions_by_the_clock_equal_the_batch_form(spark, tmp_path):
+    """Heartbeats up to a minute late, in several batches; every session ends, the last one of each user too."""
+    rng = Random(12)
+    beats = sorted(((f"u{rng.randrange(4)}", T0 + timedelta(seconds=rng.randrange(40_000)), False) for _ in range(240)), key=lambda r: r[1] + timedelta(seconds=rng.randrange(60)))
+    events, held = watched(spark, tmp_path, [beats[:80], beats[80:160], beats[160:]], delay=300, patience=8, mark=1)
+    got = rows(presence.ended_sessions(events), "usuario", "session_start", "last_seen", "beats")
+    want = S.idle_gaps(spark.createDataFrame(beats, BEATS))
+    assert got == rows(want, "usuario", "session_start", "last_seen", "beats")
+    assert held[-1] == 0
+
+
+def test_a_shutdown_ends_the_user_and_leaves_a_short_mark(spark, tmp_path):
+    at = lambda s: T0 + timedelta(seconds=s)
+    batches = [[("a", at(0), False), ("a", at(100), False), ("b", at(0), False)], [("a", at(200), True), ("b", at(5000), True)], [("a", at(150), False), ("c", at(0), True)]]
+    events, held = watched(spark, tmp_path, batches, delay=300, patience=6, mark=2)
+    ended = rows(presence.ended_sessions(events), "usuario", "event", "beats", "last_seen")
+    # The straggler counts to the session that was shut down; a shutdown after the silence finds nothing to end.
+    assert ended == [("a", "shutdown", 3, at(150)), ("b", "idle", 1, at(0))]
+    assert {r[0]: r[1] for r in rows(presence.users_now(events).orderBy("last_seen", "gone"), "usuario", "gone")} == {"a": True, "b": True, "c": True}
+    assert held[-1] == 0
+
+
+def test_sessions_of_stretches():
+    s = lambda *x: presence.sessions(list(x), 900)
+    assert s((0, 0, 1), (900, 900, 1), (1801, 1801, 1)) == [(0, 900, 2, None), (1801, 1801, 1, None)]
+    assert s((5, 5, 0), (5, 5, 1)) == [(5, 5, 1, 5)]
+    assert s((0, 0, 1), (901, 901, 0), (902, 902, 1)) == [(0, 0, 1, None), (902, 902, 1, None)]
+    stretches = [(k, k, 1) for k in range(0, 5000, 10)]
+    few = presence.merged(stretches, 4900, 900)
+    assert len(few) == 11 and presence.sessions(few, 900) == presence.sessions(stretches, 900)
+
+
+def test_users_now_as_a_table(spark, tmp_path):
+    """Who is there, landed by user; rows of users who are gone leave the table again."""
+    now = datetime.now(timezone.utc)
+    batches = [[("a", now, False), ("b", now, False), ("c", now - timedelta(hours=2), False)], [("b", now + timedelta(seconds=1), True)]]
+    stream = drop(spark, str(tmp_path / "in"), batches, BEATS)
+    users = presence.users_now(presence.presence(stream, delay=1, patience=1, mark=2))
+    table = str(tmp_path / "table")
+    query = sinks.land_latest(users, table, str(tmp_path / "cp"), ["usuario"], ["last_seen", "gone"], every="1 second", buckets=1, forget="gone")
+    sinks.until_quiet(query, 120, rows_left=4)  # a is there and holds an open stretch, its number and a timer
+    assert rows(live.present(SL.read_landed(spark, table)), "usuario") == [("a",)]
+
+
+def test_a_silent_series_is_forgotten(spark, tmp_path):
+    folder, table, cp = (str(tmp_path / x) for x in ("in", "table", "cp"))
+    schema = "series string, ts timestamp, point_id bigint, value double, gone boolean"
+    stream = drop(spark, folder, [[("s", T0 + timedelta(seconds=k), k, 1.0, False) for k in range(3)] + [("t", T0, 9, 1.0, True)]], schema)
+    kept = history.rolling_history(stream, 5, keep=4)
+    query = sinks.land_latest(kept, table, cp, ["series"], ["version"], keyed=True, every="1 second", buckets=2)
+    sinks.until_quiet(query, 120)  # points and the shutdown have expired
+    assert rows(history.history_points(SL.read_landed(spark, table)), "series", "point_id") == [("s", 0), ("s", 1), ("s", 2)]
+    drop(spark, folder, [[("s", T0 + timedelta(seconds=1), 7, 1.0, False), ("s", T0 + timedelta(hours=1), 8, 1.0, False), ("t", T0 - timedelta(hours=1), 5, 1.0, False)]], schema)
+    query = sinks.land_latest(history.rolling_history(stream, 5, keep=4), table, cp, ["series"], ["version"], keyed=True, every="1 second", buckets=2)
+    sinks.until_quiet(query, 120)
+    # The series starts anew with the points after it was forgotten; the old shutdown hides nothing any more.
+    assert rows(history.history_points(SL.read_landed(spark, table)).where("series = 's'"), "point_id") == [(7,), (8,)]
+
+
+# --- a drop folder ---------------------------------------------------------
+
+def test_drop_stream_lands_each_file_once_and_reads_no_content(spark, tmp_path):
+    folder, table, cp = (str(tmp_path / x) for x in ("drop", "table", "cp"))
+
+    def put(name, text, at):
+        os.makedirs(os.path.dirname(f"{folder}/{name}"), exist_ok=True)
+        with open(f"{folder}/{name}", "w") as f:
+            f.write(text)
+        os.utime(f"{folder}/{name}", (at, at))
+
+    def poll():
+        files = sinks.drop_stream(spark, folder, "b", "ana", max_files=2)
+        query = sinks.land_latest(files, table, cp, ["bucket", "key"], ["last_modified"], mode="append", buckets=2)
+        sinks.finish(query)
+        return rows(SL.read_landed(spark, table), "key", "size_bytes"), SL.committed(spark, table)["batch"]
+
+    for k in range(5):
+        put(f"sub{k % 2}/f {k}.csv", "x" * (k + 1), 1e9 + k)
+    want = [(f"f {k}.csv", k + 1) for k in range(5)]
+    assert poll() == (want, 2)
+    assert poll() == (want, 2)  # nothing new, no batch
+    put("late.csv", "y" * 9, 2e9)
+    put("other/f 0.csv", "z" * 7, 2e9)  # the same bare name again, later
+    assert poll() == (sorted([("f 0.csv", 7), ("late.csv", 9), *want[1:]]), 3)
+    with open(f"{folder}/huge.bin", "wb") as f:
+        f.truncate(3 << 30)  # a hole of 3 GB; a reader of contents refuses it
+    assert ("huge.bin", 3 << 30) in poll()[0]
