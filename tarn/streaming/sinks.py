@@ -26,14 +26,15 @@ def read_files(
 
 
 def drop_stream(
-    spark: SparkSession, drop_path: str, bucket: str, uploader: str, max_files: int | None = None
+    spark: SparkSession, drop_path: str, bucket: str, uploader: str, max_files: int | None = None, max_age: str = "30d"
 ) -> DataFrame:
     """Inventory rows of the files that arrive in and below a drop folder, under their bare names; contents are not read.
 
-    The checkpoint knows which files were seen, so a poll asks neither the table nor again for old files.
+    The checkpoint knows which files were seen, so a poll asks neither the table nor again for old files.  It forgets
+    what lies more than ``max_age`` behind the newest file, and such a file does not count as new either.
     As with any Spark reader, empty files and names that begin with a dot or an underscore are not there.
     """
-    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).schema(
+    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("maxFileAge", max_age).schema(
         "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)

@@ -320,4 +320,5 @@ def test_drop_stream_lands_each_file_once_and_reads_no_content(spark, tmp_path):
     assert poll() == (sorted([("f 0.csv", 7), ("late.csv", 9), *want[1:]]), 3)
     with open(f"{folder}/huge.bin", "wb") as f:
         f.truncate(3 << 30)  # a hole of 3 GB; a reader of contents refuses it
+    os.utime(f"{folder}/huge.bin", (2e9, 2e9))
     assert ("huge.bin", 3 << 30) in poll()[0]
