@@ -5,10 +5,11 @@ threshold share at least ``l`` of the first ``n - ceil(threshold * n) + l`` shin
 costs more shared postings and leaves fewer candidates, so every set takes the ``l`` with the least estimated cost, and a
 pair has to share as many as the lesser ``l`` of both.
 
-Sets are known by two hashes and equal sets are one class, so copies cost one row of the index.  Links are found in two
-turns.  First each class is compared with one class of every posting list it stands in, which already joins large groups
-of near copies.  Then, where classes of a posting list are not yet in one component, all pairs of different components
-are candidates if they share enough of their prefixes.  Every candidate is verified on the whole sets.
+Sets are known by two hashes and equal sets are one class, so copies cost one row of the index and do not make their
+shingles frequent.  Links are found in turns.  In the first ones each class is compared with one class of another component
+alone, the one that it shares the most posting lists with, among one or two of each list; that joins large groups of near
+copies.  In the last one, where classes of a posting list are not yet in one component, all pairs of different
+components are candidates if they share enough of their prefixes.  Every candidate is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -17,18 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import landed
+from .common import landed, sliced, texts_of
 from .components import roots
-from .lookups import batches_of, grouped, tally, unpacked, with_totals
+from .lookups import batches_of, tally, unpacked, with_totals
+from .mixing import compressed
 from .texts import followed, lowered, mixed, word_hashes, words_of
 
 SHINGLE = 4
 PERCENT = 85
 LONGEST = 6
+TURNS = 3
 # What verifying a candidate costs, per shingle, against one shared posting.
 VERIFY = 0.05
 # Frequencies are counted by the leading 48 bits of a shingle's hash: they only order the shingles.
@@ -63,11 +67,11 @@ def ceil_share(n, percent: int):
 
 
 class Sets:
-    """The shingle sets of one batch of documents, and which of them are the first of their kind in it."""
+    """The shingle sets of some texts, with two hashes of each."""
 
-    def __init__(self, table: pa.Table, size: int) -> None:
-        self.n_rows = table.num_rows
-        self.row, self.h = shingle_sets(table["text"].combine_chunks(), size)
+    def __init__(self, texts: pa.Array, size: int) -> None:
+        self.n_rows = len(texts)
+        self.row, self.h = shingle_sets(texts, size)
         self.starts = np.searchsorted(self.row, np.arange(self.n_rows + 1))
         self.n = np.diff(self.starts)
         some = np.flatnonzero(self.n)
@@ -75,22 +79,35 @@ class Sets:
         if len(some):
             self.h1[some] = np.add.reduceat(mixed(self.h), self.starts[some])
             self.h2[some] = np.add.reduceat(mixed(self.h ^ np.uint64(0x9E3779B97F4A7C15)), self.starts[some])
-        kinds = np.stack([self.h1[some], self.h2[some]], axis=1)
-        self.first = np.zeros(self.n_rows, bool)
-        if len(some):
-            self.first[some[np.unique(kinds, axis=0, return_index=True)[1]]] = True
 
     def of(self, k: int) -> np.ndarray:
         return self.h[self.starts[k]:self.starts[k + 1]]
 
 
-MARKS = "batch long, place int, n_shingles long, h1 long, h2 long, matches int, tokens array<long>, positions array<int>"
+def known_sets(docs: DataFrame, size: int, keep_text: bool) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and the hashes ``h1`` and ``h2`` of each document's set, and its text if asked, compressed."""
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("n_shingles long, h1 long, h2 long" + ", text binary" * keep_text).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=5).compress
+        for batch in batches:
+            for part in sliced([batch], "text", 4 << 20):
+                sets = Sets(part.column(1), size)
+                out = [part.column(0), pa.array(sets.n), pa.array(sets.h1.view(np.int64)), pa.array(sets.h2.view(np.int64))]
+                if keep_text:
+                    out.append(pa.array([pack(t) for t in texts_of(part.column(1))], pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, schema.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+MARKS = "batch long, place int, h1 long, h2 long, least {}, n_shingles long, matches int, tokens array<long>, positions array<int>"
 
 
 def prefixes(sets: Sets, frequency: np.ndarray, percent: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """For the first sets of their kind: the matches to ask for, and the prefix's shingles with their positions.
+    """The matches that each set asks for, and its prefix's shingles with their positions.
 
-    Shingles of one document alone are counted in the positions and left out.
+    Shingles of one set alone are counted in the positions and left out.
     """
     order = np.lexsort((sets.h, frequency, sets.row))
     h, f = sets.h[order], frequency[order].astype(np.float64)
@@ -105,7 +122,7 @@ def prefixes(sets: Sets, frequency: np.ndarray, percent: int) -> tuple[np.ndarra
         best, matches = np.where(better, cost, best), np.where(better, m, matches)
     ends = sets.starts[:-1] + np.where(n > 0, n - overlap + matches, 0)
     tokens, places = [], []
-    for k in np.flatnonzero(sets.first).tolist():
+    for k in range(len(n)):
         a, b = int(sets.starts[k]), int(ends[k])
         shared = np.flatnonzero(f[a:b] > 1)
         tokens.append(h[a:b][shared].view(np.int64))
@@ -113,35 +130,31 @@ def prefixes(sets: Sets, frequency: np.ndarray, percent: int) -> tuple[np.ndarra
     return matches, tokens, places
 
 
-def listed(parts: list[np.ndarray], present: np.ndarray, dtype) -> pa.Array:
-    """A list for each row; null where ``present`` is not set."""
-    sizes = np.zeros(len(present), np.int64)
-    sizes[present] = [len(p) for p in parts]
-    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-    values = np.concatenate([*parts, np.zeros(0, dtype)]).astype(dtype)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(~present))
+def listed(parts: list[np.ndarray], dtype) -> pa.Array:
+    offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, dtype)]).astype(dtype)))
 
 
-def marked(batches: DataFrame, id_field, size: int, percent: int, keys: int, n_batches: int) -> DataFrame:
-    """A row per document: its set by two hashes; the first of each kind in a batch with its prefix."""
-    out = StructType([id_field, *StructType.fromDDL(MARKS).fields])
+def with_prefixes(batches: DataFrame, id_type: str, size: int, percent: int, keys: int, n_batches: int) -> DataFrame:
+    """A row per class with its place, its hashes, its least document and its prefix."""
+    schema = MARKS.format(id_type)
+    names = [f.name for f in StructType.fromDDL(schema).fields]
 
     def ask(table: pa.Table) -> tuple:
-        sets = Sets(table, size)
-        counted, counts, number = tally(sets.h & COARSE, sets.first[sets.row])
-        return counted, counts, (sets, number)
+        sets = Sets(table["text"].combine_chunks(), size)
+        return *tally(sets.h & COARSE)[:2], sets
 
-    def use(table: pa.Table, memo: tuple, totals: np.ndarray, own: np.ndarray, batch: int) -> Iterator[pa.RecordBatch]:
-        sets, number = memo
+    def use(table: pa.Table, sets: Sets, totals: np.ndarray, own: np.ndarray, batch: int) -> Iterator[pa.RecordBatch]:
+        number = tally(sets.h & COARSE)[2]
         # Frequencies a factor of two apart order the shingles as well, and leave ties to the hash.
         coarse = 2 ** np.floor(np.log2(np.maximum(totals, 1)))
         matches, tokens, places = prefixes(sets, coarse[number], percent)
         yield pa.RecordBatch.from_arrays(
-            [table[id_field.name].combine_chunks(), pa.array(np.full(sets.n_rows, batch)), pa.array(np.arange(sets.n_rows, dtype=np.int32)),
-             pa.array(sets.n), pa.array(sets.h1.view(np.int64)), pa.array(sets.h2.view(np.int64)), pa.array(matches.astype(np.int32)),
-             listed(tokens, sets.first, np.int64), listed(places, sets.first, np.int32)], out.names)
+            [pa.array(np.full(sets.n_rows, batch)), pa.array(np.arange(sets.n_rows, dtype=np.int32)),
+             *[table[c].combine_chunks() for c in ("h1", "h2", "least", "n_shingles")],
+             pa.array(matches.astype(np.int32)), listed(tokens, np.int64), listed(places, np.int32)], names)
 
-    return landed(with_totals(batches, ask, use, out, keys, n_batches), "sets")
+    return with_totals(batches, ask, use, schema, keys, n_batches)
 
 
 def sets_of(batches: DataFrame, classes: DataFrame, size: int) -> DataFrame:
@@ -152,7 +165,7 @@ def sets_of(batches: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
             for k in range(row.num_rows):
-                sets = Sets(unpacked(row.column(0)[k].as_py()), size)
+                sets = Sets(unpacked(row.column(0)[k].as_py())["text"].combine_chunks(), size)
                 asked = row.column(1)[k].as_py()
                 found = [sets.of(a["place"]).view(np.int64) for a in asked]
                 offsets = np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32)
@@ -179,20 +192,36 @@ def fits(least: Column, most: Column, percent: int) -> Column:
     return 100 * least >= percent * most
 
 
+def with_roots(postings: DataFrame, classes: DataFrame, tree: DataFrame | None) -> DataFrame:
+    """The postings with the component of their class."""
+    if tree is None:
+        return postings.withColumn("root", F.col("c"))
+    known = classes.select("c").join(tree, "c", "left").select(F.col("c").alias("_c"), F.coalesce("root", "c").alias("root")).hint("rebalance")
+    return postings.join(known, postings["c"] == known["_c"]).drop("_c")
+
+
 def links(batches: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Similar pairs of classes, enough of them to connect all that similar pairs connect."""
     # Sizes of similar sets lie in one bucket or in two neighbouring ones.
     bucket = F.floor(F.log(F.col("n")) / float(-np.log(percent / 100)) + 1e-9)
     postings = classes.select("c", F.col("n_shingles").alias("n"), "matches", F.explode(F.arrays_zip("tokens", "positions")).alias("t")).select(
         "c", "n", "matches", F.col("t.tokens").alias("token"), F.col("t.positions").alias("position"), bucket.alias("bucket"))
-    # First turn: every class and the least one of its list and size.
-    heads = postings.groupBy("token", "bucket").agg(F.min("c").alias("u"), F.max("c").alias("most")).where("u < most").drop("most")
-    stars = landed(postings.select("c", "token", "bucket").join(heads.hint("rebalance"), ["token", "bucket"]).where("c > u").select("u", F.col("c").alias("v")).distinct(), "pairs")
-    found = verified(stars, batches, classes, size, percent)
-    tree = roots(found).withColumnRenamed("u", "c").withColumnRenamed("v", "root")
-    # Second turn: pairs of different components in lists that hold more than one.
-    known = classes.select("c").join(tree, "c", "left").select(F.col("c").alias("_c"), F.coalesce("root", "c").alias("root")).hint("rebalance")
-    placed = postings.join(known, postings["c"] == known["_c"]).drop("_c")
+    found, tried, tree = None, None, None
+    for _ in range(TURNS):
+        placed = with_roots(postings, classes, tree)
+        rep = F.struct("root", "c")
+        lists = placed.groupBy("token", "bucket").agg(F.min(rep).alias("lo"), F.max(rep).alias("hi")).where("lo.root < hi.root")
+        other = F.when(F.col("root") != F.col("lo.root"), F.col("lo.c")).otherwise(F.col("hi.c")).alias("other")
+        shared = placed.join(lists.hint("rebalance"), ["token", "bucket"]).groupBy("c", other).agg(F.count("*").alias("n"))
+        best = shared.groupBy("c").agg(F.max(F.struct(F.col("n"), (-F.col("other")).alias("other"))).alias("best"))
+        one = best.select("c", (-F.col("best.other")).alias("other"))
+        pairs = one.select(F.least("c", "other").alias("u"), F.greatest("c", "other").alias("v")).distinct()
+        pairs = landed(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        good = verified(pairs, batches, classes, size, percent)
+        found, tried = (good, pairs) if found is None else (found.union(good), tried.union(pairs))
+        tree = roots(found).withColumnRenamed("u", "c").withColumnRenamed("v", "root")
+    placed = with_roots(postings, classes, tree)
+    # The last turn: pairs of different components in lists that hold more than one.
     mixed_lists = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token").hint("rebalance")
     open_lists = landed(placed.join(mixed_lists, "token"), "postings")
     fields = ["c", "n", "matches", "position", "root"]
@@ -207,7 +236,7 @@ def links(batches: DataFrame, classes: DataFrame, size: int, percent: int) -> Da
 
     shared = small.join(large, ["token", "bucket"]).where((F.col("root1") != F.col("root2")) & ordered & fits(F.col("n1"), F.col("n2"), percent) & inside(1) & inside(2))
     enough = shared.groupBy(F.least("c1", "c2").alias("u"), F.greatest("c1", "c2").alias("v")).agg(F.count("*").alias("n"), F.min(asked).alias("asked")).where("n >= asked")
-    candidates = landed(enough.select("u", "v").join(stars, ["u", "v"], "left_anti"), "pairs")
+    candidates = landed(enough.select("u", "v").join(tried, ["u", "v"], "left_anti"), "pairs")
     return found.union(verified(candidates, batches, classes, size, percent))
 
 
@@ -220,14 +249,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     other columns are left out.
     """
     read = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    batches = batches_of(read, "texts")
+    marks = landed(known_sets(read, shingle, False), "sets")
+    kinds = known_sets(read, shingle, True).where("n_shingles > 0").groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("text").alias("text"))
+    batches = batches_of(compressed(kinds, back=True).withColumn("text", F.col("text").cast("string")), "texts")
     n, size = batches.agg(F.count("*"), F.sum(F.octet_length("data"))).first()
-    marks = marked(batches, read.schema["doc_id"], shingle, percent, (size or 0) // 3, n)
-    kinds = marks.where("n_shingles > 0").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"),
-        F.min(F.when(F.col("tokens").isNotNull(), F.struct("batch", "place", "matches", "tokens", "positions"))).alias("p"))
-    numbered = kinds.select("h1", "h2", "least", "n_shingles", "p.*").withColumn("c", F.monotonically_increasing_id())
-    classes = landed(numbered, "classes")
+    found = with_prefixes(batches, read.schema["doc_id"].dataType.simpleString(), shingle, percent, (size or 0) // 3, n)
+    classes = landed(found.withColumn("c", F.monotonically_increasing_id()), "classes")
     tree = roots(links(batches, classes, shingle, percent)).withColumnRenamed("u", "c").withColumnRenamed("v", "root")
     named = landed(classes.select("c", "h1", "h2", "least").join(tree, "c", "left").withColumn("root", F.coalesce("root", "c")), "classes")
     least = named.groupBy("root").agg(F.min("least").alias("component_id")).hint("rebalance")

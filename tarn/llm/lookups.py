@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import landed, sliced
 
-PART_KEYS = 1 << 22
-TEXT_BYTES = 8 << 20
+PART_KEYS = 1 << 20
+TEXT_BYTES = 3 << 20
 ASKED = "part int, batch long, keys binary, counts binary"
 FOUND = "batch long, part int, totals binary, own binary"
 

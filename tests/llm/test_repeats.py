@@ -94,7 +94,7 @@ def test_prefixes_keep_every_similar_pair():
         other = list(words)
         for _ in range(rng.randint(0, 2)):
             other[rng.randrange(len(other))] = "new"
-        sets = jaccard.Sets(pa.table({"text": pa.array([" ".join(words), " ".join(other)])}), 4)
+        sets = jaccard.Sets(pa.array([" ".join(words), " ".join(other)]), 4)
         a, b = (set(sets.of(k).tolist()) for k in (0, 1))
         if a == b or 100 * len(a & b) < 85 * len(a | b):
             continue
