@@ -31,7 +31,7 @@ OVERLAP = LONGEST - 1
 TRIGGER = 24
 ABSORB = 80
 FIRST = 2000
-PART_BYTES = 16 << 20
+PART_BYTES = 5 << 20
 # Ends of pieces; a word never holds one, so a full stop alone stands for them among the words.
 ENDS = r"[.,;:!?\x0A-\x0D]+"
 STOP = "."
