@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,7 +16,7 @@ from pyspark.sql.types import StructType
 from .common import landed, shared_dir, sliced
 
 WORD = r"[^\x20\x09-\x0D]+"
-# Two hashes of a text.
+# Two hashes of a document: of its text with its id, so that copies under many ids are no hot key, and of its text.
 TEXT = ["h1", "h2"]
 
 
@@ -187,15 +188,6 @@ def place_of(block: int, n: int, key: np.ndarray) -> int:
             return int(x[0])
 
 
-_BLANK = np.isin(np.arange(256), (0x20, 9, 10, 11, 12, 13))
-
-
-def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words between the six ASCII blanks start and end."""
-    edges = np.diff(np.r_[True, _BLANK[np.frombuffer(text, np.uint8)], True].astype(np.int8))
-    return np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-
-
 def pieces(docs: DataFrame, mix: Mix) -> DataFrame:
     """The blocks' content: one row per document and block that it reaches into, with the word range of the block."""
     end = F.col("offset") + F.col("size") - 1
@@ -235,7 +227,7 @@ def mixture(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", source: s
     repeated rows count as documents of their own; an empty table gives an empty mix; other columns are left out.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    hashed = docs.withColumn("h1", F.xxhash64(body)).withColumn("h2", F.hash(body, F.length(body)))
+    hashed = docs.withColumn("h1", F.xxhash64(body, F.col(doc_id))).withColumn("h2", F.hash(body, F.length(body)))
     sized = hashed.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *TEXT)
     sized = landed(sized, "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -244,7 +236,7 @@ def mixture(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", source: s
     right = goals.select(F.col("source").alias("_source"), "source_size", "target")
     documents = numbered.join(right, numbered["source"].eqNullSafe(right["_source"])).drop("_source")
     documents = landed(documents, "placed")
-    texts = hashed.select(*TEXT, body.alias("text")).dropDuplicates(TEXT)
+    texts = compressed(hashed.select(*TEXT, body.cast("binary").alias("text"))).dropDuplicates(TEXT)
     return Mixture(documents, slots(goals, mix), pieces(documents, mix), texts)
 
 
@@ -257,13 +249,26 @@ def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
 
 
+def compressed(rows: DataFrame, back: bool = False) -> DataFrame:
+    """``rows`` with the bytes in ``text`` compressed for the way through a shuffle, or as they were again."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = zstandard.ZstdDecompressor().decompress if back else zstandard.ZstdCompressor(level=5).compress
+        for batch in batches:
+            for part in sliced([batch], "text"):
+                at = part.schema.get_field_index("text")
+                made = [one(t) for t in part.column(at).to_pylist()]
+                yield part.set_column(at, "text", pa.array(made, pa.binary()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def write_shards(mixed: Mixture, path: str) -> DataFrame:
     """The mix as Parquet below ``path``, a folder per shard, and read back.
 
     A row is what a slot takes of one document: source, slot, block, the document by doc_id, size and
     offset, and its words in ``text`` with the blanks between them as they were.  The slots of a shard stand in a
     seeded order, so its sources are mixed.  Slots and pieces are joined as numbers; a text moves
-    once to its cuts and once to its shards.
+    once to its cuts and once to its shards, compressed both times.
     """
     # Both sides grow with the documents; the estimated size of a small file is no reason to broadcast one.
     left, right = mixed.pieces.hint("merge"), mixed.slots.withColumnRenamed("source", "_source").withColumnRenamed("block", "_block")
@@ -274,28 +279,30 @@ def write_shards(mixed: Mixture, path: str) -> DataFrame:
     cuts = hit.groupBy(*TEXT, *key).agg(F.collect_list(cut).alias("cuts"))
     found = cuts.join(mixed.texts.hint("merge"), TEXT).select(*key, "cuts", "text")
     ints = ["shard", "slot", "block", "from_word"]
-    schema = StructType([found.schema[k] for k in key] + StructType.fromDDL("slot long, block long, from_word long, text string, shard long").fields)
+    schema = StructType([found.schema[k] for k in key] + StructType.fromDDL("slot long, block long, from_word long, text binary, shard long").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        pack, unpack = zstandard.ZstdCompressor(level=5).compress, zstandard.ZstdDecompressor().decompress
+        for batch in sliced(batches, "text", 2 << 20):
             column = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
             owner: list[int] = []
             made: dict[str, list] = {n: [] for n in [*ints, "text"]}
-            for k, (text, wanted) in enumerate(zip(column["text"].cast(pa.large_binary()).to_pylist(), column["cuts"].to_pylist())):
+            for k, (text, wanted) in enumerate(zip(column["text"].to_pylist(), column["cuts"].to_pylist())):
+                text = unpack(text)
                 first, last = word_bounds(text)
                 for c in wanted:
                     owner.append(k)
-                    made["text"].append(text[first[c["start"]]:last[c["start"] + c["n"] - 1]].decode())
+                    made["text"].append(pack(text[first[c["start"]]:last[c["start"] + c["n"] - 1]]))
                     for n in ints:
                         made[n].append(c[n])
             out = {n: column[n].take(pa.array(owner, pa.int64())) for n in key}
-            out |= {n: pa.array(v, pa.string() if n == "text" else pa.int64()) for n, v in made.items()}
+            out |= {n: pa.array(v, pa.binary() if n == "text" else pa.int64()) for n, v in made.items()}
             yield pa.RecordBatch.from_arrays([out[n] for n in schema.names], schema.names)
 
-    rows = found.mapInArrow(run, schema).repartition("shard")
+    rows = compressed(found.mapInArrow(run, schema).repartition("shard"), back=True).withColumn("text", F.col("text").cast("string"))
     ordered = rows.sortWithinPartitions("shard", F.xxhash64("source", "slot"), "source", "slot", "from_word")
     ordered.write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    return mixed.documents.sparkSession.read.schema(schema).parquet(path)
+    return mixed.documents.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def taken(mixed: Mixture, path: str | None = None) -> DataFrame:
