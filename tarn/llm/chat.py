@@ -124,6 +124,11 @@ class Reader:
         byte = {c: b for b, c in enumerate(byte_letters())}
         self.bytes = {i: bytes(map(byte.__getitem__, s)) for s, i in vocab.items() if all(c in byte for c in s)}
         self.marks = reserved(vocabulary)
+        self.shown = {**self.bytes, **{i: m.encode() for i, m in zip(self.marks, (TURN, SAYS, END))}}
+
+    def rendered(self, ids: list[int]) -> str:
+        """The formatted text of the ids, marks and escapes included."""
+        return b"".join(map(self.shown.__getitem__, ids)).decode()
 
     def text(self, ids: list[int]) -> str:
         return unescape(b"".join(map(self.bytes.__getitem__, ids)).decode())
@@ -174,18 +179,18 @@ def digests(pieces: DataFrame, vocabulary: str) -> DataFrame:
         conv_type = None
         for batch in batches:
             conv_type = batch.schema.field(0).type
-            for row in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5))):
+            for row in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4))):
                 if state is None or row[0] != now:
                     close()
                     now, state = row[0], [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-                _, ids, mask, chars = row
+                _, ids, mask = row
                 for role, text in reader.turns(ids):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
                 for text in reader.learned(ids, mask):
                     state[2] += len(text)
                     state[3].update(text.encode())
-                state[4] += chars
+                state[4] += len(reader.rendered(ids))
                 state[5] += len(ids)
                 state[6] += sum(mask)
             if out:
