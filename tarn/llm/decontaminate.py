@@ -199,7 +199,7 @@ def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", ite
     window; a null item id counts as ``None``; repeated rows and ties stay; empty tables give no rows or no hits.
     """
     spark = index.sparkSession.sparkContext
-    wanted = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text"))
+    wanted = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text")).distinct()
     size = wanted.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     n_parts = max(1, -(-size // part_bytes))
     cut = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts))
