@@ -18,9 +18,13 @@ LENGTH = 200
 GRAM = 32
 # Windows of one long text that are looked at together.
 CHUNK = 1 << 20
-# Bytes of one index, small enough for a core's cache; a group of segments that share a k-gram is never cut.
+# Bytes of one index, small enough for a core's cache; segments that share a k-gram and come to more are cut again.
 INDEX_BYTES = 128 << 10
 PACK = 7
+# Segments are cut again by the k-grams of least hash in two flanks of the window, twice, and then window by window.
+FLANK = 64
+FLANK_GRAM = 16
+LAST = 3
 
 # Odd multipliers of the k-gram hash.
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -51,27 +55,64 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(now[:len(now) - rest], now[rest:]) if rest else now
 
 
+def least_places(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each ``width`` hashes in a row; the low bits give way to the place, so equal hashes count from the left."""
+    place = np.uint64(CHUNK * 2 - 1)
+    return (sliding_least((hashes & ~place) | np.arange(len(hashes), dtype=np.uint64), width) & place).astype(np.int64)
+
+
+def runs_of(places: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, windows, whether a place changes inside) of the runs of equal keys; windows of equal places have equal keys."""
+    moved = np.zeros(len(keys) - 1, bool)
+    for p in places:
+        moved |= p[1:] != p[:-1]
+    starts = np.flatnonzero(np.r_[True, moved])
+    key = keys[starts]
+    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    first = starts[head]
+    return first, np.diff(np.r_[first, len(keys)]), np.diff(np.r_[head, len(starts)]) > 1
+
+
+def listed(text, length: int, begin: int, keys: np.ndarray, first: np.ndarray, n: np.ndarray, several: np.ndarray) -> Iterator[tuple[int, int, int, int, bool]]:
+    view = memoryview(text)
+    for k, a, m, r in zip(keys[first].view(np.int64).tolist(), first.tolist(), n.tolist(), several.tolist()):
+        yield k, signed(xxhash.xxh3_64_intdigest(view[a:a + m + length - 1])), begin + a, m, r
+
+
 def segments(text: bytes, length: int, gram: int = GRAM) -> Iterator[tuple[int, int, int, int, bool]]:
     """Runs of windows of ``length`` bytes that share their k-gram of least hash.
 
     Yields (that hash, hash of the bytes, first window, windows, whether the k-gram was met at several places).
     Every window is in one segment; equal windows lie in segments with equal first value.
     """
-    width = length - gram + 1
     for begin in range(0, max(len(text) - length + 1, 0), CHUNK):
         part = text[begin:begin + CHUNK + length - 1]
         h = gram_hashes(np.frombuffer(part, np.uint8), gram)
-        place = np.uint64(CHUNK * 2 - 1)  # the low bits give way to the place, so equal hashes count from the left
-        least = sliding_least((h & ~place) | np.arange(len(h), dtype=np.uint64), width) & place
-        starts = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-        key = h[least[starts]]
-        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        runs = np.diff(np.r_[head, len(starts)])
-        first = starts[head]
-        n = np.diff(np.r_[first, len(least)])
-        view = memoryview(part)
-        for k, a, m, r in zip(key[head].view(np.int64).tolist(), first.tolist(), n.tolist(), runs.tolist()):
-            yield k, signed(xxhash.xxh3_64_intdigest(view[a:a + m + length - 1])), begin + a, m, r > 1
+        least = least_places(h, length - gram + 1)
+        keys = h[least]
+        yield from listed(part, length, begin, keys, *runs_of([least], keys))
+
+
+def finer(text: bytes, length: int, key: int, level: int) -> Iterator[tuple[int, int, int, int, bool]]:
+    """The same of one segment with the given key, by what else its equal windows agree in: the k-grams of least hash near
+    the front and the end, those of two flanks between, and at last all bytes."""
+    n = len(text) - length + 1
+    raw = np.frombuffer(text, np.uint8)
+    if level < LAST:
+        h = gram_hashes(raw, FLANK_GRAM)
+        flank = min(FLANK, length)
+        near = least_places(h, flank - FLANK_GRAM + 1)
+        room = length - flank
+        places = [near[off:off + n] for off in ((0, room) if level == 1 else (room // 3, room - room // 3))]
+        agreed = [h[p] for p in places]
+    else:
+        places, agreed = [np.arange(n)], [window_hashes(text, length)]
+    keys = np.full(n, key, np.int64).view(np.uint64)
+    for value in agreed:
+        keys = (keys ^ value) * _M[1]
+        keys ^= keys >> np.uint64(29)
+        keys *= _M[3]
+    yield from listed(text, length, 0, keys, *runs_of(places, keys))
 
 
 def signed(x: int) -> int:
@@ -187,60 +228,75 @@ def repeated_windows(texts: list[bytes], copied: list[bool], length: int) -> Ite
     yield from zip(text.tolist(), (begin - index.starts[text]).tolist(), (end - begin).tolist())
 
 
-# A k-gram with more different segments than this is screened window by window before it is indexed.
-SCREEN = 2_000
-
-SEGMENT = "m long, c long, first long, n long, several boolean"
+SEGMENT = "m long, c long, first long, n long, several boolean, copied boolean"
 RANGE = "m long, c long, first long, n long"
 
 
-def found_segments(texts: DataFrame, length: int) -> DataFrame:
-    """Segments of every text; ``texts`` has doc, h and text."""
+def window_hashes(content: bytes, length: int) -> np.ndarray:
+    """A hash of all bytes of every window."""
+    h = gram_hashes(np.frombuffer(content, np.uint8), GRAM)
+    n = len(content) - length + 1
+    out = np.zeros(n, np.uint64)
+    for off in [*range(0, length - GRAM, GRAM), length - GRAM]:
+        out = (out ^ h[off:off + n]) * _M[1]
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def found_segments(texts: DataFrame, length: int, level: int) -> DataFrame:
+    """Segments of every text; ``texts`` has doc, h, text and copied.  Above level 0 a text is a segment and doc its key."""
     schema = StructType(texts.schema.fields[:2] + StructType.fromDDL(SEGMENT).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             owner: list[int] = []
             rows: list[tuple] = []
-            for k, text in enumerate(batch.column(2)):
+            for k, (key, text) in enumerate(zip(batch.column(0), batch.column(2))):
+                raw = bytes(text.as_buffer()) if text.is_valid else b""
                 before = len(rows)
-                rows.extend(segments(bytes(text.as_buffer()) if text.is_valid else b"", length))
+                rows.extend(finer(raw, length, key.as_py(), level) if level else segments(raw, length))
                 owner.extend([k] * (len(rows) - before))
             at = pa.array(owner, pa.int64())
             columns = list(zip(*rows)) or [()] * 5
             kinds = (pa.int64(),) * 4 + (pa.bool_(),)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c, t) for c, t in zip(columns, kinds)]], schema.names)
+                [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c, t) for c, t in zip(columns, kinds)], batch.column(3).take(at)],
+                schema.names)
 
     return texts.mapInArrow(run, schema)
 
 
 def in_groups(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bool], list[bytes]]]:
-    """Whole groups of rows (m, c, copied, content) with one ``m``, sorted by ``m`` and ``c``, up to ``max_bytes`` together.
-    Repeated rows of one (m, c) come once."""
-    m: list[int] = []
-    c: list[int] = []
-    copied: list[bool] = []
-    content: list[bytes] = []
-    size = 0
+    """Whole groups of rows (m, c, copied, content) with one ``m``, sorted by ``m``, as many as come to ``max_bytes`` together."""
+    held: list[tuple] = []
+    group: list[tuple] = []
+    held_bytes = group_bytes = 0
     for batch in batches:
-        for a, b, k, t in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if m and m[-1] == a and c[-1] == b:
-                continue
-            if m and m[-1] != a and size >= max_bytes:
-                yield np.array(m), np.array(c), copied, content
-                m, c, copied, content, size = [], [], [], [], 0
-            m.append(a), c.append(b), copied.append(k), content.append(t)
-            size += len(t)
-    if m:
-        yield np.array(m), np.array(c), copied, content
-
-
-def indexed(contents: DataFrame, length: int) -> DataFrame:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if group and group[0][0] != row[0]:
+                if held and held_bytes + group_bytes > max_bytes:
+                    yield columns_of(held)
+                    held, held_bytes = [], 0
+                held, held_bytes, group, group_bytes = held + group, held_bytes + group_bytes, [], 0
+            group.append(row)
+            group_bytes += len(row[3])
+    if held and held_bytes + group_bytes > max_bytes:
+        yield columns_of(held)
+        held = []
+    if held or group:
+        yield columns_of(held + group)
+
+
+def columns_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[bool], list[bytes]]:
+    m, c, copied, content = zip(*rows)
+    return np.array(m), np.array(c), list(copied), list(content)
+
+
+def indexed(contents: DataFrame, length: int, index_bytes: int) -> DataFrame:
     """Ranges of repeated windows in ``contents`` (m, c, copied, content), each task with indexes of its own groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for m, c, copied, content in in_groups(batches, INDEX_BYTES):
+        for m, c, copied, content in in_groups(batches, index_bytes):
             found = np.array(list(repeated_windows(content, copied, length)), np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(m[found[:, 0]]), pa.array(c[found[:, 0]]), pa.array(found[:, 1]), pa.array(found[:, 2])],
@@ -249,132 +305,71 @@ def indexed(contents: DataFrame, length: int) -> DataFrame:
     return contents.select("m", "c", "copied", "content").repartition("m").sortWithinPartitions("m", "c").mapInArrow(run, RANGE)
 
 
-def window_hashes(content: bytes, length: int) -> np.ndarray:
-    """A hash of all bytes of every window."""
-    h = gram_hashes(np.frombuffer(content, np.uint8), GRAM)
-    n = len(content) - length + 1
-    out = np.zeros(n, np.uint64)
-    for off in [*range(0, length - GRAM, GRAM), length - GRAM]:
-        out = (out ^ h[off:off + n]) * _M[1]
-        out ^= out >> np.uint64(29)
-    return out
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc, h, text) with each id and text once, and ``copied`` where it stands for several rows.
 
-
-def stretches(content: bytes, length: int, flank: int = 64, gram: int = 16) -> np.ndarray:
-    """Where the least k-gram near the front or near the end of the window changes; equal windows agree in both."""
-    near = sliding_least(gram_hashes(np.frombuffer(content, np.uint8), gram), flank - gram + 1)
-    n = len(content) - length + 1
-    front, end = near[:n], near[length - flank:length - flank + n]
-    return np.flatnonzero(np.r_[True, (front[1:] != front[:-1]) | (end[1:] != end[:-1])])
-
-
-def screened(contents: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Pieces of segments without the windows that occur once.
-
-    Where very many different segments share a k-gram, nearly all of them differ around a common passage.
-    Segments are cut into stretches of about a dozen windows, at places that depend on the content; those that
-    occur as a whole several times stay.  Of the others the windows are counted one by one, by hash.  What is left of
-    each segment is mostly the same few pieces.  Returns the pieces (m, c, first, p) and their contents (m, c = p, copied,
-    content).
+    Only texts of ids that occur more than once are shuffled.
     """
+    again = landed(docs.groupBy("doc").count().where("count > 1").select(F.col("doc").alias("_doc")), "ids")
+    same = docs["doc"].eqNullSafe(again["_doc"])
+    rest = docs.join(again, same, "left_semi").groupBy("doc", "h").agg(F.first("text").alias("text"), (F.count("*") > 1).alias("copied"))
+    return docs.join(again, same, "left_anti").select("doc", "h", "text", F.lit(False).alias("copied")).unionByName(rest)
 
-    def cut_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for m, c, copied, content in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                w = window_hashes(content, length).view(np.int64)
-                # A stretch of a loop may be long; cut anywhere, its windows are still compared one by one.
-                first = np.unique(np.r_[stretches(content, length), np.arange(0, len(w), 4096)])
-                n = np.diff(np.r_[first, len(w)])
-                r = [signed(xxhash.xxh3_64_intdigest(content[a:a + k + length - 1])) for a, k in zip(first.tolist(), n.tolist())]
-                at = pa.array(np.r_[first, len(w)].astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(r), m)), pa.array(np.full(len(r), c)), pa.array(np.full(len(r), 1 + copied)),
-                     pa.array(first), pa.array(r, pa.int64()), pa.ListArray.from_arrays(at, pa.array(w))],
-                    ["m", "c", "times", "first", "r", "w"])
-
-    cut = landed(contents.select("m", "c", "copied", "content").mapInArrow(
-        cut_stretches, "m long, c long, times long, first long, r long, w array<long>"), "stretches")
-    counts = landed(cut.groupBy("m", "r").agg(F.sum("times").alias("all"), F.min("w").alias("w")), "stretches")
-    marked = cut.join(counts.select("m", "r", "all").hint("rebalance"), ["m", "r"])
-    whole = marked.where("all > 1").select("m", "c", "first", F.size("w").cast("long").alias("n"))
-    single = marked.where("all = 1").select("m", "c", "first", F.posexplode("w").alias("at", "w"))
-    single = single.select("m", "c", (F.col("first") + F.col("at")).alias("first"), "w")
-    seen = single.select("m", "w", F.lit(1).alias("times")).union(
-        counts.where("all > 1").select("m", F.explode("w").alias("w"), F.lit(2).alias("times")))
-    again = seen.groupBy("m", "w").agg(F.sum("times").alias("times")).where("times > 1").select("m", "w")
-    left = whole.union(single.join(again.hint("rebalance"), ["m", "w"]).select("m", "c", "first", F.lit(1).cast("long").alias("n")))
-    ranges = left.groupBy("m", "c").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("ranges"))
-    asked = contents.join(ranges, ["m", "c"]).select("m", "c", "copied", "content", "ranges")
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for m, c, copied, content, found in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                runs: list[list[int]] = []
-                for r in found:
-                    if runs and r["first"] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], r["first"] + r["n"])
-                    else:
-                        runs.append([r["first"], r["first"] + r["n"]])
-                for a, b in runs:
-                    piece = content[a:b + length - 1]
-                    rows.append({"m": m, "c": c, "first": a, "p": signed(xxhash.xxh3_64_intdigest(piece)), "copied": copied, "content": piece})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema(
-                [("m", pa.int64()), ("c", pa.int64()), ("first", pa.int64()), ("p", pa.int64()), ("copied", pa.bool_()), ("content", pa.binary())]))
-
-    all_of_them = landed(asked.mapInArrow(pieces, "m long, c long, first long, p long, copied boolean, content binary"), "pieces")
-    distinct = all_of_them.groupBy("m", F.col("p").alias("c")).agg(
-        ((F.count("*") > 1) | F.max("copied")).alias("copied"), F.min("content").alias("content"))
-    return all_of_them.select("m", "c", "first", "p"), distinct
-
-
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, screen: int = SCREEN) -> DataFrame:
+
+def repeated_ranges(texts: DataFrame, length: int = LENGTH, index_bytes: int = INDEX_BYTES, level: int = 0) -> DataFrame:
     """``doc, h, first, n``: runs of ``n`` windows of ``length`` bytes from byte ``first`` on that also start elsewhere.
 
-    ``docs`` has doc, h (a hash of the text) and text.  Segments of equal least k-gram are the only ones that can share
-    a window; only hashes are shuffled to find them.  A k-gram met once settles its segment, a segment
-    met several times and alone with its k-gram stands for all its copies, and the different segments of a k-gram
-    go into a run-length index, each once with the mark that it has copies.
+    ``texts`` has doc, h (a hash of the text), text and copied, each doc and h once.  Segments of equal least k-gram are
+    the only ones that can share a window; only hashes are shuffled to find them.  A k-gram met once settles its
+    segment, a segment met several times and alone with its k-gram stands for all its copies, and the different
+    segments of a k-gram go into a run-length index, each once with the mark that it has copies.  Where they come to
+    more than ``index_bytes`` they are cut in the same way by further k-grams that equal windows agree in, and what then still
+    is more by whole windows, so that no index is larger, whatever shares a k-gram.
     """
-    segs = landed(found_segments(docs, length), "segments")
+    segs = landed(found_segments(texts, length, level), "segments")
     grams = segs.groupBy("m").agg(
-        F.count("*").alias("rows"), F.min("c").alias("low"), F.max("c").alias("high"), F.max("several").alias("several"))
-    alone = (F.col("low") == F.col("high")) & ~F.col("several")
+        F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("rows"), F.min("c").alias("low"), F.max("c").alias("high"), F.max("several").alias("several"))
+    alone = (F.col("low") == F.col("high")) & ~F.col("several") if level < LAST else F.lit(True)
     grams = grams.where("rows > 1 OR several").select("m", alone.alias("alone"))
+    if level == LAST:
+        return segs.join(grams.hint("rebalance"), "m").select("doc", "h", "first", "n")
     shared = landed(segs.drop("several").join(grams.hint("rebalance"), "m"), "shared")
     copies = shared.where("alone").select("doc", "h", "first", "n")
 
     different = shared.where("NOT alone")
     kinds = landed(different.groupBy("m", "c").agg(
-        (F.count("*") > 1).alias("copied"), F.min_by(F.struct("doc", "h", "first", "n"), F.struct("doc", "h", "first")).alias("one")), "kinds")
-    many = kinds.groupBy("m").count().where(F.col("count") > screen).select("m", F.lit(True).alias("many"))
-    asked = kinds.join(many.hint("rebalance"), "m", "left").select("m", "c", "copied", F.coalesce("many", F.lit(False)).alias("many"), "one.*")
-    lists = asked.groupBy("doc", "h").agg(F.collect_list(F.struct("m", "c", "copied", "many", "first", "n")).alias("asked"))
-    # Rows that are equal in id and text give their segments several times; the index takes each once.
+        ((F.count("*") > 1) | F.max("copied")).alias("copied"),
+        F.min_by(F.struct("doc", "h", "first", "n"), F.struct("doc", "h", "first")).alias("one")), "kinds")
+    sizes = kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.sum(F.col("one.n") + (length - 1)).alias("bytes"))
+    # A single segment is no longer than a chunk, so its index is bounded too.
+    large = sizes.where((F.col("bytes") > index_bytes) & (F.col("kinds") > 1)).select("m", F.lit(True).alias("large"))
+    asked = kinds.join(large.hint("rebalance"), "m", "left").select("m", "c", "copied", F.coalesce("large", F.lit(False)).alias("large"), "one.*")
+    lists = asked.groupBy("doc", "h").agg(F.collect_list(F.struct("m", "c", "copied", "large", "first", "n")).alias("asked"))
     right = lists.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), "asked").hint("rebalance")
-    texts = docs.join(right, docs["doc"].eqNullSafe(right["_doc"]) & (docs["h"] == right["_h"])).select("text", "asked")
+    found = texts.join(right, texts["doc"].eqNullSafe(right["_doc"]) & (texts["h"] == right["_h"])).select("text", "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
                 raw = text.as_buffer()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([w[k] for w in wanted], t) for k, t in (("m", pa.int64()), ("c", pa.int64()), ("copied", pa.bool_()), ("many", pa.bool_()))]
+                    [pa.array([w[k] for w in wanted], t) for k, t in (("m", pa.int64()), ("c", pa.int64()), ("copied", pa.bool_()), ("large", pa.bool_()))]
                     + [pa.array([bytes(raw[w["first"]:w["first"] + w["n"] + length - 1]) for w in wanted], pa.binary())],
-                    ["m", "c", "copied", "many", "content"])
-
-    contents = landed(texts.mapInArrow(cut, "m long, c long, copied boolean, many boolean, content binary"), "contents")
-    ranges = indexed(contents.where("NOT many"), length)
-    pieces, distinct = screened(contents.where("many").dropDuplicates(["m", "c"]), length)
-    of_pieces = indexed(distinct, length).select("m", F.col("c").alias("p"), F.col("first").alias("off"), "n")
-    back = pieces.join(of_pieces.hint("rebalance"), ["m", "p"]).select("m", "c", (F.col("first") + F.col("off")).alias("first"), "n")
-    ranges = landed(ranges.unionByName(back), "ranges").withColumnRenamed("first", "off").withColumnRenamed("n", "windows")
+                    ["m", "c", "copied", "large", "content"])
+
+    contents = landed(found.mapInArrow(cut, "m long, c long, copied boolean, large boolean, content binary"), "contents")
+    ranges = indexed(contents.where("NOT large"), length, index_bytes)
+    left = contents.where("large").select(F.col("m").alias("doc"), F.col("c").alias("h"), F.col("content").alias("text"), "copied")
+    if not left.isEmpty():
+        of_left = repeated_ranges(left, length, index_bytes, level + 1)
+        ranges = ranges.unionByName(of_left.select(F.col("doc").alias("m"), F.col("h").alias("c"), "first", "n"))
+    ranges = landed(ranges, "ranges").withColumnRenamed("first", "off").withColumnRenamed("n", "windows")
     marked = different.join(ranges.hint("rebalance"), ["m", "c"]).select(
         "doc", "h", (F.col("first") + F.col("off")).alias("first"), F.col("windows").alias("n"))
     return copies.unionByName(marked)
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, screen: int = SCREEN) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``docs`` with ``kept``: the bytes of every whole text without those in a repeated string of ``length`` bytes.
 
     Also ``n_bytes``, ``n_removed`` and ``n_spans`` (the longest removed runs).  A byte goes if a string over it also starts
@@ -388,7 +383,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.xxhash64(body).alias("h"), body.alias("text"))
     of_doc, of_hash, of_text, own_hash, its = free_names(docs, "_doc", "_h", "_text", "_hash", "_ranges")
-    ranges = repeated_ranges(plain, length, screen).groupBy("doc", "h").agg(
+    ranges = repeated_ranges(one_of_each(plain), length, index_bytes).groupBy("doc", "h").agg(
         F.collect_list(F.struct("first", "n")).alias(its)).select(
         F.col("doc").alias(of_doc), F.col("h").alias(of_hash), its).hint("rebalance")
     whole = docs.select(*[F.col(f"`{n}`") for n in names], body.alias(of_text), F.xxhash64(body).alias(own_hash))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from odd_rows import docs, odd, ordered, pairs  # noqa: F401
 from pyspark.sql import functions as F
@@ -37,12 +38,68 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("screen", [0, substrings.SCREEN])
-def test_repeated_strings(table, screen):
-    found = substrings.without_repeats(table, screen=screen).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+@pytest.mark.parametrize("index_bytes", [0, substrings.INDEX_BYTES])
+def test_repeated_strings(table, index_bytes):
+    """Also with indexes so small that segments are cut down to single windows."""
+    found = substrings.without_repeats(table, index_bytes=index_bytes).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
     assert ordered(found.collect()) == ordered(brute_repeats(pairs(table), 200))
 
 
+def test_pieces_around_a_shared_passage(spark):
+    """Many different pieces share their k-grams: a passage between and inside changing words, some of them copies, and loops."""
+    import random
+
+    rng = random.Random(8)
+    name = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, head, tail = name(150), name(120), name(110)
+    texts = [name(rng.randint(0, 120)) + passage + name(rng.randint(0, 120)) for _ in range(150)]
+    texts += [head + name(rng.randint(1, 9)) + tail for _ in range(150)] + ["ab" * rng.randint(90, 400) + name(3) for _ in range(20)]
+    rows = [*enumerate(texts + rng.sample(texts, 40)), (1, texts[1]), (None, texts[2]), (None, texts[2])]
+    found = substrings.without_repeats(spark.createDataFrame(rows, "doc_id int, text string"), index_bytes=2000)
+    got = found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert ordered(got) == ordered(brute_repeats(rows, 200))
+
+
+def test_no_index_is_larger_than_its_bytes(spark):
+    """10,000 different pieces around one passage: groups of segments that reach the indexes are small."""
+    import random
+
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(190))
+    texts = [(k, k, f"{rng.random()}{rng.random()}{passage}{rng.random()}{rng.random()}", False) for k in range(10_000)]
+    made = spark.createDataFrame(texts, "doc long, h long, text string, copied boolean")
+    sizes = []
+    keep = substrings.indexed
+
+    def seen(contents, length, index_bytes):
+        sizes.append(contents.groupBy("m").agg(F.sum(F.length("content")).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return keep(contents, length, index_bytes)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(substrings, "indexed", seen)
+        substrings.repeated_ranges(made).count()
+    assert len(sizes) > 1 and max(sizes) <= substrings.INDEX_BYTES
+
+
+def test_groups_are_packed_whole_and_bounded():
+    rows = [(m, c, False, b"x" * size) for m, sizes in enumerate([[5, 5], [60], [30, 30], [1] * 9, [200], [3]]) for c, size in enumerate(sizes)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip("mcdt", r)) for r in rows[k:k + 4]]) for k in range(0, len(rows), 4)]
+    packs = [(m.tolist(), sum(map(len, t))) for m, _, _, t in substrings.in_groups(iter(batches), 100)]
+    assert [set(m) for m, _ in packs] == [{0, 1}, {2, 3}, {4}, {5}]
+    assert [n for _, n in packs] == [70, 69, 200, 3]
+
+
+def test_rows_equal_in_id_and_text_are_read_once(spark):
+    """Equal rows give their segments once, so that what they give does not grow with the square of their number."""
+    text = " ".join(str(k * k) for k in range(1500))
+    rows = [(1, text)] * 500 + [(2, "short"), (2, "short"), (2, text[:300]), (3, "x" * 300)]
+    made = spark.createDataFrame(rows, "doc long, text string").select("doc", F.xxhash64("text").alias("h"), "text").repartition(8)
+    once = substrings.one_of_each(made).collect()
+    assert ordered((r["doc"], r["text"], r["copied"]) for r in once) == ordered(
+        [(1, text, True), (2, "short", True), (2, text[:300], False), (3, "x" * 300, False)])
+    assert substrings.repeated_ranges(substrings.one_of_each(made)).where("doc = 1").agg(F.sum("n")).first()[0] == len(text) - 199
+
+
 def test_index_matches_plain_counts():
     import random
 
