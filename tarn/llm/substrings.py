@@ -317,9 +317,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, index_bytes: int = INDEX_BYTES, level: int = 0) -> DataFrame:
-    """``doc, h, first, n``: runs of ``n`` windows of ``length`` bytes from byte ``first`` on that also start elsewhere.
+    """``doc, h, found``: runs of windows of ``length`` bytes that also start elsewhere, as structs of first byte and windows.
 
-    ``texts`` has doc, h (a hash of the text), text and copied, each doc and h once.  Segments of equal least k-gram are
+    A text may have several rows.  ``texts`` has doc, h (a hash of the text), text and copied, each doc and h once.  Segments of equal least k-gram are
     the only ones that can share a window; only hashes are shuffled to find them.  A k-gram met once settles its
     segment, a segment met several times and alone with its k-gram stands for all its copies, and the different
     segments of a k-gram go into a run-length index, each once with the mark that it has copies.  Where they come to
@@ -331,10 +331,11 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, index_bytes: int = I
         F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("rows"), F.min("c").alias("low"), F.max("c").alias("high"), F.max("several").alias("several"))
     alone = (F.col("low") == F.col("high")) & ~F.col("several") if level < LAST else F.lit(True)
     grams = grams.where("rows > 1 OR several").select("m", alone.alias("alone"))
+    own = F.array(F.struct("first", "n")).alias("found")
     if level == LAST:
-        return segs.join(grams.hint("rebalance"), "m").select("doc", "h", "first", "n")
+        return segs.join(grams.hint("rebalance"), "m").select("doc", "h", own)
     shared = landed(segs.drop("several").join(grams.hint("rebalance"), "m"), "shared")
-    copies = shared.where("alone").select("doc", "h", "first", "n")
+    copies = shared.where("alone").select("doc", "h", own)
 
     different = shared.where("NOT alone")
     kinds = landed(different.groupBy("m", "c").agg(
@@ -358,17 +359,39 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, index_bytes: int = I
                     ["m", "c", "copied", "large", "content"])
 
     contents = landed(found.mapInArrow(cut, "m long, c long, copied boolean, large boolean, content binary"), "contents")
-    ranges = indexed(contents.where("NOT large"), length, index_bytes)
+    ranges = indexed(contents.where("NOT large"), length, index_bytes).groupBy("m", "c").agg(
+        F.collect_list(F.struct("first", "n")).alias("found"))
     left = contents.where("large").select(F.col("m").alias("doc"), F.col("c").alias("h"), F.col("content").alias("text"), "copied")
     if not left.isEmpty():
-        of_left = repeated_ranges(left, length, index_bytes, level + 1)
-        ranges = ranges.unionByName(of_left.select(F.col("doc").alias("m"), F.col("h").alias("c"), "first", "n"))
-    ranges = landed(ranges, "ranges").withColumnRenamed("first", "off").withColumnRenamed("n", "windows")
+        ranges = ranges.unionByName(joined_runs(repeated_ranges(left, length, index_bytes, level + 1)))
+    ranges = landed(ranges, "ranges")
+    # One row for each segment, however many ranges it has.
     marked = different.join(ranges.hint("rebalance"), ["m", "c"]).select(
-        "doc", "h", (F.col("first") + F.col("off")).alias("first"), F.col("windows").alias("n"))
+        "doc", "h", F.transform("found", lambda r: F.struct((F.col("first") + r["first"]).alias("first"), r["n"].alias("n"))).alias("found"))
     return copies.unionByName(marked)
 
 
+def joined_runs(ranges: DataFrame) -> DataFrame:
+    """``m, c, found`` of each segment, with ranges that touch made one; ``ranges`` has them in parts, as doc, h and found."""
+    whole = ranges.groupBy(F.col("doc").alias("m"), F.col("h").alias("c")).agg(F.flatten(F.collect_list("found")).alias("found"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for found in batch.column(2).to_pylist():
+                runs: list[dict] = []
+                for first, n in sorted((r["first"], r["n"]) for r in found):
+                    if runs and first <= runs[-1]["first"] + runs[-1]["n"]:
+                        runs[-1]["n"] = max(runs[-1]["n"], first + n - runs[-1]["first"])
+                    else:
+                        runs.append({"first": first, "n": n})
+                rows.append(runs)
+            kind = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], ["m", "c", "found"])
+
+    return whole.mapInArrow(run, "m long, c long, found array<struct<first: long, n: long>>")
+
+
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``docs`` with ``kept``: the bytes of every whole text without those in a repeated string of ``length`` bytes.
 
@@ -384,7 +407,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     plain = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.xxhash64(body).alias("h"), body.alias("text"))
     of_doc, of_hash, of_text, own_hash, its = free_names(docs, "_doc", "_h", "_text", "_hash", "_ranges")
     ranges = repeated_ranges(one_of_each(plain), length, index_bytes).groupBy("doc", "h").agg(
-        F.collect_list(F.struct("first", "n")).alias(its)).select(
+        F.flatten(F.collect_list("found")).alias(its)).select(
         F.col("doc").alias(of_doc), F.col("h").alias(of_hash), its).hint("rebalance")
     whole = docs.select(*[F.col(f"`{n}`") for n in names], body.alias(of_text), F.xxhash64(body).alias(own_hash))
     same = whole[f"`{doc_id}`"].eqNullSafe(ranges[of_doc]) & (whole[own_hash] == ranges[of_hash])
