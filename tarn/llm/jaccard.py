@@ -6,10 +6,12 @@ costs more shared postings and leaves fewer candidates, so every set takes the `
 pair has to share as many as the lesser ``l`` of both.
 
 Sets are known by two hashes and equal sets are one class, so copies cost one row of the index and do not make their
-shingles frequent.  Links are found in turns.  In the first ones each class is compared with one class of another component
-alone, the one that it shares the most posting lists with, among one or two of each list; that joins large groups of near
-copies.  In the last one, where classes of a posting list are not yet in one component, all pairs of different
-components are candidates if they share enough of their prefixes.  Every candidate is verified on the whole sets.
+shingles frequent.  Links are found in turns.  In the first one each class is compared with one other class alone, the
+one that it shares the most posting lists with, among two of each list.  In the next ones each class outside the largest
+component of its longest list meets drawn classes of that list, a few at first and more when fewer classes are left
+outside; that joins groups of near copies of which only some pairs are similar.  In the last one, all pairs of different
+components of a posting list are candidates if they share enough of their prefixes; each such pair has a class outside
+the list's largest component, so these are looked up in the list.  Every candidate is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from .texts import followed, lowered, mixed, word_hashes, words_of
 SHINGLE = 4
 PERCENT = 85
 LONGEST = 6
-TURNS = 3
+# How many classes of a list are drawn in each turn after the first.
+DRAWN = (8, 32)
 # What verifying a candidate costs, per shingle, against one shared posting.
 VERIFY = 0.05
 # Frequencies are counted by the leading 48 bits of a shingle's hash: they only order the shingles.
@@ -200,44 +203,80 @@ def with_roots(postings: DataFrame, classes: DataFrame, tree: DataFrame | None)
     return postings.join(known, postings["c"] == known["_c"]).drop("_c")
 
 
+def nearest(placed: DataFrame) -> DataFrame:
+    """A pair ``u``, ``v`` for each class: it and a class of another component, which stands first or last in most of its lists."""
+    rep = F.struct("root", "c")
+    lists = placed.groupBy("token", "bucket").agg(F.min(rep).alias("lo"), F.max(rep).alias("hi")).where("lo.root < hi.root")
+    other = F.when(F.col("root") != F.col("lo.root"), F.col("lo.c")).otherwise(F.col("hi.c")).alias("other")
+    shared = placed.join(lists.hint("rebalance"), ["token", "bucket"]).groupBy("c", other).agg(F.count("*").alias("n"))
+    best = shared.groupBy("c").agg(F.max(F.struct(F.col("n"), (-F.col("other")).alias("other"))).alias("best"))
+    one = best.select("c", (-F.col("best.other")).alias("other"))
+    return one.select(F.least("c", "other").alias("u"), F.greatest("c", "other").alias("v")).distinct()
+
+
+def spread(placed: DataFrame, *by: str) -> DataFrame:
+    """The lists that hold several components, with ``most``, the one with the most classes, and ``held``, all classes."""
+    held = placed.groupBy(*by, "root").agg(F.count("*").alias("n"))
+    lists = held.groupBy(*by).agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"), F.sum("n").alias("held"))
+    return lists.where("roots > 1").select(*by, F.col("most.root").alias("most"), "held")
+
+
+def drawn(placed: DataFrame, many: int) -> DataFrame:
+    """Pairs ``u``, ``v``: a class outside the largest component of its longest list, and up to ``many`` drawn ones of that list."""
+    lists = spread(placed, "token", "bucket").hint("rebalance")
+    longest = placed.join(lists, ["token", "bucket"]).groupBy("c", "root").agg(F.max(F.struct("held", "token", "bucket", "most")).alias("list"))
+    members = landed(longest.select("c", "root", "list.token", "list.bucket", "list.most"), "members")
+    slot = F.pmod(F.xxhash64("c", F.lit(many)), F.lit(many)).alias("slot")
+    ones = members.groupBy("token", "bucket", slot).agg(F.min(F.struct(F.xxhash64(F.lit(many), "c").alias("h"), "root", "c")).alias("one"))
+    met = members.where("root <> most").join(ones.hint("rebalance"), ["token", "bucket"]).where("root <> one.root")
+    return met.select(F.least("c", "one.c").alias("u"), F.greatest("c", "one.c").alias("v")).distinct()
+
+
+def across(placed: DataFrame, percent: int) -> DataFrame:
+    """All pairs ``u``, ``v`` of different components that share as many shingles of their prefixes as they ask for.
+
+    One of such two lies outside the component with the most classes of the list, so only these classes are looked up.
+    """
+    mixed_lists = landed(placed.join(spread(placed, "token").hint("rebalance"), "token"), "postings")
+    fields = ["c", "n", "matches", "position", "root"]
+    # Sizes of similar sets lie in one bucket or in two neighbouring ones.
+    near = F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket")
+    outside = mixed_lists.where("root <> most").select("token", near, *[F.col(c).alias(f"{c}1") for c in fields])
+    every = mixed_lists.select("token", "bucket", "most", *[F.col(c).alias(f"{c}2") for c in fields])
+    once = (F.col("root2") == F.col("most")) | (F.col("c1") < F.col("c2"))
+    asked = F.least("matches1", "matches2")
+
+    # Similar sets of these sizes share at least this many shingles, ``asked`` of them in the first ``n - overlap + asked`` of each.
+    overlap = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent) - 1e-9)
+
+    def inside(k: int) -> Column:
+        return F.col(f"position{k}") < F.col(f"n{k}") - overlap + asked
+
+    shared = outside.join(every, ["token", "bucket"]).where(
+        (F.col("root1") != F.col("root2")) & once & fits(F.least("n1", "n2"), F.greatest("n1", "n2"), percent) & inside(1) & inside(2))
+    # Beyond the last shared place of its prefix, a set can share no more than what is left of it.
+    left = F.least(*[F.min(F.col(f"n{k}") - F.col(f"position{k}") - 1) for k in (1, 2)])
+    enough = shared.groupBy(F.least("c1", "c2").alias("u"), F.greatest("c1", "c2").alias("v")).agg(
+        F.count("*").alias("n"), F.min(asked).alias("asked"), F.min(overlap).alias("overlap"), left.alias("left"))
+    return enough.where("n >= asked AND n + left >= overlap").select("u", "v")
+
+
 def links(batches: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Similar pairs of classes, enough of them to connect all that similar pairs connect."""
-    # Sizes of similar sets lie in one bucket or in two neighbouring ones.
+    # A bucket is as wide as the similarity allows sizes to differ.
     bucket = F.floor(F.log(F.col("n")) / float(-np.log(percent / 100)) + 1e-9)
     postings = classes.select("c", F.col("n_shingles").alias("n"), "matches", F.explode(F.arrays_zip("tokens", "positions")).alias("t")).select(
         "c", "n", "matches", F.col("t.tokens").alias("token"), F.col("t.positions").alias("position"), bucket.alias("bucket"))
     found, tried, tree = None, None, None
-    for _ in range(TURNS):
+    for many in (None, *DRAWN):
         placed = with_roots(postings, classes, tree)
-        rep = F.struct("root", "c")
-        lists = placed.groupBy("token", "bucket").agg(F.min(rep).alias("lo"), F.max(rep).alias("hi")).where("lo.root < hi.root")
-        other = F.when(F.col("root") != F.col("lo.root"), F.col("lo.c")).otherwise(F.col("hi.c")).alias("other")
-        shared = placed.join(lists.hint("rebalance"), ["token", "bucket"]).groupBy("c", other).agg(F.count("*").alias("n"))
-        best = shared.groupBy("c").agg(F.max(F.struct(F.col("n"), (-F.col("other")).alias("other"))).alias("best"))
-        one = best.select("c", (-F.col("best.other")).alias("other"))
-        pairs = one.select(F.least("c", "other").alias("u"), F.greatest("c", "other").alias("v")).distinct()
+        pairs = drawn(placed, many) if many else nearest(placed)
         pairs = landed(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         good = verified(pairs, batches, classes, size, percent)
         found, tried = (good, pairs) if found is None else (found.union(good), tried.union(pairs))
         tree = roots(found).withColumnRenamed("u", "c").withColumnRenamed("v", "root")
-    placed = with_roots(postings, classes, tree)
-    # The last turn: pairs of different components in lists that hold more than one.
-    mixed_lists = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token").hint("rebalance")
-    open_lists = landed(placed.join(mixed_lists, "token"), "postings")
-    fields = ["c", "n", "matches", "position", "root"]
-    small = open_lists.select("token", "bucket", *[F.col(c).alias(f"{c}1") for c in fields])
-    large = open_lists.select("token", F.explode(F.array("bucket", F.col("bucket") - 1)).alias("bucket"), *[F.col(c).alias(f"{c}2") for c in fields])
-    ordered = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("c1") < F.col("c2")))
-    asked = F.least("matches1", "matches2")
-
-    def inside(k: int) -> Column:
-        n = F.col(f"n{k}")
-        return F.col(f"position{k}") < n - F.ceil(n * percent / 100) + asked
-
-    shared = small.join(large, ["token", "bucket"]).where((F.col("root1") != F.col("root2")) & ordered & fits(F.col("n1"), F.col("n2"), percent) & inside(1) & inside(2))
-    enough = shared.groupBy(F.least("c1", "c2").alias("u"), F.greatest("c1", "c2").alias("v")).agg(F.count("*").alias("n"), F.min(asked).alias("asked")).where("n >= asked")
-    candidates = landed(enough.select("u", "v").join(tried, ["u", "v"], "left_anti"), "pairs")
-    return found.union(verified(candidates, batches, classes, size, percent))
+    last = across(with_roots(postings, classes, tree), percent).join(tried, ["u", "v"], "left_anti")
+    return found.union(verified(landed(last, "pairs"), batches, classes, size, percent))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
