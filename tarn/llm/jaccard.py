@@ -58,8 +58,9 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
         nxt[:len(h) - k] = followed(h[:len(h) - k], hashes[k:])
         h = np.where(more, nxt, h)
     row, h = row[starts], h[starts]
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
+    ends = np.searchsorted(row, np.arange(len(n) + 1)).tolist()
+    for a, b in zip(ends[:-1], ends[1:]):
+        h[a:b].sort()
     new = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
     return row[new], h[new]
 
@@ -168,9 +169,9 @@ def sets_of(batches: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
             for k in range(row.num_rows):
-                sets = Sets(unpacked(row.column(0)[k].as_py())["text"].combine_chunks(), size)
                 asked = row.column(1)[k].as_py()
-                found = [sets.of(a["place"]).view(np.int64) for a in asked]
+                sets = Sets(unpacked(row.column(0)[k].as_py())["text"].combine_chunks().take(pa.array([a["place"] for a in asked])), size)
+                found = [sets.of(j).view(np.int64) for j in range(len(asked))]
                 offsets = np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([a["c"] for a in asked], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))],
