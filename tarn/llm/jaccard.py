@@ -11,7 +11,9 @@ one that it shares the most posting lists with, among two of each list.  In the
 component of its longest list meets drawn classes of that list, a few at first and more when fewer classes are left
 outside; that joins groups of near copies of which only some pairs are similar.  In the last one, all pairs of different
 components of a posting list are candidates if they share enough of their prefixes; each such pair has a class outside
-the list's largest component, so these are looked up in the list.  Every candidate is verified on the whole sets.
+the list's largest component, so these are looked up in the list.  Marks of ``MARK_WORDS`` longs, the parity of the shingles
+that fall on each bit, differ in no more bits than two sets differ in shingles; pairs whose marks differ in too many are no
+candidates, so a group of near copies below the threshold costs comparisons and no rows.  Every candidate is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ LONGEST = 6
 DRAWN = (8, 32)
 # What verifying a candidate costs, per shingle, against one shared posting.
 VERIFY = 0.05
+# Longs of the mark of a set.
+MARK_WORDS = 4
 # Frequencies are counted by the leading 48 bits of a shingle's hash: they only order the shingles.
 COARSE = np.uint64(2**64 - 2**16)
 
@@ -84,6 +88,17 @@ class Sets:
             self.h1[some] = np.add.reduceat(mixed(self.h), self.starts[some])
             self.h2[some] = np.add.reduceat(mixed(self.h ^ np.uint64(0x9E3779B97F4A7C15)), self.starts[some])
 
+    def marks(self) -> list[np.ndarray]:
+        """The longs of each set's mark: a bit is set if an odd number of its shingles falls on it."""
+        bit = mixed(self.h ^ np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(64 * MARK_WORDS)
+        one, some, out = np.uint64(1) << (bit % np.uint64(64)), np.flatnonzero(self.n), []
+        for k in range(MARK_WORDS):
+            word = np.zeros(self.n_rows, np.uint64)
+            if len(some):
+                word[some] = np.bitwise_xor.reduceat(np.where(bit // np.uint64(64) == k, one, np.uint64(0)), self.starts[some])
+            out.append(word.view(np.int64))
+        return out
+
     def of(self, k: int) -> np.ndarray:
         return self.h[self.starts[k]:self.starts[k + 1]]
 
@@ -105,7 +120,8 @@ def known_sets(docs: DataFrame, size: int, keep_text: bool) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-MARKS = "batch long, place int, h1 long, h2 long, least {}, n_shingles long, matches int, tokens array<long>, positions array<int>"
+MARKS = "batch long, place int, h1 long, h2 long, least {}, n_shingles long, matches int, tokens array<long>, positions array<int>, " + ", ".join(
+    f"mark{k} long" for k in range(MARK_WORDS))
 
 
 def prefixes(sets: Sets, frequency: np.ndarray, percent: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -140,7 +156,7 @@ def listed(parts: list[np.ndarray], dtype) -> pa.Array:
 
 
 def with_prefixes(batches: DataFrame, id_type: str, size: int, percent: int, keys: int, n_batches: int) -> DataFrame:
-    """A row per class with its place, its hashes, its least document and its prefix."""
+    """A row per class with its place, its hashes, its least document, its prefix and its mark."""
     schema = MARKS.format(id_type)
     names = [f.name for f in StructType.fromDDL(schema).fields]
 
@@ -156,7 +172,7 @@ def with_prefixes(batches: DataFrame, id_type: str, size: int, percent: int, key
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(sets.n_rows, batch)), pa.array(np.arange(sets.n_rows, dtype=np.int32)),
              *[table[c].combine_chunks() for c in ("h1", "h2", "least", "n_shingles")],
-             pa.array(matches.astype(np.int32)), listed(tokens, np.int64), listed(places, np.int32)], names)
+             pa.array(matches.astype(np.int32)), listed(tokens, np.int64), listed(places, np.int32), *map(pa.array, sets.marks())], names)
 
     return with_totals(batches, ask, use, schema, keys, n_batches)
 
@@ -233,13 +249,17 @@ def drawn(placed: DataFrame, many: int) -> DataFrame:
     return met.select(F.least("c", "one.c").alias("u"), F.greatest("c", "one.c").alias("v")).distinct()
 
 
-def across(placed: DataFrame, percent: int) -> DataFrame:
+def across(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """All pairs ``u``, ``v`` of different components that share as many shingles of their prefixes as they ask for.
 
     One of such two lies outside the component with the most classes of the list, so only these classes are looked up.
+    The marks of the two must not differ in more bits than similar sets of their sizes differ in shingles.
     """
-    mixed_lists = landed(placed.join(spread(placed, "token").hint("rebalance"), "token"), "postings")
-    fields = ["c", "n", "matches", "position", "root"]
+    marks = [f"mark{k}" for k in range(MARK_WORDS)]
+    marked = classes.select(F.col("c").alias("_c"), *marks).hint("rebalance")
+    mixed_lists = placed.join(spread(placed, "token").hint("rebalance"), "token")
+    mixed_lists = landed(mixed_lists.join(marked, mixed_lists["c"] == marked["_c"]).drop("_c"), "postings")
+    fields = ["c", "n", "matches", "position", "root", *marks]
     # Sizes of similar sets lie in one bucket or in two neighbouring ones.
     near = F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket")
     outside = mixed_lists.where("root <> most").select("token", near, *[F.col(c).alias(f"{c}1") for c in fields])
@@ -253,8 +273,10 @@ def across(placed: DataFrame, percent: int) -> DataFrame:
     def inside(k: int) -> Column:
         return F.col(f"position{k}") < F.col(f"n{k}") - overlap + asked
 
+    differ = sum((F.bit_count(F.col(f"{m}1").bitwiseXOR(F.col(f"{m}2"))) for m in marks), F.lit(0))
+    alike = differ <= F.col("n1") + F.col("n2") - 2 * overlap
     shared = outside.join(every, ["token", "bucket"]).where(
-        (F.col("root1") != F.col("root2")) & once & fits(F.least("n1", "n2"), F.greatest("n1", "n2"), percent) & inside(1) & inside(2))
+        (F.col("root1") != F.col("root2")) & once & fits(F.least("n1", "n2"), F.greatest("n1", "n2"), percent) & inside(1) & inside(2) & alike)
     # Beyond the last shared place of its prefix, a set can share no more than what is left of it.
     left = F.least(*[F.min(F.col(f"n{k}") - F.col(f"position{k}") - 1) for k in (1, 2)])
     enough = shared.groupBy(F.least("c1", "c2").alias("u"), F.greatest("c1", "c2").alias("v")).agg(
@@ -276,7 +298,7 @@ def links(batches: DataFrame, classes: DataFrame, size: int, percent: int) -> Da
         good = verified(pairs, batches, classes, size, percent)
         found, tried = (good, pairs) if found is None else (found.union(good), tried.union(pairs))
         tree = roots(found).withColumnRenamed("u", "c").withColumnRenamed("v", "root")
-    last = across(with_roots(postings, classes, tree), percent).join(tried, ["u", "v"], "left_anti")
+    last = across(with_roots(postings, classes, tree), classes, percent).join(tried, ["u", "v"], "left_anti")
     return found.union(verified(landed(last, "pairs"), batches, classes, size, percent))
 
 

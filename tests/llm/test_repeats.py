@@ -86,6 +86,40 @@ def test_jaccard_of_chains_and_shared_passages(spark, many):
     assert ordered(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == ordered(want)
 
 
+def test_marks_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = random.Random(4)
+    words = [str(rng.randrange(10**6)) for _ in range(90)]
+    texts = [" ".join(w if rng.random() > p else "x" for w in words) for p in (0, 0, 0.01, 0.05, 0.2, 0.5)] + ["", "a b", *[" ".join(words[:k]) for k in (3, 4, 80)]]
+    sets = jaccard.Sets(pa.array(texts), 4)
+    marks = np.array(sets.marks()).T
+    for a in range(len(texts)):
+        for b in range(len(texts)):
+            bits = sum(int(x ^ y).bit_count() for x, y in zip(marks[a].view(np.uint64).tolist(), marks[b].view(np.uint64).tolist()))
+            assert bits <= len(set(sets.of(a).tolist()) ^ set(sets.of(b).tolist()))
+
+
+def test_near_copies_below_the_threshold_are_no_candidates(spark, monkeypatch):
+    """A group of texts that share most words, no two of them similar: the last turn's pairs do not grow with its square."""
+    rng = random.Random(6)
+    words = [str(rng.randrange(10**6)) for _ in range(120)]
+    texts = [list(words) for _ in range(80)]
+    for text in texts:
+        for at in rng.sample(range(5, 115), 2):
+            text[at] = str(rng.randrange(10**6))
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    seen, across = [], jaccard.across
+
+    def counted(*args):
+        found = across(*args)
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "across", counted)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert ordered(got.collect()) == ordered(brute_jaccard(rows))
+    assert seen[0] < 80, seen
+
+
 def test_prefixes_keep_every_similar_pair():
     """Two similar sets share as many of their prefixes as the lesser of both asks for, whatever the frequencies."""
     rng = random.Random(3)
