@@ -573,18 +573,30 @@ def landed_drops(spark, sf):
 
 PARTS = 4
 LATE = "10 minutes"
+# Events that one file of arrivals holds, and applications that one master has, about.
+FILE_EVENTS = 250_000
+MASTER_APPS = 20_000
+# Bytes of texts in one compressed block, about.
+BLOCK_BYTES = 4 << 20
 
 
 def _arrivals(spark, sf):
-    """The events as a stream of several micro-batches, in the order they arrive: up to four minutes late."""
+    """The events as a stream of several micro-batches, in the order they arrive: up to four minutes late.
+
+    A micro-batch is as many files as each of the parts has, so that large tables are written and read by many tasks.
+    """
     path = work_dir(spark, "arrivals")
     late = F.unix_micros(F.col("ts").cast("timestamp")) + (F.col("event_id") % 5) * 60_000_000
     events = load(spark, sf, "events").withColumn("_at", late)
     low, high = events.agg(F.min("_at"), F.max("_at")).first()
     part = F.floor((F.col("_at") - low) * PARTS / F.lit(high - low + 1))
+    held = events.agg(*[F.count_if(part == k) for k in range(PARTS)]).first()
+    # So few that none of them is empty: dealing a part's rows out in turn reaches every file.
+    files = max(1, min(held) // FILE_EVENTS)
     for k in range(PARTS):
-        events.where(part == k).drop("_at").coalesce(1).write.mode("append").parquet(path)
-    return sinks.read_files(prepare(spark), path, max_files=1)
+        rows = events.where(part == k).drop("_at")
+        (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.mode("append").parquet(path)
+    return sinks.read_files(prepare(spark), path, max_files=files)
 
 
 def _stream(spark, sf, name):
