@@ -559,7 +559,7 @@ def scanned_images(spark, sf):
 def landed_drops(spark, sf):
     """Files of a drop folder landed by two polls; the second one finds what was added after the first."""
     drop, table = work_dir(spark, "lake") + "/drop", work_dir(spark, "drops")
-    load(spark, sf, "documents").select("text").repartition(PARTS).write.text(drop)
+    load(spark, sf, "documents").select("text").write.text(drop)  # a file for each split of the table
     SL.land_drops(spark, drop, table, "bronze", "ana", 0)
     for size, name in enumerate(ODD_NAMES):
         _put(spark, f"{drop}/later/{name}", b"x" * size)
