@@ -667,18 +667,23 @@ def stream_present(spark, sf):
 
 
 def stream_app_status(spark, sf):
-    """Applications as the last complete poll of each of eight masters gives them.
+    """Applications as the last complete poll of each of many masters gives them.
 
+    A master has some ``MASTER_APPS`` applications, as a poll of it is one text, and there are eight masters at least.
     The first polls name every application as running.  Of the next ones half are cut off, and the even masters' third
     ones leave out every third application; after that an older poll of theirs arrives.  The odd masters fall behind.
     """
     out = work_dir(spark, "apps")
     apps = view(spark, sf, "apps")
+    pairs = max(4, -(-apps.count() // (2 * MASTER_APPS)))
+    # An application without a number is with the odd masters.
+    odd = F.coalesce(F.pmod("app_id", F.lit(2)), F.lit(1))
+    apps = apps.withColumn("master", (2 * F.pmod(F.xxhash64("app_id", "duration_ms", "start_ts"), F.lit(pairs)) + odd).cast("int"))
 
     def poll(number, state, which="true"):
         app = F.struct(
             F.concat(F.lit("app-"), F.col("app_id").cast("string")).alias("id"), F.col("duration_ms").alias("duration"), state.alias("state"))
-        many = apps.where(which).groupBy((F.col("app_id") % 8).alias("master")).agg(
+        many = apps.where(which).groupBy("master").agg(
             F.collect_list(F.when(state == "RUNNING", app)).alias("activeapps"),
             F.collect_list(F.when(state != "RUNNING", app)).alias("completedapps"))
         body = F.struct(F.lit(number).cast("bigint").alias("snapshot_id"), "activeapps", "completedapps")
@@ -688,7 +693,7 @@ def stream_app_status(spark, sf):
              poll(2, F.col("state"), "app_id % 2 = 0 AND app_id % 3 > 0"), poll(1, F.lit("LATE"), "app_id % 2 = 0")]
     for texts in polls:
         texts.repartition("master").write.mode("append").partitionBy("master").text(f"{out}/drop")
-    payloads = sinks.read_files(spark, f"{out}/drop", "text", "value string, master int", max_files=7, wholetext=True)
+    payloads = sinks.read_files(spark, f"{out}/drop", "text", "value string, master int", max_files=2 * pairs - 1, wholetext=True)
     key, order = ["master"], ["snapshot_id"]
     seen = live.app_status(payloads)
     sinks.finish(sinks.land_latest(seen, f"{out}/table", f"{out}/checkpoint", key, order, mode="append", buckets=PARTS))
