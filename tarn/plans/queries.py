@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -713,17 +714,41 @@ def stream_user_sessions(spark, sf):
         F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "beats")
 
 
+def _text_files(texts, path):
+    """``PARTS`` text files with about as many of the texts each, which come to the tasks that write them in compressed blocks."""
+    def packed(batches):
+        codec = pa.Codec("zstd", compression_level=9)
+        for batch in batches:
+            blocks = PARTS * max(1, -(-batch.nbytes // (PARTS * BLOCK_BYTES)))
+            ends = [batch.num_rows * k // blocks for k in range(blocks + 1)]
+            for a, b in zip(ends[:-1], ends[1:]):
+                if a < b:
+                    out = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as writer:
+                        writer.write_batch(batch.slice(a, b - a))
+                    yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+    def unpacked(batches):
+        for batch in batches:
+            for block in batch.column(0):
+                with pa.ipc.open_stream(block.as_buffer()) as reader:
+                    yield from reader
+
+    blocks = texts.mapInArrow(packed, "block binary").repartition(PARTS)
+    blocks.mapInArrow(unpacked, texts.schema).write.text(path)
+
+
 def stream_drops(spark, sf):
     """Files of a drop folder landed as they arrive, in several micro-batches; started again, the stream lands nothing twice."""
     out = work_dir(spark, "dropped")
-    load(spark, sf, "documents").select("text").repartition(PARTS).write.text(f"{out}/drop/first")
+    _text_files(load(spark, sf, "documents").select("text"), f"{out}/drop/first")
 
     def polled():
         files = sinks.drop_stream(spark, f"{out}/drop", "bronze", "portal", max_files=PARTS // 2)
         sinks.finish(sinks.land_latest(files, f"{out}/table", f"{out}/checkpoint", OBJECT, ["last_modified"], mode="append", buckets=PARTS))
 
     polled()
-    load(spark, sf, "benchmark").select("text").repartition(PARTS).write.text(f"{out}/drop/second")
+    _text_files(load(spark, sf, "benchmark").select("text"), f"{out}/drop/second")
     for _ in range(2):
         polled()
     landed = SL.read_landed(spark, f"{out}/table")

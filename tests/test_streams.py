@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tarn.operators import sessions as S
 from tarn.operators import usage as R
+from tarn.plans import queries as Q
 from tarn.session import stream_settings, work_dir
 from tarn.sources import landing as SL
 from tarn.sources import payloads as SP
@@ -322,3 +323,136 @@ def test_drop_stream_lands_each_file_once_and_reads_no_content(spark, tmp_path):
         f.truncate(3 << 30)  # a hole of 3 GB; a reader of contents refuses it
     os.utime(f"{folder}/huge.bin", (2e9, 2e9))
     assert ("huge.bin", 3 << 30) in poll()[0]
+
+
+# --- large tables ----------------------------------------------------------
+
+class _Value:
+    """A value of the state, and how often it is asked for."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+
+class _Handle:
+    def __init__(self):
+        self.calls, self.timers = [], set()
+
+    def getValueState(self, name, schema, ttlDurationMs=None):
+        return _Value(self.calls)
+
+    def registerTimer(self, at):
+        self.calls.append("registerTimer")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("deleteTimer")
+        self.timers.remove(at)
+
+
+class _Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+class _Beat:
+    def __init__(self, at, gone=False):
+        self.at, self.gone, self.point_id, self.value = at * 1_000_000, gone, at, None
+
+
+def test_a_micro_batch_reads_and_writes_the_state_of_a_key_once():
+    handle = _Handle()
+    user = presence.Presence(900, 600, 10, 5)
+    user.init(handle)
+    seen, base = [], 10**9 * 1000
+    for k, beats in enumerate([(0, 100), (5000, 5100), (5200,), (9000,)]):
+        handle.calls.clear()
+        seen += [(e.event, e.beats) for e in user.handleInputRows(("a",), map(_Beat, beats), _Clock(base + k)) if e.event != presence.LIVE]
+        assert k == 0 or sorted(handle.calls) == ["get", "update"]
+    assert len(handle.timers) == 1
+    early, = handle.timers
+    handle.timers.clear()
+    assert list(user.handleExpiredTimer(("a",), _Clock(early), None)) == [] and handle.timers == {base + 3 + 10_000}
+    seen += [(e.event, e.beats) for e in user.handleExpiredTimer(("a",), _Clock(base + 3 + 10_000), None)]
+    assert seen == [("idle", 2), ("idle", 3), ("idle", 1), ("gone", 0)] and user.held.value is None
+    assert list(user.handleInputRows(("a",), [_Beat(9000)], _Clock(base + 20_000))) == []  # a straggler
+
+    series = history.KeepNewest(2)
+    series.init(handle)
+    for beats in ((1, 2), (4, 3), (0,)):
+        handle.calls.clear()
+        last, = series.handleInputRows(("s",), map(_Beat, beats), None)
+        assert handle.calls == ["get", "update"]
+    assert [p.point_id for p in last.points] == [3, 4]
+
+
+def dropped(spark, monkeypatch, purpose):
+    """The work folder of that purpose, once a query has asked for it."""
+    paths = []
+
+    def folder(session, name):
+        path = work_dir(session, name)
+        if name == purpose:
+            paths.append(path)
+        return path
+
+    monkeypatch.setattr(Q, "work_dir", folder)
+    return paths
+
+
+def test_arrivals_of_large_tables_are_several_files_for_each_micro_batch(spark, sf, monkeypatch):
+    paths = dropped(spark, monkeypatch, "arrivals")
+    want = rows(Q.stream_history(spark, sf))
+    monkeypatch.setattr(Q, "FILE_EVENTS", 60)
+    assert rows(Q.stream_history(spark, sf)) == want
+    files = [len(glob.glob(f"{p}/part-*")) for p in paths]
+    assert files[0] == Q.PARTS and files[1] > Q.PARTS and files[1] % Q.PARTS == 0
+
+
+def test_masters_grow_in_number_and_not_in_size(spark, sf, monkeypatch):
+    paths = dropped(spark, monkeypatch, "apps")
+    want = rows(Q.stream_app_status(spark, sf))
+    monkeypatch.setattr(Q, "MASTER_APPS", 50)
+    assert rows(Q.stream_app_status(spark, sf)) == want
+    assert [len(glob.glob(f"{p}/drop/master=*")) for p in paths] == [8, 30]
+
+
+def test_dropped_texts_are_written_by_as_many_tasks_as_the_table_has_parts(spark, tmp_path, monkeypatch):
+    texts = spark.createDataFrame([(f"text {k}",) for k in range(600)], "text string")
+    texts.repartition(6).write.option("parquet.block.size", 1).parquet(str(tmp_path / "documents.parquet"))
+    paths = dropped(spark, monkeypatch, "lake")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        got = rows(Q.landed_drops(spark, str(tmp_path)).where("uploader = 'ana'"), "total_bytes")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert got == [(sum(len(f"text {k}") + 1 for k in range(600)),)]
+    assert len(glob.glob(f"{paths[0]}/drop/part-*")) >= 6
+
+
+def test_texts_travel_compressed_to_the_files_of_a_drop(spark, tmp_path):
+    texts = [None, "", "a b", "\u00e4", *(f"{k} {'x' * 500}" for k in range(60))]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    Q._text_files(table.coalesce(1), str(tmp_path / "drop"))
+    files = glob.glob(f"{tmp_path}/drop/part-*")
+    assert len(files) == Q.PARTS
+    lines = [line for f in files for line in open(f, encoding="utf-8").read().split("\n")[:-1]]
+    assert sorted(lines) == sorted(t or "" for t in texts)
