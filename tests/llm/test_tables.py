@@ -403,7 +403,7 @@ def test_queries_and_sql(spark, sf):
     from compare import connect, rows_of
 
     con = connect(sf)
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES if n != "pipeline") == list(range(1, 14))
     for name, sql in ORACLE.items():
         if not sql or name == "pipeline":
             continue
