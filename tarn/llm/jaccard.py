@@ -8,12 +8,14 @@ pair has to share as many as the lesser ``l`` of both.
 Sets are known by two hashes and equal sets are one class, so copies cost one row of the index and do not make their
 shingles frequent.  Links are found in turns.  In the first one each class is compared with one other class alone, the
 one that it shares the most posting lists with, among two of each list.  In the next ones each class outside the largest
-component of its longest list meets drawn classes of that list, a few at first and more when fewer classes are left
-outside; that joins groups of near copies of which only some pairs are similar.  In the last one, all pairs of different
-components of a posting list are candidates if they share enough of their prefixes; each such pair has a class outside
-the list's largest component, so these are looked up in the list.  Marks of ``MARK_WORDS`` longs, the parity of the shingles
-that fall on each bit, differ in no more bits than two sets differ in shingles; pairs whose marks differ in too many are no
-candidates, so a group of near copies below the threshold costs comparisons and no rows.  Every candidate is verified on the whole sets.
+component of a list meets drawn classes of all its lists, a few at first and more when fewer classes are left outside, and
+is compared with the nearest one of each other component; that joins groups of near copies of which only some pairs are
+similar.  In the last one, all pairs of different components of a posting list are candidates if they share enough of their
+prefixes; each such pair has a class outside the list's largest component, so these are looked up in the list, and a pair
+is found where it shares a shingle and not the one before, so not once for each shared shingle.  Marks of ``MARK_WORDS`` longs,
+the parity of the shingles that fall on each bit, differ in no more bits than two sets differ in shingles; pairs whose
+marks differ in too many are no candidates, so a group of near copies below the threshold costs comparisons and no rows.
+Every candidate is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -36,12 +38,13 @@ from .texts import followed, lowered, mixed, word_hashes, words_of
 SHINGLE = 4
 PERCENT = 85
 LONGEST = 6
-# How many classes of a list are drawn in each turn after the first.
+# How many classes of each list are drawn in each turn after the first.
 DRAWN = (8, 32)
 # What verifying a candidate costs, per shingle, against one shared posting.
 VERIFY = 0.05
 # Longs of the mark of a set.
-MARK_WORDS = 4
+MARK_WORDS = 8
+MARK = [f"mark{k}" for k in range(MARK_WORDS)]
 # Frequencies are counted by the leading 48 bits of a shingle's hash: they only order the shingles.
 COARSE = np.uint64(2**64 - 2**16)
 
@@ -103,25 +106,24 @@ class Sets:
         return self.h[self.starts[k]:self.starts[k + 1]]
 
 
-def known_sets(docs: DataFrame, size: int, keep_text: bool) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and the hashes ``h1`` and ``h2`` of each document's set, and its text if asked, compressed."""
-    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("n_shingles long, h1 long, h2 long" + ", text binary" * keep_text).fields])
+def known_sets(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and the hashes ``h1`` and ``h2`` of each document's set, and its text, compressed."""
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("n_shingles long, h1 long, h2 long, text binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=5).compress
         for batch in batches:
             for part in sliced([batch], "text", 4 << 20):
                 sets = Sets(part.column(1), size)
-                out = [part.column(0), pa.array(sets.n), pa.array(sets.h1.view(np.int64)), pa.array(sets.h2.view(np.int64))]
-                if keep_text:
-                    out.append(pa.array([pack(t) for t in texts_of(part.column(1))], pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, schema.names)
+                packed = pa.array([pack(t) for t in texts_of(part.column(1))], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sets.n), pa.array(sets.h1.view(np.int64)), pa.array(sets.h2.view(np.int64)), packed], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 MARKS = "batch long, place int, h1 long, h2 long, least {}, n_shingles long, matches int, tokens array<long>, positions array<int>, " + ", ".join(
-    f"mark{k} long" for k in range(MARK_WORDS))
+    f"{m} long" for m in MARK)
 
 
 def prefixes(sets: Sets, frequency: np.ndarray, percent: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -212,6 +214,32 @@ def fits(least: Column, most: Column, percent: int) -> Column:
     return 100 * least >= percent * most
 
 
+def required(percent: int) -> Column:
+    """The shingles that two similar sets, of sizes ``n1`` and ``n2``, share at least."""
+    return F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent) - 1e-9)
+
+
+def differ() -> Column:
+    """The bits in which the marks of two sets differ."""
+    return sum((F.bit_count(F.col(f"{m}1").bitwiseXOR(F.col(f"{m}2"))) for m in MARK), F.lit(0))
+
+
+def alike(percent: int) -> Column:
+    """Whether the marks of two sets differ in no more bits than similar sets of their sizes differ in shingles."""
+    return fits(F.least("n1", "n2"), F.greatest("n1", "n2"), percent) & (differ() <= F.col("n1") + F.col("n2") - 2 * required(percent))
+
+
+def side(k: int, *columns: str) -> list[Column]:
+    """The columns as those of the first or the second one of two."""
+    return [F.col(c).alias(f"{c}{k}") for c in columns]
+
+
+def with_marks(postings: DataFrame, classes: DataFrame) -> DataFrame:
+    """The postings with the mark of their class."""
+    marked = classes.select(F.col("c").alias("_c"), *MARK).hint("rebalance")
+    return postings.join(marked, postings["c"] == marked["_c"]).drop("_c")
+
+
 def with_roots(postings: DataFrame, classes: DataFrame, tree: DataFrame | None) -> DataFrame:
     """The postings with the component of their class."""
     if tree is None:
@@ -220,7 +248,7 @@ def with_roots(postings: DataFrame, classes: DataFrame, tree: DataFrame | None)
     return postings.join(known, postings["c"] == known["_c"]).drop("_c")
 
 
-def nearest(placed: DataFrame) -> DataFrame:
+def nearest(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """A pair ``u``, ``v`` for each class: it and a class of another component, which stands first or last in most of its lists."""
     rep = F.struct("root", "c")
     lists = placed.groupBy("token", "bucket").agg(F.min(rep).alias("lo"), F.max(rep).alias("hi")).where("lo.root < hi.root")
@@ -228,7 +256,11 @@ def nearest(placed: DataFrame) -> DataFrame:
     shared = placed.join(lists.hint("rebalance"), ["token", "bucket"]).groupBy("c", other).agg(F.count("*").alias("n"))
     best = shared.groupBy("c").agg(F.max(F.struct(F.col("n"), (-F.col("other")).alias("other"))).alias("best"))
     one = best.select("c", (-F.col("best.other")).alias("other"))
-    return one.select(F.least("c", "other").alias("u"), F.greatest("c", "other").alias("v")).distinct()
+    pairs = one.select(F.least("c", "other").alias("c1"), F.greatest("c", "other").alias("c2")).distinct()
+    known = classes.withColumn("n", F.col("n_shingles"))
+    for k in (1, 2):
+        pairs = pairs.join(known.select(*side(k, "c", "n", *MARK)).hint("rebalance"), f"c{k}")
+    return pairs.where(alike(percent)).select(F.col("c1").alias("u"), F.col("c2").alias("v"))
 
 
 def spread(placed: DataFrame, *by: str) -> DataFrame:
@@ -238,62 +270,76 @@ def spread(placed: DataFrame, *by: str) -> DataFrame:
     return lists.where("roots > 1").select(*by, F.col("most.root").alias("most"), "held")
 
 
-def drawn(placed: DataFrame, many: int) -> DataFrame:
-    """Pairs ``u``, ``v``: a class outside the largest component of its longest list, and up to ``many`` drawn ones of that list."""
+def drawn(placed: DataFrame, classes: DataFrame, many: int, percent: int) -> DataFrame:
+    """Pairs ``u``, ``v``: a class outside the largest component of a list, and the nearest drawn one of each other component.
+
+    Up to ``many`` classes of each list are drawn, in the same order in all lists; the nearest one is that with the most like mark.
+    """
     lists = spread(placed, "token", "bucket").hint("rebalance")
-    longest = placed.join(lists, ["token", "bucket"]).groupBy("c", "root").agg(F.max(F.struct("held", "token", "bucket", "most")).alias("list"))
-    members = landed(longest.select("c", "root", "list.token", "list.bucket", "list.most"), "members")
+    members = landed(with_marks(placed.join(lists, ["token", "bucket"]).drop("position", "before", "matches", "held"), classes), "members")
     slot = F.pmod(F.xxhash64("c", F.lit(many)), F.lit(many)).alias("slot")
-    ones = members.groupBy("token", "bucket", slot).agg(F.min(F.struct(F.xxhash64(F.lit(many), "c").alias("h"), "root", "c")).alias("one"))
-    met = members.where("root <> most").join(ones.hint("rebalance"), ["token", "bucket"]).where("root <> one.root")
-    return met.select(F.least("c", "one.c").alias("u"), F.greatest("c", "one.c").alias("v")).distinct()
+    ones = members.groupBy("token", "bucket", slot).agg(
+        F.min(F.struct(F.xxhash64(F.lit(many), "c").alias("h"), *side(2, "root", "c", "n", *MARK))).alias("one"))
+    outside = members.where("root <> most").select("token", "bucket", *side(1, "root", "c", "n", *MARK))
+    met = outside.join(ones.select("token", "bucket", "one.*").hint("rebalance"), ["token", "bucket"]).where((F.col("root1") != F.col("root2")) & alike(percent))
+    best = met.groupBy("c1", "root2").agg(F.min(F.struct(differ().alias("differ"), "c2")).alias("best"))
+    return best.select(F.least("c1", "best.c2").alias("u"), F.greatest("c1", "best.c2").alias("v")).distinct()
 
 
-def across(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """All pairs ``u``, ``v`` of different components that share as many shingles of their prefixes as they ask for.
+def meeting(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``u``, ``v`` of different components with marks alike, where they share a shingle of their prefixes and not the one before it.
 
     One of such two lies outside the component with the most classes of the list, so only these classes are looked up.
-    The marks of the two must not differ in more bits than similar sets of their sizes differ in shingles.
+    The first shingle that two sets share has another one before it in each, and what stands before it is in one set alone.
     """
-    marks = [f"mark{k}" for k in range(MARK_WORDS)]
-    marked = classes.select(F.col("c").alias("_c"), *marks).hint("rebalance")
-    mixed_lists = placed.join(spread(placed, "token").hint("rebalance"), "token")
-    mixed_lists = landed(mixed_lists.join(marked, mixed_lists["c"] == marked["_c"]).drop("_c"), "postings")
-    fields = ["c", "n", "matches", "position", "root", *marks]
+    mixed_lists = placed.join(spread(placed, "token").drop("held").hint("rebalance"), "token")
+    mixed_lists = landed(with_marks(mixed_lists, classes), "postings")
+    fields = ["c", "n", "matches", "position", "before", "root", *MARK]
     # Sizes of similar sets lie in one bucket or in two neighbouring ones.
     near = F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket")
-    outside = mixed_lists.where("root <> most").select("token", near, *[F.col(c).alias(f"{c}1") for c in fields])
-    every = mixed_lists.select("token", "bucket", "most", *[F.col(c).alias(f"{c}2") for c in fields])
+    outside = mixed_lists.where("root <> most").select("token", near, *side(1, *fields))
+    every = mixed_lists.select("token", "bucket", "most", *side(2, *fields))
     once = (F.col("root2") == F.col("most")) | (F.col("c1") < F.col("c2"))
-    asked = F.least("matches1", "matches2")
+    new = F.col("before1").isNull() | F.col("before2").isNull() | (F.col("before1") != F.col("before2"))
+    first = F.col("position1") + F.col("position2") <= F.col("n1") + F.col("n2") - 2 * required(percent)
+    shared = outside.join(every, ["token", "bucket"]).where((F.col("root1") != F.col("root2")) & once & new & first & alike(percent))
+    return shared.select(F.least("c1", "c2").alias("u"), F.greatest("c1", "c2").alias("v"))
 
-    # Similar sets of these sizes share at least this many shingles, ``asked`` of them in the first ``n - overlap + asked`` of each.
-    overlap = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent) - 1e-9)
 
-    def inside(k: int) -> Column:
-        return F.col(f"position{k}") < F.col(f"n{k}") - overlap + asked
+def across(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """All pairs ``u``, ``v`` of different components that share as many shingles of their prefixes as they ask for."""
+    known = classes.withColumn("n", F.col("n_shingles"))
+    pairs = meeting(placed, classes, percent).distinct().select(F.col("u").alias("c1"), F.col("v").alias("c2")).hint("rebalance")
+    for k in (1, 2):
+        pairs = pairs.join(known.select(*side(k, "c", "n", "matches", "tokens", "positions")), f"c{k}")
+    # Similar sets of these sizes share at least ``overlap`` shingles, ``asked`` of them in the first ``n - overlap + asked`` of each.
+    overlap, asked = required(percent), F.least("matches1", "matches2")
+
+    def prefix(k: int) -> Column:
+        return F.slice(f"tokens{k}", F.lit(1), F.size(F.filter(f"positions{k}", lambda p: p < F.col(f"n{k}") - overlap + asked)))
+
+    shared = pairs.withColumn("shared", F.array_intersect(prefix(1), prefix(2))).withColumn("both", F.size("shared"))
+    last = F.get("shared", F.col("both") - 1)
 
-    differ = sum((F.bit_count(F.col(f"{m}1").bitwiseXOR(F.col(f"{m}2"))) for m in marks), F.lit(0))
-    alike = differ <= F.col("n1") + F.col("n2") - 2 * overlap
-    shared = outside.join(every, ["token", "bucket"]).where(
-        (F.col("root1") != F.col("root2")) & once & fits(F.least("n1", "n2"), F.greatest("n1", "n2"), percent) & inside(1) & inside(2) & alike)
     # Beyond the last shared place of its prefix, a set can share no more than what is left of it.
-    left = F.least(*[F.min(F.col(f"n{k}") - F.col(f"position{k}") - 1) for k in (1, 2)])
-    enough = shared.groupBy(F.least("c1", "c2").alias("u"), F.greatest("c1", "c2").alias("v")).agg(
-        F.count("*").alias("n"), F.min(asked).alias("asked"), F.min(overlap).alias("overlap"), left.alias("left"))
-    return enough.where("n >= asked AND n + left >= overlap").select("u", "v")
+    def left(k: int) -> Column:
+        return F.col(f"n{k}") - 1 - F.get(f"positions{k}", F.array_position(f"tokens{k}", last).cast("int") - 1)
+
+    enough = (F.col("both") >= asked) & (F.col("both") + F.least(left(1), left(2)) >= overlap)
+    return shared.where(enough).select(F.col("c1").alias("u"), F.col("c2").alias("v"))
 
 
 def links(batches: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Similar pairs of classes, enough of them to connect all that similar pairs connect."""
     # A bucket is as wide as the similarity allows sizes to differ.
     bucket = F.floor(F.log(F.col("n")) / float(-np.log(percent / 100)) + 1e-9)
-    postings = classes.select("c", F.col("n_shingles").alias("n"), "matches", F.explode(F.arrays_zip("tokens", "positions")).alias("t")).select(
-        "c", "n", "matches", F.col("t.tokens").alias("token"), F.col("t.positions").alias("position"), bucket.alias("bucket"))
+    before = F.transform("tokens", lambda _, k: F.get("tokens", k - 1)).alias("before")
+    postings = classes.select("c", F.col("n_shingles").alias("n"), "matches", F.explode(F.arrays_zip("tokens", "positions", before)).alias("t")).select(
+        "c", "n", "matches", F.col("t.tokens").alias("token"), F.col("t.positions").alias("position"), "t.before", bucket.alias("bucket"))
     found, tried, tree = None, None, None
     for many in (None, *DRAWN):
         placed = with_roots(postings, classes, tree)
-        pairs = drawn(placed, many) if many else nearest(placed)
+        pairs = drawn(placed, classes, many, percent) if many else nearest(placed, classes, percent)
         pairs = landed(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         good = verified(pairs, batches, classes, size, percent)
         found, tried = (good, pairs) if found is None else (found.union(good), tried.union(pairs))
@@ -311,8 +357,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     other columns are left out.
     """
     read = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    marks = landed(known_sets(read, shingle, False), "sets")
-    kinds = known_sets(read, shingle, True).where("n_shingles > 0").groupBy("h1", "h2").agg(
+    marks = landed(known_sets(read, shingle), "sets")
+    kinds = marks.where("n_shingles > 0").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("text").alias("text"))
     batches = batches_of(compressed(kinds, back=True).withColumn("text", F.col("text").cast("string")), "texts")
     n, size = batches.agg(F.count("*"), F.sum(F.octet_length("data"))).first()
