@@ -94,11 +94,11 @@ class Sets:
     def marks(self) -> list[np.ndarray]:
         """The longs of each set's mark: a bit is set if an odd number of its shingles falls on it."""
         bit = mixed(self.h ^ np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(64 * MARK_WORDS)
-        one, some, out = np.uint64(1) << (bit % np.uint64(64)), np.flatnonzero(self.n), []
+        one, at, some, out = np.uint64(1) << (bit % np.uint64(64)), (bit // np.uint64(64)).astype(np.uint8), np.flatnonzero(self.n), []
         for k in range(MARK_WORDS):
             word = np.zeros(self.n_rows, np.uint64)
             if len(some):
-                word[some] = np.bitwise_xor.reduceat(np.where(bit // np.uint64(64) == k, one, np.uint64(0)), self.starts[some])
+                word[some] = np.bitwise_xor.reduceat(np.where(at == k, one, np.uint64(0)), self.starts[some])
             out.append(word.view(np.int64))
         return out
 
@@ -276,7 +276,7 @@ def drawn(placed: DataFrame, classes: DataFrame, many: int, percent: int) -> Dat
     Up to ``many`` classes of each list are drawn, in the same order in all lists; the nearest one is that with the most like mark.
     """
     lists = spread(placed, "token", "bucket").hint("rebalance")
-    members = landed(with_marks(placed.join(lists, ["token", "bucket"]).drop("position", "before", "matches", "held"), classes), "members")
+    members = landed(with_marks(placed.join(lists, ["token", "bucket"]).drop("held"), classes), "members")
     slot = F.pmod(F.xxhash64("c", F.lit(many)), F.lit(many)).alias("slot")
     ones = members.groupBy("token", "bucket", slot).agg(
         F.min(F.struct(F.xxhash64(F.lit(many), "c").alias("h"), *side(2, "root", "c", "n", *MARK))).alias("one"))
@@ -294,7 +294,7 @@ def meeting(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """
     mixed_lists = placed.join(spread(placed, "token").drop("held").hint("rebalance"), "token")
     mixed_lists = landed(with_marks(mixed_lists, classes), "postings")
-    fields = ["c", "n", "matches", "position", "before", "root", *MARK]
+    fields = ["c", "n", "position", "before", "root", *MARK]
     # Sizes of similar sets lie in one bucket or in two neighbouring ones.
     near = F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket")
     outside = mixed_lists.where("root <> most").select("token", near, *side(1, *fields))
@@ -333,9 +333,8 @@ def links(batches: DataFrame, classes: DataFrame, size: int, percent: int) -> Da
     """Similar pairs of classes, enough of them to connect all that similar pairs connect."""
     # A bucket is as wide as the similarity allows sizes to differ.
     bucket = F.floor(F.log(F.col("n")) / float(-np.log(percent / 100)) + 1e-9)
-    before = F.transform("tokens", lambda _, k: F.get("tokens", k - 1)).alias("before")
-    postings = classes.select("c", F.col("n_shingles").alias("n"), "matches", F.explode(F.arrays_zip("tokens", "positions", before)).alias("t")).select(
-        "c", "n", "matches", F.col("t.tokens").alias("token"), F.col("t.positions").alias("position"), "t.before", bucket.alias("bucket"))
+    lists = classes.select("c", F.col("n_shingles").alias("n"), "tokens", "positions").withColumn("bucket", bucket)
+    postings = lists.select("c", "n", "bucket", F.explode("tokens").alias("token"))
     found, tried, tree = None, None, None
     for many in (None, *DRAWN):
         placed = with_roots(postings, classes, tree)
@@ -344,7 +343,10 @@ def links(batches: DataFrame, classes: DataFrame, size: int, percent: int) -> Da
         good = verified(pairs, batches, classes, size, percent)
         found, tried = (good, pairs) if found is None else (found.union(good), tried.union(pairs))
         tree = roots(found).withColumnRenamed("u", "c").withColumnRenamed("v", "root")
-    last = across(with_roots(postings, classes, tree), classes, percent).join(tried, ["u", "v"], "left_anti")
+    before = F.transform("tokens", lambda _, k: F.get("tokens", k - 1)).alias("before")
+    placed = lists.select("c", "n", "bucket", F.explode(F.arrays_zip("tokens", "positions", before)).alias("t")).select(
+        "c", "n", "bucket", F.col("t.tokens").alias("token"), F.col("t.positions").alias("position"), "t.before")
+    last = across(with_roots(placed, classes, tree), classes, percent).join(tried, ["u", "v"], "left_anti")
     return found.union(verified(landed(last, "pairs"), batches, classes, size, percent))
 
 

@@ -120,6 +120,40 @@ def test_near_copies_below_the_threshold_are_no_candidates(spark, monkeypatch):
     assert seen[0] < 80, seen
 
 
+def join_rows(node):
+    """The most rows that a join of an executed plan made."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return join_rows(node.executedPlan())
+    below = [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(k) for k in range(node.children().size())]
+    own = node.metrics().apply("numOutputRows").value() if "Join" in node.nodeName() else 0
+    return max([own, *map(join_rows, below)])
+
+
+def test_the_last_turn_finds_a_pair_of_near_copies_about_once(spark, monkeypatch):
+    """Texts around the threshold, with marks alike: no join makes a row for each shingle that two of them share."""
+    rng = random.Random(8)
+    words = [str(rng.randrange(10**6)) for _ in range(120)]
+    rows = []
+    for k in range(90):
+        at = rng.randrange(5, 112)
+        rows.append((k, " ".join([*words[:at], *[str(rng.randrange(10**6)) for _ in range(2)], *words[at + 2:]])))
+    seen, across = [], jaccard.across
+
+    def counted(*args):
+        found = across(*args)
+        found.collect()
+        seen.append(join_rows(found._jdf.queryExecution().executedPlan()))
+        return found
+
+    monkeypatch.setattr(jaccard, "across", counted)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute_jaccard(rows)
+    assert 1 < len({c for _, _, c in want}) < 90
+    assert ordered(got.collect()) == ordered(want)
+    assert seen[0] < len(rows) * (len(rows) - 1) / 2, seen
+
+
 def test_prefixes_keep_every_similar_pair():
     """Two similar sets share as many of their prefixes as the lesser of both asks for, whatever the frequencies."""
     rng = random.Random(3)
