@@ -28,18 +28,21 @@ def small_star(links: DataFrame) -> DataFrame:
     return moved.union(known.select("u", F.col("low").alias("v"))).distinct()
 
 
+def is_settled(links: DataFrame) -> bool:
+    """Whether every ``u`` has one ``v`` and is no ``v`` itself, so that each ``v`` is the least node of a star."""
+    ends = links.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select(F.col("v").alias("u"), F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where(F.col("up") + F.col("down") > 1).isEmpty()
+
+
 def roots(links: DataFrame) -> DataFrame:
     """``u`` and ``v`` = the least node of its component, for every linked node but that least one.
 
     ``links`` has two columns ``u`` and ``v`` of one type, without nulls and self links; each link may stand
-    either way round and any number of times.  Rounds go on until nothing changes, about as many as the
+    either way round and any number of times.  Rounds go on until all links are stars, about as many as the
     logarithm of the longest path; each is written to the shared folder.
     """
     now = landed(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    mark = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == mark or state[0] == 0:
-            return now
-        mark = state
+    while not is_settled(now):
         now = landed(small_star(large_star(now)), "links")
+    return now

@@ -240,12 +240,11 @@ def with_marks(postings: DataFrame, classes: DataFrame) -> DataFrame:
     return postings.join(marked, postings["c"] == marked["_c"]).drop("_c")
 
 
-def with_roots(postings: DataFrame, classes: DataFrame, tree: DataFrame | None) -> DataFrame:
+def with_roots(postings: DataFrame, tree: DataFrame | None) -> DataFrame:
     """The postings with the component of their class."""
     if tree is None:
         return postings.withColumn("root", F.col("c"))
-    known = classes.select("c").join(tree, "c", "left").select(F.col("c").alias("_c"), F.coalesce("root", "c").alias("root")).hint("rebalance")
-    return postings.join(known, postings["c"] == known["_c"]).drop("_c")
+    return postings.join(tree, "c", "left").withColumn("root", F.coalesce("root", "c"))
 
 
 def nearest(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -329,25 +328,34 @@ def across(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return shared.where(enough).select(F.col("c1").alias("u"), F.col("c2").alias("v"))
 
 
-def links(batches: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Similar pairs of classes, enough of them to connect all that similar pairs connect."""
+def linked(tree: DataFrame | None, pairs: DataFrame, batches: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """The tree with the similar ones of the pairs linked too; the same one if there are none, which costs no plans on the driver."""
+    if pairs.isEmpty():
+        return tree
+    good = verified(pairs, batches, classes, size, percent)
+    if good.isEmpty():
+        return tree
+    return roots(good if tree is None else good.union(tree)).select(F.col("u").alias("c"), F.col("v").alias("root"))
+
+
+def forest(batches: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """``c`` and ``root``, the least class that similar pairs connect it with, of all linked classes but these least ones; None without links."""
     # A bucket is as wide as the similarity allows sizes to differ.
     bucket = F.floor(F.log(F.col("n")) / float(-np.log(percent / 100)) + 1e-9)
     lists = classes.select("c", F.col("n_shingles").alias("n"), "tokens", "positions").withColumn("bucket", bucket)
     postings = lists.select("c", "n", "bucket", F.explode("tokens").alias("token"))
-    found, tried, tree = None, None, None
+    tried, tree = None, None
     for many in (None, *DRAWN):
-        placed = with_roots(postings, classes, tree)
+        placed = with_roots(postings, tree)
         pairs = drawn(placed, classes, many, percent) if many else nearest(placed, classes, percent)
         pairs = landed(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        good = verified(pairs, batches, classes, size, percent)
-        found, tried = (good, pairs) if found is None else (found.union(good), tried.union(pairs))
-        tree = roots(found).withColumnRenamed("u", "c").withColumnRenamed("v", "root")
+        tree = linked(tree, pairs, batches, classes, size, percent)
+        tried = pairs if tried is None else tried.union(pairs)
     before = F.transform("tokens", lambda _, k: F.get("tokens", k - 1)).alias("before")
     placed = lists.select("c", "n", "bucket", F.explode(F.arrays_zip("tokens", "positions", before)).alias("t")).select(
         "c", "n", "bucket", F.col("t.tokens").alias("token"), F.col("t.positions").alias("position"), "t.before")
-    last = across(with_roots(placed, classes, tree), classes, percent).join(tried, ["u", "v"], "left_anti")
-    return found.union(verified(landed(last, "pairs"), batches, classes, size, percent))
+    last = across(with_roots(placed, tree), classes, percent).join(tried, ["u", "v"], "left_anti")
+    return linked(tree, landed(last, "pairs"), batches, classes, size, percent)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -366,8 +374,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n, size = batches.agg(F.count("*"), F.sum(F.octet_length("data"))).first()
     found = with_prefixes(batches, read.schema["doc_id"].dataType.simpleString(), shingle, percent, (size or 0) // 3, n)
     classes = landed(found.withColumn("c", F.monotonically_increasing_id()), "classes")
-    tree = roots(links(batches, classes, shingle, percent)).withColumnRenamed("u", "c").withColumnRenamed("v", "root")
-    named = landed(classes.select("c", "h1", "h2", "least").join(tree, "c", "left").withColumn("root", F.coalesce("root", "c")), "classes")
+    tree = forest(batches, classes, shingle, percent)
+    named = landed(with_roots(classes.select("c", "h1", "h2", "least"), tree), "classes")
     least = named.groupBy("root").agg(F.min("least").alias("component_id")).hint("rebalance")
     answer = named.select("h1", "h2", "root").join(least, "root").select(
         F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "component_id").hint("rebalance")

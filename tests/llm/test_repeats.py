@@ -120,6 +120,23 @@ def test_near_copies_below_the_threshold_are_no_candidates(spark, monkeypatch):
     assert seen[0] < 80, seen
 
 
+def test_turns_without_links_run_few_jobs(spark):
+    """The driver holds a plan and threads for each job: a turn that links nothing new adds no rounds of components."""
+    rng = random.Random(9)
+    words = [str(rng.randrange(10**6)) for _ in range(60)]
+    texts = [" ".join(words), " ".join(words[:-1])] + [" ".join([*words[:9], *(str(rng.randrange(10**6)) for _ in range(40))]) for _ in range(12)]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    context = spark.sparkContext
+    context.setJobGroup("few jobs", "near duplicates")
+    try:
+        got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(context.statusTracker().getJobIdsForGroup("few jobs"))
+    assert ordered(got.collect()) == ordered(brute_jaccard(rows))
+    assert jobs < 110, jobs
+
+
 def join_rows(node):
     """The most rows that a join of an executed plan made."""
     kind = node.getClass().getSimpleName()

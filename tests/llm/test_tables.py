@@ -9,7 +9,7 @@ import xxhash
 from odd_rows import docs, odd, ordered, pairs  # noqa: F401
 from pyspark.sql import functions as F
 
-from tarn.llm import decontaminate, lines, mixing, simhash, urls
+from tarn.llm import components, decontaminate, lines, mixing, simhash, urls
 from tarn.llm.components import roots
 from tarn.llm.queries import CONTROL_CASE, ORACLE, QUERIES, URL_RULES
 
@@ -399,6 +399,28 @@ def test_no_links(spark):
     assert ordered(roots(spark.createDataFrame(path, "u long, v long")).collect()) == ordered([(k, 0) for k in range(1, 41)] + [(101, 100)])
 
 
+def test_stars_are_written_once(spark, monkeypatch):
+    """Links that are stars already need no round; others need rounds until they are."""
+    written, landed = [], components.landed
+    monkeypatch.setattr(components, "landed", lambda df, purpose: written.append(purpose) or landed(df, purpose))
+    stars = [(k, k % 3) for k in range(3, 30)]
+    assert ordered(roots(spark.createDataFrame(stars, "u long, v long")).collect()) == ordered(stars)
+    assert len(written) == 1
+    for more in ([(0, 1)], [(29, 28)], [(1, 40), (2, 40), (40, 41)], [(0, 0), (4, 4)]):
+        want = {frozenset(c) for c in merged([*stars, *more])}
+        rows = roots(spark.createDataFrame([*stars, *more], "u long, v long")).collect()
+        assert sorted((r.u, r.v) for r in rows) == sorted((u, min(c)) for c in want for u in c if u != min(c))
+
+
+def merged(links):
+    """The components of the links, as sets."""
+    out = []
+    for link in links:
+        touched = [c for c in out if c & set(link)]
+        out = [c for c in out if not c & set(link)] + [set(link).union(*touched)]
+    return out
+
+
 def test_queries_and_sql(spark, sf):
     from compare import connect, rows_of
 
