@@ -44,11 +44,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def landed(df: DataFrame, purpose: str) -> DataFrame:
+# For rows of some MB: Parquet looks at the size of a page and of a row group only after 100 rows unless told otherwise,
+# and writer and reader hold a whole row group and copies of its pages.
+LARGE_ROWS = {
+    "parquet.block.size": 8 << 20, "parquet.page.size": 1 << 20, "parquet.page.size.row.check.min": 1,
+    "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": "false"}
+
+
+def landed(df: DataFrame, purpose: str, **options) -> DataFrame:
     """``df`` written once to the shared folder and read back, so that a lost executor costs no recompute."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

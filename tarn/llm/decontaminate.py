@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import free_names, landed, sliced, texts_of, word_runs
+from .common import LARGE_ROWS, free_names, landed, sliced, texts_of, word_runs
 
 WINDOW = 10
 SLOP = 5
@@ -53,13 +53,15 @@ def queries_of(items: list[tuple[object, bytes]], window: int) -> Queries:
     return Queries(terms, [(np.array(ws, np.int32), [list(found[w]) for w in ws]) for ws in by_length.values()])
 
 
-# One row per block: its documents with their first position and words, its terms in order, where each
-# term's places begin (and, last, end), and the places.
-INDEX = "terms array<binary>, starts array<int>, places array<int>"
+# One row per block: its documents with their first position and words, its terms in order, with nothing between them,
+# the bytes of each, the number of each term's places, and the places, term by term.  Numbers are little-endian, 32 bits
+# each; as arrays of Spark each would take three times that on the heap, for all rows of a row group at once.
+INDEX = "terms binary, lengths binary, counts binary, places binary"
+_NUMBER = np.dtype("<i4")
 
 
 def block_postings(texts: list[bytes], gap: int) -> tuple[list[int], list[int], list[bytes], np.ndarray, np.ndarray]:
-    """First position and number of words of each text; the terms of the block, and their places, term by term."""
+    """First position and number of words of each text; the terms of the block, how many places each has, and their places, term by term."""
     known: dict[bytes, int] = {}
     first, n_words, posts, at = [], [], [np.zeros(0, np.int64)], 0
     for text in texts:
@@ -71,8 +73,8 @@ def block_postings(texts: list[bytes], gap: int) -> tuple[list[int], list[int],
         n_words.append(at - first[-1])
         at += gap  # no match reaches into the next text
     every = np.sort(np.concatenate(posts))
-    starts = np.r_[0, np.cumsum(np.bincount(every >> 32, minlength=len(known)))]
-    return first, n_words, list(known), starts, every & 0xFFFFFFFF
+    counts = np.bincount(every >> 32, minlength=len(known))
+    return first, n_words, list(known), counts, every & 0xFFFFFFFF
 
 
 def index_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, slop: int = SLOP) -> DataFrame:
@@ -88,22 +90,25 @@ def index_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", BLOCK_BYTES):
-            first, n_words, terms, starts, places = block_postings(texts_of(batch.column(2)), window + slop)
+            first, n_words, terms, counts, places = block_postings(texts_of(batch.column(2)), window + slop)
             rows = pa.StructArray.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(first, pa.int64()), pa.array(n_words, pa.int64())], of_doc.names)
-            whole = [rows, pa.array(terms, pa.binary()), pa.array(starts.astype(np.int32)), pa.array(places.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in whole], schema.names)
+            packed = [b"".join(terms), *(np.asarray(v, _NUMBER).tobytes() for v in ([len(w) for w in terms], counts, places))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), *(pa.array([v], pa.binary()) for v in packed)], schema.names)
 
     indexed = picked.mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id())
-    return landed(indexed, "postings")  # the numbers of the blocks are fixed with it
+    return landed(indexed, "postings", **LARGE_ROWS)  # the numbers of the blocks are fixed with it
 
 
 class BlockIndex:
     """A stored block as the queries see it: the places of each of their terms, in order."""
 
-    def __init__(self, first: np.ndarray, terms: pa.Array, starts: np.ndarray, places: np.ndarray, asked: pa.Array):
-        self.first, self.places = first, places.astype(np.int64)
-        at = np.asarray(pc.index_in(asked, value_set=terms).fill_null(-1), np.int64)
+    def __init__(self, first: np.ndarray, terms: pa.Buffer, lengths: pa.Buffer, counts: pa.Buffer, places: pa.Buffer, asked: pa.Array):
+        self.first, self.places = first, np.frombuffer(places, _NUMBER).astype(np.int64)
+        begins, starts = (np.r_[0, np.cumsum(np.frombuffer(x, _NUMBER), dtype=np.int64)] for x in (lengths, counts))
+        stored = pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(begins.astype(np.int32)), terms])
+        at = np.asarray(pc.index_in(asked, value_set=stored).fill_null(-1), np.int64)
         self.begin = np.where(at >= 0, starts[at], 0)
         self.end = np.where(at >= 0, starts[np.minimum(at + 1, len(starts) - 1)], 0)
         self.sizes = self.end - self.begin
@@ -217,15 +222,14 @@ def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", ite
             terms_asked = pa.array(list(queries.terms), pa.binary())
             for batch in batches:
                 for k in range(batch.num_rows):
-                    block, docs, terms, starts, places = (batch.column(c)[k] for c in range(5))
-                    docs = docs.values
-                    held = BlockIndex(docs.field("first").to_numpy(), terms.values, starts.values.to_numpy(), places.values.to_numpy(), terms_asked)
+                    block, docs = batch.column(0)[k], batch.column(1)[k].values
+                    held = BlockIndex(docs.field("first").to_numpy(), *(batch.column(c)[k].as_buffer() for c in range(2, 6)), terms_asked)
                     n = len(docs)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([block.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), docs.field("doc"), docs.field("h"),
                          docs.field("n_words"), *found_arrays(*block_rows(held, queries, slop))], out.names)
 
-        passes.append(index.select("block", "docs", "terms", "starts", "places").mapInArrow(run, out))
+        passes.append(index.select("block", "docs", "terms", "lengths", "counts", "places").mapInArrow(run, out))
     if n_parts == 1:
         return passes[0].drop("block", "place")
     return together(passes, out).drop("block", "place")

@@ -3,7 +3,9 @@
 import hashlib
 import re
 from collections import Counter
+from urllib.parse import unquote, urlsplit
 
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from odd_rows import docs, odd, ordered, pairs  # noqa: F401
@@ -63,6 +65,21 @@ def test_phrase_proximity(spark):
     assert out == {1: (["q"], [], [(0, 10)]), 2: ([], ["q"], []), 3: ([], ["q"], []), 4: ([], [], []), 5: ([], [], [])}
 
 
+def test_postings_in_small_row_groups(spark):
+    """A row of postings is some MB, so writer and reader must not take a hundred of them at once; all rows are found again."""
+    text = F.expr("array_join(transform(sequence(1, 250), k -> hex(hash(id, k))), ' ')")
+    rows = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    index = decontaminate.index_documents(rows)
+    files = [pq.ParquetFile(unquote(urlsplit(f).path)).metadata for f in index.inputFiles()]
+    groups = [m.row_group(g) for m in files for g in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) > 4 and max(g.total_byte_size for g in groups) < 12 << 20
+    kinds = dict(index.dtypes)
+    assert [kinds[c] for c in ("terms", "lengths", "counts", "places")] == ["binary"] * 4
+    asked = rows.where("doc_id = 4321").select(F.lit("q").alias("item_id"), F.substring_index("text", " ", 12).alias("text"))
+    found = decontaminate.digest(decontaminate.search(index, asked).withColumnRenamed("doc", "doc_id")).select("doc_id", "n_words", "n_hit").collect()
+    assert sorted(map(tuple, found)) == [(k, 250, 12 if k == 4321 else 0) for k in range(6000)]
+
+
 def test_documents_without_hits(odd, items):
     assert ordered(decontaminate.without_hits(odd, items.limit(0)).collect()) == ordered(odd.collect())
     want = [r for r, found in zip(odd.collect(), brute_phrases(pairs(odd), [(r["item_id"], r["text"]) for r in items.collect()])) if not found[-1]]
